@@ -10,7 +10,7 @@ from motley.functions import hashing, text, vectors
 from motley.sources import files, ingest
 from motley.sources.people import people, table, titles, word_vectors
 from motley.sources.specs import EMPLOYER_TYPES, ETHNICITY_CODES, catalog_specs
-from motley.workdir import fresh_path
+from motley.workdir import fresh_path, materialize
 
 SUPPLIER = "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE"
 
@@ -61,7 +61,8 @@ def recode_files(spark, sf):
 
 def raw_sources(spark, sf, folder):
     """Write the people as the raw files of the catalogued sources."""
-    df = people(spark, sf, "table_id", "salary", "job_title", "seniority", "gender", "ethnicity")
+    df = materialize(
+        people(spark, sf, "table_id", "salary", "job_title", "seniority", "gender", "ethnicity"), "people")
     for i, spec in enumerate(catalog_specs()):
         year = (F.lit(2019) - F.col("seniority")).cast("string")
         money = F.col("salary").cast("decimal(12,2)").cast("string")

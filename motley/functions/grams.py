@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from motley.functions.binding import let
 
-def windows(c: Column, n: int) -> Column:
-    """All substrings of length n in order; empty array when c is shorter."""
-    last = F.length(c) - F.lit(n - 1)
+
+def _join(chars: Column, n: int) -> Column:
+    last = F.size(chars) - F.lit(n - 1)
     return F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, n))
+        last >= 1,
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
+            lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n)]),
+        ),
     ).otherwise(F.array().cast("array<string>"))
 
 
+def windows(c: Column, *sizes: int) -> Column:
+    """All substrings of each length in order; none when c is shorter.
+
+    The text is cut into characters once, so the work is linear in its length.
+    """
+    chars = F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+    return let(chars, lambda ch: F.concat(*[_join(ch, n) for n in sizes]))
+
+
 def padded(c: Column) -> Column:
     """Lower case, blanks squeezed, one blank on each side."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " ")), F.lit(" "))
@@ -35,7 +49,7 @@ def ngram_set(c: Column, n: int) -> Column:
 def range_grams(c: Column, lo: int, hi: int) -> Column:
     """n-grams for every n in lo..hi of the preprocessed, lower-cased text."""
     s = F.lower(preprocess(c))
-    return F.concat(*[windows(s, n) for n in range(lo, hi + 1)])
+    return windows(s, *range(lo, hi + 1))
 
 
 def ngram_count(c: Column, lo: int, hi: int) -> Column:
@@ -67,7 +81,6 @@ def numbered(grams: Column) -> Column:
     Quadratic in the number of grams, so meant for category strings; whole
     texts go through ``operators.pairs.gram_counts`` instead.
     """
-    ordered = F.array_sort(grams)
-    return F.transform(
-        ordered, lambda g, i: F.concat(g, F.lit("\u0001"), (i - F.array_position(ordered, g)).cast("string"))
-    )
+    return let(F.array_sort(grams), lambda ordered: F.transform(
+        ordered, lambda g, i: F.concat(
+            g, F.lit("\u0001"), (i - F.array_position(ordered, g)).cast("string"))))

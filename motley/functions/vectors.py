@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from motley.functions.binding import let
+
 
 def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
@@ -12,10 +14,8 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    norm = l2_norm(v)
-    return F.when(norm == 0, v.cast("array<double>")).otherwise(
-        F.transform(v, lambda x: x.cast("double") / norm)
-    )
+    return let(l2_norm(v), lambda norm: F.when(norm == 0, v.cast("array<double>")).otherwise(
+        F.transform(v, lambda x: x.cast("double") / norm)))
 
 
 def reverse_embedding(v: Column, table_id: Column, tables: list[int]) -> Column:

@@ -13,7 +13,8 @@ def make_session(cores: int = 8):
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("motley-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
 
