@@ -138,11 +138,11 @@ def cosine_similarity(spark, sf):
 
 @query("similarity_join", f"""SELECT a, b, (length(a) + length(b) - levenshtein(a, b)) / (length(a) + length(b)) AS score
   FROM (SELECT DISTINCT {Q.RAW} AS a FROM part), (SELECT DISTINCT p_name || ' ' || replace(lower(p_brand), '#', '') AS b FROM part)
-  WHERE (length(a) + length(b) - levenshtein(a, b)) / (length(a) + length(b)) >= 0.8""")
+  WHERE (length(a) + length(b) - levenshtein(a, b)) / (length(a) + length(b)) >= 0.7""")
 def similarity_join(spark, sf):
     t = titles(spark, sf)
     return pairs.similarity_join(t.select(F.col("job_title").alias("a")), t.select(F.col("fine_title").alias("b")),
-                                 "a", "b", "levenshtein-ratio", 0.8)
+                                 "a", "b", "levenshtein-ratio", 0.7)
 
 
 @query("similarity_join_ngram", f"""WITH p AS (SELECT {Q.RAW} AS a, p_name || ' ' || replace(lower(p_brand), '#', '') AS b FROM part),
