@@ -195,11 +195,12 @@ def except_values(spark, sf):
     return dic.anti_unseen(people(spark, sf, "title"), known, "title")
 
 
-@query("anti_unseen", f"{P} SELECT DISTINCT title FROM people WHERE table_id = 3 AND title NOT IN "
-                      "(SELECT title FROM people WHERE seniority > 20)")
+@query("anti_unseen", f"{P} SELECT DISTINCT fine_title FROM people WHERE table_id = 3 AND fine_title NOT IN "
+                      "(SELECT fine_title FROM people WHERE seniority > 23)")
 def anti_unseen(spark, sf):
-    p = people(spark, sf, "title", "table_id", "seniority")
-    return dic.anti_unseen(p.where("table_id = 3"), p.where("seniority > 20").select("title").distinct(), "title")
+    p = people(spark, sf, "fine_title", "table_id", "seniority")
+    known = p.where("seniority > 23").select("fine_title").distinct()
+    return dic.anti_unseen(p.where("table_id = 3"), known, "fine_title")
 
 
 @query("semi_known", f"{P} SELECT row_id, title FROM people WHERE title IN (SELECT matched_title FROM titles)")

@@ -52,9 +52,9 @@ def title_vectors(column: str, source: str = "titles") -> str:
 
 
 def similar(threshold: float, column: str) -> str:
-    """CTE similar(title, other, cos) of ordered pairs above the threshold."""
+    """CTE near_titles(title, other, cos) of ordered pairs above the threshold."""
     return f"""{title_vectors(column)},
-  similar AS (SELECT a.title, b.title AS other, list_cosine_similarity(a.v, b.v) AS cos
+  near_titles AS (SELECT a.title, b.title AS other, list_cosine_similarity(a.v, b.v) AS cos
     FROM title_vectors a, title_vectors b WHERE list_cosine_similarity(a.v, b.v) > {threshold})"""
 
 
