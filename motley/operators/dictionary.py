@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from motley.functions.hashing import seeded
 
 
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """Distinct non-null values of a column over all task slots.
+
+    For work that is heavy per value: adaptive execution would otherwise merge
+    a small dictionary into few tasks.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.select(column).na.drop().distinct().repartition(n, column)
+
+
 def map_distinct(df: DataFrame, columns: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Compute columns once per distinct value and join them back.
 
