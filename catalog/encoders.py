@@ -20,7 +20,7 @@ P = f"WITH {Q.PEOPLE}"
 
 def unrolled(df, key, column, name="proto"):
     """One row per array element, numbered from 0."""
-    return df.select(key, F.posexplode(column).alias("ord", "x")).select(
+    return df.select(key, F.posexplode_outer(column).alias("ord", "x")).select(
         key, "ord", F.round("x", 6).alias("x"))
 
 
@@ -129,7 +129,7 @@ def target_encode_multiclass(spark, sf):
 @query("minhash_encode_fast")
 def minhash_encode_fast(spark, sf):
     return enc.MinHashEncoder("text", 16).transform(table(spark, sf, "documents").select("doc_id", "text")).select(
-        "doc_id", F.posexplode("encoded").alias("seed", "hash"))
+        "doc_id", F.posexplode_outer("encoded").alias("seed", "hash"))
 
 
 @query("minhash_encode_murmur")
@@ -211,7 +211,7 @@ def cluster_titles_hierarchy(spark, sf):
 @query("rbf_features")
 def rbf_features(spark, sf):
     return enc.rbf_features(table(spark, sf, "embeddings"), "embedding", 100, 0.5).select(
-        "vec_id", F.posexplode("features").alias("i", "x"))
+        "vec_id", F.posexplode_outer("features").alias("i", "x"))
 
 
 def _topics(spark, sf, **options):

@@ -69,7 +69,7 @@ def ngram_list(spark, sf):
   SELECT doc_id, {_PADDED.format(x='text')} AS s FROM documents))""")
 def ngram_set(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", F.explode(grams.ngram_set(F.col("text"), 2)).alias("gram"))
+        "doc_id", F.explode_outer(grams.ngram_set(F.col("text"), 2)).alias("gram"))
 
 
 @query("ngram_count", "SELECT doc_id, CAST(3 * length(text) - 6 AS INTEGER) AS n FROM documents")
@@ -104,7 +104,7 @@ _PAD2 = "'  ' || text || '  '"
   (SELECT doc_id, {_PAD2} AS s FROM documents)) GROUP BY ALL""")
 def trigrams(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", F.explode(grams.trigrams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(
+        "doc_id", F.explode_outer(grams.trigrams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(
         F.count("*").alias("n"))
 
 

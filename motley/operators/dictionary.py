@@ -18,7 +18,8 @@ def spread(df: DataFrame, column: str) -> DataFrame:
     """
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.select(column).na.drop().distinct().repartition(n, column)
+    # by a hash of the value: a repartition by the value itself would be dropped as redundant
+    return df.select(column).na.drop().distinct().repartition(n, F.xxhash64(column))
 
 
 def map_distinct(df: DataFrame, columns: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:

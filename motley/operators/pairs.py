@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from motley.functions.grams import padded, preprocess, range_grams, windows
 from motley.functions.similarity import METRICS
+from motley.operators.dictionary import spread
+from motley.workdir import materialize
 
 
 def pair_similarity(pairs: DataFrame, left: str, right: str, metric: str, name: str = "score", **options) -> DataFrame:
@@ -22,8 +24,9 @@ def gram_counts(df: DataFrame, value: str, lo: int, hi: int, hashing_dim: int |
 
     With ``hashing_dim`` the gram is replaced by its bucket.
     """
-    grams = df.select(value).na.drop().distinct().select(
-        value, F.explode(range_grams(F.col(value), lo, hi)).alias("gram"))
+    # outer: an inner explode would compute the array twice, once as a filter
+    grams = spread(df, value).select(
+        value, F.explode_outer(range_grams(F.col(value), lo, hi)).alias("gram")).where("gram IS NOT NULL")
     if hashing_dim:
         grams = grams.withColumn("gram", F.pmod(F.xxhash64("gram"), F.lit(hashing_dim)))
     return grams.groupBy(value, "gram").agg(F.count("*").alias("cnt"))
@@ -32,8 +35,8 @@ def gram_counts(df: DataFrame, value: str, lo: int, hi: int, hashing_dim: int |
 def _tokens(df: DataFrame, value: str, metric: str, n: int) -> DataFrame:
     """(value, size, token): members of the value's multiset, made distinct by number."""
     text = windows(padded(preprocess(F.col(value))), n) if metric == "ngram" else windows(F.col(value), 1)
-    grams = df.select(value).na.drop().distinct().withColumn("_grams", text).select(
-        value, F.size("_grams").alias("size"), F.explode("_grams").alias("gram"))
+    grams = spread(df, value).withColumn("_grams", text).select(
+        value, F.size("_grams").alias("size"), F.explode_outer("_grams").alias("gram")).where("gram IS NOT NULL")
     counted = grams.groupBy(value, "size", "gram").agg(F.count("*").cast("int").alias("cnt"))
     return counted.select(
         value, "size", F.explode(F.sequence(F.lit(1), F.col("cnt"))).alias("no"), "gram"
@@ -58,37 +61,39 @@ def overlap_share(metric: str, min_score: float) -> float:
     return share
 
 
-def _prefixes(tokens: DataFrame, order: DataFrame, value: str, share: float) -> DataFrame:
+def _ranked(tokens: DataFrame, order: DataFrame, value: str) -> DataFrame:
+    """(value, size, tokens): the members of each value, rarest first."""
+    return tokens.join(order, "token").groupBy(value, "size").agg(
+        F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t")).select(
+        value, "size", F.col("_t.token").alias("tokens"))
+
+
+def _prefixes(ranked: DataFrame, value: str, share: float) -> DataFrame:
     """The rarest members of each value, as many as the shared one must be among.
 
     Of two sets with at least ``share`` of their members in common, the first
     size - ceil(share * size) + 1 in a common order must meet.
     """
-    ranked = tokens.join(order, "token").groupBy(value, "size").agg(
-        F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t"))
     keep = F.col("size") - F.ceil(F.col("size") * share - 1e-9).cast("int") + 1
-    return ranked.select(
-        value, "size", F.explode(F.slice("_t", 1, F.greatest(keep, F.lit(1)))).alias("_m")
-    ).select(value, "size", F.col("_m.token").alias("token"))
+    return ranked.select(value, "size", F.explode(F.slice("tokens", 1, F.greatest(keep, F.lit(1)))).alias("token"))
+
+
+def _token_tables(left, right, lcol, rcol, metric, n) -> tuple[DataFrame, DataFrame]:
+    lt, rt = _tokens(left, lcol, metric, n), _tokens(right, rcol, metric, n)
+    order = lt.select("token").unionByName(rt.select("token")).groupBy("token").agg(F.count("*").alias("freq"))
+    return materialize(_ranked(lt, order, lcol), "left"), materialize(_ranked(rt, order, rcol), "right")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, lcol: str, rcol: str, metric: str,
-                    min_score: float, n: int = 3) -> DataFrame:
-    """Distinct pairs that can reach the score; none that can is left out.
+def candidate_pairs(left: DataFrame, right: DataFrame, lcol: str, rcol: str, share: float) -> DataFrame:
+    """Distinct pairs of two token tables that can have ``share`` in common; none is missed.
 
     An equi-join on rare shared members (prefix filter) with a size filter.
-    Equal values always meet, and values without members only meet their like.
     """
-    share = overlap_share(metric, min_score)
-    lt, rt = _tokens(left, lcol, metric, n), _tokens(right, rcol, metric, n)
-    order = lt.select("token").unionByName(rt.select("token")).groupBy("token").agg(F.count("*").alias("freq"))
-    lp = _prefixes(lt, order, lcol, share).withColumnRenamed("size", "lsize")
-    rp = _prefixes(rt, order, rcol, share).withColumnRenamed("size", "rsize")
+    lp = _prefixes(left, lcol, share).withColumnRenamed("size", "lsize")
+    rp = _prefixes(right, rcol, share).withColumnRenamed("size", "rsize")
     met = lp.join(rp, "token").where(
         (F.col("lsize") >= F.col("rsize") * share - 1e-9) & (F.col("rsize") >= F.col("lsize") * share - 1e-9))
-    same = left.select(lcol).distinct().join(
-        right.select(rcol).distinct(), F.col(lcol) == F.col(rcol)).select(lcol, rcol)
-    return met.select(lcol, rcol).unionByName(same).distinct()
+    return met.select(lcol, rcol).distinct()
 
 
 def similarity_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, metric: str, min_score: float,
@@ -104,8 +109,19 @@ def similarity_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, met
         lv = left.select(lcol).na.drop().distinct().withColumn("_block", block_on[0])
         rv = right.select(rcol).na.drop().distinct().withColumn("_block", block_on[1])
         pairs = lv.join(rv, "_block").select(lcol, rcol)
+        score = METRICS[metric](F.col(lcol), F.col(rcol), **({"n": n} if metric == "ngram" else {}))
     else:
-        pairs = candidate_pairs(left, right, lcol, rcol, metric, min_score, n)
-    options = {"n": n} if metric == "ngram" else {}
-    scored = pairs.withColumn("score", METRICS[metric](F.col(lcol), F.col(rcol), **options))
-    return scored.where(F.col("score") >= min_score)
+        lt, rt = _token_tables(left, right, lcol, rcol, metric, n)
+        pairs = candidate_pairs(lt, rt, lcol, rcol, overlap_share(metric, min_score))
+        # equal values without members (shorter than n) have no token to meet by
+        same = left.select(lcol).distinct().join(right.select(rcol).distinct(), F.col(lcol) == F.col(rcol))
+        pairs = pairs.unionByName(same.select(lcol, rcol)).distinct()
+        if metric == "ngram":
+            # the token lists are made once per value, each pair only counts the common ones
+            pairs = pairs.join(lt.select(lcol, F.col("tokens").alias("_l")), lcol).join(
+                rt.select(rcol, F.col("tokens").alias("_r")), rcol)
+            common = F.size(F.array_intersect("_l", "_r"))
+            score = common / (F.size("_l") + F.size("_r") - common)
+        else:
+            score = METRICS[metric](F.col(lcol), F.col(rcol))
+    return pairs.withColumn("score", score).where(F.col("score") >= min_score).select(lcol, rcol, "score")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from motley.functions.grams import windows
 from motley.functions.hashing import seeded
 from motley.operators.aggregates import top_per_group, value_counts
-from motley.operators.dictionary import dense_ids
+from motley.operators.dictionary import dense_ids, spread
 from motley.operators.encoders import kmeans_prototypes, words_of
 from motley.workdir import materialize
 
@@ -67,8 +67,8 @@ def _grams(df: DataFrame, column: str, p: TopicParams) -> DataFrame:
     pieces = windows(text, *range(p.ngram_range[0], p.ngram_range[1] + 1))
     if p.add_words:
         pieces = F.concat(pieces, F.transform(words_of(F.col(column)), lambda w: F.concat(F.lit("\u0002"), w)))
-    return df.select(column).distinct().select(column, F.explode(pieces).alias("gram")).groupBy(
-        column, "gram").agg(F.count("*").cast("double").alias("cnt"))
+    return spread(df, column).select(column, F.explode_outer(pieces).alias("gram")).where(
+        "gram IS NOT NULL").groupBy(column, "gram").agg(F.count("*").cast("double").alias("cnt"))
 
 
 def _vocabulary(df: DataFrame, column: str, p: TopicParams) -> tuple[DataFrame | None, int]:
