@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 # Fixed values of the arithmetic hash that other SQL engines can also compute.
 MODULUS = 1000003
 FACTOR = 265443
+STEP = 7919
 
 
-def mixed_hash(key: Column, seed: int = 0) -> Column:
+def mixed_hash(key: Column, seed: int | Column = 0) -> Column:
     """Arithmetic hash of an integer key into 0..MODULUS-1."""
-    return F.pmod(F.pmod(key, F.lit(MODULUS)) * F.lit(FACTOR) + F.lit(seed * 7919), F.lit(MODULUS))
+    return F.pmod(F.pmod(key, F.lit(MODULUS)) * (F.lit(FACTOR) + F.lit(STEP) * F.lit(seed)), F.lit(MODULUS))
 
 
-def mixed_hash_sql(key: str, seed: int = 0) -> str:
+def mixed_hash_sql(key: str, seed: int | str = 0) -> str:
     """The same hash as SQL text (keys are not negative)."""
-    return f"((({key}) % {MODULUS}) * {FACTOR} + {seed * 7919}) % {MODULUS}"
+    return f"((({key}) % {MODULUS}) * ({FACTOR} + {STEP} * ({seed}))) % {MODULUS}"
 
 
 def seeded(key: Column, seed: int = 0) -> Column:

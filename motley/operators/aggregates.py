@@ -97,18 +97,33 @@ def target_stats(df: DataFrame, column: str, y: str, classes: list | None = None
     return df.groupBy(column).agg(F.count("*").alias("n"), *means)
 
 
-def cells(df: DataFrame, covariates: list[str], y: str = "salary", treated: str = "gender") -> DataFrame:
-    """Covariate cells with sizes and mean outcomes of both sexes."""
+def cell_sums(df: DataFrame, covariates: list[str], y: str = "salary", treated: str = "gender") -> DataFrame:
+    """Covariate cells as sums, which add up over tables and runs."""
     men, women = F.col(treated) == 1, F.col(treated) == 0
     return df.groupBy(*covariates).agg(
         F.count("*").alias("n"),
         F.count(F.when(men, 1)).alias("n1"),
         F.count(F.when(women, 1)).alias("n0"),
-        F.avg(F.when(men, F.col(y))).alias("y1"),
-        F.avg(F.when(women, F.col(y))).alias("y0"),
+        F.sum(F.when(men, F.col(y))).alias("s1"),
+        F.sum(F.when(women, F.col(y))).alias("s0"),
     )
 
 
+def merge_cells(sums: DataFrame, covariates: list[str]) -> DataFrame:
+    """Add up cell sums to coarser cells."""
+    return sums.groupBy(*covariates).agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n0", "s1", "s0")])
+
+
+def cell_means(sums: DataFrame) -> DataFrame:
+    """Cells with the mean outcome of each sex; null where a sex is absent."""
+    return sums.withColumns({
+        "y1": F.try_divide("s1", "n1"), "y0": F.try_divide("s0", "n0")}).drop("s1", "s0")
+
+
+def cells(df: DataFrame, covariates: list[str], y: str = "salary", treated: str = "gender") -> DataFrame:
+    return cell_means(cell_sums(df, covariates, y, treated))
+
+
 def propensity_by_group(df: DataFrame, covariates: list[str], treated: str = "gender") -> DataFrame:
     return df.groupBy(*covariates).agg(F.avg(treated).alias("propensity"), F.count("*").alias("n"))
 

@@ -36,13 +36,17 @@ def exact_matching_gap(df: DataFrame, covariates: list[str] | None = None, dismi
 
 
 def fuzzy_aipw(df: DataFrame, similar: DataFrame, threshold: float = 0.8, by: list[str] | None = None) -> DataFrame:
-    """Doubly robust gap with kernel-smoothed propensity and outcomes.
+    """Doubly robust gap with kernel-smoothed propensity and outcomes."""
+    by = by or []
+    return fuzzy_aipw_of_cells(covariate_cells(df, [*by, *COVARIATES]), similar, threshold, by)
+
+
+def fuzzy_aipw_of_cells(table: DataFrame, similar: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """The same from covariate cells.
 
     The row-wise formula only needs sizes and mean outcomes of a cell.  Where
     all neighbours have one sex the estimate is the one-sided weighting one.
     """
-    by = by or []
-    table = covariate_cells(df, [*by, *COVARIATES])
     smooth = fuzzy_band_join(table, similar, threshold, exact=("employer", "ethnicity", *by))
     n, n1, n0 = F.col("n"), F.col("n1"), F.col("n0")
     y1, y0 = F.coalesce("y1", F.lit(0.0)), F.coalesce("y0", F.lit(0.0))
