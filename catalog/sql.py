@@ -22,7 +22,8 @@ TITLES = f"""titles AS (SELECT p_partkey, {RAW} AS job_title, {clean(RAW)} AS ti
   greatest(split_part(p_name,' ',1), split_part(p_name,' ',2)) AS matched_title,
   p_name || ' ' || replace(lower(p_brand), '#', '') AS fine_title FROM part)"""
 
-PEOPLE = f"""{TITLES}, people AS (SELECT l_orderkey * 8 + l_linenumber AS row_id,
+PEOPLE = f"""{TITLES}, people AS (SELECT (l_orderkey * 8 + l_linenumber) * 1000000 +
+  (CAST(round(l_extendedprice * 100) AS BIGINT) + l_partkey * 7919) % 1000000 AS row_id,
   round(l_extendedprice) AS salary, l_returnflag AS employer,
   t.job_title, t.title, t.matched_title, t.fine_title,
   CAST(s_nationkey % 14 AS INTEGER) AS table_id,

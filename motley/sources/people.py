@@ -55,7 +55,9 @@ def people(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     want = set(columns)
     df = table(spark, sf_dir, "lineitem").withColumns({
-        "row_id": F.col("l_orderkey") * 8 + F.col("l_linenumber"),
+        # order and line number do not name a line alone; part and price complete the key
+        "row_id": (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.pmod(
+            F.round(F.col("l_extendedprice") * 100).cast("bigint") + F.col("l_partkey") * 7919, F.lit(1000000)),
         "salary": F.round("l_extendedprice"),
         "employer": F.col("l_returnflag"),
     })
