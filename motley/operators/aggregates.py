@@ -23,7 +23,7 @@ def group_quantile(df: DataFrame, keys: list[str], y: str, q: float = 0.75,
     large ones a histogram tells which bucket holds the wanted ranks, and only
     the values of those buckets are ranked.
     """
-    size = F.count("*") if weight is None else F.sum(weight)
+    size = F.count("*") if weight is None else F.sum(weight).cast("bigint")
     counted = df.where(F.col(y).isNotNull()).groupBy(*keys, y).agg(size.alias("_c"))
     spread = counted.groupBy(*keys).agg(
         F.sum("_c").alias("n"), F.count("*").alias("_d"),
