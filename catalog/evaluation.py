@@ -151,9 +151,10 @@ def n_variants(spark, sf):
 
 @query("error_by_variants", f"""{P}, {_VARIANTS}, tr AS (SELECT split_id, fine_title AS k, seniority, salary FROM people JOIN splits USING (table_id) WHERE is_test = 0),
   f AS (SELECT split_id, k, seniority, avg(salary) AS e FROM tr GROUP BY ALL), x AS (SELECT split_id, seniority, avg(salary) AS e FROM tr GROUP BY ALL),
-  err AS (SELECT split_id, n_variants, abs(salary - coalesce(f.e, x.e)) AS error FROM (SELECT split_id, fine_title AS k, seniority, salary
-    FROM people JOIN splits USING (table_id) WHERE is_test = 1) LEFT JOIN f USING (split_id, k, seniority) JOIN x USING (split_id, seniority)
-    JOIN nv USING (split_id, k, seniority))
+  a AS (SELECT split_id, avg(salary) AS e FROM tr GROUP BY ALL),
+  err AS (SELECT split_id, n_variants, abs(salary - coalesce(f.e, x.e, a.e)) AS error FROM (SELECT split_id, fine_title AS k, seniority, salary
+    FROM people JOIN splits USING (table_id) WHERE is_test = 1) LEFT JOIN f USING (split_id, k, seniority) LEFT JOIN x USING (split_id, seniority)
+    LEFT JOIN a USING (split_id) JOIN nv USING (split_id, k, seniority))
   SELECT split_id, CASE n_variants WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS seen,
   round(sqrt(avg(error * error)), 4) AS rmse, round(avg(error), 4) AS mae, count(*) AS n FROM err GROUP BY ALL""")
 def error_by_variants(spark, sf):
