@@ -29,7 +29,9 @@ def group_quantile(df: DataFrame, keys: list[str], y: str, q: float = 0.75,
         F.sum("_c").alias("n"), F.count("*").alias("_d"),
         F.min(y).alias("_lo"), F.max(y).alias("_hi"),
     )
-    small = counted.join(spread.where(F.col("_d") <= large_key).select(*keys), keys, "left_semi")
+    # asking for n too keeps both uses of the counts alike, so they are made once
+    few = spread.where((F.col("_d") <= large_key) & (F.col("n") > 0)).select(*keys)
+    small = counted.join(few, keys, "left_semi")
     easy = small.groupBy(*keys).agg(
         F.percentile(y, F.lit(q), F.col("_c")).alias("estimate"), F.sum("_c").alias("n"))
     return easy.unionByName(_large_quantile(counted, spread, keys, y, q, large_key, buckets))
@@ -57,10 +59,15 @@ def _large_quantile(counted, spread, keys, y, q, large_key, buckets) -> DataFram
 
 
 def multi_grain_estimates(df: DataFrame, key: str, exp: str, y: str) -> DataFrame:
-    """Means at grains (key, exp), (exp) and () in one pass over the rows."""
+    """Means at grains (key, exp), (exp) and ().
+
+    The rows are added up per (key, exp) once; only those sums are expanded
+    to the coarser grains.
+    """
+    fine = df.groupBy(key, exp).agg(F.sum(y).alias("_s"), F.count("*").alias("_n"))
     return (
-        df.groupingSets([[key, exp], [exp], []], key, exp)
-        .agg(F.avg(y).alias("estimate"), F.count("*").alias("n"),
+        fine.groupingSets([[key, exp], [exp], []], key, exp)
+        .agg((F.sum("_s") / F.sum("_n")).alias("estimate"), F.sum("_n").alias("n"),
              F.grouping_id(key, exp).alias("grain"))
         .withColumn("grain", F.when(F.col("grain") == 0, "key_exp").when(F.col("grain") == 2, "exp")
                     .otherwise("all"))

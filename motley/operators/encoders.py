@@ -29,6 +29,12 @@ from motley.workdir import materialize
 
 # An encoded row is as wide as its prototypes; above this use the long form.
 MAX_WIDTH = 50_000
+# Prototype lists up to this length are broadcast.
+SMALL_LIST = 2_000
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= SMALL_LIST else df
 
 
 def kmeans_prototypes(df: DataFrame, column: str, k: int, dim: int = 128, ngram: tuple[int, int] = (3, 3),
@@ -110,11 +116,11 @@ class SimilarityModel(Model):
         ordered = spark.createDataFrame(list(enumerate(self.categories_)), "ord INT, _proto STRING")
         mine = gram_counts(df, p.column, lo, hi, p.hashing_dim)
         theirs = gram_counts(ordered, "_proto", lo, hi, p.hashing_dim).withColumnRenamed("cnt", "_cnt")
-        same = mine.join(F.broadcast(theirs), "gram").groupBy(p.column, "_proto").agg(
+        same = mine.join(_small(theirs, len(self.categories_)), "gram").groupBy(p.column, "_proto").agg(
             F.sum(F.least("cnt", "_cnt")).alias("_same"))
         size = lambda c: ngram_count(preprocess(F.col(c)), lo, hi)
         score = F.try_divide(F.col("_same"), size(p.column) + size("_proto") - F.col("_same"))
-        return same.join(F.broadcast(ordered), "_proto").select(
+        return same.join(_small(ordered, len(self.categories_)), "_proto").select(
             p.column, "ord", F.coalesce(score, F.lit(0.0)).alias("similarity"))
 
     def _dense(self, df: DataFrame) -> DataFrame:
@@ -156,7 +162,7 @@ class TargetMeanEncoder(Estimator):
         self.handle_unknown, self.as_vector = handle_unknown, as_vector
 
     def _fit(self, df: DataFrame) -> "TargetMeanModel":
-        stats = target_stats(df, self.column, self.y, self.classes)
+        stats = materialize(target_stats(df, self.column, self.y, self.classes), "target")
         means = [c for c in stats.columns if c not in (self.column, "n")]
         whole = stats.agg(F.sum("n"), F.count("*"), *[F.sum(F.col(m) * F.col("n")) / F.sum("n") for m in means]).first()
         n, k, prior = whole[0], whole[1], list(whole[2:])
@@ -244,11 +250,11 @@ def ngram_similarity_hashed(df: DataFrame, column: str, prototypes: list[str], n
     protos = spark.createDataFrame([(p,) for p in prototypes], "proto STRING")
     mine = gram_counts(df, column, *ngram_range, hashing_dim)
     theirs = gram_counts(protos, "proto", *ngram_range, hashing_dim).withColumnRenamed("cnt", "_cnt")
-    same = mine.join(F.broadcast(theirs), "gram").groupBy(column, "proto").agg(
+    same = mine.join(_small(theirs, len(prototypes)), "gram").groupBy(column, "proto").agg(
         F.sum(F.least("cnt", "_cnt")).alias("_same"))
     nx = mine.groupBy(column).agg(F.sum("cnt").alias("_nx"))
     np_ = theirs.groupBy("proto").agg(F.sum("_cnt").alias("_np"))
-    return same.join(nx, column).join(F.broadcast(np_), "proto").select(
+    return same.join(nx, column).join(_small(np_, len(prototypes)), "proto").select(
         column, "proto", (F.col("_same") / (F.col("_nx") + F.col("_np") - F.col("_same"))).alias("similarity"))
 
 

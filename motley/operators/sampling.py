@@ -70,7 +70,36 @@ def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int, hashed: Col
     return ranked.withColumn(name, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_size")
 
 
+def stratum_cuts(df: DataFrame, strata: list[str], row_id: str, share: Column, hashed: Column,
+                 modulus: int = MODULUS, buckets: int = BUCKETS) -> DataFrame:
+    """(strata, cut): the last (hash, row id) among the first ``int(size * share)`` rows.
+
+    A histogram of the hash tells which bucket holds the cut; only the rows of
+    that bucket are ranked.  Strata that lose no row are absent.
+    """
+    tagged = df.select(*strata, F.col(row_id).alias("_id"), hashed.alias("_h")).withColumn(
+        "_bucket", F.floor(F.col("_h") * buckets / modulus).cast("int"))
+    sizes = tagged.groupBy(*strata, "_bucket").agg(F.count("*").alias("_n"))
+    # at most `buckets` rows per stratum
+    stratum = Window.partitionBy(*strata)
+    placed = sizes.withColumns({
+        "_upto": F.sum("_n").over(stratum.orderBy("_bucket")), "_size": F.sum("_n").over(stratum)})
+    need = F.floor(F.col("_size") * share)
+    holds = placed.where((F.col("_upto") >= need) & (F.col("_upto") - F.col("_n") < need)).select(
+        *strata, "_bucket", (need - F.col("_upto") + F.col("_n")).alias("_need"))
+    inside = Window.partitionBy(*strata, "_bucket").orderBy("_h", "_id")
+    return (
+        tagged.join(holds, [*strata, "_bucket"]).withColumn("_pos", F.row_number().over(inside))
+        .where(F.col("_pos") == F.col("_need")).select(*strata, F.struct("_h", "_id").alias("_cut"))
+    )
+
+
 def stratified_downsample(df: DataFrame, strata: list[str], row_id: str, rate: Column, hashed: Column) -> DataFrame:
-    """Drop exactly ``int(size * rate)`` rows of each stratum, chosen by hash."""
-    ranked = stratum_rank(df, strata, row_id, hashed)
-    return ranked.where(F.col("_rank") > F.floor(F.col("_size") * rate)).drop("_rank", "_size")
+    """Drop exactly ``int(size * rate)`` rows of each stratum, chosen by hash.
+
+    ``rate`` may use the stratum columns.  Rows are kept or dropped by
+    comparing them with the cut of their stratum; they are not shuffled.
+    """
+    cuts = stratum_cuts(df, strata, row_id, rate, hashed)
+    own = F.struct(hashed.alias("_h"), F.col(row_id).alias("_id"))
+    return df.join(cuts, strata, "left").where(F.col("_cut").isNull() | (own > F.col("_cut"))).drop("_cut")

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motley.operators.aggregates import cell_means, cell_sums, group_quantile, merge_cells, weighted_global
+from motley.operators.aggregates import cell_means, cell_sums, group_quantile, merge_cells
 from motley.operators.lookups import (
     estimate_lookup, grains_from_sums, kernel_join, variant_presence,
 )
+from motley.operators.sampling import stratified_downsample
 from motley.plans.gap import COVARIATES, fuzzy_aipw_of_cells, gap_of_cells
+from motley.workdir import materialize
 
 
 def sides(splits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,10 +25,14 @@ def sides(splits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def table_sums(df: DataFrame, key: str, exp: str | None, y: str) -> DataFrame:
-    """Sums of y per (table, key[, exp]): all that fitting and squared errors need."""
+    """Sums of y per (table, key[, exp]): all that fitting and squared errors need.
+
+    Written once, as every split, grain and threshold reads them.
+    """
     keys = ["table_id", key] + ([exp] if exp else [])
-    return df.groupBy(*keys).agg(
+    sums = df.groupBy(*keys).agg(
         F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"), F.count("*").alias("n"))
+    return materialize(sums, "sums")
 
 
 def train_grains(sums: DataFrame, splits: DataFrame, key: str, exp: str | None) -> dict[str, DataFrame]:
@@ -36,11 +42,16 @@ def train_grains(sums: DataFrame, splits: DataFrame, key: str, exp: str | None)
     return grains_from_sums(fine, key, exp, ["split_id"])
 
 
-def train_quantiles(df: DataFrame, splits: DataFrame, key: str, y: str, q: float = 0.75) -> dict[str, DataFrame]:
-    """Quantile grains per split; rows are counted per (table, key, value) first."""
+def value_table(df: DataFrame, key: str, y: str) -> DataFrame:
+    """Row counts ``_n`` per (table, key, value): all that quantiles need."""
+    return materialize(df.groupBy("table_id", key, y).agg(F.count("*").alias("_n")), "values")
+
+
+def train_quantiles(counted: DataFrame, splits: DataFrame, key: str, y: str, q: float = 0.75) -> dict[str, DataFrame]:
+    """Quantile grains per split from a value table."""
     train, _ = sides(splits)
-    counted = df.groupBy("table_id", key, y).agg(F.count("*").alias("_n")).join(train, "table_id")
-    fine = group_quantile(counted, ["split_id", key], y, q, weight="_n")
+    fine = group_quantile(counted.join(train, "table_id"), ["split_id", key], y, q, weight="_n")
+    fine = materialize(fine, "quantiles")
     whole = fine.groupBy("split_id").agg(
         (F.sum(F.col("estimate") * F.col("n")) / F.sum("n")).alias("estimate"), F.sum("n").alias("n"))
     return {"fine": fine, "all": whole}
@@ -49,7 +60,7 @@ def train_quantiles(df: DataFrame, splits: DataFrame, key: str, y: str, q: float
 def n_variants(df: DataFrame, splits: DataFrame, key: list[str], raw: list[str]) -> DataFrame:
     """(split, key, n_variants): raw spellings of each test key seen in training."""
     train, test = sides(splits)
-    spelled = df.select("table_id", *dict.fromkeys([*key, *raw])).distinct()
+    spelled = materialize(df.select("table_id", *dict.fromkeys([*key, *raw])).distinct(), "spelled")
     pairs = spelled.select(*dict.fromkeys([*key, *raw])).distinct()
     asked = spelled.select("table_id", *key).distinct().join(test, "table_id").select("split_id", *key).distinct()
     seen = spelled.join(train, "table_id").select("split_id", *raw).distinct()
@@ -65,23 +76,24 @@ def cv_errors(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: st
     """
     _, test = sides(splits)
     keys = [key] + ([exp] if exp else [])
-    rows = df.join(test, "table_id")
     if task == "quantile":
-        grains = train_quantiles(df, splits, key, y, q)
-        counted = df.groupBy("table_id", key, y).agg(F.count("*").alias("_n")).join(test, "table_id")
-        truth = group_quantile(counted, ["split_id", key], y, q, weight="_n").select(
+        counted = value_table(df, key, y)
+        grains = train_quantiles(counted, splits, key, y, q)
+        truth = group_quantile(counted.join(test, "table_id"), ["split_id", key], y, q, weight="_n").select(
             "split_id", key, F.col("estimate").alias("_truth"))
     else:
-        grains = train_grains(table_sums(df, key, exp, y), splits, key, exp)
+        counted = table_sums(df, key, exp, y)
+        grains = train_grains(counted, splits, key, exp)
         truth = None
-    asked = rows.select("split_id", *keys).distinct()
+    asked = counted.join(test, "table_id").select("split_id", *keys).distinct()
     if similar is None:
         answers = estimate_lookup(asked, grains, key, exp, ["split_id"])
     else:
         answers = kernel_join(asked, grains, similar, threshold, key, exp, ["split_id"])
-    out = rows.join(answers.select("split_id", *keys, "estimate"), ["split_id", *keys])
     if truth is not None:
-        out = out.join(truth, ["split_id", key])
+        answers = answers.join(truth, ["split_id", key])
+    answers = answers.select("split_id", *keys, "estimate", *(["_truth"] if truth is not None else []))
+    out = df.join(test, "table_id").join(answers, ["split_id", *keys])
     target = F.col("_truth") if truth is not None else F.col(y)
     return out.withColumn("error", F.abs(target - F.col("estimate"))).drop("_truth")
 
@@ -202,8 +214,6 @@ def sensitivity_sweep(df: DataFrame, runs: DataFrame, row_id: str, hashed: Colum
     lose the share ``rate`` of their women and the others of their men.
     ``estimator(rows, by)`` gets all runs together.
     """
-    from motley.operators.sampling import stratified_downsample
-
     rows = df.join(F.broadcast(runs), "table_id")
     rate = F.when((F.col("men") == 1) == (F.col("gender") == 0), F.col("rate")).otherwise(F.lit(0.0))
     kept = stratified_downsample(rows, ["run_id", "rate", "men", "gender"], row_id, rate, hashed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motley.operators.aggregates import cells as covariate_cells
 from motley.operators.lookups import fuzzy_band_join, fuzzy_opposite_join
+from motley.workdir import materialize
 
 COVARIATES = ["title", "seniority", "employer", "ethnicity"]
 
@@ -47,6 +48,7 @@ def fuzzy_aipw_of_cells(table: DataFrame, similar: DataFrame, threshold: float,
     The row-wise formula only needs sizes and mean outcomes of a cell.  Where
     all neighbours have one sex the estimate is the one-sided weighting one.
     """
+    table = materialize(table, "cells")
     smooth = fuzzy_band_join(table, similar, threshold, exact=("employer", "ethnicity", *by))
     n, n1, n0 = F.col("n"), F.col("n1"), F.col("n0")
     y1, y0 = F.coalesce("y1", F.lit(0.0)), F.coalesce("y0", F.lit(0.0))
@@ -66,7 +68,7 @@ def fuzzy_opposite_gap(df: DataFrame, similar: DataFrame, threshold: float = 0.8
                        by: list[str] | None = None) -> DataFrame:
     """Exact gap where both sexes meet, nearest opposite-sex cells elsewhere."""
     by = by or []
-    table = covariate_cells(df, [*by, *COVARIATES])
+    table = materialize(covariate_cells(df, [*by, *COVARIATES]), "cells")
     met = table.where((F.col("n1") > 0) & (F.col("n0") > 0)).select(*by, "n", (F.col("y1") - F.col("y0")).alias("gap"))
     fuzzy = fuzzy_opposite_join(table, similar, threshold, by=by).select(*by, "n", "gap")
     used = met.unionByName(fuzzy).groupBy(*by).agg(
