@@ -245,7 +245,7 @@ def sensitivity_sweep(spark, sf):
     p = people(spark, sf, "row_id", "table_id", "title", "seniority", "employer", "ethnicity", "gender", "salary")
     runs = spark.createDataFrame(RUNS, "run_id INT, rate DOUBLE, table_id INT, men INT")
     out = ev.sensitivity_sweep(p, runs, "row_id", hashing.mixed_hash(F.col("row_id"), F.col("run_id")),
-                               lambda rows, by: gap.exact_matching_gap(rows, by=by))
+                               lambda cells, by: gap.gap_of_cells(cells, by=by))
     return out.withColumn("ate", F.round("ate", 4))
 
 

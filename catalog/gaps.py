@@ -48,13 +48,16 @@ def exact_matching_gap_all(spark, sf):
         fine(spark, sf, "seniority", "employer", "ethnicity", "gender", "salary"), dismiss=False))
 
 
-@query("gap_by_variant", f"""{P}, {cells_sql("(SELECT *, unnest([title, 'all']) AS variant FROM people WHERE matched_title = 'blue ring')", "'x'", 'variant, ')}
-  {gap_sql(False, 'variant, ')} GROUP BY variant""")
+_SPELLED = "(SELECT *, unnest([title, 'all']) AS variant FROM people)"
+
+
+@query("gap_by_variant", f"""{P}, {cells_sql(_SPELLED, 'matched_title', 'variant, ')}
+  {gap_sql(False, 'title AS matched_title, variant, ')} GROUP BY title, variant""")
 def gap_by_variant(spark, sf):
-    p = people(spark, sf, "title", "matched_title", "seniority", "employer", "ethnicity", "gender", "salary").where(
-        F.col("matched_title") == "blue ring")
-    both = p.withColumn("variant", F.explode(F.array("title", F.lit("all")))).withColumn("title", F.lit("x"))
-    return rounded(gap.exact_matching_gap(both, dismiss=False, by=["variant"]))
+    """Gap of every spelling of a title, and of all its spellings merged."""
+    p = people(spark, sf, "title", "matched_title", "seniority", "employer", "ethnicity", "gender", "salary")
+    both = p.withColumn("variant", F.explode(F.array("title", F.lit("all"))))
+    return rounded(gap.exact_matching_gap(both, ["seniority", "employer", "ethnicity"], False, ["matched_title", "variant"]))
 
 
 _MEN = "table_id < 7"

@@ -104,14 +104,12 @@ def conditional_means(spark, sf):
     return agg.cells(people(spark, sf, *_COVARIATES, "gender", "salary"), _COVARIATES)
 
 
-@query("mean_curve", f"""{P}, v AS (SELECT title, seniority, avg(salary) AS mean, count(*) AS n FROM people
-    WHERE matched_title = 'blue ring' GROUP BY ALL)
-  SELECT title AS variant, seniority, round(mean, 4) AS mean, n FROM v UNION ALL
-  SELECT 'all', seniority, round(sum(mean * n) / sum(n), 4), CAST(sum(n) AS BIGINT) FROM v GROUP BY seniority""")
+@query("mean_curve", f"""{P}, v AS (SELECT matched_title, title, seniority, avg(salary) AS mean, count(*) AS n FROM people GROUP BY ALL)
+  SELECT matched_title, title AS variant, seniority, round(mean, 4) AS mean, n FROM v UNION ALL
+  SELECT matched_title, 'all', seniority, round(sum(mean * n) / sum(n), 4), CAST(sum(n) AS BIGINT) FROM v GROUP BY matched_title, seniority""")
 def mean_curve(spark, sf):
-    chosen = people(spark, sf, "title", "matched_title", "seniority", "salary").where(
-        F.col("matched_title") == "blue ring")
-    each, pooled = agg.mean_curve(chosen, "title", "seniority", "salary")
+    p = people(spark, sf, "title", "matched_title", "seniority", "salary")
+    each, pooled = agg.mean_curve(p, "title", "seniority", "salary", ["matched_title"])
     both = each.withColumnRenamed("title", "variant").unionByName(pooled.withColumn("variant", F.lit("all")))
     return both.withColumn("mean", F.round("mean", 4))
 

@@ -69,7 +69,7 @@ def grid_search(spark, sf):
 def predict_curve(spark, sf):
     p = people(spark, sf, "title", "matched_title", "seniority", "salary")
     model = ml.boosted_salary(p, vectors(spark, sf), **SMALL)
-    return ml.predict_curve(model, p.where(F.col("matched_title") == "blue ring"))
+    return ml.predict_curve(model, p, "matched_title")
 
 
 @query("ridge")

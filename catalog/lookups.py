@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from catalog import sql as Q
@@ -125,25 +127,28 @@ def shrinkage_mix(spark, sf):
         "title", "seniority", F.round("estimate", 4).alias("estimate"))
 
 
-@query("nearest_prototype", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+_CENTERS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
   dims AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM e) GROUP BY ALL),
-  c AS (SELECT label AS center, list(x ORDER BY i) AS cv FROM dims GROUP BY ALL)
-  SELECT center, arg_min(vec_id, list_distance(v, cv)) AS value, round(min(list_distance(v, cv)), 6) AS dist FROM c, e GROUP BY center""")
+  c AS (SELECT label AS center, list(x ORDER BY i) AS cv FROM dims GROUP BY ALL)"""
+
+
+def label_centers(e):
+    """Mean vector of each label: a short list."""
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>"))))
+    return [r["c"] for r in e.groupBy("label").agg(mean.alias("c")).orderBy("label").collect()]
+
+
+@query("nearest_prototype", f"""WITH {_CENTERS} SELECT center, arg_min(vec_id, list_distance(v, cv)) AS value,
+  round(min(list_distance(v, cv)), 6) AS dist FROM c, e GROUP BY center""")
 def nearest_prototype(spark, sf):
     e = table(spark, sf, "embeddings")
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    means = e.groupBy("label").agg(vector_to_array(Summarizer.mean(
-        array_to_vector(F.col("embedding").cast("array<double>")))).alias("c")).orderBy("label").collect()
-    out = vec.nearest_prototype(e, "vec_id", "embedding", [r["c"] for r in means])
-    return out.withColumn("dist", F.round("dist", 6))
-
-
-@query("knn_values", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  d AS (SELECT q.vec_id AS query, e.vec_id AS value, list_distance(q.v, e.v) AS dist FROM e q, e WHERE q.vec_id < 5)
-  SELECT CAST(query AS VARCHAR) AS query, value, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, value) AS rank FROM d) WHERE rank <= 3""")
+    return vec.nearest_prototype(e, "vec_id", "embedding", label_centers(e)).withColumn("dist", F.round("dist", 6))
+
+
+@query("knn_values", f"""WITH {_CENTERS}, d AS (SELECT center, vec_id, list_distance(v, cv) AS dist FROM c, e)
+  SELECT CAST(center AS VARCHAR) AS query, vec_id AS value, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY center ORDER BY dist, vec_id) AS rank FROM d) WHERE rank <= 5""")
 def knn_values(spark, sf):
     e = table(spark, sf, "embeddings")
-    asked = [(str(r["vec_id"]), r["embedding"]) for r in e.where("vec_id < 5").collect()]
-    return vec.knn_values(e, "vec_id", "embedding", asked, 3).withColumn("dist", F.round("dist", 6))
+    asked = [(str(i), list(c)) for i, c in enumerate(label_centers(e))]
+    return vec.knn_values(e, "vec_id", "embedding", asked, 5).withColumn("dist", F.round("dist", 6))

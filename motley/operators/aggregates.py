@@ -135,10 +135,11 @@ def propensity_by_group(df: DataFrame, covariates: list[str], treated: str = "ge
     return df.groupBy(*covariates).agg(F.avg(treated).alias("propensity"), F.count("*").alias("n"))
 
 
-def mean_curve(df: DataFrame, variant: str, exp: str, y: str) -> tuple[DataFrame, DataFrame]:
-    """Mean per experience for each variant, and pooled over the variants."""
-    by_variant = df.groupBy(variant, exp).agg(F.avg(y).alias("mean"), F.count("*").alias("n"))
-    pooled = by_variant.groupBy(exp).agg(
+def mean_curve(df: DataFrame, variant: str, exp: str, y: str, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Mean per experience for each variant, and pooled over the variants of a group."""
+    by = by or []
+    by_variant = df.groupBy(*by, variant, exp).agg(F.avg(y).alias("mean"), F.count("*").alias("n"))
+    pooled = by_variant.groupBy(*by, exp).agg(
         (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     return by_variant, pooled
 

@@ -44,7 +44,7 @@ def range_bounds(df: DataFrame, column: str, buckets: int, sample: int = 4096) -
 
 
 def dense_ids(df: DataFrame, column: str, order: str = "hash", start: int = 1, seed: int = 0,
-              name: str = "id", buckets: int = 64) -> DataFrame:
+              name: str = "id", buckets: int | None = None) -> DataFrame:
     """(value, id) with ids start, start+1, ... over the distinct values.
 
     ``order='value'`` numbers the values in sorted order, ``'hash'`` in an
@@ -52,6 +52,8 @@ def dense_ids(df: DataFrame, column: str, order: str = "hash", start: int = 1, s
     each, then shifted by the sizes of the buckets before: no task sees all.
     """
     values = df.select(column).na.drop().distinct()
+    if buckets is None:
+        buckets = min(max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1024)
     if order == "value":
         bounds = range_bounds(values, column, buckets)
         bucket = (
@@ -64,7 +66,7 @@ def dense_ids(df: DataFrame, column: str, order: str = "hash", start: int = 1, s
         rank = [seeded(F.col(column), seed + 1), F.col(column)]
     tagged = values.withColumn("_bucket", bucket)
     sizes = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # at most `buckets` rows: a running total over them is a small task
+    # at most `buckets` (1024) rows: a running total over them is a small task
     shift = sizes.select(
         "_bucket",
         (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_shift"),
@@ -101,12 +103,6 @@ def list_variants(df: DataFrame, key: str, raw: str) -> DataFrame:
     return pairs.join(counts, key)
 
 
-def variant_arrays(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """Spellings of each key as one sorted array, for dictionaries of known size."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_set(raw)).alias("variants")).withColumn(
-        "n_variants", F.size("variants"))
-
-
 def canonicalize_by_words(df: DataFrame, column: str, name: str = "canonical") -> DataFrame:
     """One spelling, the last in order, for all permutations of the same words."""
     bag = F.array_join(F.array_sort(F.split(column, " ")), " ")

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.feature import HashingTF, MinHashLSH, Normalizer
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -228,19 +228,25 @@ class MinHashEncoder(Transformer):
         return df.join(codes, self.column, "left")
 
 
-def minhash_candidates(df: DataFrame, column: str, max_distance: float = 0.5, tables: int = 8, n: int = 3,
-                       dim: int = 2**18, seed: int = 1) -> DataFrame:
-    """(value, other, distance): near-duplicate spellings found by min-hash buckets.
+def minhash_candidates(df: DataFrame, column: str, min_agreement: float = 0.5, bands: int = 10, rows: int = 2,
+                       ngram_range: tuple[int, int] = (3, 3)) -> DataFrame:
+    """(value, representative, agreement): near-duplicate spellings by min-hash.
 
-    Approximate; ``pairs.similarity_join`` gives all pairs above a score.
+    Values that share a band of hashes meet in its smallest value, not in
+    pairs, so a crowded band costs no more than its members.  The share of
+    equal hashes estimates the n-gram Jaccard similarity.  Approximate;
+    ``pairs.similarity_join`` gives all pairs above a score.
     """
-    values = df.select(column).na.drop().distinct().withColumn("_grams", windows(padded(F.col(column)), n))
-    hashed = HashingTF(inputCol="_grams", outputCol="_f", numFeatures=dim, binary=True).transform(
-        values.where(F.size("_grams") > 0)).select(column, "_f")
-    model = MinHashLSH(inputCol="_f", outputCol="_h", numHashTables=tables, seed=seed).fit(hashed)
-    met = model.approxSimilarityJoin(hashed, hashed, max_distance, "distance")
-    left, right = F.col(f"datasetA.{column}"), F.col(f"datasetB.{column}")
-    return met.where(left < right).select(left.alias(column), right.alias("other"), "distance")
+    signed = materialize(spread(df, column).select(
+        F.col(column).alias("value"), minhash(F.col(column), bands * rows, ngram_range).alias("_h")), "minhash")
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.slice("_h", b * rows + 1, rows).alias("hashes")) for b in range(bands)])
+    members = signed.select("value", F.explode(keys).alias("_k"))
+    first = members.groupBy("_k").agg(F.min("value").alias("representative"), F.count("*").alias("_n")).where("_n > 1")
+    met = members.join(first, "_k").where("value <> representative").select("value", "representative").distinct()
+    pairs = met.join(signed, "value").join(
+        signed.select(F.col("value").alias("representative"), F.col("_h").alias("_r")), "representative")
+    equal = F.size(F.filter(F.zip_with("_h", "_r", lambda x, y: x == y), lambda z: z)) / F.lit(bands * rows)
+    return pairs.select("value", "representative", equal.alias("agreement")).where(F.col("agreement") >= min_agreement)
 
 
 def ngram_similarity_hashed(df: DataFrame, column: str, prototypes: list[str], ngram_range: tuple[int, int],

@@ -6,6 +6,8 @@ is reduced to sums per (table, key) once; every split only adds up those sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,14 +209,28 @@ def average_precision(df: DataFrame, y: str, score: str, buckets: int = 4096) ->
     return ranked.agg(F.sum(F.col("hits") / F.col("seen") * gain).alias("average_precision"))
 
 
-def sensitivity_sweep(df: DataFrame, runs: DataFrame, row_id: str, hashed: Column, estimator) -> DataFrame:
-    """Any gap estimator over many down-sampled copies at once.
+def sensitivity_sweep(df: DataFrame, runs: DataFrame, row_id: str, hashed: Column,
+                      estimator: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """A gap estimator over many down-sampled copies at once.
+
+    ``runs`` has (run_id, rate, table_id, men): in each run the men tables lose
+    the share ``rate`` of their women and the other tables of their men.
+    ``estimator(cells, by)`` gets the covariate cells of all runs together.
 
-    ``runs`` has (run_id, rate, table_id, men): for each run the men tables
-    lose the share ``rate`` of their women and the others of their men.
-    ``estimator(rows, by)`` gets all runs together.
+    The side that stays whole is added up per table once and only its sums are
+    copied to the runs; single rows are looked at for the thinned side alone.
     """
-    rows = df.join(F.broadcast(runs), "table_id")
-    rate = F.when((F.col("men") == 1) == (F.col("gender") == 0), F.col("rate")).otherwise(F.lit(0.0))
-    kept = stratified_downsample(rows, ["run_id", "rate", "men", "gender"], row_id, rate, hashed)
-    return estimator(kept, ["run_id", "rate"])
+    by = ["run_id", "rate"]
+    keys = [*by, *COVARIATES]
+    runs = F.broadcast(runs)
+    whole = materialize(cell_sums(df, ["table_id", *COVARIATES]), "cells").join(runs, "table_id")
+    men = F.col("men") == 1
+    stays = whole.select(
+        *keys, F.when(men, F.col("n1")).otherwise(F.col("n0")).alias("n"),
+        F.when(men, F.col("n1")).otherwise(0).alias("n1"), F.when(men, 0).otherwise(F.col("n0")).alias("n0"),
+        F.when(men, F.col("s1")).alias("s1"), F.when(~men, F.col("s0")).alias("s0"),
+    ).where("n > 0")
+    thinned = df.join(runs.where("rate < 1"), "table_id").where(men == (F.col("gender") == 0))
+    left = stratified_downsample(thinned, [*by, "men"], row_id, F.col("rate"), hashed)
+    cells = merge_cells(stays.unionByName(cell_sums(left, keys)), keys)
+    return estimator(cell_means(cells), by)

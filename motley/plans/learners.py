@@ -166,11 +166,12 @@ def grid_search(learner, stages: list, cells: DataFrame, rates: list[float], dep
     return PipelineModel([*features.stages, found.bestModel]), found
 
 
-def predict_curve(model: PipelineModel, variants: DataFrame, years: int = 34, exp: str = "seniority") -> DataFrame:
-    """Predicted salary of each title for 0..years-1 of experience, and their mean."""
-    asked = variants.select("title").distinct().withColumn(exp, F.explode(F.sequence(F.lit(0), F.lit(years - 1))))
-    each = model.transform(asked).select(F.col("title").alias("variant"), exp, "prediction")
-    pooled = each.groupBy(exp).agg(F.avg("prediction").alias("prediction")).withColumn("variant", F.lit("all"))
+def predict_curve(model: PipelineModel, variants: DataFrame, group: str, years: int = 34, exp: str = "seniority") -> DataFrame:
+    """Predicted salary of each title for 0..years-1 of experience, and the mean of its group."""
+    asked = variants.select(group, "title").distinct().withColumn(
+        exp, F.explode(F.sequence(F.lit(0), F.lit(years - 1))))
+    each = model.transform(asked).select(group, F.col("title").alias("variant"), exp, "prediction")
+    pooled = each.groupBy(group, exp).agg(F.avg("prediction").alias("prediction")).withColumn("variant", F.lit("all"))
     return each.unionByName(pooled)
 
 

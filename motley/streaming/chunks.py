@@ -86,15 +86,16 @@ class OnlineLinear:
 
     def partial_fit(self, rows: DataFrame, vec: str, y: str) -> "OnlineLinear":
         """Steps on one chunk of (vector, 0/1 label) rows."""
-        data = rows.select(F.col(vec).alias("x"), (2 * F.col(y) - 1).cast("double").alias("y"))
+        data = rows.select(F.col(vec).alias("x"), (2 * F.col(y) - 1).cast("double").alias("y")).persist()
         for _ in range(self.steps):
             gradient, n = self._gradient(data)
             if n == 0:
-                return self
+                break
             self.seen += 1
             decay = np.append(self.alpha * self.w[:-1], 0.0)
             self.w = self.w - self.rate / np.sqrt(self.seen) * (gradient / n + decay)
             self.total += self.w
+        data.unpersist()
         return self
 
     def _gradient(self, data: DataFrame) -> tuple[np.ndarray, float]:

@@ -169,7 +169,7 @@ def test_sweep_runs_apart(spark):
     runs = spark.createDataFrame([(r, rate, t, int(t < 3)) for r, rate in enumerate((0.0, 0.5)) for t in range(6)],
                                  "run_id INT, rate DOUBLE, table_id INT, men INT")
     out = ev.sensitivity_sweep(rows, runs, "row_id", hashing.mixed_hash(F.col("row_id"), F.col("run_id")),
-                               lambda d, by: gap.exact_matching_gap(d, by=by)).orderBy("run_id").collect()
+                               lambda cells, by: gap.gap_of_cells(cells, by=by)).orderBy("run_id").collect()
     assert out[0]["n_rows"] == len(people) > out[1]["n_rows"]
     assert all(r["ate"] == pytest.approx(30.0) for r in out)
 
