@@ -13,7 +13,7 @@ STEP = 7919
 
 def mixed_hash(key: Column, seed: int | Column = 0) -> Column:
     """Arithmetic hash of an integer key into 0..MODULUS-1."""
-    return F.pmod(F.pmod(key, F.lit(MODULUS)) * (F.lit(FACTOR) + F.lit(STEP) * F.lit(seed)), F.lit(MODULUS))
+    return F.pmod(F.pmod(key.cast("bigint"), F.lit(MODULUS)) * (F.lit(FACTOR) + F.lit(STEP) * F.lit(seed)), F.lit(MODULUS))
 
 
 def mixed_hash_sql(key: str, seed: int | str = 0) -> str:

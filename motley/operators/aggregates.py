@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motley.operators.joins import join_groups
+
 
 def group_mean(df: DataFrame, keys: list[str], y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(y).alias("estimate"), F.count("*").alias("n"))
@@ -31,7 +33,7 @@ def group_quantile(df: DataFrame, keys: list[str], y: str, q: float = 0.75,
     )
     # asking for n too keeps both uses of the counts alike, so they are made once
     few = spread.where((F.col("_d") <= large_key) & (F.col("n") > 0)).select(*keys)
-    small = counted.join(few, keys, "left_semi")
+    small = join_groups(counted, few, keys, "left_semi")
     easy = small.groupBy(*keys).agg(
         F.percentile(y, F.lit(q), F.col("_c")).alias("estimate"), F.sum("_c").alias("n"))
     return easy.unionByName(_large_quantile(counted, spread, keys, y, q, large_key, buckets))
@@ -40,7 +42,7 @@ def group_quantile(df: DataFrame, keys: list[str], y: str, q: float = 0.75,
 def _large_quantile(counted, spread, keys, y, q, large_key, buckets) -> DataFrame:
     large = spread.where(F.col("_d") > large_key)
     width = (F.col("_hi") - F.col("_lo")) / buckets
-    tagged = counted.join(large, keys).withColumn(
+    tagged = join_groups(counted, large, keys).withColumn(
         "_b", F.least(F.floor(F.try_divide(F.col(y) - F.col("_lo"), width)), F.lit(buckets - 1)))
     # at most `buckets` rows per key
     hist = tagged.groupBy(*keys, "n", "_b").agg(F.sum("_c").alias("_w"))
@@ -49,7 +51,7 @@ def _large_quantile(counted, spread, keys, y, q, large_key, buckets) -> DataFram
     hist = hist.withColumn("_before", F.sum("_w").over(upto) - F.col("_w")).where(
         (F.col("_before") <= last) & (first < F.col("_before") + F.col("_w")))
     inside = Window.partitionBy(*keys, "_b").orderBy(y)
-    ranked = tagged.join(hist.select(*keys, "_b", "_before"), [*keys, "_b"]).withColumn(
+    ranked = join_groups(tagged, hist.select(*keys, "_b", "_before"), [*keys, "_b"]).withColumn(
         "_below", F.col("_before") + F.sum("_c").over(inside) - F.col("_c"))
     at = lambda r: F.max(
         F.when((F.col("_below") <= r) & (r < F.col("_below") + F.col("_c")), F.col(y)))

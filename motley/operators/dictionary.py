@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.functions.hashing import seeded
+from motley.operators.joins import join_groups
 
 
 def spread(df: DataFrame, column: str) -> DataFrame:
@@ -22,15 +21,6 @@ def spread(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).na.drop().distinct().repartition(n, F.xxhash64(column))
 
 
-def map_distinct(df: DataFrame, columns: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Compute columns once per distinct value and join them back.
-
-    ``compute`` gets the distinct rows and returns them with added columns.
-    Null values keep null results.
-    """
-    return df.join(compute(df.select(*columns).na.drop().distinct()), columns, "left")
-
-
 def range_bounds(df: DataFrame, column: str, buckets: int, sample: int = 4096) -> list:
     """Upper bounds that cut the values of a column into ordered buckets.
 
@@ -100,7 +90,7 @@ def list_variants(df: DataFrame, key: str, raw: str) -> DataFrame:
     """
     pairs = variants(df, [key], [raw])
     counts = pairs.groupBy(key).agg(F.count("*").alias("n_variants"))
-    return pairs.join(counts, key)
+    return join_groups(pairs, counts, [key])
 
 
 def canonicalize_by_words(df: DataFrame, column: str, name: str = "canonical") -> DataFrame:

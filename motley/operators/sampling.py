@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motley.functions.hashing import MODULUS, seeded
+from motley.operators.joins import join_groups
 
 
 def delete_rows(df: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,8 +58,7 @@ def stratum_rank(df: DataFrame, strata: list[str], row_id: str, hashed: Column,
     )
     inside = Window.partitionBy(*strata, "_bucket").orderBy("_h", row_id)
     return (
-        tagged.withColumn("_pos", F.row_number().over(inside))
-        .join(before, [*strata, "_bucket"])
+        join_groups(tagged.withColumn("_pos", F.row_number().over(inside)), before, [*strata, "_bucket"])
         .withColumn("_rank", F.col("_before") + F.col("_pos"))
         .drop("_h", "_bucket", "_pos", "_before")
     )
@@ -89,7 +89,7 @@ def stratum_cuts(df: DataFrame, strata: list[str], row_id: str, share: Column, h
         *strata, "_bucket", (need - F.col("_upto") + F.col("_n")).alias("_need"))
     inside = Window.partitionBy(*strata, "_bucket").orderBy("_h", "_id")
     return (
-        tagged.join(holds, [*strata, "_bucket"]).withColumn("_pos", F.row_number().over(inside))
+        join_groups(tagged, holds, [*strata, "_bucket"]).withColumn("_pos", F.row_number().over(inside))
         .where(F.col("_pos") == F.col("_need")).select(*strata, F.struct("_h", "_id").alias("_cut"))
     )
 
@@ -102,4 +102,4 @@ def stratified_downsample(df: DataFrame, strata: list[str], row_id: str, rate: C
     """
     cuts = stratum_cuts(df, strata, row_id, rate, hashed)
     own = F.struct(hashed.alias("_h"), F.col(row_id).alias("_id"))
-    return df.join(cuts, strata, "left").where(F.col("_cut").isNull() | (own > F.col("_cut"))).drop("_cut")
+    return join_groups(df, cuts, strata, "left").where(F.col("_cut").isNull() | (own > F.col("_cut"))).drop("_cut")

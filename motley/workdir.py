@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_local: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -20,8 +21,9 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="motley-")
-        spark.conf.set(_SETTING, base)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="motley-"))
+        base = _local[0]
     return base.rstrip("/")
 
 

@@ -92,6 +92,17 @@ def test_group_quantile(spark, large_key):
             assert got[k] == pytest.approx(np.quantile([y for kk, y in data if kk == k], q))
 
 
+@pytest.mark.parametrize("large_key", [10**6, 0])
+def test_null_groups_are_kept(spark, large_key):
+    rows = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 5.0, 3)], "k STRING, y DOUBLE, id INT")
+    got = {r["k"]: r["estimate"] for r in agg.group_quantile(rows, ["k"], "y", 0.5, large_key).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+    kept = sampling.stratified_downsample(rows, ["k"], "id", F.lit(0.5), hashing.mixed_hash(F.col("id"), 1))
+    assert sorted(str(r["k"]) for r in kept.collect()) == ["None", "a"]
+    folds = sampling.stratified_kfold(rows, "id", "k", 2, hashing.mixed_hash(F.col("id"), 1))
+    assert folds.count() == 3
+
+
 def test_run_summary_drops_what_is_not_finite(spark):
     rows = spark.createDataFrame([("m", x) for x in (1.0, 2.0, 3.0, float("nan"), float("inf"), -float("inf"))], "m STRING, ate DOUBLE")
     got = agg.run_summary(rows, ["m"], "ate").first()
