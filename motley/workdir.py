@@ -6,24 +6,27 @@ executor, so the loss of an executor never loses a result.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local: list[str] = []
+_fallback: list[str] = []
+
+
+def use_local_folder(path: str) -> None:
+    """Folder for sessions in one process that leave ``spark.checkpoint.dir`` unset."""
+    _fallback[:] = [path]
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; local sessions may go without."""
+    """Folder named by ``spark.checkpoint.dir``, which all executors must share."""
     base = spark.conf.get(_SETTING, None)
+    if not base and _fallback and re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        base = _fallback[0]
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="motley-"))
-        base = _local[0]
+        raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -37,3 +40,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``fresh_path`` that nothing will read again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
