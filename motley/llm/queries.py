@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
-from motley.llm import quality_rules
+import public_tokenizers
+
+from motley.llm import bpe, quality_rules, simhash, topk, url_rules
 from motley.llm.common import table
 
 
+def op2_bpe(spark, sf_dir):
+    """Number and digest of every text's ids, and the digest of the bytes they decode to."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN,
+                      emit=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op5_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark, sf_dir):
+    """Rule and verdict for every page's url."""
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_topk(spark, sf_dir):
+    """The 20 nearest rows of every vector whose id is divisible by 20."""
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark, sf_dir):
     """Counts and verdicts of the quality rules for every document."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("failed")
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op5_simhash": op5_simhash,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
+    "op9_topk": op9_topk,
 }
 
 ORACLES = {
+    "op7_url_filter": url_rules.oracle(),
     "op8_quality_rules": quality_rules.oracle(),
+    "op9_topk": topk.oracle(),
 }
