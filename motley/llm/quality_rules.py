@@ -24,7 +24,7 @@ STOP_WORDS = [
     "al", "con", "del", "el", "las", "lo", "los", "no", "para", "por", "se", "su", "una", "y",
 ]
 
-_STOP_FORMS = STOP_WORDS + [w.capitalize() for w in STOP_WORDS]
+STOP_FORMS = STOP_WORDS + [w.capitalize() for w in STOP_WORDS]
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def _count(n: Column, name: str) -> Column:
 def measures(text: Column) -> Column:
     """Struct of the counts the rules use; a null text counts as empty."""
     def of(t, w, lines):
-        stop = F.filter(w, lambda x: x.isin(_STOP_FORMS))
+        stop = F.filter(w, lambda x: x.isin(STOP_FORMS))
         return F.struct(
             _count(F.size(w), "n_words"), _count(F.length(F.array_join(w, "")), "word_chars"),
             _count(F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")), "n_symbols"),
@@ -161,7 +161,7 @@ def _sql_rule(rule: Rule) -> str:
 def oracle() -> str:
     """The same counts and verdicts in DuckDB SQL over the table ``documents``."""
     blank = r"[\x20\x09-\x0D]+"
-    stop = ", ".join(f"'{w}'" for w in _STOP_FORMS)
+    stop = ", ".join(f"'{w}'" for w in STOP_FORMS)
     base, method = (" AND ".join(f"({_sql_rule(r)})" for r in rules) for rules in (BASE, METHOD))
     return rf"""
 WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from motley.llm import bpe, quality_rules, simhash, topk, url_rules
+from motley.llm import bpe, license_scan, quality_model, quality_rules, simhash, topk, url_rules
 from motley.llm.common import table
 
 
+def op1_quality(spark, sf_dir):
+    """Quality score of every document, learnt from the labels that are not held out."""
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark, sf_dir):
     """Number and digest of every text's ids, and the digest of the bytes they decode to."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -35,12 +40,19 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("failed")
 
 
+def op10_license_scan(spark, sf_dir):
+    """Places of phrases, and labels of phrases and templates, in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op5_simhash": op5_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_topk": op9_topk,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES = {
