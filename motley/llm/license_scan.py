@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Phrases and their labels.
+# Labels and their phrases.
 PHRASES = [
-    ("cc by", "cc-by"),
-    ("general public license", "gpl"),
-    ("all rights reserved", "reserved"),
+    ("cc-by", "cc by"),
+    ("gpl", "general public license"),
+    ("reserved", "all rights reserved"),
 ]
 # Words of public licences and their usual notices, by label.
 TEMPLATES = [
@@ -145,8 +145,8 @@ class Scanner:
     """Scans texts for phrases and templates."""
 
     def __init__(self, phrases, templates, min_match=MIN_MATCH, min_cover=MIN_COVER, max_gap=MAX_GAP):
-        self.phrases = [(words_of(p), label) for p, label in phrases]
-        self.templates = [(words_of(t), label) for t, label in templates]
+        self.phrases = [(words_of(p), label) for label, p in phrases]
+        self.templates = [(words_of(t), label) for label, t in templates]
         self.auto = Automaton([w for w, _ in self.phrases] + [w for w, _ in self.templates])
         self.min_match, self.min_cover, self.max_gap = min_match, min_cover, max_gap
         self.ending: dict[int, list[int]] = defaultdict(list)
