@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from motley.llm import bpe, license_scan, quality_model, quality_rules, simhash, topk, url_rules
+from motley.llm import bpe, fuzzy_lines, license_scan, packing, quality_model, quality_rules, simhash, topk, url_rules
 from motley.llm.common import table
 
 
@@ -20,11 +21,22 @@ def op2_bpe(spark, sf_dir):
                       emit=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op3_packing(spark, sf_dir):
+    """Place of every document, one token per UTF-8 byte, in sequences of three permitted sizes."""
+    return packing.pack(table(spark, sf_dir, "documents"), F.octet_length("text"))
+
+
 def op5_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate group of every document."""
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_lines(spark, sf_dir):
+    """Every document without the lines that repeat, or nearly repeat, an earlier one."""
+    docs = fuzzy_lines.drop_repeats(table(spark, sf_dir, "documents"), removed_col="n_removed")
+    return docs.select("doc_id", "text", "n_removed")
+
+
 def op7_url_filter(spark, sf_dir):
     """Rule and verdict for every page's url."""
     return url_rules.judge(table(spark, sf_dir, "pages"))
@@ -48,7 +60,9 @@ def op10_license_scan(spark, sf_dir):
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
+    "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_topk": op9_topk,
