@@ -90,17 +90,28 @@ class Model:
         return let(statistics(text), of)
 
 
+@dataclass
+class Constant:
+    """Stands in for a model where the labels show one class only or none."""
+
+    value: float
+
+    def score(self, text: Column) -> Column:
+        return F.lit(float(self.value))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from learning: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality") -> Model:
+        label_col: str = "quality") -> Model | Constant:
     """The model of all labelled rows that are not held out.
 
-    A document counts only if its labels are 0 or 1 and all alike. Needs two documents or
-    more of either class.
+    A document counts only if its labels are 0 or 1 and all alike. With fewer than two
+    documents of a class nothing can be told apart: every score is then the share of 1
+    among the labelled rows, or 1 if there are none.
     """
     said = (labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
             .where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top"))
@@ -111,9 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = [F.sum(F.col("x")[i]) for i in range(size)]
     products = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(size) for j in range(i + 1)]
     found = {r[0]: r[1:] for r in rows.groupBy("y").agg(F.count("*"), *sums, *products).collect()}
-    few = [y for y in (0, 1) if y not in found or found[y][0] < 2]
-    if few:
-        raise ValueError(f"labels {few} of {label_col} have fewer than two documents to learn from")
+    seen = [found[y][0] if y in found else 0 for y in (0, 1)]
+    if min(seen) < 2:
+        return Constant(seen[1] / sum(seen) if sum(seen) else 1.0)
     product = np.zeros((2, size, size))
     for y in (0, 1):
         at = iter(found[y][1 + size:])
@@ -127,12 +138,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, held_out, score, predicted): one row per input row, learnt from ``labels`` by id.
 
     ``predicted`` is 1 from a score of ``cut`` on. Null and empty texts score 0. A null id is
-    not held out and has no label; repeated rows are scored alike; an empty table of documents
-    gives no rows, if its labels suffice; other columns are never read, so they cannot be inputs.
+    not held out and has no label; repeated rows are scored alike; an empty table gives no
+    rows; other columns are never read, so they cannot be inputs.
     """
-    if docs.isEmpty():
-        return docs.select(docs[id_col].alias(id_col), F.lit(False).alias("held_out"), F.lit(0.0).alias("score"),
-                           F.lit(0).alias("predicted"))
     model = fit(docs, labels, id_col, text_col)
     scored = docs.select(docs[id_col].alias(id_col), model.score(docs[text_col]).alias("score"))
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score",
@@ -140,9 +148,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows that score ``cut`` or more, with all their columns unchanged; without rows, none."""
-    if docs.isEmpty():
-        return docs
+    """The rows that score ``cut`` or more, with all their columns unchanged."""
     flag = temporary(docs.columns, "_good")
     score = fit(docs, labels, id_col, text_col).score(docs[text_col])
     return docs.withColumn(flag, score >= cut).where(F.col(flag)).drop(flag)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from motley.llm import bpe, fuzzy_lines, license_scan, packing, quality_model, quality_rules, simhash, topk, url_rules
+from motley.llm import bpe, fuzzy_lines, license_scan, packing, perspectives, quality_model, quality_rules, simhash, topk, url_rules
 from motley.llm.common import table
 
 
@@ -26,6 +26,13 @@ def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), F.octet_length("text"))
 
 
+def op4_perspectives(spark, sf_dir):
+    """Every dialogue from the perspective of each participant, with the spans to learn."""
+    found = perspectives.render(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"]))
+    return found.withColumn("mask_spans", F.array_join(spans, ",")).drop("mask")
+
+
 def op5_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate group of every document."""
     return simhash.groups(table(spark, sf_dir, "documents"))
@@ -61,6 +68,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_perspectives": op4_perspectives,
     "op5_simhash": op5_simhash,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_url_filter": op7_url_filter,
@@ -70,6 +78,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_perspectives": perspectives.oracle(),
     "op7_url_filter": url_rules.oracle(),
     "op8_quality_rules": quality_rules.oracle(),
     "op9_topk": topk.oracle(),
