@@ -118,7 +118,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     id, and vectors that are null or hold a null, NaN or infinite component, take no part.
     Shorter vectors count as if filled with zeros. Rows that repeat an id and a vector are
     each a candidate, but one query; an id with several vectors gets one list, of the best
-    scores any of them reaches. Components beyond 64 bits count as the nearest 64-bit integer.
+    scores any of them reaches. Components beyond 64 bits count as the nearest 64-bit integer;
+    a product beyond 64 bits stops the search with an OverflowError.
     An empty table gives no rows; other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
