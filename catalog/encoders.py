@@ -146,7 +146,7 @@ def minmax_hash_encode(spark, sf):
 
 @query("minhash_candidates")
 def minhash_candidates(spark, sf):
-    return enc.minhash_candidates(titles(spark, sf), "job_title", 0.5)
+    return enc.minhash_candidates(titles(spark, sf), "job_title")
 
 
 @query("count_ngrams", f"""{P}, c AS ({_count_sql("SELECT DISTINCT job_title FROM people", 'job_title', 2, 4)})

@@ -57,7 +57,7 @@ def kfold(spark, sf):
   {hashing.mixed_hash_sql('doc_id', 2)}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels""")
 def stratified_kfold(spark, sf):
     return sampling.stratified_kfold(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "quality", 5,
-                                     hashing.mixed_hash(F.col("doc_id"), 2)).select("doc_id", "quality", "fold")
+                                     hashing.widened(hashing.mixed_hash(F.col("doc_id"), 2))).select("doc_id", "quality", "fold")
 
 
 def _train(keys: str, y: str = "salary") -> str:
@@ -244,7 +244,7 @@ _RUNS_SQL = "runs(run_id, rate, table_id, men) AS (SELECT * FROM (VALUES " + ",
 def sensitivity_sweep(spark, sf):
     p = people(spark, sf, "row_id", "table_id", "title", "seniority", "employer", "ethnicity", "gender", "salary")
     runs = spark.createDataFrame(RUNS, "run_id INT, rate DOUBLE, table_id INT, men INT")
-    out = ev.sensitivity_sweep(p, runs, "row_id", hashing.mixed_hash(F.col("row_id"), F.col("run_id")),
+    out = ev.sensitivity_sweep(p, runs, "row_id", hashing.widened(hashing.mixed_hash(F.col("row_id"), F.col("run_id"))),
                                lambda cells, by: gap.gap_of_cells(cells, by=by))
     return out.withColumn("ate", F.round("ate", 4))
 

@@ -74,7 +74,7 @@ def down_sampled(df, rate: float):
     side = df.withColumn("_men", F.expr(_MEN))
     drop = F.when(F.col("_men") == (F.col("gender") == 0), F.lit(rate)).otherwise(F.lit(0.0))
     return sampling.stratified_downsample(
-        side, ["_men", "gender"], "row_id", drop, hashing.mixed_hash(F.col("row_id"), 9)).drop("_men")
+        side, ["_men", "gender"], "row_id", drop, hashing.widened(hashing.mixed_hash(F.col("row_id"), 9))).drop("_men")
 
 
 @query("stratified_downsample", f"{P}, {_down_sql(0.55)} SELECT row_id, table_id, gender FROM down")

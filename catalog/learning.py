@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, StringIndexer
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from catalog.evaluation import GROUPS
@@ -81,25 +80,34 @@ def ridge(spark, sf):
 
 
 def _worded(spark, sf):
-    """Documents with hashed word counts and their labels."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
-        "doc_id", "lang", "quality", words_of(F.col("text")).alias("words"))
+    """All documents with hashed word counts, and their labels where they have one."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(
+        "doc_id", "lang", "quality", words_of(F.coalesce("text", F.lit(""))).alias("words"))
     return materialize(HashingTF(inputCol="words", outputCol="features", numFeatures=512).transform(docs).drop("words"), "docs")
 
 
-@query("random_forest")
+@query("random_forest", "SELECT doc_id, lang, true AS known_label, true AS mostly_right FROM documents")
 def random_forest(spark, sf):
+    """A language for every document; checked by its values and the share of right ones."""
     docs = _worded(spark, sf)
-    model = Pipeline(stages=[StringIndexer(inputCol="lang", outputCol="label"),
-                             RandomForestClassifier(numTrees=10, maxDepth=5, seed=1)]).fit(docs)
-    return model.transform(docs).select("doc_id", "lang", "label", "prediction")
+    found = ml.forest_classifier(docs, "lang", trees=10, depth=5).transform(docs)
+    right = found.agg((F.avg((F.col("predicted") == F.col("lang")).cast("double")) > 0.8).alias("right")).scalar()
+    langs = [r[0] for r in docs.select("lang").distinct().collect()]
+    return found.select("doc_id", "lang", F.col("predicted").isin(langs).alias("known_label"), right.alias("mostly_right"))
 
 
-@query("logistic")
+@query("logistic", """SELECT d.doc_id, quality, true AS in_range, true AS beats_base_rate
+  FROM documents d LEFT JOIN labels USING (doc_id)""")
 def logistic(spark, sf):
+    """Fitted on the labelled documents, a probability for all; checked by its range and mean log loss."""
     docs = _worded(spark, sf)
-    return LogisticRegression(labelCol="quality", maxIter=20, regParam=0.01).fit(docs).transform(docs).select(
-        "doc_id", "quality", ml.probability("p"))
+    scored = ml.logistic_scores(docs, "quality")
+    y = F.col("quality")
+    p = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    loss = F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))
+    rate = F.avg("quality")
+    base = scored.agg((loss < -(rate * F.log(rate) + (1 - rate) * F.log(1 - rate))).alias("better")).scalar()
+    return scored.select("doc_id", "quality", F.col("p").between(0, 1).alias("in_range"), base.alias("beats_base_rate"))
 
 
 @query("kernel_classifier")

@@ -21,6 +21,11 @@ def mixed_hash_sql(key: str, seed: int | str = 0) -> str:
     return f"((({key}) % {MODULUS}) * ({FACTOR} + {STEP} * ({seed}))) % {MODULUS}"
 
 
+def widened(hashed: Column) -> Column:
+    """The arithmetic hash over the range of a 64-bit one, in the same order."""
+    return hashed * F.lit(2**43)
+
+
 def seeded(key: Column, seed: int = 0) -> Column:
     """64-bit hash of any value."""
     return F.xxhash64(key, F.lit(seed))

@@ -91,7 +91,7 @@ def expand_abbrev(c: Column, rules: dict[str, str] | None = None) -> Column:
     table.update({w: "" for w in NOISE_WORDS})
     table["i"] = ROMAN_ONE
     lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    pieces = F.regexp_extract_all(F.regexp_replace(c, "[0-9]+", ""), F.lit(r"(\w+|\W+)"), 1)
+    pieces = F.regexp_extract_all(F.regexp_replace(c, "[0-9]+", ""), F.lit(r"(?U)(\w+|\W+)"), 1)
     return F.array_join(
         F.transform(pieces, lambda w: F.coalesce(F.try_element_at(lookup, F.lower(w)), w)), ""
     )

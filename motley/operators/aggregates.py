@@ -12,38 +12,22 @@ def group_mean(df: DataFrame, keys: list[str], y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(y).alias("estimate"), F.count("*").alias("n"))
 
 
-# Above this many distinct values a key's quantile is found in two steps.
-LARGE_KEY = 1_000_000
-
-
-def group_quantile(df: DataFrame, keys: list[str], y: str, q: float = 0.75,
-                   large_key: int = LARGE_KEY, buckets: int = 4096, weight: str | None = None) -> DataFrame:
-    """Exact quantile per key with linear interpolation.
-
-    Rows are first counted per (key, value), which spreads a hot key over all
-    tasks.  Keys with few distinct values are finished by ``percentile``; for
-    large ones a histogram tells which bucket holds the wanted ranks, and only
-    the values of those buckets are ranked.
+def group_quantile(df: DataFrame, keys: list[str], y: str, q: float = 0.75, buckets: int = 128,
+                   weight: str | None = None) -> DataFrame:
+    """Exact quantile per key with linear interpolation; null values do not count.
+
+    Rows are first counted per (key, value), which spreads a hot key over all tasks. The
+    values of a key are cut at bounds from a sketch of bounded size, running totals over the
+    buckets tell which ones hold the wanted ranks, and only their values are ranked. Bounds
+    only decide how even the buckets are, never the result.
     """
     size = F.count("*") if weight is None else F.sum(weight).cast("bigint")
-    counted = df.where(F.col(y).isNotNull()).groupBy(*keys, y).agg(size.alias("_c"))
-    spread = counted.groupBy(*keys).agg(
-        F.sum("_c").alias("n"), F.count("*").alias("_d"),
-        F.min(y).alias("_lo"), F.max(y).alias("_hi"),
-    )
-    # asking for n too keeps both uses of the counts alike, so they are made once
-    few = spread.where((F.col("_d") <= large_key) & (F.col("n") > 0)).select(*keys)
-    small = join_groups(counted, few, keys, "left_semi")
-    easy = small.groupBy(*keys).agg(
-        F.percentile(y, F.lit(q), F.col("_c")).alias("estimate"), F.sum("_c").alias("n"))
-    return easy.unionByName(_large_quantile(counted, spread, keys, y, q, large_key, buckets))
-
-
-def _large_quantile(counted, spread, keys, y, q, large_key, buckets) -> DataFrame:
-    large = spread.where(F.col("_d") > large_key)
-    width = (F.col("_hi") - F.col("_lo")) / buckets
-    tagged = join_groups(counted, large, keys).withColumn(
-        "_b", F.least(F.floor(F.try_divide(F.col(y) - F.col("_lo"), width)), F.lit(buckets - 1)))
+    counted = df.where(F.col(y).isNotNull()).groupBy(*keys, y).agg(size.alias("_c")).where("_c > 0")
+    cuts = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
+    bounds = counted.groupBy(*keys).agg(
+        F.sum("_c").alias("n"), F.array_distinct(F.percentile_approx(y, cuts, 8 * buckets)).alias("_bounds"))
+    tagged = join_groups(counted, bounds, keys).withColumn(
+        "_b", F.size(F.filter("_bounds", lambda b: b < F.col(y)))).drop("_bounds")
     # at most `buckets` rows per key
     hist = tagged.groupBy(*keys, "n", "_b").agg(F.sum("_c").alias("_w"))
     upto = Window.partitionBy(*keys).orderBy("_b")
@@ -57,19 +41,21 @@ def _large_quantile(counted, spread, keys, y, q, large_key, buckets) -> DataFram
         F.when((F.col("_below") <= r) & (r < F.col("_below") + F.col("_c")), F.col(y)))
     ends = ranked.groupBy(*keys, "n").agg(at(first).alias("_a"), at(last).alias("_z"))
     part = (F.col("n") - 1) * q - first
-    return ends.select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * part).alias("estimate"), "n")
+    between = F.when(F.col("_a") == F.col("_z"), F.col("_a").cast("double")).otherwise(
+        F.col("_a") + (F.col("_z") - F.col("_a")) * part)
+    return ends.select(*keys, between.alias("estimate"), "n")
 
 
 def multi_grain_estimates(df: DataFrame, key: str, exp: str, y: str) -> DataFrame:
     """Means at grains (key, exp), (exp) and ().
 
     The rows are added up per (key, exp) once; only those sums are expanded
-    to the coarser grains.
+    to the coarser grains.  ``n`` counts all rows, means only those with a value.
     """
-    fine = df.groupBy(key, exp).agg(F.sum(y).alias("_s"), F.count("*").alias("_n"))
+    fine = df.groupBy(key, exp).agg(F.sum(y).alias("_s"), F.count(y).alias("_c"), F.count("*").alias("_n"))
     return (
         fine.groupingSets([[key, exp], [exp], []], key, exp)
-        .agg((F.sum("_s") / F.sum("_n")).alias("estimate"), F.sum("_n").alias("n"),
+        .agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("estimate"), F.sum("_n").alias("n"),
              F.grouping_id(key, exp).alias("grain"))
         .withColumn("grain", F.when(F.col("grain") == 0, "key_exp").when(F.col("grain") == 2, "exp")
                     .otherwise("all"))
@@ -106,8 +92,14 @@ def target_stats(df: DataFrame, column: str, y: str, classes: list | None = None
     return df.groupBy(column).agg(F.count("*").alias("n"), *means)
 
 
+CELL_SUMS = ("n", "n1", "n0", "s1", "s0", "c1", "c0")
+
+
 def cell_sums(df: DataFrame, covariates: list[str], y: str = "salary", treated: str = "gender") -> DataFrame:
-    """Covariate cells as sums, which add up over tables and runs."""
+    """Covariate cells as sums, which add up over tables and runs.
+
+    ``n``, ``n1`` and ``n0`` count rows, ``c1`` and ``c0`` those with a known outcome.
+    """
     men, women = F.col(treated) == 1, F.col(treated) == 0
     return df.groupBy(*covariates).agg(
         F.count("*").alias("n"),
@@ -115,18 +107,20 @@ def cell_sums(df: DataFrame, covariates: list[str], y: str = "salary", treated:
         F.count(F.when(women, 1)).alias("n0"),
         F.sum(F.when(men, F.col(y))).alias("s1"),
         F.sum(F.when(women, F.col(y))).alias("s0"),
+        F.count(F.when(men, F.col(y))).alias("c1"),
+        F.count(F.when(women, F.col(y))).alias("c0"),
     )
 
 
 def merge_cells(sums: DataFrame, covariates: list[str]) -> DataFrame:
     """Add up cell sums to coarser cells."""
-    return sums.groupBy(*covariates).agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n0", "s1", "s0")])
+    return sums.groupBy(*covariates).agg(*[F.sum(c).alias(c) for c in CELL_SUMS])
 
 
 def cell_means(sums: DataFrame) -> DataFrame:
-    """Cells with the mean outcome of each sex; null where a sex is absent."""
+    """Cells with the mean outcome of each sex; null where a sex has no known outcome."""
     return sums.withColumns({
-        "y1": F.try_divide("s1", "n1"), "y0": F.try_divide("s0", "n0")}).drop("s1", "s0")
+        "y1": F.try_divide("s1", "c1"), "y0": F.try_divide("s0", "c0")}).drop("s1", "s0", "c1", "c0")
 
 
 def cells(df: DataFrame, covariates: list[str], y: str = "salary", treated: str = "gender") -> DataFrame:
@@ -140,10 +134,11 @@ def propensity_by_group(df: DataFrame, covariates: list[str], treated: str = "ge
 def mean_curve(df: DataFrame, variant: str, exp: str, y: str, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Mean per experience for each variant, and pooled over the variants of a group."""
     by = by or []
-    by_variant = df.groupBy(*by, variant, exp).agg(F.avg(y).alias("mean"), F.count("*").alias("n"))
+    by_variant = df.groupBy(*by, variant, exp).agg(
+        F.avg(y).alias("mean"), F.count("*").alias("n"), F.count(y).alias("_c"))
     pooled = by_variant.groupBy(*by, exp).agg(
-        (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
-    return by_variant, pooled
+        F.try_divide(F.sum(F.col("mean") * F.col("_c")), F.sum("_c")).alias("mean"), F.sum("n").alias("n"))
+    return by_variant.drop("_c"), pooled
 
 
 def finite(c: Column) -> Column:

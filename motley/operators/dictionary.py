@@ -98,7 +98,7 @@ def canonicalize_by_words(df: DataFrame, column: str, name: str = "canonical") -
     bag = F.array_join(F.array_sort(F.split(column, " ")), " ")
     spelled = df.select(column).distinct().withColumn("_bag", bag)
     chosen = spelled.groupBy("_bag").agg(F.max(column).alias(name))
-    return df.withColumn("_bag", bag).join(chosen, "_bag").drop("_bag")
+    return join_groups(df.withColumn("_bag", bag), chosen, ["_bag"], "left").drop("_bag")
 
 
 def anti_unseen(values: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -115,4 +115,4 @@ def check_known(values: DataFrame, known: DataFrame, column: str, where: str) ->
     """Raise when a value is unknown (``handle_unknown='error'``)."""
     unknown = [r[0] for r in anti_unseen(values, known, column).orderBy(column).limit(5).collect()]
     if unknown:
-        raise ValueError(f"Found unknown categories {unknown} in column {column!r} during {where}")
+        raise ValueError(f"column {column!r} holds values the encoder was not fitted on, such as {unknown}, in {where}")

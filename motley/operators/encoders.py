@@ -22,21 +22,13 @@ from motley.functions.grams import ngram_count, padded, preprocess, windows
 from motley.functions.hashing import seeded
 from motley.functions.similarity import METRICS
 from motley.operators.aggregates import target_stats, top_k_frequent, value_counts
-from motley.operators.dictionary import check_known, spread
+from motley.operators.components import components
+from motley.operators.dictionary import check_known, dense_ids, spread
+from motley.operators.joins import join_groups
 from motley.operators.pairs import gram_counts
 from motley.operators.vector_join import nearest_prototype
 from motley.workdir import materialize
 
-# An encoded row is as wide as its prototypes; above this use the long form.
-MAX_WIDTH = 50_000
-# Prototype lists up to this length are broadcast.
-SMALL_LIST = 2_000
-
-
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= SMALL_LIST else df
-
-
 def kmeans_prototypes(df: DataFrame, column: str, k: int, dim: int = 128, ngram: tuple[int, int] = (3, 3),
                       seed: int = 0) -> list[str]:
     """Values nearest to the centres of weighted k-means on hashed n-gram counts."""
@@ -49,7 +41,7 @@ def kmeans_prototypes(df: DataFrame, column: str, k: int, dim: int = 128, ngram:
     found = nearest_prototype(points, column, "_v", [list(c) for c in model.clusterCenters()])
     values = sorted({r["value"] for r in found.collect()})
     if len(values) < k:
-        warnings.warn("Final number of unique prototypes is lower than n_prototypes (expected)")
+        warnings.warn(f"k={k} centres share nearest values: {len(values)} prototypes of {column!r}")
     return values
 
 
@@ -58,7 +50,8 @@ class SimilarityEncoder(Estimator):
 
     ``categories`` is ``'auto'`` (all values), ``'most_frequent'``,
     ``'k-means'`` or a sorted list; ``similarity`` one of ngram,
-    levenshtein-ratio, jaro, jaro-winkler.
+    levenshtein-ratio, jaro, jaro-winkler.  With ``'auto'`` the prototypes stay a
+    table; the model's ``long`` form has no row as wide as they are many.
     """
 
     def __init__(self, column: str, output: str = "encoded", categories="auto", n_prototypes: int | None = None,
@@ -66,23 +59,20 @@ class SimilarityEncoder(Estimator):
                  handle_unknown: str = "ignore", seed: int = 0, as_vector: bool = False):
         super().__init__()
         if handle_unknown not in ("error", "ignore"):
-            raise ValueError(f"handle_unknown should be either 'error' or 'ignore', got {handle_unknown}")
+            raise ValueError(f"handle_unknown={handle_unknown!r}: allowed are 'error' and 'ignore'")
         if similarity not in ("ngram", "levenshtein-ratio", "jaro", "jaro-winkler"):
             raise ValueError(f"Unknown similarity: {similarity!r}")
         if hashing_dim is not None and not isinstance(hashing_dim, int):
-            raise ValueError("hashing_dim expected None or an integer")
+            raise ValueError(f"hashing_dim={hashing_dim!r}: allowed are None and whole numbers")
         if categories in ("most_frequent", "k-means") and not (isinstance(n_prototypes, int) and n_prototypes > 0):
-            raise ValueError("n_prototypes expected None or a positive non null integer")
+            raise ValueError(f"n_prototypes={n_prototypes!r}: {categories} needs a whole number above 0")
         if not isinstance(categories, str) and sorted(categories) != list(categories):
-            raise ValueError("Unsorted categories are not yet supported")
+            raise ValueError("categories must be given in sorted order")
         self.column, self.output, self.categories, self.n_prototypes = column, output, categories, n_prototypes
         self.similarity, self.ngram_range, self.hashing_dim = similarity, ngram_range, hashing_dim
         self.handle_unknown, self.seed, self.as_vector = handle_unknown, seed, as_vector
 
     def _prototypes(self, df: DataFrame) -> list[str]:
-        if self.categories == "auto":
-            rows = df.select(self.column).na.drop().distinct().limit(MAX_WIDTH + 1).collect()
-            return sorted(r[0] for r in rows)
         if self.categories == "most_frequent":
             top = top_k_frequent(df.select(self.column).na.drop(), self.column, self.n_prototypes)
             return [r[0] for r in top.collect()]
@@ -91,40 +81,46 @@ class SimilarityEncoder(Estimator):
         return list(self.categories)
 
     def _fit(self, df: DataFrame) -> "SimilarityModel":
-        prototypes = self._prototypes(df)
-        if len(prototypes) > MAX_WIDTH:
-            raise ValueError(f"more than {MAX_WIDTH} prototypes: choose n_prototypes or use similarity_join")
-        model = SimilarityModel(self, prototypes)
+        if isinstance(self.categories, str) and self.categories == "auto":
+            ids = dense_ids(df.select(F.col(self.column).alias("_proto")), "_proto", order="value", start=0, name="ord")
+            return SimilarityModel(self, materialize(ids.select(F.col("ord").cast("int"), "_proto"), "prototypes"))
+        ordered = df.sparkSession.createDataFrame(list(enumerate(self._prototypes(df))), "ord INT, _proto STRING")
+        model = SimilarityModel(self, ordered)
         if not isinstance(self.categories, str) and self.handle_unknown == "error":
             check_known(df.select(self.column).na.drop(), model.known(df), self.column, "fit")
         return model
 
 
 class SimilarityModel(Model):
-    def __init__(self, params: SimilarityEncoder, prototypes: list[str]):
+    """Prototypes as a table (ord, _proto), ord running from 0."""
+
+    def __init__(self, params: SimilarityEncoder, ordered: DataFrame):
         super().__init__()
-        self.params_, self.categories_ = params, prototypes
+        self.params_, self.ordered_ = params, ordered
+
+    @property
+    def categories_(self) -> list[str]:
+        return [r["_proto"] for r in self.ordered_.orderBy("ord").collect()]
 
     def known(self, df: DataFrame) -> DataFrame:
-        return df.sparkSession.createDataFrame([(p,) for p in self.categories_], f"`{self.params_.column}` STRING")
+        return self.ordered_.select(F.col("_proto").alias(self.params_.column))
 
     def long(self, df: DataFrame) -> DataFrame:
         """(value, ord, similarity) of the pairs with a common n-gram, per distinct value."""
         p = self.params_
         lo, hi = p.ngram_range
-        spark = df.sparkSession
-        ordered = spark.createDataFrame(list(enumerate(self.categories_)), "ord INT, _proto STRING")
+        ordered = self.ordered_
         mine = gram_counts(df, p.column, lo, hi, p.hashing_dim)
         theirs = gram_counts(ordered, "_proto", lo, hi, p.hashing_dim).withColumnRenamed("cnt", "_cnt")
-        same = mine.join(_small(theirs, len(self.categories_)), "gram").groupBy(p.column, "_proto").agg(
+        same = mine.join(theirs, "gram").groupBy(p.column, "_proto").agg(
             F.sum(F.least("cnt", "_cnt")).alias("_same"))
         size = lambda c: ngram_count(preprocess(F.col(c)), lo, hi)
         score = F.try_divide(F.col("_same"), size(p.column) + size("_proto") - F.col("_same"))
-        return same.join(_small(ordered, len(self.categories_)), "_proto").select(
+        return same.join(ordered, "_proto").select(
             p.column, "ord", F.coalesce(score, F.lit(0.0)).alias("similarity"))
 
     def _dense(self, df: DataFrame) -> DataFrame:
-        p, k = self.params_, len(self.categories_)
+        p, k = self.params_, self.ordered_.count()
         if p.similarity != "ngram":
             protos = F.array(*[F.lit(c) for c in self.categories_])
             metric = METRICS[p.similarity]
@@ -135,7 +131,7 @@ class SimilarityModel(Model):
         values = df.select(p.column).na.drop().distinct().join(found, p.column, "left")
         empty = F.coalesce("_m", F.create_map().cast("map<int,double>"))
         dense = let(empty, lambda m: F.transform(
-            F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
+            F.sequence(F.lit(0), F.lit(k - 1)) if k else F.array().cast("array<int>"), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
         return values.select(p.column, dense.alias(p.output))
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -150,19 +146,21 @@ class TargetMeanEncoder(Estimator):
     """Shrunk mean target per category; one value per class with ``classes``.
 
     weight * E[y | x] + (1 - weight) * E[y] with weight = n_x / (n_x + n / k)
-    for n rows in k categories.  Unknown categories get E[y], or raise.
+    for n rows in k categories.  Unknown categories get E[y], or raise; rows
+    without a target are not learnt from.
     """
 
     def __init__(self, column: str, y: str, output: str = "encoded", classes: list | None = None,
                  handle_unknown: str = "ignore", as_vector: bool = False):
         super().__init__()
         if handle_unknown not in ("error", "ignore"):
-            raise ValueError(f"handle_unknown should be either 'error' or 'ignore', got {handle_unknown}")
+            raise ValueError(f"handle_unknown={handle_unknown!r}: allowed are 'error' and 'ignore'")
         self.column, self.y, self.output, self.classes = column, y, output, classes
         self.handle_unknown, self.as_vector = handle_unknown, as_vector
 
     def _fit(self, df: DataFrame) -> "TargetMeanModel":
-        stats = materialize(target_stats(df, self.column, self.y, self.classes), "target")
+        known = df.where(F.col(self.y).isNotNull())
+        stats = materialize(target_stats(known, self.column, self.y, self.classes), "target")
         means = [c for c in stats.columns if c not in (self.column, "n")]
         whole = stats.agg(F.sum("n"), F.count("*"), *[F.sum(F.col(m) * F.col("n")) / F.sum("n") for m in means]).first()
         n, k, prior = whole[0], whole[1], list(whole[2:])
@@ -180,7 +178,7 @@ class TargetMeanModel(Model):
         p = self.params_
         if p.handle_unknown == "error":
             check_known(df, self.table_, p.column, "transform")
-        out = df.join(self.table_, p.column, "left").withColumn(
+        out = join_groups(df, self.table_, [p.column], "left").withColumn(
             p.output, F.coalesce(p.output, F.array(*[F.lit(x) for x in self.prior_])))
         if p.as_vector:
             return out.withColumn(p.output, array_to_vector(p.output))
@@ -198,7 +196,7 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
     sizes = range(ngram_range[0], ngram_range[1] + 1)
     if hashing == "fast":
         if minmax and n_components % 2:
-            raise ValueError("n_components should be even when minmax_hash=True")
+            raise ValueError(f"n_components={n_components}: pairs of smallest and largest need an even number")
         seeds = n_components // 2 if minmax else n_components
         low = let(F.array_distinct(windows(c, *sizes)), lambda g: F.transform(
             F.sequence(F.lit(0), F.lit(seeds - 1)),
@@ -206,9 +204,9 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
                 F.coalesce(F.array_min(h), F.lit(2**31 - 1)), F.coalesce(F.array_max(h), F.lit(-(2**31)))))))
         return F.flatten(low) if minmax else F.transform(low, lambda p: F.element_at(p, 1))
     if hashing != "murmur":
-        raise ValueError(f"hashing function must be 'fast' or 'murmur', got {hashing!r}")
+        raise ValueError(f"hashing={hashing!r}: allowed are 'fast' and 'murmur'")
     if minmax:
-        raise ValueError("minmax_hash not implemented with murmur")
+        raise ValueError("minmax=True needs hashing='fast'")
     text = F.when(F.trim(padded(c)) == "", F.lit(" Na ")).otherwise(c)
     return let(F.array_distinct(windows(padded(text), *sizes)), lambda g: F.transform(
         F.sequence(F.lit(0), F.lit(n_components - 1)),
@@ -216,37 +214,38 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
 
 
 class MinHashEncoder(Transformer):
-    """Min-hash columns of a text column; stateless."""
+    """Min-hash columns of a text column; stateless, row by row, null for null."""
 
     def __init__(self, column: str, n_components: int, output: str = "encoded", **options):
         super().__init__()
         self.column, self.output, self.n_components, self.options = column, output, n_components, options
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        codes = spread(df, self.column).withColumn(
-            self.output, minhash(F.col(self.column), self.n_components, **self.options))
-        return df.join(codes, self.column, "left")
+        text = F.col(self.column)
+        return df.withColumn(self.output, F.when(text.isNotNull(), minhash(text, self.n_components, **self.options)))
 
 
-def minhash_candidates(df: DataFrame, column: str, min_agreement: float = 0.5, bands: int = 10, rows: int = 2,
+def minhash_candidates(df: DataFrame, column: str, bands: int = 10, rows: int = 2,
                        ngram_range: tuple[int, int] = (3, 3)) -> DataFrame:
-    """(value, representative, agreement): near-duplicate spellings by min-hash.
+    """(value, representative, agreement): groups of near-duplicate spellings by min-hash.
 
-    Values that share a band of hashes meet in its smallest value, not in
-    pairs, so a crowded band costs no more than its members.  The share of
-    equal hashes estimates the n-gram Jaccard similarity.  Approximate;
-    ``pairs.similarity_join`` gives all pairs above a score.
+    Values that share a band of hashes belong together, directly or over other values; the
+    representative is the smallest value of the group.  No pair is lost and none is listed:
+    each member of a band is only linked with its smallest one.  ``agreement`` is the share
+    of hashes equal to the representative's, an estimate of their n-gram Jaccard similarity;
+    ``pairs.similarity_join`` scores pairs.
     """
     signed = materialize(spread(df, column).select(
         F.col(column).alias("value"), minhash(F.col(column), bands * rows, ngram_range).alias("_h")), "minhash")
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.slice("_h", b * rows + 1, rows).alias("hashes")) for b in range(bands)])
     members = signed.select("value", F.explode(keys).alias("_k"))
     first = members.groupBy("_k").agg(F.min("value").alias("representative"), F.count("*").alias("_n")).where("_n > 1")
-    met = members.join(first, "_k").where("value <> representative").select("value", "representative").distinct()
-    pairs = met.join(signed, "value").join(
+    met = members.join(first, "_k").where("value <> representative").select("value", "representative")
+    found = components(met, "value", "representative").select(F.col("node").alias("value"), F.col("root").alias("representative"))
+    both = found.join(signed, "value").join(
         signed.select(F.col("value").alias("representative"), F.col("_h").alias("_r")), "representative")
     equal = F.size(F.filter(F.zip_with("_h", "_r", lambda x, y: x == y), lambda z: z)) / F.lit(bands * rows)
-    return pairs.select("value", "representative", equal.alias("agreement")).where(F.col("agreement") >= min_agreement)
+    return both.select("value", "representative", equal.alias("agreement"))
 
 
 def ngram_similarity_hashed(df: DataFrame, column: str, prototypes: list[str], ngram_range: tuple[int, int],
@@ -256,11 +255,11 @@ def ngram_similarity_hashed(df: DataFrame, column: str, prototypes: list[str], n
     protos = spark.createDataFrame([(p,) for p in prototypes], "proto STRING")
     mine = gram_counts(df, column, *ngram_range, hashing_dim)
     theirs = gram_counts(protos, "proto", *ngram_range, hashing_dim).withColumnRenamed("cnt", "_cnt")
-    same = mine.join(_small(theirs, len(prototypes)), "gram").groupBy(column, "proto").agg(
+    same = mine.join(theirs, "gram").groupBy(column, "proto").agg(
         F.sum(F.least("cnt", "_cnt")).alias("_same"))
     nx = mine.groupBy(column).agg(F.sum("cnt").alias("_nx"))
     np_ = theirs.groupBy("proto").agg(F.sum("_cnt").alias("_np"))
-    return same.join(nx, column).join(_small(np_, len(prototypes)), "proto").select(
+    return same.join(nx, column).join(np_, "proto").select(
         column, "proto", (F.col("_same") / (F.col("_nx") + F.col("_np") - F.col("_same"))).alias("similarity"))
 
 
@@ -287,14 +286,16 @@ def cluster_titles(vectors: DataFrame, key: str, vec: str, n_clusters: int, meth
     """(key, label): titles grouped by the direction of their vectors.
 
     ``kmeans`` on unit vectors or ``bisecting`` for a hierarchy.  Labels are
-    drawn from the seed so that near labels do not mean near titles.
+    drawn from the seed so that near labels do not mean near titles.  Titles
+    without a vector share the label 0.
     """
     unit = Normalizer(p=2.0, inputCol="_r", outputCol="_f").transform(
-        vectors.select(key, array_to_vector(vec).alias("_r")))
+        vectors.where(F.col(vec).isNotNull()).select(key, array_to_vector(vec).alias("_r")))
+    blank = vectors.where(F.col(vec).isNull()).select(key, F.lit(0).alias("label"))
     kind = KMeans if method == "kmeans" else BisectingKMeans
     model = kind(k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_c").fit(unit)
     labels = F.array(*[F.lit(int(c) + 1) for c in np.random.RandomState(seed).permutation(n_clusters)])
-    return model.transform(unit).select(key, F.element_at(labels, F.col("_c") + 1).alias("label"))
+    return model.transform(unit).select(key, F.element_at(labels, F.col("_c") + 1).alias("label")).unionByName(blank)
 
 
 def rbf_features(df: DataFrame, vec: str, n_components: int, gamma: float, seed: int = 42,

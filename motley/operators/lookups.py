@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motley.operators.vector_join import kernel_weight
+from motley.operators.joins import join_groups
+from motley.operators.vector_join import kernel_weight, with_itself
 
 
 def grain_estimates(df: DataFrame, key: str, exp: str | None, y: str, by: list[str] | None = None,
@@ -13,11 +14,12 @@ def grain_estimates(df: DataFrame, key: str, exp: str | None, y: str, by: list[s
     """Mean estimates at the grains key(, exp), exp and all.
 
     The rows are reduced to (key, exp) sums once; the coarser grains are made
-    from those sums.  ``by`` keeps estimates of several runs apart.
+    from those sums.  ``by`` keeps estimates of several runs apart.  ``n`` counts
+    the rows with a known outcome; a group without any has no estimate.
     """
     by = by or []
     keys = [key] + ([exp] if exp else [])
-    n = F.count("*") if weight is None else F.sum(weight)
+    n = F.count(y) if weight is None else F.sum(F.when(F.col(y).isNotNull(), F.col(weight)).otherwise(0))
     fine = df.groupBy(*by, *keys).agg(F.sum(y).alias("_s"), n.alias("n"))
     return grains_from_sums(fine, key, exp, by)
 
@@ -26,8 +28,8 @@ def grains_from_sums(fine: DataFrame, key: str, exp: str | None, by: list[str])
     """Grains from a table of sums ``_s`` and sizes ``n`` per (by, key, exp)."""
     keys = [key] + ([exp] if exp else [])
     total = lambda cols: fine.groupBy(*cols).agg(
-        (F.sum("_s") / F.sum("n")).alias("estimate"), F.sum("n").alias("n"))
-    out = {"fine": fine.select(*by, *keys, (F.col("_s") / F.col("n")).alias("estimate"), "n"), "all": total(by)}
+        F.try_divide(F.sum("_s"), F.sum("n")).alias("estimate"), F.sum("n").alias("n"))
+    out = {"fine": fine.select(*by, *keys, F.try_divide("_s", "n").alias("estimate"), "n"), "all": total(by)}
     if exp:
         out["exp"] = total([*by, exp])
     return out
@@ -42,13 +44,13 @@ def estimate_lookup(queries: DataFrame, grains: dict[str, DataFrame], key: str,
     by = by or []
     keys = [key] + ([exp] if exp else [])
     fine = grains["fine"].select(*by, *keys, F.col("estimate").alias("_fine"))
-    out = queries.join(fine, [*by, *keys], "left")
+    out = join_groups(queries, fine, [*by, *keys], "left")
     levels = [F.col("_fine")]
     if exp:
-        out = out.join(grains["exp"].select(*by, exp, F.col("estimate").alias("_exp")), [*by, exp], "left")
+        out = join_groups(out, grains["exp"].select(*by, exp, F.col("estimate").alias("_exp")), [*by, exp], "left")
         levels.append(F.col("_exp"))
     if by:
-        out = out.join(grains["all"].select(*by, F.col("estimate").alias("_all")), by, "left")
+        out = join_groups(out, grains["all"].select(*by, F.col("estimate").alias("_all")), by, "left")
         levels.append(F.col("_all"))
     else:
         levels.append(grains["all"].select("estimate").scalar())
@@ -65,17 +67,17 @@ def variant_lookup(queries: DataFrame, variants: DataFrame, estimates: DataFrame
     """
     by = by or []
     place = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in raw], F.lit(str(seed))))
-    picked = variants.join(estimates, raw).groupBy(*by, *key).agg(F.min_by("estimate", place).alias("estimate"))
-    return queries.join(picked, [*by, *key], "left").fillna({"estimate": -1.0})
+    picked = join_groups(variants, estimates, raw).groupBy(*by, *key).agg(F.min_by("estimate", place).alias("estimate"))
+    return join_groups(queries, picked, [*by, *key], "left").fillna({"estimate": -1.0})
 
 
 def variant_presence(queries: DataFrame, variants: DataFrame, train: DataFrame, key: list[str], raw: list[str],
                      by: list[str] | None = None) -> DataFrame:
     """Add ``n_variants``: how many variants of the key the training rows hold."""
     by = by or []
-    present = variants.join(train.select(*by, *raw).distinct(), raw)
+    present = join_groups(variants, train.select(*by, *[c for c in raw if c not in by]).distinct(), raw)
     counts = present.groupBy(*by, *key).agg(F.count("*").alias("n_variants"))
-    return queries.join(counts, [*by, *key], "left").fillna({"n_variants": 0})
+    return join_groups(queries, counts, [*by, *key], "left").fillna({"n_variants": 0})
 
 
 def kernel_sums(cells: DataFrame, similar: DataFrame, threshold: float, key: str, exp: str | None,
@@ -83,16 +85,17 @@ def kernel_sums(cells: DataFrame, similar: DataFrame, threshold: float, key: str
     """Kernel-weighted mean of the cells around every title of ``similar``.
 
     ``cells`` has (by, key, exp, estimate, n), ``similar`` has (key, other,
-    cos) over distinct titles: only equi-joins touch the cells.
+    cos) over distinct titles: only equi-joins touch the cells.  A title that
+    ``similar`` does not know is only near itself.
     """
     by = by or []
-    near = similar.withColumn("_w", kernel_weight(threshold)).where(F.col("_w") > 0).select(
+    near = with_itself(similar, cells, key).withColumn("_w", kernel_weight(threshold)).where(F.col("_w") > 0).select(
         F.col("other").alias("_other"), F.col(key), "_w")
     rest = [c for c in [exp] if c]
     train = cells.select(*by, F.col(key).alias("_other"), *rest, "estimate", "n")
-    met = train.join(near, "_other")
+    met = join_groups(train, near, ["_other"])
     share = F.col("_w") * F.col("n")
-    return met.groupBy(*by, key, *rest).agg((F.sum(share * F.col("estimate")) / F.sum(share)).alias("_kernel"))
+    return met.groupBy(*by, key, *rest).agg(F.try_divide(F.sum(share * F.col("estimate")), F.sum(share)).alias("_kernel"))
 
 
 def kernel_join(queries: DataFrame, grains: dict[str, DataFrame], similar: DataFrame, threshold: float, key: str,
@@ -105,7 +108,7 @@ def kernel_join(queries: DataFrame, grains: dict[str, DataFrame], similar: DataF
     by = by or []
     sums = kernel_sums(grains["fine"], similar, threshold, key, exp, by)
     asked = estimate_lookup(queries, grains, key, exp, by)
-    out = asked.join(sums, [*by, key] + ([exp] if exp else []), "left")
+    out = join_groups(asked, sums, [*by, key] + ([exp] if exp else []), "left")
     fuzzy = F.coalesce("_kernel", "estimate")
     if alpha is not None:
         fuzzy = F.when(F.col("matched") == 1, F.col("estimate") * alpha + fuzzy * (1 - alpha)).otherwise(fuzzy)
@@ -119,25 +122,27 @@ def fuzzy_band_join(cells: DataFrame, similar: DataFrame, threshold: float, titl
 
     Neighbours share the exact covariates, lie within ``band`` years and are
     weighted by the title kernel.  Each cell is first added to the years it can
-    reach, so both the band and the title condition become equi-joins.
+    reach, so both the band and the title condition become equi-joins.  Null
+    covariates are values of their own, and a title without a vector is near
+    itself: every cell comes out.
     """
     p = F.col("n1") / F.col("n")
-    reach = cells.withColumn(exp, F.explode(F.sequence(F.col(exp) - band, F.col(exp) + band)))
+    reach = cells.withColumn(exp, F.explode_outer(F.sequence(F.col(exp) - band, F.col(exp) + band)))
     banded = reach.groupBy(F.col(title).alias("_other"), exp, *exact).agg(
         F.sum(p).alias("_p"), F.count("*").alias("_c"),
         F.sum("y1").alias("_y1"), F.count("y1").alias("_c1"),
         F.sum("y0").alias("_y0"), F.count("y0").alias("_c0"),
     )
-    near = similar.withColumn("_w", kernel_weight(threshold)).where(F.col("_w") > 0).select(
+    near = with_itself(similar, cells, title).withColumn("_w", kernel_weight(threshold)).where(F.col("_w") > 0).select(
         F.col("other").alias("_other"), F.col(title), "_w")
     w = lambda c: F.sum(F.col("_w") * F.col(c))
-    smooth = banded.join(near, "_other").groupBy(title, exp, *exact).agg(
+    smooth = join_groups(banded, near, ["_other"]).groupBy(title, exp, *exact).agg(
         (w("_p") / w("_c")).alias("propensity"),
         F.try_divide(w("_y1"), w("_c1")).alias("mu1"),
         F.try_divide(w("_y0"), w("_c0")).alias("mu0"),
         F.sum("_c1").alias("men_cells"), F.sum("_c0").alias("women_cells"),
     )
-    return cells.join(smooth, [title, exp, *exact])
+    return join_groups(cells, smooth, [title, exp, *exact])
 
 
 def fuzzy_opposite_join(cells: DataFrame, similar: DataFrame, threshold: float, title: str = "title",
@@ -145,17 +150,18 @@ def fuzzy_opposite_join(cells: DataFrame, similar: DataFrame, threshold: float,
                         by: list[str] | None = None) -> DataFrame:
     """One-sex cells matched to cells of the other sex only.
 
-    Titles must have cosine > threshold and the other covariates be equal; the
-    matched cells count equally.  Gives (cell columns, sex, n, gap).
+    Titles must have cosine > threshold, or be the same, and the other covariates
+    be equal, null ones included; the matched cells count equally.  A sex without
+    known outcomes counts as absent.  Gives (cell columns, sex, n, gap).
     """
     by = by or []
     keys = [*by, *exact]
-    one = cells.where((F.col("n1") == 0) | (F.col("n0") == 0)).select(
-        *keys, F.col(title), (F.col("n0") == 0).cast("int").alias("sex"),
+    one = cells.where(F.col("y1").isNull() != F.col("y0").isNull()).select(
+        *keys, F.col(title), F.col("y0").isNull().cast("int").alias("sex"),
         F.coalesce("y1", "y0").alias("y"), "n")
     other = one.select(*keys, F.col(title).alias("_other"), (1 - F.col("sex")).alias("sex"), F.col("y").alias("_y"))
-    near = similar.where(F.col("cos") > threshold).select(F.col(title), F.col("other").alias("_other"))
-    met = one.join(near, title).join(other, [*keys, "_other", "sex"])
+    near = with_itself(similar, cells, title).where(F.col("cos") > threshold).select(F.col(title), F.col("other").alias("_other"))
+    met = join_groups(join_groups(one, near, [title]), other, [*keys, "_other", "sex"])
     means = met.groupBy(*keys, title, "sex", "y", "n").agg(F.avg("_y").alias("_y"))
     gap = F.when(F.col("sex") == 1, F.col("y") - F.col("_y")).otherwise(F.col("_y") - F.col("y"))
     return means.select(*keys, title, "sex", "n", gap.alias("gap"))

@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motley.functions.hashing import MODULUS, seeded
+from motley.functions.hashing import seeded
 from motley.operators.joins import join_groups
 
 
 def delete_rows(df: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` that were not drawn."""
-    return df.join(drawn.select(*keys), keys, "left_anti")
+    return join_groups(df, drawn.select(*keys), keys, "left_anti")
 
 
 def group_shuffle_split(groups: list[int], n_splits: int, n_test: int, seed: int = 42) -> list[list[int]]:
@@ -37,19 +37,23 @@ def kfold(df: DataFrame, row_id: str, k: int, seed: int = 0, name: str = "fold",
     return df.withColumn(name, F.pmod(h, F.lit(k)).cast("int"))
 
 
-# Rows are ranked inside hash buckets of a stratum, never inside a whole stratum.
-BUCKETS = 4096
+# Rows are ranked inside hash buckets of a stratum, never inside a whole stratum:
+# the highest bits of a 64-bit hash name one of 4096 buckets, in the order of the hash.
+_SHIFT = 52
 
 
-def stratum_rank(df: DataFrame, strata: list[str], row_id: str, hashed: Column, modulus: int = MODULUS,
-                 buckets: int = BUCKETS) -> DataFrame:
+def _place(row_id: str, hashed: Column | None) -> Column:
+    return seeded(F.col(row_id)) if hashed is None else hashed
+
+
+def stratum_rank(df: DataFrame, strata: list[str], row_id: str, hashed: Column | None = None) -> DataFrame:
     """Add ``_rank`` (1, 2, ...) in hash order inside each stratum, and ``_size``.
 
     The hash range is cut into buckets; a running total of bucket sizes gives
-    the rank before each bucket, so a window only ever holds one bucket.
+    the rank before each bucket, so a window only ever holds one bucket.  A hash
+    given instead of the default should fill 64 bits.
     """
-    bucket = F.floor(hashed * buckets / modulus).cast("int")
-    tagged = df.withColumns({"_h": hashed}).withColumn("_bucket", bucket)
+    tagged = df.withColumn("_h", _place(row_id, hashed)).withColumn("_bucket", F.shiftright("_h", _SHIFT))
     sizes = tagged.groupBy(*strata, "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select(
         *strata, "_bucket",
@@ -64,23 +68,24 @@ def stratum_rank(df: DataFrame, strata: list[str], row_id: str, hashed: Column,
     )
 
 
-def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int, hashed: Column, name: str = "fold") -> DataFrame:
+def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int, hashed: Column | None = None,
+                     name: str = "fold") -> DataFrame:
     """Folds whose sizes differ by at most one row within each label."""
     ranked = stratum_rank(df, [label], row_id, hashed)
     return ranked.withColumn(name, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_size")
 
 
-def stratum_cuts(df: DataFrame, strata: list[str], row_id: str, share: Column, hashed: Column,
-                 modulus: int = MODULUS, buckets: int = BUCKETS) -> DataFrame:
+def stratum_cuts(df: DataFrame, strata: list[str], row_id: str, share: Column,
+                 hashed: Column | None = None) -> DataFrame:
     """(strata, cut): the last (hash, row id) among the first ``int(size * share)`` rows.
 
     A histogram of the hash tells which bucket holds the cut; only the rows of
     that bucket are ranked.  Strata that lose no row are absent.
     """
-    tagged = df.select(*strata, F.col(row_id).alias("_id"), hashed.alias("_h")).withColumn(
-        "_bucket", F.floor(F.col("_h") * buckets / modulus).cast("int"))
+    tagged = df.select(*strata, F.col(row_id).alias("_id"), _place(row_id, hashed).alias("_h")).withColumn(
+        "_bucket", F.shiftright("_h", _SHIFT))
     sizes = tagged.groupBy(*strata, "_bucket").agg(F.count("*").alias("_n"))
-    # at most `buckets` rows per stratum
+    # at most 4096 rows per stratum
     stratum = Window.partitionBy(*strata)
     placed = sizes.withColumns({
         "_upto": F.sum("_n").over(stratum.orderBy("_bucket")), "_size": F.sum("_n").over(stratum)})
@@ -94,12 +99,13 @@ def stratum_cuts(df: DataFrame, strata: list[str], row_id: str, share: Column, h
     )
 
 
-def stratified_downsample(df: DataFrame, strata: list[str], row_id: str, rate: Column, hashed: Column) -> DataFrame:
+def stratified_downsample(df: DataFrame, strata: list[str], row_id: str, rate: Column,
+                          hashed: Column | None = None) -> DataFrame:
     """Drop exactly ``int(size * rate)`` rows of each stratum, chosen by hash.
 
     ``rate`` may use the stratum columns.  Rows are kept or dropped by
     comparing them with the cut of their stratum; they are not shuffled.
     """
     cuts = stratum_cuts(df, strata, row_id, rate, hashed)
-    own = F.struct(hashed.alias("_h"), F.col(row_id).alias("_id"))
+    own = F.struct(_place(row_id, hashed).alias("_h"), F.col(row_id).alias("_id"))
     return join_groups(df, cuts, strata, "left").where(F.col("_cut").isNull() | (own > F.col("_cut"))).drop("_cut")

@@ -22,19 +22,21 @@ from motley.operators.dictionary import dense_ids, spread
 from motley.operators.encoders import kmeans_prototypes, words_of
 from motley.workdir import materialize
 
-# Largest topic matrix sent to the tasks, in n-grams; beyond it use hashing.
-MAX_VOCABULARY = 2**18
-
 
 @dataclass(frozen=True)
 class TopicParams:
+    """``hashing`` counts n-grams in ``dim`` buckets, so the topic matrix has a fixed size.
+
+    Without it every n-gram has a column of its own and the matrix grows with the vocabulary.
+    """
+
     n_topics: int = 10
     shape_prior: float = 1.1
     scale_prior: float = 1.0
     r: float | None = 0.7
     rho: float | None = 0.99
-    hashing: bool = False
-    dim: int = 2**12
+    hashing: bool = True
+    dim: int = 2**14
     init: str = "k-means++"
     tol: float = 1e-4
     min_iter: int = 2
@@ -76,10 +78,23 @@ def _vocabulary(df: DataFrame, column: str, p: TopicParams) -> tuple[DataFrame |
         return None, p.dim
     ids = materialize(dense_ids(_grams(df, column, p), "gram", name="idx", start=0).withColumn(
         "idx", F.col("idx").cast("int")), "vocabulary")
-    size = ids.count()
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"{size} n-grams exceed {MAX_VOCABULARY}: use hashing=True")
-    return ids, size
+    return ids, ids.count()
+
+
+def _grown(model: TopicModel, df: DataFrame, column: str) -> TopicModel:
+    """The model with the n-grams it has not met yet, at the mean weight of the others."""
+    p, known = model.params, model.vocabulary
+    new = _grams(df, column, p).select("gram").distinct().join(known, "gram", "left_anti")
+    size = model.w.shape[1]
+    ids = materialize(dense_ids(new, "gram", name="idx", start=size).withColumn("idx", F.col("idx").cast("int"))
+                      .unionByName(known), "vocabulary")
+    more = ids.count() - size
+    if not more:
+        return model
+    w = np.hstack([model.w, np.repeat(model.w.mean(axis=1, keepdims=True), more, axis=1)])
+    small = np.full((len(w), more), 1e-10)
+    return replace(model, w=w / w.sum(axis=1, keepdims=True), a=np.hstack([model.a, small]),
+                   b=np.hstack([model.b, np.repeat(model.b[:, :1], more, axis=1)]), vocabulary=ids)
 
 
 def _documents(df: DataFrame, column: str, p: TopicParams, vocabulary: DataFrame | None) -> DataFrame:
@@ -90,7 +105,7 @@ def _documents(df: DataFrame, column: str, p: TopicParams, vocabulary: DataFrame
         tagged = grams.withColumn("idx", F.pmod(F.xxhash64("gram"), F.lit(p.dim)).cast("int")).groupBy(
             column, "idx").agg(F.sum("cnt").alias("cnt"))
     else:
-        tagged = grams.join(F.broadcast(vocabulary), "gram").select(column, "idx", "cnt")
+        tagged = grams.join(vocabulary, "gram").select(column, "idx", "cnt")
     rows = tagged.groupBy(column).agg(F.array_sort(F.collect_list(F.struct("idx", "cnt"))).alias("_v"))
     return values.join(rows, column, "left").select(
         F.col(column).alias("value"), "n",
@@ -233,7 +248,7 @@ def init_topics(docs: DataFrame, df: DataFrame, column: str, p: TopicParams, siz
         if len(w) < p.n_topics:  # fewer distinct values than topics
             w = np.vstack([w, rng.gamma(p.shape_prior, p.scale_prior, size=(p.n_topics - len(w), size)) + 0.1])
     else:
-        raise ValueError(f"Initialization method {p.init} does not exist.")
+        raise ValueError(f"init={p.init!r}: allowed are 'k-means++', 'k-means' and 'random'")
     return w / w.sum(axis=1, keepdims=True)
 
 
@@ -260,12 +275,14 @@ def fit_topics(df: DataFrame, column: str, params: TopicParams | None = None) ->
 
 
 def partial_fit_topics(model: TopicModel | None, df: DataFrame, column: str, params: TopicParams | None = None) -> TopicModel:
-    """One step with one batch of rows; the first batch also sets the vocabulary."""
+    """One step with one batch of rows; a vocabulary grows by the n-grams the batch brings."""
     if model is None:
         p = replace(params or TopicParams(), n_batches=1)
         model, docs = _start(df, column, p)
     else:
         p = model.params
+        if model.vocabulary is not None:
+            model = _grown(model, df, column)
         docs = _documents(df, column, p, model.vocabulary)
     return _advance(model, *_step_sums(docs, model.w, p, 0))
 

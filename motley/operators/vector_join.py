@@ -14,19 +14,29 @@ from pyspark.sql import types as T
 
 from motley.functions.hashing import seeded
 from motley.functions.vectors import l2_norm, l2_normalize
+from motley.operators.joins import join_groups
 from motley.workdir import materialize
 
 
 def embed_titles(titles: DataFrame, column: str, words: DataFrame, name: str = "vector") -> DataFrame:
     """(title, vector): mean of the unit vectors of its words, per distinct title.
 
-    ``words`` holds (word, vector).  Titles without any known word are absent.
+    ``words`` holds (word, vector).  A title without any known word has a null vector.
     """
-    tokens = titles.select(column).na.drop().distinct().select(
+    distinct = titles.select(column).na.drop().distinct()
+    tokens = distinct.select(
         column, F.explode(F.split(F.trim(column), r"(?U)\s+")).alias("word"))
     unit = words.select("word", array_to_vector(l2_normalize(F.col("vector"))).alias("_v"))
-    return tokens.join(unit, "word").groupBy(column).agg(
-        vector_to_array(Summarizer.mean(F.col("_v"))).alias(name))
+    known = tokens.join(unit, "word").groupBy(column).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias(name))
+    return distinct.join(known, column, "left")
+
+
+def with_itself(similar: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """``similar`` (key, other, cos) with a pair (x, x, 1.0) for every x of ``df`` it lacks, null included."""
+    known = similar.where(F.col(key).eqNullSafe(F.col("other"))).select(key)
+    lacking = join_groups(df.select(key).distinct(), known, [key], "left_anti")
+    return similar.select(key, "other", "cos").unionByName(
+        lacking.select(key, F.col(key).alias("other"), F.lit(1.0).alias("cos")))
 
 
 def _cells(unit: DataFrame, key: str, rows: int, block_rows: int, max_pivots: int, rings: int):
@@ -71,7 +81,8 @@ def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, bloc
     Vectors are cut into cells (nearest pivot, angle to it) and cells into
     blocks of about ``block_rows``.  Only block pairs the triangle inequality
     cannot rule out are scored, each as one bounded matrix product.  Exact for
-    every threshold; hot cells become many blocks, not one large task.
+    every threshold; hot cells become many blocks, not one large task.  A key
+    whose vector is null or zero only has the pair with itself.
     """
     spark = vectors.sparkSession
     unit = materialize(
@@ -117,8 +128,10 @@ def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, bloc
             return pd.DataFrame({key: x, "other": y, "cos": c})
         return pd.DataFrame({key: np.r_[x, y], "other": np.r_[y, x], "cos": np.r_[c, c]})
 
-    return first.select(*keep).unionByName(second.select(*keep)).groupBy("a", "ca", "b", "cb").applyInPandas(
+    found = first.select(*keep).unionByName(second.select(*keep)).groupBy("a", "ca", "b", "cb").applyInPandas(
         score, f"`{key}` {kind}, other {kind}, cos double")
+    blank = vectors.where(F.col(key).isNotNull() & ~F.coalesce(l2_norm(F.col(vec)) > 0, F.lit(False)))
+    return found.unionByName(blank.select(key, F.col(key).alias("other"), F.lit(1.0).alias("cos")))
 
 
 def kernel_weight(threshold: float):

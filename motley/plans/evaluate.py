@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.operators.aggregates import cell_means, cell_sums, group_quantile, merge_cells
+from motley.operators.joins import join_groups
 from motley.operators.lookups import (
     estimate_lookup, grains_from_sums, kernel_join, variant_presence,
 )
 from motley.operators.sampling import stratified_downsample
+from motley.operators.vector_join import with_itself
 from motley.plans.gap import COVARIATES, fuzzy_aipw_of_cells, gap_of_cells
 from motley.workdir import materialize
 
@@ -27,13 +29,13 @@ def sides(splits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def table_sums(df: DataFrame, key: str, exp: str | None, y: str) -> DataFrame:
-    """Sums of y per (table, key[, exp]): all that fitting and squared errors need.
+    """Sums and counts of the known y per (table, key[, exp]): all that fitting and squared errors need.
 
     Written once, as every split, grain and threshold reads them.
     """
     keys = ["table_id", key] + ([exp] if exp else [])
     sums = df.groupBy(*keys).agg(
-        F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"), F.count("*").alias("n"))
+        F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"), F.count(y).alias("n"))
     return materialize(sums, "sums")
 
 
@@ -74,7 +76,8 @@ def cv_errors(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: st
     """Absolute error of every test row in every split.
 
     Matching & averaging, or with ``similar`` the kernel estimate.  For
-    quantiles the truth is the quantile of the test rows of the same key.
+    quantiles the truth is the quantile of the test rows of the same key.  Null
+    keys are keys like any other; a row without a known truth has a null error.
     """
     _, test = sides(splits)
     keys = [key] + ([exp] if exp else [])
@@ -93,9 +96,9 @@ def cv_errors(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: st
     else:
         answers = kernel_join(asked, grains, similar, threshold, key, exp, ["split_id"])
     if truth is not None:
-        answers = answers.join(truth, ["split_id", key])
+        answers = join_groups(answers, truth, ["split_id", key], "left")
     answers = answers.select("split_id", *keys, "estimate", *(["_truth"] if truth is not None else []))
-    out = df.join(test, "table_id").join(answers, ["split_id", *keys])
+    out = join_groups(df.join(test, "table_id"), answers, ["split_id", *keys], "left")
     target = F.col("_truth") if truth is not None else F.col(y)
     return out.withColumn("error", F.abs(target - F.col("estimate"))).drop("_truth")
 
@@ -109,7 +112,7 @@ def squared_error_sums(answers: DataFrame, sums: DataFrame, splits: DataFrame, k
     keys = ["split_id", key] + ([exp] if exp else [])
     cells = sums.join(test, "table_id").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_s", "_ss", "n")])
     e = F.col("estimate")
-    return cells.join(answers, keys).withColumn(
+    return join_groups(cells, answers, keys).withColumn(
         "squared", F.col("_ss") - 2 * e * F.col("_s") + F.col("n") * e * e).drop("_s", "_ss")
 
 
@@ -141,25 +144,21 @@ def tune_threshold(df: DataFrame, splits: DataFrame, similar: DataFrame, thresho
     if fit_on != "all":
         known = n_variants(df, splits, keys, [raw or key] + ([exp] if exp else []))
         seen = F.col("n_variants") >= 1 if fit_on == "seen" else F.col("n_variants") == 0
-        asked = asked.join(known.where(seen).select("split_id", *keys), ["split_id", *keys], "left_semi")
+        asked = join_groups(asked, known.where(seen).select("split_id", *keys), ["split_id", *keys], "left_semi")
     fallback = estimate_lookup(asked, grains, key, exp, ["split_id"]).withColumnRenamed("estimate", "_fallback")
     t = F.array(*[F.lit(float(x)) for x in thresholds])
-    near = similar.withColumn("t", F.explode(t)).withColumn(
+    near = with_itself(similar, sums, key).withColumn("t", F.explode(t)).withColumn(
         "_w", (F.col("cos") - F.col("t")) / (1 - F.col("t"))).where(F.col("_w") > 0)
     cells = grains["fine"].withColumnRenamed(key, "_other")
     share = F.col("_w") * F.col("n")
-    kernel = cells.join(near.select(F.col("other").alias("_other"), key, "t", "_w"), "_other").groupBy(
-        "split_id", "t", *keys).agg((F.sum(share * F.col("estimate")) / F.sum(share)).alias("_kernel"))
-    answers = fallback.withColumn("t", F.explode(t)).join(kernel, ["split_id", "t", *keys], "left").withColumn(
+    kernel = join_groups(cells, near.select(F.col("other").alias("_other"), key, "t", "_w"), ["_other"]).groupBy(
+        "split_id", "t", *keys).agg(F.try_divide(F.sum(share * F.col("estimate")), F.sum(share)).alias("_kernel"))
+    answers = join_groups(fallback.withColumn("t", F.explode(t)), kernel, ["split_id", "t", *keys], "left").withColumn(
         "estimate", F.coalesce("_kernel", "_fallback"))
     errors = squared_error_sums(answers.select("split_id", "t", *keys, "estimate"), sums, splits, key, exp)
     return errors.groupBy("t").agg(F.sqrt(F.sum("squared") / F.sum("n")).alias("rmse"), F.sum("n").alias("n"))
 
 
-def best_threshold(tuned: DataFrame) -> DataFrame:
-    return tuned.groupBy().agg(F.min_by("t", "rmse").alias("t"), F.min("rmse").alias("rmse"))
-
-
 def subset_gaps(df: DataFrame, subsets: DataFrame, dismiss: bool = True) -> DataFrame:
     """Exact-matching gap of every subset of tables (split_id, table_id, is_test=1)."""
     _, chosen = sides(subsets)
@@ -229,6 +228,7 @@ def sensitivity_sweep(df: DataFrame, runs: DataFrame, row_id: str, hashed: Colum
         *keys, F.when(men, F.col("n1")).otherwise(F.col("n0")).alias("n"),
         F.when(men, F.col("n1")).otherwise(0).alias("n1"), F.when(men, 0).otherwise(F.col("n0")).alias("n0"),
         F.when(men, F.col("s1")).alias("s1"), F.when(~men, F.col("s0")).alias("s0"),
+        F.when(men, F.col("c1")).otherwise(0).alias("c1"), F.when(men, 0).otherwise(F.col("c0")).alias("c0"),
     ).where("n > 0")
     thinned = df.join(runs.where("rate < 1"), "table_id").where(men == (F.col("gender") == 0))
     left = stratified_downsample(thinned, [*by, "men"], row_id, F.col("rate"), hashed)

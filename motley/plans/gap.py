@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motley.operators.aggregates import cells as covariate_cells
+from motley.operators.joins import join_groups
 from motley.operators.lookups import fuzzy_band_join, fuzzy_opposite_join
 from motley.workdir import materialize
 
@@ -15,11 +16,11 @@ COVARIATES = ["title", "seniority", "employer", "ethnicity"]
 def gap_of_cells(cells: DataFrame, dismiss: bool = True, by: list[str] | None = None) -> DataFrame:
     """Exact-matching gap from a table of covariate cells.
 
-    ``dismiss=True`` leaves out cells with one sex only, otherwise the missing
-    side counts as 0.  ``share_kept`` is the share of rows in the kept cells.
+    ``dismiss=True`` leaves out cells with known outcomes of one sex only,
+    otherwise the missing side counts as 0.  ``share_kept`` is the share of rows in the kept cells.
     """
     by = by or []
-    both = (F.col("n1") > 0) & (F.col("n0") > 0)
+    both = F.col("y1").isNotNull() & F.col("y0").isNotNull()
     kept = both if dismiss else F.lit(True)
     diff = (F.coalesce("y1", F.lit(0.0)) - F.coalesce("y0", F.lit(0.0))) * F.col("n")
     n_kept = F.sum(F.when(kept, F.col("n")).otherwise(0))
@@ -53,9 +54,10 @@ def fuzzy_aipw_of_cells(table: DataFrame, similar: DataFrame, threshold: float,
     n, n1, n0 = F.col("n"), F.col("n1"), F.col("n0")
     y1, y0 = F.coalesce("y1", F.lit(0.0)), F.coalesce("y0", F.lit(0.0))
     e = F.col("propensity")
-    robust = (
-        F.try_divide(n1 * (y1 - F.col("mu1")), e) - F.try_divide(n0 * (y0 - F.col("mu0")), 1 - e)
-    ) / n + F.col("mu1") - F.col("mu0")
+    # rows without a known outcome stand for the known ones of their cell and sex; without any they move nothing
+    men = F.when(F.col("y1").isNull(), 0.0).otherwise(F.try_divide(n1 * (y1 - F.col("mu1")), e))
+    women = F.when(F.col("y0").isNull(), 0.0).otherwise(F.try_divide(n0 * (y0 - F.col("mu0")), 1 - e))
+    robust = (men - women) / n + F.col("mu1") - F.col("mu0")
     effect = (
         F.when(F.col("men_cells") == 0, -n0 * y0 / n)
         .when(F.col("women_cells") == 0, n1 * y1 / n)
@@ -69,13 +71,13 @@ def fuzzy_opposite_gap(df: DataFrame, similar: DataFrame, threshold: float = 0.8
     """Exact gap where both sexes meet, nearest opposite-sex cells elsewhere."""
     by = by or []
     table = materialize(covariate_cells(df, [*by, *COVARIATES]), "cells")
-    met = table.where((F.col("n1") > 0) & (F.col("n0") > 0)).select(*by, "n", (F.col("y1") - F.col("y0")).alias("gap"))
+    met = table.where(F.col("y1").isNotNull() & F.col("y0").isNotNull()).select(*by, "n", (F.col("y1") - F.col("y0")).alias("gap"))
     fuzzy = fuzzy_opposite_join(table, similar, threshold, by=by).select(*by, "n", "gap")
     used = met.unionByName(fuzzy).groupBy(*by).agg(
         (F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("ate"), F.sum("n").alias("n_used"))
     total = table.groupBy(*by).agg(F.sum("n").alias("n_rows"))
     if by:
-        out = total.join(used, by, "left")
+        out = join_groups(total, used, by, "left")
     else:
         out = used.withColumn("n_rows", total.scalar())
     return out.select(*by, "ate", "n_rows", (F.coalesce("n_used", F.lit(0)) / F.col("n_rows")).alias("share_kept"))

@@ -10,9 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -21,40 +21,64 @@ from pyspark.sql import functions as F
 
 from motley.operators.aggregates import cell_sums, group_quantile
 from motley.operators.encoders import rbf_features
+from motley.operators.joins import join_groups
 from motley.plans.gap import COVARIATES
 from motley.workdir import materialize
 
 
 class TitleVectors(Transformer):
-    """Join the embedding of a title; titles without one are dropped."""
+    """Join the embedding of a title and whether it has one; a title without gets zeros."""
 
     def __init__(self, vectors: DataFrame, title: str = "title", output: str = "title_vector"):
         super().__init__()
         self.vectors, self.title, self.output = vectors, title, output
+        widest = vectors.agg(F.max(F.size("vector"))).first()[0]
+        self.size = max(widest or 0, 0)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.join(self.vectors.select(
-            F.col(self.title), array_to_vector("vector").alias(self.output)), self.title)
+        zeros = F.array_repeat(F.lit(0.0), self.size)
+        known = self.vectors.where(F.col("vector").isNotNull()).select(F.col(self.title), F.col("vector").alias("_known"))
+        joined = join_groups(df, known, [self.title], "left")
+        flag = F.array(F.col("_known").isNotNull().cast("double"))
+        filled = F.coalesce(F.col("_known").cast("array<double>"), zeros)
+        return joined.withColumn(self.output, array_to_vector(F.concat(filled, flag))).drop("_known")
+
+
+class KnownNumbers(Transformer):
+    """Numeric columns with 0 for null, and flags that tell which values are known."""
+
+    def __init__(self, columns: list[str]):
+        super().__init__()
+        self.columns = columns
+        self.outputs = [f"{c}{end}" for c in columns for end in ("_n", "_known")]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for c in self.columns:
+            df = df.withColumn(f"{c}_n", F.coalesce(F.col(c).cast("double"), F.lit(0.0))).withColumn(
+                f"{c}_known", F.col(c).isNotNull().cast("double"))
+        return df
 
 
 def feature_stages(vectors: DataFrame, numeric: list[str], categorical: list[str], title: str = "title") -> list:
     """Stages from covariates to ``features``: embedding, numbers, one-hot categories."""
-    stages: list = [TitleVectors(vectors, title)]
+    numbers = KnownNumbers(numeric)
+    stages: list = [TitleVectors(vectors, title), numbers]
     for c in categorical:
         stages += [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep", stringOrderType="alphabetAsc"),
                    OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_v")]
-    names = ["title_vector", *numeric, *[f"{c}_v" for c in categorical]]
+    names = ["title_vector", *numbers.outputs, *[f"{c}_v" for c in categorical]]
     return [*stages, VectorAssembler(inputCols=names, outputCol="features")]
 
 
 def mean_cells(df: DataFrame, covariates: list[str], y: str) -> DataFrame:
-    """Cells with mean outcome ``label`` and size ``n``, for squared loss."""
-    return df.groupBy(*covariates).agg(F.avg(y).alias("label"), F.count("*").cast("double").alias("n"))
+    """Cells with mean known outcome ``label`` and their number ``n``, for squared loss."""
+    return df.where(F.col(y).isNotNull()).groupBy(*covariates).agg(
+        F.avg(y).alias("label"), F.count("*").cast("double").alias("n"))
 
 
 def class_cells(df: DataFrame, covariates: list[str], y: str) -> DataFrame:
-    """Cells per class, for classification."""
-    return df.groupBy(*covariates, F.col(y).cast("double").alias("label")).agg(
+    """Cells per known class, for classification."""
+    return df.where(F.col(y).isNotNull()).groupBy(*covariates, F.col(y).cast("double").alias("label")).agg(
         F.count("*").cast("double").alias("n"))
 
 
@@ -136,7 +160,7 @@ def tune_learning_rate(df: DataFrame, vectors: DataFrame, folds: list[list[int]]
     """(lr, rmse) over held-out tables; errors come from cell sums."""
     keys = ["title", exp]
     sums = materialize(df.groupBy("table_id", *keys).agg(
-        F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"), F.count("*").alias("_n")), "sums")
+        F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"), F.count(y).alias("_n")).where("_n > 0"), "sums")
     rows = []
     for lr in rates:
         squared = n = 0.0
@@ -195,14 +219,34 @@ def kernel_classifier(df: DataFrame, vec: str, y: str, n_components: int = 100,
     return lambda d: model.transform(ready(d)).drop("_rbf")
 
 
+def forest_classifier(df: DataFrame, label: str, trees: int = 20, depth: int = 5, seed: int = 1) -> PipelineModel:
+    """Random forest on ``features`` for a text label; rows without one are not learnt from.
+
+    Adds ``predicted``, the most likely label.
+    """
+    known = df.where(F.col(label).isNotNull())
+    names = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep").fit(known)
+    forest = RandomForestClassifier(labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed).fit(names.transform(known))
+    back = IndexToString(inputCol="prediction", outputCol="predicted", labels=[*names.labels, ""])
+    return PipelineModel([names, forest, back])
+
+
+def logistic_scores(df: DataFrame, label: str, penalty: float = 0.01, rounds: int = 20, name: str = "p") -> DataFrame:
+    """All rows with the probability of label 1, learnt from the rows that have a label."""
+    known = df.where(F.col(label).isNotNull())
+    model = LogisticRegression(labelCol=label, maxIter=rounds, regParam=penalty).fit(known)
+    return model.setPredictionCol("_p").transform(df).withColumn(name, probability(name)).drop(
+        "_p", "probability", "rawPrediction")
+
+
 # --- doubly robust gap -----------------------------------------------------
 
 
 def outcome_cells(cells: DataFrame) -> DataFrame:
     """Mean salary and size per covariates and sex."""
     both = cells.select(*COVARIATES, F.explode(F.array(
-        F.struct(F.lit(1).alias("gender"), F.col("n1").alias("n"), F.col("s1").alias("s")),
-        F.struct(F.lit(0).alias("gender"), F.col("n0").alias("n"), F.col("s0").alias("s")))).alias("x"))
+        F.struct(F.lit(1).alias("gender"), F.col("c1").alias("n"), F.col("s1").alias("s")),
+        F.struct(F.lit(0).alias("gender"), F.col("c0").alias("n"), F.col("s0").alias("s")))).alias("x"))
     return both.where("x.n > 0").select(
         *COVARIATES, "x.gender", (F.col("x.s") / F.col("x.n")).alias("label"), F.col("x.n").cast("double").alias("n"))
 
@@ -232,17 +276,19 @@ def aipw_terms(cells: DataFrame, outcome: PipelineModel, propensity: PipelineMod
     """Sum of individual effects per cell: ``effect`` and ``n``.
 
     Summed over the rows of a cell the doubly robust formula needs only the
-    sizes and salary sums of both sexes.
+    sizes and salary sums of both sexes.  Rows without a known salary stand for
+    the known ones of their cell and sex; where none is known they move nothing.
     """
-    keep = [*COVARIATES, "n", "n1", "n0", "s1", "s0"]
-    out = cells
+    keep = [*COVARIATES, "n", "n1", "n0", "y1", "y0"]
+    out = cells.withColumns({"y1": F.try_divide("s1", "c1"), "y0": F.try_divide("s0", "c0")}).drop("s1", "s0", "c1", "c0")
     for g, name in ((1, "mu1"), (0, "mu0")):
         out = outcome.transform(out.withColumn("gender", F.lit(g))).withColumnRenamed("prediction", name).select(*keep, name)
         keep.append(name)
     out = propensity.transform(out).select(*keep, probability("e"))
-    s1, s0 = F.coalesce("s1", F.lit(0.0)), F.coalesce("s0", F.lit(0.0))
-    men = F.when(F.col("n1") > 0, F.try_divide(s1 - F.col("n1") * F.col("mu1"), F.col("e"))).otherwise(0.0)
-    women = F.when(F.col("n0") > 0, F.try_divide(s0 - F.col("n0") * F.col("mu0"), 1 - F.col("e"))).otherwise(0.0)
+    men = F.when(F.col("y1").isNull(), 0.0).otherwise(
+        F.try_divide(F.col("n1") * (F.col("y1") - F.col("mu1")), F.col("e")))
+    women = F.when(F.col("y0").isNull(), 0.0).otherwise(
+        F.try_divide(F.col("n0") * (F.col("y0") - F.col("mu0")), 1 - F.col("e")))
     return out.select("n", (F.col("n") * (F.col("mu1") - F.col("mu0")) + men - women).alias("effect"))
 
 
