@@ -98,7 +98,7 @@ def similar(spark, sf):
 def similar_blocked(spark, sf):
     """The same join cut into many pivot cells and blocks."""
     vectors = title_vectors(spark, sf, "fine_title")
-    pairs = vec.similar_pairs(vectors, "fine_title", "vector", T, block_rows=100, max_pivots=8, rings=8)
+    pairs = vec.similar_pairs(vectors, "fine_title", "vector", T, block_rows=20, cell_rows=8, lead=6)
     return pairs.select(F.col("fine_title").alias("title"), "other", F.round("cos", 6).alias("cos"))
 
 

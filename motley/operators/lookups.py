@@ -81,15 +81,17 @@ def variant_presence(queries: DataFrame, variants: DataFrame, train: DataFrame,
 
 
 def kernel_sums(cells: DataFrame, similar: DataFrame, threshold: float, key: str, exp: str | None,
-                by: list[str] | None = None) -> DataFrame:
+                by: list[str] | None = None, complete: bool = False) -> DataFrame:
     """Kernel-weighted mean of the cells around every title of ``similar``.
 
     ``cells`` has (by, key, exp, estimate, n), ``similar`` has (key, other,
     cos) over distinct titles: only equi-joins touch the cells.  A title that
-    ``similar`` does not know is only near itself.
+    ``similar`` does not know is only near itself; ``complete`` tells that all
+    wanted titles are in it.
     """
     by = by or []
-    near = with_itself(similar, cells, key).withColumn("_w", kernel_weight(threshold)).where(F.col("_w") > 0).select(
+    known = similar if complete else with_itself(similar, cells, key)
+    near = known.withColumn("_w", kernel_weight(threshold)).where(F.col("_w") > 0).select(
         F.col("other").alias("_other"), F.col(key), "_w")
     rest = [c for c in [exp] if c]
     train = cells.select(*by, F.col(key).alias("_other"), *rest, "estimate", "n")
@@ -106,7 +108,9 @@ def kernel_join(queries: DataFrame, grains: dict[str, DataFrame], similar: DataF
     ``alpha * exact + (1 - alpha) * kernel``.
     """
     by = by or []
-    sums = kernel_sums(grains["fine"], similar, threshold, key, exp, by)
+    wanted = queries.select(key).distinct()  # only these titles need neighbours
+    near = join_groups(with_itself(similar, wanted, key), wanted, [key], "left_semi")
+    sums = kernel_sums(grains["fine"], near, threshold, key, exp, by, complete=True)
     asked = estimate_lookup(queries, grains, key, exp, by)
     out = join_groups(asked, sums, [*by, key] + ([exp] if exp else []), "left")
     fuzzy = F.coalesce("_kernel", "estimate")

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -39,70 +40,117 @@ def with_itself(similar: DataFrame, df: DataFrame, key: str) -> DataFrame:
         lacking.select(key, F.col(key).alias("other"), F.lit(1.0).alias("cos")))
 
 
-def _cells(unit: DataFrame, key: str, rows: int, block_rows: int, max_pivots: int, rings: int):
-    """Tag every unit vector with the cell of its nearest pivot and its angle to it."""
-    n_pivots = min(max_pivots, math.ceil(rows / block_rows))
-    picked = unit.orderBy(seeded(F.col(key), 17), key).limit(n_pivots).collect()
-    pivots = np.array([r["_u"] for r in picked])
+# The rotation comes from a sample of fixed size. There are at most so many pivots, of a few numbers each.
+_SAMPLE, _MOST_PIVOTS = 2_048, 65_536
+
+
+def _rotation(unit: DataFrame, key: str) -> np.ndarray:
+    """Orthogonal matrix whose first columns are the directions that vary most.
+
+    Any rotation leaves cosines as they are, so a sample decides nothing but the pruning.
+    """
+    rows = unit.orderBy(seeded(F.col(key), 17), key).limit(_SAMPLE).select("_u").collect()
+    x = np.array([r["_u"] for r in rows])
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1]
+
+
+def _leading(unit: DataFrame, key: str, lead: int) -> DataFrame:
+    """Unit vectors with their leading components and the length of the rest."""
+    axes = _rotation(unit, key)[:, :lead]
+
+    def rotate(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack(pdf["_u"].to_numpy())
+            front = x @ axes
+            rest = np.sqrt(np.maximum((x * x).sum(axis=1) - (front * front).sum(axis=1), 0))
+            yield pdf.assign(_front=list(front), _rest=rest)
+
+    schema = T.StructType([*unit.schema, T.StructField("_front", T.ArrayType(T.DoubleType())),
+                           T.StructField("_rest", T.DoubleType())])
+    return materialize(unit.mapInPandas(rotate, schema), "leading")
+
+
+def _in_cells(leading: DataFrame, key: str, n_cells: int) -> tuple[DataFrame, np.ndarray]:
+    """Tag every vector with the cell of its nearest pivot, a k-means centre of the leading components."""
+    n_cells = min(n_cells, _MOST_PIVOTS)
+    if n_cells == 1:
+        pivots = np.zeros((1, len(leading.first()["_front"])))
+    else:
+        some = leading.orderBy(seeded(F.col(key), 19), key).limit(64 * n_cells).select(array_to_vector("_front").alias("_f"))
+        centres = KMeans(k=n_cells, seed=1, maxIter=4, initSteps=2, featuresCol="_f").fit(some).clusterCenters()
+        pivots = np.array(centres)
+    half = (pivots * pivots).sum(axis=1) / 2
 
     def assign(batches):
         for pdf in batches:
-            cos = np.stack(pdf["_u"].to_numpy()) @ pivots.T
-            best = cos.argmax(axis=1)
-            angle = np.arccos(np.clip(cos[np.arange(len(best)), best], -1, 1))
-            ring = np.minimum((angle / math.pi * rings).astype(int), rings - 1)
-            yield pdf.assign(_cell=(best * rings + ring).astype("int32"), _angle=angle)
-
-    schema = T.StructType([*unit.schema, T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())])
-    tagged = unit.mapInPandas(assign, schema)
-    return materialize(tagged, "cells"), pivots
-
-
-def _cell_pairs(stats, pivots: np.ndarray, rings: int, threshold: float, block_rows: int):
-    """Cell pairs that may hold a pair within the angle, by the triangle inequality."""
-    limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
-    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-    cell = np.array([r["_cell"] for r in stats])
-    lo, hi = np.array([r["lo"] for r in stats]), np.array([r["hi"] for r in stats])
-    chunks = [math.ceil(r["n"] / block_rows) for r in stats]
-    out = []
-    for i, p in enumerate(cell // rings):
-        gap = between[p, cell // rings]
-        least = np.maximum.reduce([gap - hi[i] - hi, lo - gap - hi[i], lo[i] - gap - hi])
-        out += [(int(cell[i]), int(cell[j]), chunks[i], chunks[j])
-                for j in np.nonzero(least <= limit)[0] if j >= i]
-    return out
+            if pdf.empty:
+                continue
+            front = np.stack(pdf["_front"].to_numpy())
+            best = np.concatenate([(front[a:a + 1024] @ pivots.T - half).argmax(axis=1) for a in range(0, len(front), 1024)])
+            away = np.sqrt(((front - pivots[best]) ** 2).sum(axis=1))
+            yield pdf.drop(columns="_front").assign(_cell=best.astype("int32"), _away=away)
+
+    schema = T.StructType([f for f in leading.schema if f.name != "_front"] + [
+        T.StructField("_cell", T.IntegerType()), T.StructField("_away", T.DoubleType())])
+    return materialize(leading.mapInPandas(assign, schema), "cells"), pivots
+
+
+def _cell_pairs(stats: DataFrame, pivots: np.ndarray, threshold: float, block_rows: int) -> DataFrame:
+    """(a, na, b, nb): pairs of cells that may hold a pair above the threshold, with their numbers of blocks.
+
+    Unit vectors are that near only if |x - y|^2 < 2 - 2 t. Their leading parts are at least
+    as far apart as their pivots less the radii of the cells, the rest as far as the lengths.
+    """
+    cells = stats.orderBy("_cell").toPandas()  # a row per pivot
+    name, centre = cells["_cell"].to_numpy(), pivots[cells["_cell"].to_numpy()]
+    radius, lo, hi = (cells[c].to_numpy() for c in ("radius", "lo", "hi"))
+    blocks = np.ceil(cells["n"].to_numpy() / block_rows).astype("int32")
+    limit = 2 - 2 * threshold + 1e-9
+
+    def near(batches):
+        for pdf in batches:
+            for i in pdf["i"]:
+                apart = np.sqrt(((centre[i:] - centre[i]) ** 2).sum(axis=1))
+                front = np.maximum(apart - radius[i] - radius[i:], 0)
+                rest = np.maximum(np.maximum(lo[i] - hi[i:], lo[i:] - hi[i]), 0)
+                j = np.flatnonzero(front * front + rest * rest <= limit) + i
+                yield pd.DataFrame({"a": name[i], "na": blocks[i], "b": name[j], "nb": blocks[j]})
+
+    spark = stats.sparkSession
+    slots = max(1, min(len(name), spark.sparkContext.defaultParallelism * 4))
+    numbers = spark.range(0, len(name), 1, slots).select(F.col("id").cast("int").alias("i"))
+    return numbers.mapInPandas(near, "a int, na int, b int, nb int")
 
 
 def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block_rows: int = 2048,
-                  max_pivots: int = 64, rings: int = 16) -> DataFrame:
+                  cell_rows: int = 1024, lead: int = 32) -> DataFrame:
     """(key, other, cos) for all ordered pairs with cosine > threshold, itself included.
 
-    Vectors are cut into cells (nearest pivot, angle to it) and cells into
-    blocks of about ``block_rows``.  Only block pairs the triangle inequality
-    cannot rule out are scored, each as one bounded matrix product.  Exact for
-    every threshold; hot cells become many blocks, not one large task.  A key
-    whose vector is null or zero only has the pair with itself.
+    Vectors are rotated to their main directions and cut into cells around pivots among the
+    ``lead`` first of these, one per ``cell_rows`` vectors, and large cells into blocks
+    of about ``block_rows``. Only block pairs that the bound of ``_cell_pairs`` cannot rule
+    out are scored, each as one bounded matrix product. Exact for every threshold; hot cells
+    become many blocks, not one large task. A key whose vector is null or zero only has the
+    pair with itself.
     """
-    spark = vectors.sparkSession
     unit = materialize(
         vectors.where(l2_norm(F.col(vec)) > 0).select(F.col(key), l2_normalize(F.col(vec)).alias("_u")), "unit")
     rows = unit.count()
-    if rows <= block_rows:
-        blocks = unit.withColumns({"_cell": F.lit(0), "_chunk": F.lit(0)})
-        pairs = [(0, 0, 1, 1)]
-    else:
-        tagged, pivots = _cells(unit, key, rows, block_rows, max_pivots, rings)
-        stats = tagged.groupBy("_cell").agg(
-            F.count("*").alias("n"), F.min("_angle").alias("lo"), F.max("_angle").alias("hi")).collect()
-        pairs = _cell_pairs(stats, pivots, rings, threshold, block_rows)
-        parts = spark.createDataFrame(
-            [(r["_cell"], math.ceil(r["n"] / block_rows)) for r in stats], "_cell INT, _parts INT")
-        blocks = tagged.join(F.broadcast(parts), "_cell").withColumn(
-            "_chunk", F.pmod(seeded(F.col(key), 23), F.col("_parts")).cast("int")).drop("_angle", "_parts")
-    # at most (max_pivots * rings)^2 / 2 rows, spread into chunk pairs by the executors
+    blank = vectors.where(F.col(key).isNotNull() & ~F.coalesce(l2_norm(F.col(vec)) > 0, F.lit(False))).select(
+        key, F.col(key).alias("other"), F.lit(1.0).alias("cos"))
+    if not rows:
+        return blank
+    cells, pivots = _in_cells(_leading(unit, key, lead), key, math.ceil(rows / cell_rows))
+    stats = materialize(cells.groupBy("_cell").agg(
+        F.count("*").alias("n"), F.max("_away").alias("radius"), F.min("_rest").alias("lo"), F.max("_rest").alias("hi")), "stats")
+    parts = stats.select("_cell", F.ceil(F.col("n") / block_rows).cast("int").alias("_parts"))
+    blocks = cells.join(parts, "_cell").withColumn(
+        "_chunk", F.pmod(seeded(F.col(key), 23), F.col("_parts")).cast("int")).select(key, "_u", "_cell", "_chunk")
+    # a row per pair of cells that may meet, spread into chunk pairs by the executors
     plan = (
-        spark.createDataFrame(pairs, "a INT, b INT, na INT, nb INT")
+        _cell_pairs(stats, pivots, threshold, block_rows)
         .withColumn("ca", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .where((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb")))
@@ -130,8 +178,7 @@ def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, bloc
 
     found = first.select(*keep).unionByName(second.select(*keep)).groupBy("a", "ca", "b", "cb").applyInPandas(
         score, f"`{key}` {kind}, other {kind}, cos double")
-    blank = vectors.where(F.col(key).isNotNull() & ~F.coalesce(l2_norm(F.col(vec)) > 0, F.lit(False)))
-    return found.unionByName(blank.select(key, F.col(key).alias("other"), F.lit(1.0).alias("cos")))
+    return found.unionByName(blank)
 
 
 def kernel_weight(threshold: float):
@@ -145,8 +192,7 @@ def _distances(points: np.ndarray, batch: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((batch - p) ** 2).sum(axis=1)) for p in points])
 
 
-def knn_values(vectors: DataFrame, key: str, vec: str, queries: list[tuple[str, list[float]]], k: int,
-               rank_all: bool = True) -> DataFrame:
+def knn_values(vectors: DataFrame, key: str, vec: str, queries: list[tuple[str, list[float]]], k: int) -> DataFrame:
     """(query, value, dist, rank): the k rows nearest to each given point.
 
     ``queries`` is a short driver-side list.  Each partition keeps its k best

@@ -52,7 +52,7 @@ def test_similar_pairs_is_exact(spark, t):
     points = {f"p{i}": v for i, v in enumerate(np.vstack([rng.normal(size=(150, 4)), np.ones((40, 4)) + 0.01 * rng.normal(size=(40, 4))]))}
     _, table = load(spark, pd.DataFrame({"x": [1]}), points)
     want = {(a, b) for a in points for b in points if cosine(points[a], points[b]) > t}
-    for options in ({}, {"block_rows": 16, "max_pivots": 6, "rings": 5}):
+    for options in ({}, {"block_rows": 16, "cell_rows": 10, "lead": 3}):
         got = similar(table, t, **options).collect()
         assert {(r["title"], r["other"]) for r in got} == want and len(got) == len(want)
 
@@ -183,3 +183,21 @@ def test_learned_gap_recovers_a_constant_effect(spark):
 def test_cells_keep_every_row(spark):
     people, vectors = fixture()
     assert cells(load(spark, people, vectors)[0], gap.COVARIATES).agg(F.sum("n")).first()[0] == len(people)
+
+
+def test_cells_prune_clustered_vectors(spark):
+    """Vectors in clusters: exact, and fewer than a fifth of the pairs are scored."""
+    rng = np.random.RandomState(8)
+    centres = rng.normal(size=(40, 48))
+    x = np.repeat(centres, 50, axis=0) + rng.normal(scale=0.15, size=(2_000, 48))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "title long, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.title, r.other) for r in vec.similar_pairs(rows, "title", "vector", 0.8, block_rows=500, cell_rows=40).collect()}
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(u @ u.T > 0.8))))
+    unit = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "title long, _u array<double>")
+    cells, pivots = vec._in_cells(vec._leading(unit, "title", 32), "title", 50)
+    stats = cells.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_away").alias("radius"), F.min("_rest").alias("lo"),
+                                       F.max("_rest").alias("hi"))
+    sizes = {r["_cell"]: r["n"] for r in stats.collect()}
+    scored = sum(sizes[r.a] * sizes[r.b] * (1 if r.a == r.b else 2) for r in vec._cell_pairs(stats, pivots, 0.8, 500).collect())
+    assert scored < 0.2 * 2_000**2
