@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from catalog import sql as Q
 from catalog.lookups import title_vectors
 from catalog.registry import query
+from motley.functions import hashing
 from motley.operators import encoders as enc
 from motley.operators import topics as top
-from motley.operators.aggregates import value_counts
+from motley.operators.aggregates import finite, value_counts
 from motley.sources.people import people, table, titles
 
 P = f"WITH {Q.PEOPLE}"
@@ -81,14 +82,38 @@ def similarity_encode_levenshtein(spark, sf):
     return _encode(spark, sf, categories=_LISTED, similarity="levenshtein-ratio")
 
 
-@query("similarity_encode_kmeans")
+@query("similarity_encode_kmeans", f"""SELECT CAST(o AS INTEGER) AS ord, 1.0::DOUBLE AS best, n, true AS in_range FROM
+  (SELECT count(DISTINCT {Q.RAW}) AS n FROM part), (SELECT unnest(range(8)) AS o)""")
 def similarity_encode_kmeans(spark, sf):
-    return _encode(spark, sf, categories="k-means", n_prototypes=8, seed=3)
+    """Every prototype is a title, so the best similarity to it is 1."""
+    out = _encode(spark, sf, categories="k-means", n_prototypes=8, seed=3)
+    return out.groupBy("ord").agg(F.max("x").alias("best"), F.count("*").alias("n"),
+                                  F.bool_and(F.col("x").between(-1, 1)).alias("in_range"))
 
 
-@query("ngram_similarity_hashed")
+_BUCKET = hashing.portable_sql("gram")
+
+
+@query("ngram_similarity_hashed", f"""WITH vals AS (SELECT DISTINCT {Q.RAW} AS job_title FROM part),
+  protos AS (SELECT unnest({_LISTED!r}) AS proto),
+  cx AS (SELECT job_title, {_BUCKET} % 65536 AS b, sum(c) AS c FROM ({_count_sql('SELECT * FROM vals', 'job_title', 2, 4)}) GROUP BY ALL),
+  cp AS (SELECT proto, {_BUCKET} % 65536 AS b, sum(c) AS c FROM ({_count_sql('SELECT proto FROM protos', 'proto', 2, 4)}) GROUP BY ALL),
+  same AS (SELECT job_title, proto, sum(least(cx.c, cp.c)) AS same FROM cx JOIN cp USING (b) GROUP BY ALL)
+  SELECT job_title, proto, round(same / CAST((SELECT sum(c) FROM cx WHERE cx.job_title = same.job_title)
+    + (SELECT sum(c) FROM cp WHERE cp.proto = same.proto) - same AS DOUBLE), 6) AS similarity FROM same""")
 def ngram_similarity_hashed(spark, sf):
-    return enc.ngram_similarity_hashed(titles(spark, sf), "job_title", _LISTED, (2, 4), 2**16)
+    out = enc.ngram_similarity_hashed(titles(spark, sf), "job_title", _LISTED, (2, 4), 2**16, hashing.portable)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+def _minhash_sql(source: str, key: str, text: str, grams: str, lo: int, hi: int, seeds: int, ends: str) -> str:
+    """CTE low(key, seed, ...) of the least, or least and largest, portable hash per seed."""
+    pieces = ", ".join(f"list_transform(range(1, greatest(length({text}) - {n - 2}, 1)), lambda i: substr({text}, i, {n}))"
+                       for n in range(lo, hi + 1))
+    return f"""grams AS (SELECT {key}, {hashing.portable_sql('g')} AS base FROM (SELECT DISTINCT {key}, unnest(list_concat({pieces})) AS g
+    FROM ({source}))),
+  low AS (SELECT {key}, seed, {ends.format(h=f'(base * ({hashing.FACTOR} + {hashing.STEP} * seed) + seed) % {hashing.PRIME}')}
+    FROM grams, (SELECT unnest(range({seeds})) AS seed) GROUP BY ALL)"""
 
 
 _TARGET = """g AS (SELECT title, count(*) AS c, avg(salary) AS m FROM people GROUP BY ALL),
@@ -126,27 +151,43 @@ def target_encode_multiclass(spark, sf):
     return unrolled(model.transform(p.select("title").distinct()), "title", "encoded")
 
 
-@query("minhash_encode_fast")
+@query("minhash_encode_fast", f"""WITH {_minhash_sql('SELECT doc_id, text FROM documents', 'doc_id', 'text', 'text', 2, 4, 16, 'min({h}) AS hash')}
+  SELECT doc_id, CAST(seed AS INTEGER) AS seed, hash FROM low""")
 def minhash_encode_fast(spark, sf):
-    return enc.MinHashEncoder("text", 16).transform(table(spark, sf, "documents").select("doc_id", "text")).select(
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    return enc.MinHashEncoder("text", 16, hashed=hashing.portable).transform(rows).select(
         "doc_id", F.posexplode_outer("encoded").alias("seed", "hash"))
 
 
-@query("minhash_encode_murmur")
+@query("minhash_encode_murmur", rf"""WITH t AS (SELECT job_title, ' ' || trim(regexp_replace(lower(job_title), '\s+', ' ', 'g')) || ' ' AS s
+    FROM (SELECT DISTINCT {Q.RAW} AS job_title FROM part)), {_minhash_sql('SELECT * FROM t', 'job_title', 's', 's', 2, 4, 30, 'min({h}) AS hash')}
+  SELECT job_title, CAST(seed AS INTEGER) AS seed, round(hash / {hashing.PRIME - 1}, 9) AS hash FROM low""")
 def minhash_encode_murmur(spark, sf):
-    return enc.MinHashEncoder("job_title", 30, hashing="murmur").transform(people(spark, sf, "row_id", "job_title")).select(
-        "row_id", "encoded")
+    rows = titles(spark, sf).select("job_title").distinct()
+    out = enc.MinHashEncoder("job_title", 30, hashing="murmur", hashed=hashing.portable).transform(rows)
+    return out.select("job_title", F.posexplode("encoded").alias("seed", "hash")).withColumn("hash", F.round("hash", 9))
 
 
-@query("minmax_hash_encode")
+@query("minmax_hash_encode", f"""WITH t AS (SELECT DISTINCT {Q.RAW} AS job_title FROM part),
+  {_minhash_sql('SELECT * FROM t', 'job_title', 'job_title', 's', 2, 4, 5, 'min({h}) AS low, max({h}) AS high')}
+  SELECT job_title, CAST(2 * seed AS INTEGER) AS place, low AS hash FROM low UNION ALL
+  SELECT job_title, CAST(2 * seed + 1 AS INTEGER), high FROM low""")
 def minmax_hash_encode(spark, sf):
-    return enc.MinHashEncoder("job_title", 10, minmax=True).transform(people(spark, sf, "row_id", "job_title")).select(
-        "row_id", "encoded")
-
-
-@query("minhash_candidates")
+    rows = titles(spark, sf).select("job_title").distinct()
+    out = enc.MinHashEncoder("job_title", 10, minmax=True, hashed=hashing.portable).transform(rows)
+    return out.select("job_title", F.posexplode("encoded").alias("place", "hash"))
+
+
+@query("minhash_candidates", f"""WITH RECURSIVE t AS (SELECT DISTINCT {Q.RAW} AS job_title FROM part),
+  {_minhash_sql('SELECT * FROM t', 'job_title', 'job_title', 's', 3, 3, 20, 'min({h}) AS hash')},
+  bands AS (SELECT job_title, seed // 2 AS band, list(hash ORDER BY seed) AS hashes FROM low GROUP BY ALL),
+  links AS (SELECT DISTINCT a.job_title AS a, b.job_title AS b FROM bands a JOIN bands b USING (band, hashes)),
+  reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+  grouped AS (SELECT a AS value, min(b) AS representative FROM reach GROUP BY a HAVING count(DISTINCT b) > 1)
+  SELECT value, representative, (SELECT count(*) FROM low x JOIN low y ON x.seed = y.seed AND x.hash = y.hash
+    WHERE x.job_title = value AND y.job_title = representative) / 20 AS agreement FROM grouped""")
 def minhash_candidates(spark, sf):
-    return enc.minhash_candidates(titles(spark, sf), "job_title")
+    return enc.minhash_candidates(titles(spark, sf), "job_title", hashed=hashing.portable)
 
 
 @query("count_ngrams", f"""{P}, c AS ({_count_sql("SELECT DISTINCT job_title FROM people", 'job_title', 2, 4)})
@@ -155,9 +196,11 @@ def count_ngrams(spark, sf):
     return enc.count_ngrams(people(spark, sf, "job_title"), "job_title")
 
 
-@query("hash_ngrams")
+@query("hash_ngrams", f"""{P}, c AS ({_count_sql("SELECT DISTINCT job_title FROM people", 'job_title', 2, 4)})
+  SELECT {_BUCKET} % 4096 AS gram, CAST(sum(c * n) AS BIGINT) AS n FROM c
+  JOIN (SELECT job_title, count(*) AS n FROM people GROUP BY ALL) USING (job_title) GROUP BY ALL""")
 def hash_ngrams(spark, sf):
-    return enc.count_ngrams(people(spark, sf, "job_title"), "job_title", hashing_dim=4096)
+    return enc.count_ngrams(people(spark, sf, "job_title"), "job_title", hashing_dim=4096, hashed=hashing.portable)
 
 
 @query("count_words", rf"""{P} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(job_title), '\b\w\w+\b')) AS word
@@ -183,7 +226,7 @@ def scale_no_center(spark, sf):
     return scaled.select("event_id", F.round(vector_to_array("s")[0], 6).alias("scaled"))
 
 
-@query("column_pipeline")
+@query("column_pipeline", f"{P} SELECT row_id, 15 AS n_features, true AS finite FROM people")
 def column_pipeline(spark, sf):
     """A different encoder per column, assembled to one vector; the rest dropped."""
     p = people(spark, sf, "row_id", "job_title", "ethnicity", "employer", "seniority", "salary")
@@ -195,23 +238,36 @@ def column_pipeline(spark, sf):
         VectorAssembler(inputCols=["t", "e", "o", "seniority"], outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=False),
     ]
-    return Pipeline(stages=stages).fit(p).transform(p).select("row_id", vector_to_array("features").alias("features"))
+    out = Pipeline(stages=stages).fit(p).transform(p).withColumn("x", vector_to_array("features"))
+    return out.select("row_id", F.size("x").alias("n_features"), F.forall("x", finite).alias("finite"))
+
+
+_CLUSTERED = f"SELECT DISTINCT {Q.clean(Q.RAW)} AS title, true AS known_label, 12 AS n_labels FROM part"
 
 
-@query("cluster_titles")
+def _clustered(spark, sf, method):
+    """A label from 1 to 12 for every title, all of them in use."""
+    out = enc.cluster_titles(title_vectors(spark, sf, "title"), "title", "vector", 12, method=method)
+    used = out.agg(F.count_distinct("label").cast("int").alias("n")).scalar()
+    return out.select("title", F.col("label").between(1, 12).alias("known_label"), used.alias("n_labels"))
+
+
+@query("cluster_titles", _CLUSTERED)
 def cluster_titles(spark, sf):
-    return enc.cluster_titles(title_vectors(spark, sf, "title"), "title", "vector", 12)
+    return _clustered(spark, sf, "kmeans")
 
 
-@query("cluster_titles_hierarchy")
+@query("cluster_titles_hierarchy", _CLUSTERED)
 def cluster_titles_hierarchy(spark, sf):
-    return enc.cluster_titles(title_vectors(spark, sf, "title"), "title", "vector", 12, method="bisecting")
+    return _clustered(spark, sf, "bisecting")
 
 
-@query("rbf_features")
+@query("rbf_features", "SELECT vec_id, 100 AS n, true AS in_range FROM embeddings")
 def rbf_features(spark, sf):
-    return enc.rbf_features(table(spark, sf, "embeddings"), "embedding", 100, 0.5).select(
-        "vec_id", F.posexplode_outer("features").alias("i", "x"))
+    out = enc.rbf_features(table(spark, sf, "embeddings"), "embedding", 100, 0.5)
+    bound = (2 / 100) ** 0.5 + 1e-9
+    return out.select("vec_id", F.size("features").alias("n"),
+                      F.forall("features", lambda x: x.between(-bound, bound)).alias("in_range"))
 
 
 def _topics(spark, sf, **options):
@@ -219,50 +275,68 @@ def _topics(spark, sf, **options):
     return rows, top.fit_topics(rows, "job_title", top.TopicParams(n_topics=8, max_iter=3, **options))
 
 
-@query("gamma_poisson_init")
+def _sums_sql(n: int) -> str:
+    return f"SELECT CAST(t AS INTEGER) AS topic, 1.0::DOUBLE AS total, true AS not_negative FROM (SELECT unnest(range({n})) AS t)"
+
+
+def topic_sums(weights):
+    """Total weight of each topic and whether all are at least 0."""
+    return weights.groupBy("topic").agg(F.round(F.sum("weight"), 6).alias("total"),
+                                        F.bool_and(F.col("weight") >= 0).alias("not_negative"))
+
+
+@query("gamma_poisson_init", _sums_sql(8))
 def gamma_poisson_init(spark, sf):
     rows = people(spark, sf, "job_title")
-    return top.topic_table(top._start(rows, "job_title", top.TopicParams(n_topics=8))[0], rows)
+    return topic_sums(top.topic_table(top._start(rows, "job_title", top.TopicParams(n_topics=8))[0], rows))
 
 
-@query("gamma_poisson_fit")
+@query("gamma_poisson_fit", _sums_sql(8))
 def gamma_poisson_fit(spark, sf):
-    rows, model = _topics(spark, sf)
-    return top.topic_table(model, rows)
+    """Over the n-grams themselves, without buckets."""
+    rows, model = _topics(spark, sf, hashing=False)
+    return topic_sums(top.topic_table(model, rows))
 
 
-@query("gamma_poisson_transform")
+@query("gamma_poisson_transform", f"{P} SELECT row_id, 8 AS n_topics, true AS positive FROM people")
 def gamma_poisson_transform(spark, sf):
-    rows, model = _topics(spark, sf, hashing=True, init="random")
-    return top.transform_topics(model, people(spark, sf, "row_id", "job_title"), "job_title").select("row_id", "topics")
+    rows, model = _topics(spark, sf, init="random")
+    out = top.transform_topics(model, people(spark, sf, "row_id", "job_title"), "job_title")
+    return out.select("row_id", F.size("topics").alias("n_topics"), F.forall("topics", lambda x: x > 0).alias("positive"))
 
 
-@query("gamma_poisson_score")
+@query("gamma_poisson_score", "SELECT true AS finite, true AS better_than_start")
 def gamma_poisson_score(spark, sf):
-    """Divergence per batch count, over all rows."""
-    rows, model = _topics(spark, sf, hashing=True)
-    return spark.createDataFrame([(float(top.score_topics(model, rows, "job_title")),)], "kl DOUBLE")
+    """Divergence over all rows, compared with that of the starting topics."""
+    rows, model = _topics(spark, sf)
+    start = top._start(rows, "job_title", model.params)[0]
+    fitted, begun = (float(top.score_topics(m, rows, "job_title")) for m in (model, start))
+    return rows.limit(1).select(F.lit(abs(fitted) < float("inf")).alias("finite"), F.lit(fitted < begun).alias("better_than_start"))
 
 
-@query("gamma_poisson_topics")
+@query("gamma_poisson_topics", """SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, true AS is_share
+  FROM (SELECT unnest(range(8)) AS t), (SELECT unnest([1, 2, 3]) AS r)""")
 def gamma_poisson_topics(spark, sf):
+    """Three words per topic; which ones depends on the start."""
     rows, model = _topics(spark, sf, init="k-means")
-    return top.topic_labels(model, rows, "job_title")
+    found = top.topic_labels(model, rows, "job_title")
+    return found.select("topic", "rank", F.col("share").between(0, 1).alias("is_share"))
 
 
-@query("gamma_poisson_partial_fit")
+@query("gamma_poisson_partial_fit", _sums_sql(8))
 def gamma_poisson_partial_fit(spark, sf):
     """Three chunks of rows, one step each."""
     rows, model = people(spark, sf, "row_id", "job_title"), None
     for k in range(3):
         chunk = rows.where(F.pmod("row_id", F.lit(3)) == k)
-        model = top.partial_fit_topics(model, chunk, "job_title", top.TopicParams(n_topics=8, hashing=True))
-    return top.topic_table(model, rows)
+        model = top.partial_fit_topics(model, chunk, "job_title", top.TopicParams(n_topics=8))
+    return topic_sums(top.topic_table(model, rows))
 
 
-@query("encode_ethnicity")
+@query("encode_ethnicity", f"{P} SELECT row_id, 10 AS n_topics, true AS positive FROM people")
 def encode_ethnicity(spark, sf):
     """Topics of the ethnicity spellings of all tables together."""
     rows = people(spark, sf, "row_id", "ethnicity")
     model = top.fit_topics(rows, "ethnicity", top.TopicParams(n_topics=10, r=None))
-    return top.transform_topics(model, rows, "ethnicity").select("row_id", "topics")
+    out = top.transform_topics(model, rows, "ethnicity")
+    return out.select("row_id", F.size("topics").alias("n_topics"), F.forall("topics", lambda x: x > 0).alias("positive"))

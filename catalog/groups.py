@@ -236,13 +236,21 @@ def ordinal_encode(spark, sf):
     return dic.ordinal_encode(table(spark, sf, "customer"), "c_mktsegment").select("c_custkey", "code")
 
 
-@query("label_titles")
+@query("label_titles", f"""{P}, r AS (SELECT title, matched_title, count(*) AS n FROM people GROUP BY ALL)
+  SELECT title, matched_title, n, true AS one_id, true AS raw_dense, true AS matched_dense FROM r""")
 def label_titles(spark, sf):
-    """Random positive integer per raw and per matched title."""
+    """Random positive integer per raw and per matched title; checked to be one per title and without gaps."""
     p = people(spark, sf, "row_id", "title", "matched_title")
     raw = dic.dict_encode_join(p, "title", "raw_id", order="hash", seed=3)
-    return dic.dict_encode_join(raw, "matched_title", "matched_id", order="hash", seed=4).select(
-        "row_id", "raw_id", "matched_id")
+    rows = dic.dict_encode_join(raw, "matched_title", "matched_id", order="hash", seed=4)
+
+    def dense(column, of):
+        ends = (F.min(column) == 1) & (F.max(column) == F.count_distinct(of)) & (F.max(column) == F.count_distinct(column))
+        return rows.agg(ends.alias("dense")).scalar()
+
+    same = (F.min("raw_id") == F.max("raw_id")) & (F.min("matched_id") == F.max("matched_id"))
+    return rows.groupBy("title", "matched_title").agg(F.count("*").alias("n"), same.alias("one_id")).withColumns(
+        {"raw_dense": dense("raw_id", "title"), "matched_dense": dense("matched_id", "matched_title")})
 
 
 @query("canonicalize_by_vector", f"""SELECT p_partkey, title, max(title) OVER (PARTITION BY list_sort(string_split(title, ' ')))

@@ -6,11 +6,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
+from catalog import sql as Q
 from catalog.evaluation import GROUPS
 from catalog.lookups import title_vectors
 from catalog.registry import query
 from motley.functions import hashing
 from motley.operators import sampling
+from motley.operators.aggregates import finite
 from motley.operators.encoders import words_of
 from motley.plans import learners as ml
 from motley.plans.gap import COVARIATES
@@ -23,60 +25,93 @@ def vectors(spark, sf):
 
 
 SMALL = {"rounds": 5, "depth": 3}
+P = f"WITH {Q.PEOPLE}"
 
 
-@query("boosted_salary")
+def _fits(df, y, p="prediction"):
+    """Whether predictions over rows or weighted cells are closer to y than its mean is."""
+    e = F.col(y) - F.col(p)
+    return df.agg((F.sum(e * e) < F.var_pop(y) * F.count(y)).alias("ok")).scalar()
+
+
+def _within(df, y, p="prediction", slack=0.5):
+    """Whether a prediction lies near the range of y."""
+    span = df.agg(F.struct(F.min(y).alias("lo"), F.max(y).alias("hi")).alias("r")).scalar()
+    room = (span["hi"] - span["lo"]) * slack
+    return F.col(p).between(span["lo"] - room, span["hi"] + room)
+
+
+@query("boosted_salary", f"{P} SELECT DISTINCT title, seniority, true AS in_range, true AS beats_mean FROM people")
 def boosted_salary(spark, sf):
+    """A salary for every title and year; checked by its range and error."""
     p = people(spark, sf, "row_id", "title", "seniority", "salary")
-    model = ml.boosted_salary(p, vectors(spark, sf), **SMALL)
-    return model.transform(p.select("title", "seniority").distinct()).select("title", "seniority", "prediction")
+    found = ml.boosted_salary(p, vectors(spark, sf), **SMALL).transform(p)
+    return found.select("title", "seniority", _within(p, "salary").alias("in_range"),
+                        _fits(found, "salary").alias("beats_mean")).distinct()
 
 
-@query("boosted_propensity")
+@query("boosted_propensity", f"{P} SELECT DISTINCT title, true AS is_probability FROM people")
 def boosted_propensity(spark, sf):
     p = people(spark, sf, "title", "gender")
     model = ml.boosted_propensity(p, vectors(spark, sf), **SMALL)
-    return model.transform(p.select("title").distinct()).select("title", ml.probability())
+    return model.transform(p.select("title").distinct()).select("title", ml.probability()).select(
+        "title", F.col("propensity").between(0, 1).alias("is_probability"))
 
 
-@query("boosted_quantile")
+@query("boosted_quantile", f"{P} SELECT DISTINCT title, true AS in_range, true AS near_share FROM people")
 def boosted_quantile(spark, sf):
+    """Three quarters of the salaries, give or take a tenth, lie below the prediction."""
     p = people(spark, sf, "title", "salary").groupBy("title", "salary").agg(F.count("*").cast("double").alias("n"))
     features = Pipeline(stages=ml.feature_stages(vectors(spark, sf), [], [])).fit(p)
     rows = materialize(features.transform(p).select("title", "salary", "n", "features"), "quantile")
-    boost = ml.boosted_quantile(rows, "salary", rounds=3, lr=0.3)
-    return boost.predict(features.transform(p.select("title").distinct())).select("title", "prediction")
+    found = ml.boosted_quantile(rows, "salary", rounds=3, lr=0.3).predict(rows)
+    below = F.sum(F.when(F.col("salary") <= F.col("prediction"), F.col("n")).otherwise(0)) / F.sum("n")
+    share = found.agg(below.between(0.65, 0.85).alias("near")).scalar()
+    return found.select("title", _within(p, "salary").alias("in_range"), share.alias("near_share")).distinct()
 
 
-@query("tune_learning_rate")
+@query("tune_learning_rate", "SELECT unnest([0.01::DOUBLE, 0.31622776601683794::DOUBLE]) AS lr, true AS finite")
 def tune_learning_rate(spark, sf):
     p = people(spark, sf, "table_id", "title", "seniority", "salary")
     folds = [GROUPS[:7], GROUPS[7:]]
-    return ml.tune_learning_rate(p, vectors(spark, sf), folds, [0.01, 10**-0.5], rounds=3, depth=3)
+    tuned = ml.tune_learning_rate(p, vectors(spark, sf), folds, [0.01, 10**-0.5], rounds=3, depth=3)
+    return tuned.select("lr", finite(F.col("rmse")).alias("finite"))
 
 
-@query("grid_search")
+@query("grid_search", """SELECT lr, depth, true AS finite FROM (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE]) AS lr),
+  (SELECT unnest([2, 4]) AS depth)""")
 def grid_search(spark, sf):
     cells = ml.mean_cells(people(spark, sf, "title", "seniority", "salary"), ["title", "seniority"], "salary")
     _, found = ml.grid_search(ml.boosted_regressor(3), ml.feature_stages(vectors(spark, sf), ["seniority"], []),
                               cells, [0.1, 0.5], [2, 4], folds=2)
     rows = [({p.name: float(v) for p, v in m.items()}, float(s)) for m, s in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
-    return spark.createDataFrame([(m["stepSize"], int(m["maxDepth"]), s) for m, s in rows], "lr DOUBLE, depth INT, rmse DOUBLE")
+    out = spark.createDataFrame([(m["stepSize"], int(m["maxDepth"]), s) for m, s in rows], "lr DOUBLE, depth INT, rmse DOUBLE")
+    return out.select("lr", "depth", finite(F.col("rmse")).alias("finite"))
 
 
-@query("predict_curve")
+@query("predict_curve", f"""{P}, v AS (SELECT DISTINCT matched_title, title AS variant FROM people
+    UNION SELECT DISTINCT matched_title, 'all' FROM people)
+  SELECT matched_title, variant, CAST(e AS INTEGER) AS seniority, true AS in_range FROM v, (SELECT unnest(range(34)) AS e)""")
 def predict_curve(spark, sf):
     p = people(spark, sf, "title", "matched_title", "seniority", "salary")
     model = ml.boosted_salary(p, vectors(spark, sf), **SMALL)
-    return ml.predict_curve(model, p, "matched_title")
+    return ml.predict_curve(model, p, "matched_title").select(
+        "matched_title", "variant", "seniority", _within(p, "salary").alias("in_range"))
 
 
-@query("ridge")
+@query("ridge", f"""{P} SELECT title, seniority, employer, ethnicity, gender, true AS in_range, true AS beats_mean
+  FROM people GROUP BY ALL""")
 def ridge(spark, sf):
+    """Among the three penalties; checked on the cells it was fitted on."""
     cells = ml.mean_cells(people(spark, sf, *COVARIATES, "gender", "salary"), [*COVARIATES, "gender"], "salary")
     model, _ = ml.ridge(cells, ml.feature_stages(vectors(spark, sf), ["seniority", "gender"], ["employer", "ethnicity"]),
                         [0.1, 10.0, 1000.0])
-    return model.transform(cells).select(*COVARIATES, "gender", "prediction")
+    found = model.transform(cells)
+    e = F.col("label") - F.col("prediction")
+    mean = F.sum(F.col("n") * F.col("label")) / F.sum("n")
+    total = F.sum(F.col("n") * F.col("label") ** 2) - F.sum("n") * mean * mean
+    fits = found.agg((F.sum(F.col("n") * e * e) < total).alias("ok")).scalar()
+    return found.select(*COVARIATES, "gender", _within(cells, "label").alias("in_range"), fits.alias("beats_mean"))
 
 
 def _worded(spark, sf):
@@ -110,28 +145,41 @@ def logistic(spark, sf):
     return scored.select("doc_id", "quality", F.col("p").between(0, 1).alias("in_range"), base.alias("beats_base_rate"))
 
 
-@query("kernel_classifier")
+@query("kernel_classifier", "SELECT vec_id, CAST(label < 5 AS INTEGER) AS y, true AS is_label, true AS better_than_half FROM embeddings")
 def kernel_classifier(spark, sf):
     rows = table(spark, sf, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
-    predict = ml.kernel_classifier(rows, "embedding", "y", max_iter=10)
-    return predict(rows).select("vec_id", "y", "prediction")
+    found = ml.kernel_classifier(rows, "embedding", "y", max_iter=10)(rows)
+    right = found.agg((F.avg((F.col("prediction") == F.col("y")).cast("double")) > 0.5).alias("ok")).scalar()
+    return found.select("vec_id", "y", F.col("prediction").isin(0.0, 1.0).alias("is_label"), right.alias("better_than_half"))
 
 
 def _rows(spark, sf, *more):
     return people(spark, sf, *COVARIATES, "gender", "salary", *more)
 
 
-@query("aipw")
+_GAP = f"{P} SELECT count(*) AS n_rows, true AS plausible FROM people"
+
+
+def _plausible(rows, found):
+    """The gap is below a tenth of the spread of salaries, as sex is drawn without regard to them."""
+    spread = rows.agg(F.stddev_pop("salary").alias("s")).scalar()
+    return found.select("n_rows", (F.abs("ate") < spread / 10).alias("plausible"))
+
+
+@query("aipw", _GAP)
 def aipw(spark, sf):
-    return ml.aipw(_rows(spark, sf), vectors(spark, sf), **SMALL)
+    rows = _rows(spark, sf)
+    return _plausible(rows, ml.aipw(rows, vectors(spark, sf), **SMALL))
 
 
-@query("aipw_crossfit")
+@query("aipw_crossfit", _GAP)
 def aipw_crossfit(spark, sf):
-    folded = sampling.kfold(_rows(spark, sf, "row_id"), "row_id", 2, hashed=hashing.mixed_hash(F.col("row_id"), 1))
-    return ml.aipw_crossfit(folded, vectors(spark, sf), n_folds=2, rounds=3, depth=3)
+    rows = _rows(spark, sf, "row_id")
+    folded = sampling.kfold(rows, "row_id", 2, hashed=hashing.mixed_hash(F.col("row_id"), 1))
+    return _plausible(rows, ml.aipw_crossfit(folded, vectors(spark, sf), n_folds=2, rounds=3, depth=3))
 
 
-@query("aipw_tuned")
+@query("aipw_tuned", _GAP)
 def aipw_tuned(spark, sf):
-    return ml.aipw_tuned(_rows(spark, sf), vectors(spark, sf), [0.1, 0.5], [3], folds=2, rounds=3)
+    rows = _rows(spark, sf)
+    return _plausible(rows, ml.aipw_tuned(rows, vectors(spark, sf), [0.1, 0.5], [3], folds=2, rounds=3))

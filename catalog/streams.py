@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.encoders import _sums_sql, topic_sums
 from catalog.registry import query
 from motley.operators.topics import TopicParams, topic_table
 from motley.plans.evaluate import accuracy
@@ -33,16 +34,17 @@ def stream_target_stats(spark, sf):
     return newest().withColumn("mean", F.round("mean", 6))
 
 
-@query("stream_topics")
+@query("stream_topics", _sums_sql(6))
 def stream_topics(spark, sf):
     rows = people(spark, sf, "row_id", "job_title")
-    model = ch.stream_topics(chunked(spark, rows, "row_id"), "job_title", TopicParams(n_topics=6, hashing=True),
+    model = ch.stream_topics(chunked(spark, rows, "row_id"), "job_title", TopicParams(n_topics=6),
                              fresh_path(spark, "topics"))
-    return topic_table(model, rows)
+    return topic_sums(topic_table(model, rows))
 
 
-@query("online_linear")
+@query("online_linear", "SELECT true AS better_than_half")
 def online_linear(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"))
     model = ch.online_linear(chunked(spark, rows, "vec_id"), "embedding", "y", 64)
-    return accuracy(model.predict(rows, "embedding"), "y", "prediction")
+    return accuracy(model.predict(rows, "embedding"), "y", "prediction").select(
+        (F.col("accuracy") > 0.5).alias("better_than_half"))

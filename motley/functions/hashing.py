@@ -26,6 +26,25 @@ def widened(hashed: Column) -> Column:
     return hashed * F.lit(2**43)
 
 
+# Fixed value: the modulus of the portable seeded hashes.
+PRIME = 2**31 - 1
+
+
+def portable(text: Column, seed: int | Column | None = None) -> Column:
+    """Hash of a text that other engines can compute: the leading 32 bits of its MD5, mixed with a seed if given."""
+    base = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    if seed is None:
+        return base
+    s = F.lit(seed) if isinstance(seed, int) else seed
+    return F.pmod(base * (F.lit(FACTOR) + F.lit(STEP) * s) + s, F.lit(PRIME))
+
+
+def portable_sql(text: str, seed: str | None = None) -> str:
+    """The same hash as DuckDB SQL."""
+    base = f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+    return base if seed is None else f"(({base} * ({FACTOR} + {STEP} * {seed}) + {seed}) % {PRIME})"
+
+
 def seeded(key: Column, seed: int = 0) -> Column:
     """64-bit hash of any value."""
     return F.xxhash64(key, F.lit(seed))

@@ -7,6 +7,7 @@ column and joins its result back to the rows.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -186,7 +187,7 @@ class TargetMeanModel(Model):
 
 
 def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4), hashing: str = "fast",
-            minmax: bool = False) -> Column:
+            minmax: bool = False, hashed: Callable[[Column, Column], Column] | None = None) -> Column:
     """Smallest (and largest) hash of the n-grams under each of several seeds.
 
     ``fast`` hashes the n-grams of the text as it is and gives integers,
@@ -194,13 +195,14 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
     components of two texts are as likely as their n-gram Jaccard similarity.
     """
     sizes = range(ngram_range[0], ngram_range[1] + 1)
+    own = hashed or (lambda x, s: F.hash(s, x))  # a hash given instead must be below 2**31 - 1
     if hashing == "fast":
         if minmax and n_components % 2:
             raise ValueError(f"n_components={n_components}: pairs of smallest and largest need an even number")
         seeds = n_components // 2 if minmax else n_components
         low = let(F.array_distinct(windows(c, *sizes)), lambda g: F.transform(
             F.sequence(F.lit(0), F.lit(seeds - 1)),
-            lambda s: let(F.transform(g, lambda x: F.hash(s, x)), lambda h: F.array(
+            lambda s: let(F.transform(g, lambda x: own(x, s)), lambda h: F.array(
                 F.coalesce(F.array_min(h), F.lit(2**31 - 1)), F.coalesce(F.array_max(h), F.lit(-(2**31)))))))
         return F.flatten(low) if minmax else F.transform(low, lambda p: F.element_at(p, 1))
     if hashing != "murmur":
@@ -208,9 +210,10 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
     if minmax:
         raise ValueError("minmax=True needs hashing='fast'")
     text = F.when(F.trim(padded(c)) == "", F.lit(" Na ")).otherwise(c)
+    top = 2**32 - 1 if hashed is None else 2**31 - 2
     return let(F.array_distinct(windows(padded(text), *sizes)), lambda g: F.transform(
         F.sequence(F.lit(0), F.lit(n_components - 1)),
-        lambda s: F.array_min(F.transform(g, lambda x: F.pmod(F.hash(s, x).cast("bigint"), F.lit(2**32)))) / F.lit(2**32 - 1)))
+        lambda s: F.array_min(F.transform(g, lambda x: F.pmod(own(x, s).cast("bigint"), F.lit(2**32)))) / F.lit(top)))
 
 
 class MinHashEncoder(Transformer):
@@ -225,8 +228,8 @@ class MinHashEncoder(Transformer):
         return df.withColumn(self.output, F.when(text.isNotNull(), minhash(text, self.n_components, **self.options)))
 
 
-def minhash_candidates(df: DataFrame, column: str, bands: int = 10, rows: int = 2,
-                       ngram_range: tuple[int, int] = (3, 3)) -> DataFrame:
+def minhash_candidates(df: DataFrame, column: str, bands: int = 10, rows: int = 2, ngram_range: tuple[int, int] = (3, 3),
+                       hashed: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(value, representative, agreement): groups of near-duplicate spellings by min-hash.
 
     Values that share a band of hashes belong together, directly or over other values; the
@@ -236,7 +239,7 @@ def minhash_candidates(df: DataFrame, column: str, bands: int = 10, rows: int =
     ``pairs.similarity_join`` scores pairs.
     """
     signed = materialize(spread(df, column).select(
-        F.col(column).alias("value"), minhash(F.col(column), bands * rows, ngram_range).alias("_h")), "minhash")
+        F.col(column).alias("value"), minhash(F.col(column), bands * rows, ngram_range, hashed=hashed).alias("_h")), "minhash")
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.slice("_h", b * rows + 1, rows).alias("hashes")) for b in range(bands)])
     members = signed.select("value", F.explode(keys).alias("_k"))
     first = members.groupBy("_k").agg(F.min("value").alias("representative"), F.count("*").alias("_n")).where("_n > 1")
@@ -249,12 +252,12 @@ def minhash_candidates(df: DataFrame, column: str, bands: int = 10, rows: int =
 
 
 def ngram_similarity_hashed(df: DataFrame, column: str, prototypes: list[str], ngram_range: tuple[int, int],
-                            hashing_dim: int) -> DataFrame:
+                            hashing_dim: int, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(value, proto, similarity) on hashed gram counts; no vocabulary is kept."""
     spark = df.sparkSession
     protos = spark.createDataFrame([(p,) for p in prototypes], "proto STRING")
-    mine = gram_counts(df, column, *ngram_range, hashing_dim)
-    theirs = gram_counts(protos, "proto", *ngram_range, hashing_dim).withColumnRenamed("cnt", "_cnt")
+    mine = gram_counts(df, column, *ngram_range, hashing_dim, hashed)
+    theirs = gram_counts(protos, "proto", *ngram_range, hashing_dim, hashed).withColumnRenamed("cnt", "_cnt")
     same = mine.join(theirs, "gram").groupBy(column, "proto").agg(
         F.sum(F.least("cnt", "_cnt")).alias("_same"))
     nx = mine.groupBy(column).agg(F.sum("cnt").alias("_nx"))
@@ -264,10 +267,10 @@ def ngram_similarity_hashed(df: DataFrame, column: str, prototypes: list[str], n
 
 
 def count_ngrams(df: DataFrame, column: str, ngram_range: tuple[int, int] = (2, 4),
-                 hashing_dim: int | None = None) -> DataFrame:
+                 hashing_dim: int | None = None, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Vocabulary (or bucket) counts over all rows: values are cut once, then weighted."""
     sizes = value_counts(df.select(column).na.drop(), column)
-    return gram_counts(df, column, *ngram_range, hashing_dim).join(sizes, column).groupBy("gram").agg(
+    return gram_counts(df, column, *ngram_range, hashing_dim, hashed).join(sizes, column).groupBy("gram").agg(
         F.sum(F.col("cnt") * F.col("n")).alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +21,17 @@ def pair_similarity(pairs: DataFrame, left: str, right: str, metric: str, name:
     return pairs.join(scored, [left, right], "left")
 
 
-def gram_counts(df: DataFrame, value: str, lo: int, hi: int, hashing_dim: int | None = None) -> DataFrame:
+def gram_counts(df: DataFrame, value: str, lo: int, hi: int, hashing_dim: int | None = None,
+                hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(value, gram, cnt) of the distinct values; safe for whole texts.
 
-    With ``hashing_dim`` the gram is replaced by its bucket.
+    With ``hashing_dim`` the gram is replaced by its bucket, the hash modulo that number.
     """
     # outer: an inner explode would compute the array twice, once as a filter
     grams = spread(df, value).select(
         value, F.explode_outer(range_grams(F.col(value), lo, hi)).alias("gram")).where("gram IS NOT NULL")
     if hashing_dim:
-        grams = grams.withColumn("gram", F.pmod(F.xxhash64("gram"), F.lit(hashing_dim)))
+        grams = grams.withColumn("gram", F.pmod(hashed(F.col("gram")), F.lit(hashing_dim)))
     return grams.groupBy(value, "gram").agg(F.count("*").alias("cnt"))
 
 
