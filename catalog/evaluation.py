@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import sql as Q
 from catalog.gaps import cells_sql, gap_sql
-from catalog.lookups import T, fine, similar_titles
+from catalog.lookups import T, fine, similar_titles, title_vectors
 from catalog.registry import query
 from motley.functions import hashing
 from motley.operators import aggregates as agg
@@ -230,6 +230,55 @@ def subset_runs(spark, sf):
     return ev.subset_gaps(p, splits(spark, SUBSETS)).withColumn("ate", F.round("ate", 4))
 
 
+SIZES = [sampling.group_shuffle_split(GROUPS, 2, n, seed=n) for n in (1, 7)] + [[GROUPS]]
+BY_SIZE = [tables for runs in SIZES for tables in runs]
+
+
+@query("subset_sizes", f"{P}, {splits_sql(BY_SIZE)}, {_SUBSET_CELLS} {gap_sql(True, 'split_id, ')} GROUP BY split_id")
+def subset_sizes(spark, sf):
+    """The exact gap over 1, 7 and all 14 tables."""
+    p = people(spark, sf, "table_id", "title", "seniority", "employer", "ethnicity", "gender", "salary")
+    return ev.subset_gaps(p, splits(spark, BY_SIZE)).withColumn("ate", F.round("ate", 4))
+
+
+@query("subset_fuzzy", f"""{P}, {splits_sql(BY_SIZE)} SELECT split_id, count(*) AS n_rows, true AS finite FROM people
+  JOIN splits USING (table_id) WHERE is_test = 1 GROUP BY split_id""")
+def subset_fuzzy(spark, sf):
+    """The fuzzy doubly robust gap over 1, 7 and all 14 tables; every row of a subset counts."""
+    p = people(spark, sf, "table_id", "title", "seniority", "employer", "ethnicity", "gender", "salary")
+    out = ev.subset_fuzzy(p, splits(spark, BY_SIZE), similar_titles(spark, sf, "title"), T)
+    return out.select("split_id", "n_rows", agg.finite(F.col("ate")).alias("finite"))
+
+
+def _learned(spark, sf, task, exp, y):
+    """Errors per split of shallow trees, beside those of the mean of the training rows."""
+    p = people(spark, sf, "table_id", "title", "seniority", y)
+    vectors = materialize(title_vectors(spark, sf, "title"), "vectors")
+    out = ev.cv_errors_learned(p, splits(spark, SHUFFLED), vectors, "title", exp, y, task, raw="title", rounds=3, depth=3)
+    rows = out.groupBy("split_id").agg(F.count("*").alias("n"), F.count("error").alias("n_known"),
+                                       F.avg(F.col("error") ** 2).alias("mse"), F.var_pop(y).alias("spread"))
+    return rows.select("split_id", "n", "n_known", (F.col("mse") < 1.05 * F.col("spread")).alias("near_or_below_mean"))
+
+
+_LEARNED = f"""{P}, {splits_sql(SHUFFLED)} SELECT split_id, count(*) AS n, count(*) AS n_known, true AS near_or_below_mean
+  FROM people JOIN splits USING (table_id) WHERE is_test = 1 GROUP BY split_id"""
+
+
+@query("cv_errors_learned", _LEARNED)
+def cv_errors_learned(spark, sf):
+    return _learned(spark, sf, "salary", "seniority", "salary")
+
+
+@query("cv_errors_learned_sex", _LEARNED)
+def cv_errors_learned_sex(spark, sf):
+    return _learned(spark, sf, "sex", None, "gender")
+
+
+@query("cv_errors_learned_quantile", _LEARNED)
+def cv_errors_learned_quantile(spark, sf):
+    return _learned(spark, sf, "quantile", None, "salary")
+
+
 RUNS = [(r * 10 + k, rate, g, int(g in men)) for r, rate in enumerate((0.3, 0.75, 1.0))
         for k, men in enumerate(sampling.group_shuffle_split(GROUPS, 3, 7, seed=r)) for g in GROUPS]
 _RUNS_SQL = "runs(run_id, rate, table_id, men) AS (SELECT * FROM (VALUES " + ", ".join(
@@ -249,7 +298,22 @@ def sensitivity_sweep(spark, sf):
     return out.withColumn("ate", F.round("ate", 4))
 
 
-# score of a document: share of capital letters per mille, against its label
+@query("sensitivity_opposite", f"""{P}, {_RUNS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id, men, gender ORDER BY
+    {hashing.mixed_hash_sql('row_id', 'run_id')}, row_id) AS r, count(*) OVER (PARTITION BY run_id, men, gender) AS size
+    FROM people JOIN runs USING (table_id))
+  SELECT run_id, rate, count(*) AS n_rows, true AS is_share FROM numbered
+  WHERE r > CASE WHEN (men = 1) = (gender = 0) THEN floor(size * rate) ELSE 0 END GROUP BY run_id, rate""")
+def sensitivity_opposite(spark, sf):
+    """The sweep with the estimator that borrows from similar cells of the other sex."""
+    p = people(spark, sf, "row_id", "table_id", "title", "seniority", "employer", "ethnicity", "gender", "salary")
+    runs = spark.createDataFrame(RUNS, "run_id INT, rate DOUBLE, table_id INT, men INT")
+    near = similar_titles(spark, sf, "title")
+    out = ev.sensitivity_sweep(p, runs, "row_id", hashing.widened(hashing.mixed_hash(F.col("row_id"), F.col("run_id"))),
+                               lambda cells, by: gap.fuzzy_opposite_gap_of_cells(cells, near, T, by))
+    return out.select("run_id", "rate", "n_rows", F.col("share_kept").between(0, 1).alias("is_share"))
+
+
+# score of a document: the last two digits of its length, against its label
 _SCORED = """SELECT quality AS y, CAST(n_chars % 100 AS DOUBLE) / 100 AS score FROM labels JOIN documents USING (doc_id)"""
 
 

@@ -78,6 +78,16 @@ def tune_learning_rate(spark, sf):
     return tuned.select("lr", finite(F.col("rmse")).alias("finite"))
 
 
+@query("tune_learning_rate_sex", "SELECT fit, lr, true AS below_one FROM (SELECT unnest(['seen', 'all']) AS fit), "
+                                 "(SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE]) AS lr)")
+def tune_learning_rate_sex(spark, sf):
+    """The classifier's rates, judged on titles the training tables hold and on all."""
+    p = people(spark, sf, "table_id", "title", "seniority", "gender")
+    both = [ml.tune_learning_rate(p, vectors(spark, sf), [GROUPS[:7]], [0.1, 0.5], "gender", task="sex", fit_on=fit, rounds=2,
+                                  depth=2).withColumn("fit", F.lit(fit)) for fit in ("seen", "all")]
+    return both[0].unionByName(both[1]).select("fit", "lr", (F.col("rmse") < 1).alias("below_one"))
+
+
 @query("grid_search", """SELECT lr, depth, true AS finite FROM (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE]) AS lr),
   (SELECT unnest([2, 4]) AS depth)""")
 def grid_search(spark, sf):

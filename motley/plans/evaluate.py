@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from motley.operators.lookups import (
 from motley.operators.sampling import stratified_downsample
 from motley.operators.vector_join import with_itself
 from motley.plans.gap import COVARIATES, fuzzy_aipw_of_cells, gap_of_cells
+from motley.plans.learners import boosted_classifier, boosted_quantile, boosted_regressor, feature_stages, probability
 from motley.workdir import materialize
 
 
@@ -97,12 +99,79 @@ def cv_errors(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: st
         answers = kernel_join(asked, grains, similar, threshold, key, exp, ["split_id"])
     if truth is not None:
         answers = join_groups(answers, truth, ["split_id", key], "left")
-    answers = answers.select("split_id", *keys, "estimate", *(["_truth"] if truth is not None else []))
-    out = join_groups(df.join(test, "table_id"), answers, ["split_id", *keys], "left")
-    target = F.col("_truth") if truth is not None else F.col(y)
+    return _row_errors(df, test, answers, keys, y)
+
+
+def _row_errors(df: DataFrame, test: DataFrame, answers: DataFrame, keys: list[str], y: str) -> DataFrame:
+    """Test rows of every split with their estimate and absolute error against ``_truth``, else against y."""
+    own = [c for c in ("_truth",) if c in answers.columns]
+    out = join_groups(df.join(test, "table_id"), answers.select("split_id", *keys, "estimate", *own),
+                      ["split_id", *keys], "left")
+    target = F.col("_truth") if own else F.col(y)
     return out.withColumn("error", F.abs(target - F.col("estimate"))).drop("_truth")
 
 
+def learned_answers(df: DataFrame, splits: DataFrame, vectors: DataFrame, key: str, exp: str | None, y: str,
+                    task: str = "salary", q: float = 0.75, **options) -> DataFrame:
+    """(split_id, key[, exp], estimate): boosted trees on title vectors, fitted on the training tables of each split.
+
+    ``task`` is salary (squared loss), sex (probability of 1) or quantile. Every fit sees
+    cells per (key, exp) or counts per (key, value), summed per table once.
+    """
+    _, test = sides(splits)
+    keys = [key] + ([exp] if exp else [])
+    renamed = vectors.withColumnRenamed([c for c in vectors.columns if c != "vector"][0], key)
+    stages = feature_stages(renamed, [exp] if exp else [], [], key)
+    per_table = value_table(df, key, y).withColumnRenamed("_n", "n") if task == "quantile" else table_sums(df, key, exp, y)
+    asked = per_table.join(test, "table_id").select("split_id", *keys).distinct()
+    trained = splits.where("is_test = 0").groupBy("split_id").agg(F.collect_list("table_id").alias("tables"))
+    answers = None
+    for row in trained.orderBy("split_id").collect():  # a row per split
+        train = per_table.where(F.col("table_id").isin(row["tables"]))
+        mine = asked.where(F.col("split_id") == row["split_id"])
+        if task == "quantile":
+            cells = train.where(F.col(y).isNotNull()).groupBy(key, y).agg(F.sum("n").cast("double").alias("n"))
+            features = Pipeline(stages=stages).fit(cells)
+            ready = materialize(features.transform(cells).select(y, "n", "features"), "train")
+            found = boosted_quantile(ready, y, q, **options).predict(features.transform(mine), "estimate")
+        else:
+            cells = train.where("n > 0").groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("n").cast("double").alias("n"))
+            if task == "sex":
+                sides_of = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("_s").cast("double").alias("n")),
+                                             F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("_s")).alias("n"))))
+                cells = cells.select(*keys, sides_of.alias("x")).select(*keys, "x.label", "x.n").where("n > 0")
+                learner, estimate = boosted_classifier(**options), probability("estimate")
+            else:
+                cells = cells.withColumn("label", F.col("_s") / F.col("n"))
+                learner, estimate = boosted_regressor(**options), F.col("prediction").alias("estimate")
+            found = Pipeline(stages=[*stages, learner]).fit(cells).transform(mine).select("split_id", *keys, estimate)
+        found = found.select("split_id", *keys, "estimate")
+        answers = found if answers is None else answers.unionByName(found)
+    return answers
+
+
+def cv_errors_learned(df: DataFrame, splits: DataFrame, vectors: DataFrame, key: str, exp: str | None, y: str,
+                      task: str = "salary", raw: str | None = None, q: float = 0.75, **options) -> DataFrame:
+    """Absolute error of the learned estimate of every test row in every split.
+
+    With ``raw`` each row also tells ``n_variants``, how many spellings of its key the
+    training tables hold.
+    """
+    _, test = sides(splits)
+    keys = [key] + ([exp] if exp else [])
+    answers = learned_answers(df, splits, vectors, key, exp, y, task, q, **options)
+    if task == "quantile":
+        counted = value_table(df, key, y).join(test, "table_id")
+        truth = group_quantile(counted, ["split_id", key], y, q, weight="_n").select(
+            "split_id", key, F.col("estimate").alias("_truth"))
+        answers = join_groups(answers, truth, ["split_id", key], "left")
+    out = _row_errors(df, test, answers, keys, y)
+    if raw:
+        known = n_variants(df, splits, keys, [raw] + ([exp] if exp else []))
+        out = join_groups(out, known, ["split_id", *keys], "left").fillna({"n_variants": 0})
+    return out
+
+
 def squared_error_sums(answers: DataFrame, sums: DataFrame, splits: DataFrame, key: str, exp: str | None) -> DataFrame:
     """Sum of squared errors per answered cell from the sums of y and y squared.
 

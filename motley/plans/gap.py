@@ -70,7 +70,12 @@ def fuzzy_opposite_gap(df: DataFrame, similar: DataFrame, threshold: float = 0.8
                        by: list[str] | None = None) -> DataFrame:
     """Exact gap where both sexes meet, nearest opposite-sex cells elsewhere."""
     by = by or []
-    table = materialize(covariate_cells(df, [*by, *COVARIATES]), "cells")
+    return fuzzy_opposite_gap_of_cells(covariate_cells(df, [*by, *COVARIATES]), similar, threshold, by)
+
+
+def fuzzy_opposite_gap_of_cells(table: DataFrame, similar: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """The same from covariate cells, as runs and subsets have them."""
+    table = materialize(table, "cells")
     met = table.where(F.col("y1").isNotNull() & F.col("y0").isNotNull()).select(*by, "n", (F.col("y1") - F.col("y0")).alias("gap"))
     fuzzy = fuzzy_opposite_join(table, similar, threshold, by=by).select(*by, "n", "gap")
     used = met.unionByName(fuzzy).groupBy(*by).agg(

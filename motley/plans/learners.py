@@ -156,8 +156,12 @@ def boosted_quantile(df: DataFrame, y: str, q: float = 0.75, rounds: int = 100,
 
 
 def tune_learning_rate(df: DataFrame, vectors: DataFrame, folds: list[list[int]], rates: list[float], y: str = "salary",
-                       exp: str = "seniority", **options) -> DataFrame:
-    """(lr, rmse) over held-out tables; errors come from cell sums."""
+                       exp: str = "seniority", task: str = "salary", fit_on: str = "all", **options) -> DataFrame:
+    """(lr, rmse) over held-out tables; errors come from cell sums.
+
+    With ``task='sex'`` y is 0 or 1 and the error that of the probability. ``fit_on`` 'seen'
+    or 'unseen' only judges held-out titles that the training tables hold, or lack.
+    """
     keys = ["title", exp]
     sums = materialize(df.groupBy("table_id", *keys).agg(
         F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"), F.count(y).alias("_n")).where("_n > 0"), "sums")
@@ -168,15 +172,30 @@ def tune_learning_rate(df: DataFrame, vectors: DataFrame, folds: list[list[int]]
             side = F.col("table_id").isin(held)
             train = sums.where(~side).groupBy(*keys).agg(
                 (F.sum("_s") / F.sum("_n")).alias("label"), F.sum("_n").cast("double").alias("n"))
-            model = Pipeline(stages=[*feature_stages(vectors, [exp], []), boosted_regressor(lr=lr, **options)]).fit(train)
-            p = F.col("prediction")
-            got = model.transform(sums.where(side)).agg(
-                F.sum(F.col("_ss") - 2 * p * F.col("_s") + F.col("_n") * p * p), F.sum("_n")).first()
-            squared, n = squared + got[0], n + got[1]
-        rows.append((float(lr), float((squared / n) ** 0.5)))
+            stages = feature_stages(vectors, [exp], [])
+            if task == "sex":
+                both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("label") * F.col("n")).alias("n")),
+                                         F.struct(F.lit(0.0).alias("label"), ((1 - F.col("label")) * F.col("n")).alias("n"))))
+                train = train.select(*keys, both.alias("x")).select(*keys, "x.label", "x.n").where("n > 0")
+                model, p = Pipeline(stages=[*stages, boosted_classifier(lr=lr, **options)]).fit(train), probability("p")
+            else:
+                model, p = Pipeline(stages=[*stages, boosted_regressor(lr=lr, **options)]).fit(train), F.col("prediction")
+            judged = sums.where(side)
+            if fit_on != "all":
+                known = sums.where(~side).select("title").distinct()
+                judged = join_groups(judged, known, ["title"], "left_semi" if fit_on == "seen" else "left_anti")
+            got = model.transform(judged).withColumn("_p", p).select("_p", "_s", "_ss", "_n").agg(
+                F.sum(F.col("_ss") - 2 * F.col("_p") * F.col("_s") + F.col("_n") * F.col("_p") ** 2), F.sum("_n")).first()
+            squared, n = squared + (got[0] or 0.0), n + (got[1] or 0)
+        rows.append((float(lr), float((squared / n) ** 0.5) if n else None))
     return df.sparkSession.createDataFrame(rows, "lr DOUBLE, rmse DOUBLE")
 
 
+def best_rate(tuned: DataFrame) -> float:
+    """The rate with the least error, the smaller one on ties."""
+    return tuned.where(F.col("rmse").isNotNull()).orderBy("rmse", "lr").first()["lr"]
+
+
 def grid_search(learner, stages: list, cells: DataFrame, rates: list[float], depths: list[int], folds: int = 5,
                 seed: int = 0, parallelism: int = 2):
     """Cross-validated learning rate and depth; gives (fitted pipeline, CV model)."""
