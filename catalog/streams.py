@@ -45,6 +45,6 @@ def stream_topics(spark, sf):
 @query("online_linear", "SELECT true AS better_than_half")
 def online_linear(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"))
-    model = ch.online_linear(chunked(spark, rows, "vec_id"), "embedding", "y", 64)
+    model = ch.online_linear(chunked(spark, rows, "vec_id"), "embedding", "y", 64, fresh_path(spark, "online"))
     return accuracy(model.predict(rows, "embedding"), "y", "prediction").select(
         (F.col("accuracy") > 0.5).alias("better_than_half"))

@@ -15,7 +15,7 @@ from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motley.functions.binding import let
@@ -28,7 +28,7 @@ from motley.operators.dictionary import check_known, dense_ids, spread
 from motley.operators.joins import join_groups
 from motley.operators.pairs import gram_counts
 from motley.operators.vector_join import nearest_prototype
-from motley.workdir import materialize
+from motley.workdir import materialize, read_settings, write_settings
 
 def kmeans_prototypes(df: DataFrame, column: str, k: int, dim: int = 128, ngram: tuple[int, int] = (3, 3),
                       seed: int = 0) -> list[str]:
@@ -99,6 +99,20 @@ class SimilarityModel(Model):
         super().__init__()
         self.params_, self.ordered_ = params, ordered
 
+    def save(self, path: str) -> None:
+        """Write settings and prototypes below ``path``."""
+        self.ordered_.write.mode("overwrite").parquet(f"{path}/prototypes")
+        p = self.params_
+        write_settings(self.ordered_.sparkSession, {
+            "column": p.column, "output": p.output, "similarity": p.similarity, "ngram_range": list(p.ngram_range),
+            "hashing_dim": p.hashing_dim, "handle_unknown": p.handle_unknown, "as_vector": p.as_vector}, f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "SimilarityModel":
+        settings = read_settings(spark, f"{path}/settings")
+        settings["ngram_range"] = tuple(settings["ngram_range"])
+        return cls(SimilarityEncoder(**settings), spark.read.parquet(f"{path}/prototypes"))
+
     @property
     def categories_(self) -> list[str]:
         return [r["_proto"] for r in self.ordered_.orderBy("ord").collect()]
@@ -175,6 +189,19 @@ class TargetMeanModel(Model):
         super().__init__()
         self.params_, self.table_, self.prior_ = params, table, prior
 
+    def save(self, path: str) -> None:
+        """Write settings and codes below ``path``."""
+        p = self.params_
+        self.table_.write.mode("overwrite").parquet(f"{path}/codes")
+        write_settings(self.table_.sparkSession, {
+            "params": {"column": p.column, "y": p.y, "output": p.output, "classes": p.classes,
+                       "handle_unknown": p.handle_unknown, "as_vector": p.as_vector}, "prior": self.prior_}, f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "TargetMeanModel":
+        settings = read_settings(spark, f"{path}/settings")
+        return cls(TargetMeanEncoder(**settings["params"]), spark.read.parquet(f"{path}/codes"), settings["prior"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         p = self.params_
         if p.handle_unknown == "error":

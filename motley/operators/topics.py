@@ -8,11 +8,11 @@ send back sums per (topic, n-gram).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motley.functions.grams import windows
@@ -20,7 +20,7 @@ from motley.functions.hashing import seeded
 from motley.operators.aggregates import top_per_group, value_counts
 from motley.operators.dictionary import dense_ids, spread
 from motley.operators.encoders import kmeans_prototypes, words_of
-from motley.workdir import materialize
+from motley.workdir import materialize, read_settings, write_settings
 
 
 @dataclass(frozen=True)
@@ -325,6 +325,26 @@ def score_topics(model: TopicModel, df: DataFrame, column: str) -> float:
     return docs.mapInPandas(divergence, "kl double").agg(F.sum("kl")).first()[0]
 
 
+def save_topics(model: TopicModel, spark: SparkSession, path: str) -> None:
+    """Write the model below ``path``: settings, a row per topic, and the vocabulary if it has one."""
+    state = [(i, *(row.tolist() for row in rows)) for i, rows in enumerate(zip(model.w, model.a, model.b))]
+    kind = "topic INT, w ARRAY<DOUBLE>, a ARRAY<DOUBLE>, b ARRAY<DOUBLE>"
+    spark.createDataFrame(state, kind).write.mode("overwrite").parquet(f"{path}/topics")
+    if model.vocabulary is not None:
+        model.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    write_settings(spark, {**asdict(model.params), "history": model.history, "words": model.vocabulary is not None},
+                   f"{path}/settings")  # last, so that its presence tells that the model is whole
+
+
+def load_topics(spark: SparkSession, path: str) -> TopicModel:
+    settings = read_settings(spark, f"{path}/settings")
+    history, words = settings.pop("history"), settings.pop("words")
+    params = TopicParams(**{**settings, "ngram_range": tuple(settings["ngram_range"])})
+    rows = spark.read.parquet(f"{path}/topics").orderBy("topic").collect()
+    w, a, b = (np.array([r[c] for r in rows]) for c in ("w", "a", "b"))
+    return TopicModel(params, w, a, b, spark.read.parquet(f"{path}/vocabulary") if words else None, history)
+
+
 def topic_table(model: TopicModel, df: DataFrame) -> DataFrame:
     """(topic, idx, weight) of the fitted topics."""
     t, i = np.nonzero(model.w)

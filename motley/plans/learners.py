@@ -14,16 +14,16 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motley.operators.aggregates import cell_sums, group_quantile
 from motley.operators.encoders import rbf_features
 from motley.operators.joins import join_groups
 from motley.plans.gap import COVARIATES
-from motley.workdir import materialize
+from motley.workdir import materialize, read_settings, write_settings
 
 
 class TitleVectors(Transformer):
@@ -114,6 +114,20 @@ class QuantileBoost:
     rounds: list
     lr: float
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write every tree and its leaf values below ``path``."""
+        for i, (tree, _) in enumerate(self.rounds):
+            tree.write().overwrite().save(f"{path}/tree-{i}")
+        leaves = [{str(k): v for k, v in found.items()} for _, found in self.rounds]
+        write_settings(spark, {"start": self.start, "lr": self.lr, "leaves": leaves}, f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "QuantileBoost":
+        settings = read_settings(spark, f"{path}/settings")
+        rounds = [(DecisionTreeRegressionModel.load(f"{path}/tree-{i}"), {float(k): v for k, v in found.items()})
+                  for i, found in enumerate(settings["leaves"])]
+        return cls(settings["start"], rounds, settings["lr"])
+
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """Add the prediction to rows with ``features``."""
         out = df.withColumn(output, F.lit(self.start))

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motley.operators.aggregates import target_stats
-from motley.operators.topics import TopicModel, TopicParams, partial_fit_topics, topic_table
-from motley.workdir import fresh_path
+from motley.operators.topics import TopicModel, TopicParams, load_topics, partial_fit_topics, save_topics
+from motley.workdir import exists, fresh_path, read_settings, write_settings
 
 
 def read_chunks(spark: SparkSession, path: str, schema, files_per_chunk: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -24,11 +24,15 @@ def read_chunks(spark: SparkSession, path: str, schema, files_per_chunk: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_chunk).format(fmt).load(path)
 
 
-def run_chunks(stream: DataFrame, on_chunk: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Call ``on_chunk(rows, chunk number)`` for every chunk present, then stop."""
+def run_chunks(stream: DataFrame, on_chunk: Callable[[DataFrame, int], None], mode: str = "append",
+               progress: str | None = None) -> None:
+    """Call ``on_chunk(rows, chunk number)`` for every chunk present, then stop.
+
+    With a folder for ``progress`` a later call goes on where this one ended.
+    """
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(on_chunk).trigger(availableNow=True)
-        .option("checkpointLocation", fresh_path(stream.sparkSession, "stream")).start()
+        .option("checkpointLocation", progress or fresh_path(stream.sparkSession, "stream")).start()
     )
     query.awaitTermination()
 
@@ -51,16 +55,35 @@ def stream_target_stats(stream: DataFrame, column: str, y: str, path: str) -> Ca
     return lambda: spark.read.parquet(newest["path"])
 
 
-def stream_topics(stream: DataFrame, column: str, params: TopicParams, path: str) -> TopicModel:
-    """One topic-model step per chunk; the state after each is written as a table."""
-    held: dict[str, TopicModel | None] = {"model": None}
+def _resumable(stream: DataFrame, path: str, load: Callable, step: Callable, save: Callable):
+    """Run ``step(state, rows)`` per chunk, keeping every state below ``path``; gives the last state.
+
+    The state of a chunk is written whole before Spark marks the chunk as done. A chunk that is
+    run again starts from the state before it, and a later call from the last one written.
+    """
+    spark = stream.sparkSession
+    mark = f"{path}/newest"
+
+    def at(i: int):
+        """The state after chunk i, None before the first."""
+        return load(f"{path}/state/{i}") if i >= 0 else None
+
+    def on_chunk(rows: DataFrame, i: int) -> None:
+        save(step(at(i - 1), rows), f"{path}/state/{i}")
+        write_settings(spark, {"chunk": i}, f"{mark}/{i % 2}")
+
+    run_chunks(stream, on_chunk, progress=f"{path}/progress")
+    done = [read_settings(spark, f"{mark}/{k}")["chunk"] for k in (0, 1) if exists(spark, f"{mark}/{k}")]
+    return at(max(done, default=-1))
 
-    def step(rows: DataFrame, i: int) -> None:
-        held["model"] = partial_fit_topics(held["model"], rows, column, params)
-        topic_table(held["model"], rows).write.mode("overwrite").parquet(f"{path}/batch_id={i}")
 
-    run_chunks(stream, step)
-    return held["model"]
+def stream_topics(stream: DataFrame, column: str, params: TopicParams, path: str) -> TopicModel | None:
+    """One topic-model step per chunk; states are kept below ``path``, so a later call goes on."""
+    spark = stream.sparkSession
+    return _resumable(
+        stream, path, lambda p: load_topics(spark, p),
+        lambda model, rows: partial_fit_topics(model, rows, column, params),
+        lambda model, p: save_topics(model, spark, p))
 
 
 @dataclass
@@ -119,6 +142,19 @@ class OnlineLinear:
         full[got["i"]] = got["v"]
         return full[:-1], full[-1]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        write_settings(spark, {"dim": self.dim, "alpha": self.alpha, "rate": self.rate, "steps": self.steps,
+                               "average": self.average, "w": self.w.tolist(), "total": self.total.tolist(),
+                               "seen": self.seen}, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "OnlineLinear":
+        settings = read_settings(spark, path)
+        w, total = np.array(settings.pop("w")), np.array(settings.pop("total"))
+        model = cls(**settings, w=w)
+        model.total = total
+        return model
+
     def weights(self) -> np.ndarray:
         return self.total / self.seen if self.average and self.seen else self.w
 
@@ -132,8 +168,10 @@ class OnlineLinear:
         return df.withColumn(output, side(F.col(vec)))
 
 
-def online_linear(stream: DataFrame, vec: str, y: str, dim: int, **options) -> OnlineLinear:
-    """Fit on a stream of chunks."""
-    model = OnlineLinear(dim, **options)
-    run_chunks(stream, lambda rows, i: model.partial_fit(rows, vec, y))
-    return model
+def online_linear(stream: DataFrame, vec: str, y: str, dim: int, path: str, **options) -> OnlineLinear | None:
+    """Fit on a stream of chunks; states are kept below ``path``, so a later call goes on."""
+    spark = stream.sparkSession
+    return _resumable(
+        stream, path, lambda p: OnlineLinear.load(spark, p),
+        lambda model, rows: (model or OnlineLinear(dim, **options)).partial_fit(rows, vec, y),
+        lambda model, p: model.save(spark, p))

@@ -6,6 +6,7 @@ executor, so the loss of an executor never loses a result.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -42,6 +43,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """A few settings as JSON in a folder of their own."""
+    spark.createDataFrame([(json.dumps(settings),)], "value STRING").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made by ``fresh_path`` that nothing will read again."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

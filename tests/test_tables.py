@@ -167,7 +167,7 @@ def test_online_linear_learns(spark):
     x = rng.normal(size=(600, 3))
     y = (x @ [2.0, -1.0, 0.5] + 0.3 > 0).astype(int)
     stream = chunked(spark, [([float(v) for v in a], int(b)) for a, b in zip(x, y)], "x ARRAY<DOUBLE>, y INT", 3)
-    model = ch.online_linear(stream, "x", "y", 3, steps=10)
+    model = ch.online_linear(stream, "x", "y", 3, fresh_path(spark, "online"), steps=10)
     data = spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(x, y)], "x ARRAY<DOUBLE>, y INT")
     assert ev.accuracy(model.predict(data, "x"), "y", "prediction").first()[0] > 0.9
 
