@@ -33,7 +33,7 @@ def group_quantile(spark, sf):
 def group_quantile_large(spark, sf):
     """The two-step path for keys with many distinct values."""
     return agg.group_quantile(people(spark, sf, "employer", "salary"), ["employer"], "salary", 0.75,
-                              large_key=100, buckets=64).withColumn("estimate", F.round("estimate", 4))
+                              buckets=64).withColumn("estimate", F.round("estimate", 4))
 
 
 @query("mean_by_experience", f"{P} SELECT seniority, avg(salary) AS estimate, count(*) AS n FROM people GROUP BY ALL")
