@@ -75,12 +75,8 @@ def _leading(unit: DataFrame, key: str, lead: int) -> DataFrame:
 def _in_cells(leading: DataFrame, key: str, n_cells: int) -> tuple[DataFrame, np.ndarray]:
     """Tag every vector with the cell of its nearest pivot, a k-means centre of the leading components."""
     n_cells = min(n_cells, _MOST_PIVOTS)
-    if n_cells == 1:
-        pivots = np.zeros((1, len(leading.first()["_front"])))
-    else:
-        some = leading.orderBy(seeded(F.col(key), 19), key).limit(64 * n_cells).select(array_to_vector("_front").alias("_f"))
-        centres = KMeans(k=n_cells, seed=1, maxIter=4, initSteps=2, featuresCol="_f").fit(some).clusterCenters()
-        pivots = np.array(centres)
+    some = leading.orderBy(seeded(F.col(key), 19), key).limit(64 * n_cells).select(array_to_vector("_front").alias("_f"))
+    pivots = np.array(KMeans(k=n_cells, seed=1, maxIter=4, initSteps=2, featuresCol="_f").fit(some).clusterCenters())
     half = (pivots * pivots).sum(axis=1) / 2
 
     def assign(batches):
@@ -125,7 +121,7 @@ def _cell_pairs(stats: DataFrame, pivots: np.ndarray, threshold: float, block_ro
 
 
 def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block_rows: int = 2048,
-                  cell_rows: int = 1024, lead: int = 32) -> DataFrame:
+                  cell_rows: int = 2048, lead: int = 32) -> DataFrame:
     """(key, other, cos) for all ordered pairs with cosine > threshold, itself included.
 
     Vectors are rotated to their main directions and cut into cells around pivots among the
@@ -142,7 +138,11 @@ def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, bloc
         key, F.col(key).alias("other"), F.lit(1.0).alias("cos"))
     if not rows:
         return blank
-    cells, pivots = _in_cells(_leading(unit, key, lead), key, math.ceil(rows / cell_rows))
+    n_cells = math.ceil(rows / cell_rows)
+    if n_cells == 1:
+        cells, pivots = unit.withColumns({"_rest": F.lit(1.0), "_cell": F.lit(0), "_away": F.lit(0.0)}), np.zeros((1, 1))
+    else:
+        cells, pivots = _in_cells(_leading(unit, key, lead), key, n_cells)
     stats = materialize(cells.groupBy("_cell").agg(
         F.count("*").alias("n"), F.max("_away").alias("radius"), F.min("_rest").alias("lo"), F.max("_rest").alias("hi")), "stats")
     parts = stats.select("_cell", F.ceil(F.col("n") / block_rows).cast("int").alias("_parts"))
