@@ -28,12 +28,6 @@ SMALL = {"rounds": 5, "depth": 3}
 P = f"WITH {Q.PEOPLE}"
 
 
-def _fits(df, y, p="prediction"):
-    """Whether predictions over rows or weighted cells are closer to y than its mean is."""
-    e = F.col(y) - F.col(p)
-    return df.agg((F.sum(e * e) < F.var_pop(y) * F.count(y)).alias("ok")).scalar()
-
-
 def _within(df, y, p="prediction", slack=0.5):
     """Whether a prediction lies near the range of y."""
     span = df.agg(F.struct(F.min(y).alias("lo"), F.max(y).alias("hi")).alias("r")).scalar()
@@ -45,9 +39,15 @@ def _within(df, y, p="prediction", slack=0.5):
 def boosted_salary(spark, sf):
     """A salary for every title and year; checked by its range and error."""
     p = people(spark, sf, "row_id", "title", "seniority", "salary")
-    found = ml.boosted_salary(p, vectors(spark, sf), **SMALL).transform(p)
-    return found.select("title", "seniority", _within(p, "salary").alias("in_range"),
-                        _fits(found, "salary").alias("beats_mean")).distinct()
+    y, e = F.col("salary"), F.col("prediction")
+    sums = materialize(p.groupBy("title", "seniority").agg(
+        F.sum(y).alias("s"), F.sum(y * y).alias("ss"), F.count(y).alias("n"), F.min(y).alias("lo"), F.max(y).alias("hi")), "sums")
+    found = ml.boosted_salary(p, vectors(spark, sf), **SMALL).transform(sums)
+    left = F.sum(F.col("ss") - 2 * e * F.col("s") + F.col("n") * e * e)
+    fits = found.agg((left < F.sum("ss") - F.sum("s") ** 2 / F.sum("n")).alias("ok")).scalar()
+    lo, hi = (sums.agg(f("lo" if f is F.min else "hi").alias("x")).scalar() for f in (F.min, F.max))
+    return found.select("title", "seniority", e.between(lo - (hi - lo) / 2, hi + (hi - lo) / 2).alias("in_range"),
+                        fits.alias("beats_mean"))
 
 
 @query("boosted_propensity", f"{P} SELECT DISTINCT title, true AS is_probability FROM people")

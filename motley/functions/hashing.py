@@ -30,13 +30,14 @@ def widened(hashed: Column) -> Column:
 PRIME = 2**31 - 1
 
 
-def portable(text: Column, seed: int | Column | None = None) -> Column:
-    """Hash of a text that other engines can compute: the leading 32 bits of its MD5, mixed with a seed if given."""
-    base = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    if seed is None:
-        return base
-    s = F.lit(seed) if isinstance(seed, int) else seed
-    return F.pmod(base * (F.lit(FACTOR) + F.lit(STEP) * s) + s, F.lit(PRIME))
+def portable(text: Column) -> Column:
+    """Hash of a text that other engines can compute: the leading 32 bits of its MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def reseeded(hashed: Column, seed: Column) -> Column:
+    """One of a family of hashes below PRIME, from a 32-bit hash."""
+    return F.pmod(hashed * (F.lit(FACTOR) + F.lit(STEP) * seed) + seed, F.lit(PRIME))
 
 
 def portable_sql(text: str, seed: str | None = None) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from motley.functions.binding import let
 from motley.functions.grams import ngram_count, padded, preprocess, windows
-from motley.functions.hashing import seeded
+from motley.functions.hashing import reseeded, seeded
 from motley.functions.similarity import METRICS
 from motley.operators.aggregates import target_stats, top_k_frequent, value_counts
 from motley.operators.components import components
@@ -214,7 +214,7 @@ class TargetMeanModel(Model):
 
 
 def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4), hashing: str = "fast",
-            minmax: bool = False, hashed: Callable[[Column, Column], Column] | None = None) -> Column:
+            minmax: bool = False, hashed: Callable[[Column], Column] | None = None) -> Column:
     """Smallest (and largest) hash of the n-grams under each of several seeds.
 
     ``fast`` hashes the n-grams of the text as it is and gives integers,
@@ -222,12 +222,18 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
     components of two texts are as likely as their n-gram Jaccard similarity.
     """
     sizes = range(ngram_range[0], ngram_range[1] + 1)
-    own = hashed or (lambda x, s: F.hash(s, x))  # a hash given instead must be below 2**31 - 1
+    # a 32-bit hash given instead is made once per n-gram and mixed with every seed
+    own = (lambda x, s: F.hash(s, x)) if hashed is None else reseeded
+
+    def pieces(text):
+        grams = F.array_distinct(windows(text, *sizes))
+        return grams if hashed is None else F.transform(grams, hashed)
+
     if hashing == "fast":
         if minmax and n_components % 2:
             raise ValueError(f"n_components={n_components}: pairs of smallest and largest need an even number")
         seeds = n_components // 2 if minmax else n_components
-        low = let(F.array_distinct(windows(c, *sizes)), lambda g: F.transform(
+        low = let(pieces(c), lambda g: F.transform(
             F.sequence(F.lit(0), F.lit(seeds - 1)),
             lambda s: let(F.transform(g, lambda x: own(x, s)), lambda h: F.array(
                 F.coalesce(F.array_min(h), F.lit(2**31 - 1)), F.coalesce(F.array_max(h), F.lit(-(2**31)))))))
@@ -238,7 +244,7 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
         raise ValueError("minmax=True needs hashing='fast'")
     text = F.when(F.trim(padded(c)) == "", F.lit(" Na ")).otherwise(c)
     top = 2**32 - 1 if hashed is None else 2**31 - 2
-    return let(F.array_distinct(windows(padded(text), *sizes)), lambda g: F.transform(
+    return let(pieces(padded(text)), lambda g: F.transform(
         F.sequence(F.lit(0), F.lit(n_components - 1)),
         lambda s: F.array_min(F.transform(g, lambda x: F.pmod(own(x, s).cast("bigint"), F.lit(2**32)))) / F.lit(top)))
 
@@ -256,7 +262,7 @@ class MinHashEncoder(Transformer):
 
 
 def minhash_candidates(df: DataFrame, column: str, bands: int = 10, rows: int = 2, ngram_range: tuple[int, int] = (3, 3),
-                       hashed: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+                       hashed: Callable[[Column], Column] | None = None) -> DataFrame:
     """(value, representative, agreement): groups of near-duplicate spellings by min-hash.
 
     Values that share a band of hashes belong together, directly or over other values; the
