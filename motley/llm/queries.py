@@ -40,7 +40,7 @@ def op5_simhash(spark, sf_dir):
 
 def op6_fuzzy_lines(spark, sf_dir):
     """Every document without the lines that repeat, or nearly repeat, an earlier one."""
-    docs = fuzzy_lines.drop_repeats(table(spark, sf_dir, "documents"), removed_col="n_removed")
+    docs = fuzzy_lines.drop_repeats(table(spark, sf_dir, "documents"), removed_col="n_removed", short=True)
     return docs.select("doc_id", "text", "n_removed")
 
 
