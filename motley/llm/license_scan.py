@@ -179,22 +179,29 @@ class Scanner:
         for number, found in per.items():
             total, chains = len(self.templates[number][0]), []
             for a, b, c, d in sorted(found):
-                chain = self._open(chains, a, c)
-                if chain is None:
+                at, new = self._open(chains, a, b, c, d)
+                if at is None:
                     chains.append([a, b, d, d - c])
-                else:
-                    chain[1:] = b, d, chain[3] + d - c
+                else:  # chains stay in the order of their ends
+                    chain = chains.pop(at)
+                    chains.append([chain[0], b, d, chain[3] + new])
             spans += [(number, x[0], x[1], x[3] / total) for x in chains if x[3] >= self.min_cover * total]
         return spans
 
-    def _open(self, chains: list, start: int, at: int):
-        """The latest chain that a match from ``start`` in the text and ``at`` in the template continues."""
-        for chain in reversed(chains):
-            if start - chain[1] > self.max_gap:
-                return None
-            if start >= chain[1] and at >= chain[2]:
-                return chain
-        return None
+    def _open(self, chains: list, a: int, b: int, c: int, d: int):
+        """The chain that covers most with words a to b of the text, c to d of the template, and the words it gains.
+
+        Words that the chain's end holds already, in the text or the template, do not count again.
+        """
+        best, new = None, 0
+        for at in range(len(chains) - 1, -1, -1):
+            _, end, last, covered = chains[at]
+            if a - end > self.max_gap:
+                break
+            shared = max(end - a, last - c, 0)
+            if shared < d - c and a + shared - end <= self.max_gap and (best is None or covered + d - c - shared > chains[best][3] + new):
+                best, new = at, d - c - shared
+        return best, new
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
