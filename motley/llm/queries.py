@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from motley.llm import bpe, fuzzy_lines, license_scan, packing, perspectives, quality_model, quality_rules, simhash, topk, url_rules
+from motley.llm import bpe, fuzzy_lines, license_scan, packing, perspectives, prefix_trie, quality_model, quality_rules, simhash, topk, url_rules
 from motley.llm.common import table
 
 
@@ -64,6 +64,11 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """Every node of the trie of rebuilt conversations with the totals of its subtree."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_topk": op9_topk,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES = {
@@ -82,4 +88,5 @@ ORACLES = {
     "op7_url_filter": url_rules.oracle(),
     "op8_quality_rules": quality_rules.oracle(),
     "op9_topk": topk.oracle(),
+    "op11_prefix_trie": prefix_trie.oracle(),
 }
