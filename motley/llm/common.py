@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motley.workdir import fresh_path, remove
+
 # The characters that separate words, as a Java class body and as a plain string.
 BLANK_CLASS = r"\x20\x09-\x0D"
 BLANKS = " \t\n\x0b\f\r"
@@ -17,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often it is used.
 
-    A lambda variable cannot be inlined by the optimizer, so neither a filter that is
-    pushed down nor a second use repeats the work.
+    A lambda variable cannot be inlined by the optimizer, so a second use does not repeat the
+    work. A filter on the result that is pushed down does, as it repeats the whole expression:
+    an inner ``explode`` of it makes such a filter, ``explode_outer`` does not.
     """
     return F.transform(F.array(value), body)[0]
 
@@ -47,3 +50,19 @@ def temporary(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+class Tables:
+    """Written tables that go when the last one that needs them is written."""
+
+    def __init__(self, spark: SparkSession, of: str):
+        self.spark, self.of, self.paths = spark, of, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = fresh_path(self.spark, f"{self.of}-{name}")
+        df.write.parquet(self.paths[name])
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.paths.pop(name))

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motley.llm.common import Tables
 from motley.llm.running import running_sums
-from motley.workdir import fresh_path, remove
 
 UNIT = 4_096
 FAMILY, SLOTS = 5, 9  # conversations that share a base, and the modulus of the turns taken from it
@@ -195,23 +195,7 @@ def _halves(number: Column) -> tuple[Column, Column]:
     return F.shiftrightunsigned(number, 32), number.bitwiseAND(F.lit(_LOW))
 
 
-class _Tables:
-    """Written tables that go when the last one that needs them is written."""
-
-    def __init__(self, spark):
-        self.spark, self.paths = spark, {}
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths[name] = fresh_path(self.spark, f"trie-{name}")
-        df.write.parquet(self.paths[name])
-        return self.spark.read.schema(df.schema).parquet(self.paths[name])
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            remove(self.spark, self.paths.pop(name))
-
-
-def _rebuilt(turns: DataFrame, tables: _Tables) -> tuple[DataFrame, DataFrame]:
+def _rebuilt(turns: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """(c, depth, m0..m3, n, rest) of every rebuilt turn, and (c, length) of every conversation.
 
     The four m are halves of two hashes of place, role and text, ``n`` the bytes of the text and
@@ -249,7 +233,7 @@ def trie(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
     repeated turns. A null role or text is empty; a turn without a conversation id takes no part.
     Long texts are only hashed. An empty table gives no rows; other columns are not read.
     """
-    spark, tables = turns.sparkSession, _Tables(turns.sparkSession)
+    spark, tables = turns.sparkSession, Tables(turns.sparkSession, "trie")
     role, text = (F.coalesce(turns[c].cast("string"), F.lit("")) for c in (role_col, text_col))
     said = turns.select(
         turns[conv_col].cast("long").alias("c"), turns[turn_col].alias("turn"), role.alias("role"),
