@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motley.llm import fuzzy_lines, near_copies, packing, quality_model, quality_rules
+from motley.llm import fuzzy_lines, packing, quality_model, quality_rules, simhash
 from motley.llm.common import has_word, table, temporary
 from motley.workdir import fresh_path, remove
 
@@ -31,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     word before stays.
     """
     removed = temporary(docs.columns, "_removed")
-    cut = fuzzy_lines.drop_repeats(docs, removed_col=removed)
+    cut = fuzzy_lines.drop_repeats(docs, removed_col=removed, short=True)
     cut = cut.where((F.col(removed) == 0) | has_word(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -41,8 +41,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by a Jaccard similarity over five words of 0.8 or more."""
-    return near_copies.keep_first(docs, size=5)
+    """Keep one document of each group whose fingerprints of three-word shingles lie within three bits."""
+    return simhash.keep_first(docs, size=3)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
