@@ -42,11 +42,12 @@ def norm(line):
     return re.sub("[0-9]+", "0", re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", line.lower())).strip(" ")
 
 
-def brute(rows):
-    """Kept lines per row by comparing all distinct normalised lines."""
+def brute(rows, short=False):
+    """Kept lines per row by comparing all distinct normalised lines; with ``short`` equal short ones count too."""
     occurrences = [(i, p, norm(x)) for i, t in rows for p, x in enumerate((t or "").split("\n"))]
-    occurrences = [o for o in occurrences if len(o[2].split(" ")) >= fl.MIN_WORDS]
-    distinct = sorted({o[2] for o in occurrences})
+    few = sorted({o[2] for o in occurrences if o[2] and len(o[2].split(" ")) < fl.MIN_WORDS}) if short else []
+    occurrences = [o for o in occurrences if len(o[2].split(" ")) >= fl.MIN_WORDS or o[2] in set(few)]
+    distinct = sorted({o[2] for o in occurrences} - set(few))
     prints = fl.line_table(distinct, 1)[3] if distinct else np.zeros(0, np.uint64)
     label = list(range(len(distinct)))
     for i in range(len(distinct)):
@@ -54,7 +55,7 @@ def brute(rows):
             if fl.similar(distinct[i], distinct[j], fl.SIMILARITY):
                 a, b = label[i], label[j]
                 label = [a if x == b else x for x in label]
-    group = dict(zip(distinct, label))
+    group = {**dict(zip(distinct, label)), **{n: n for n in few}}
     first = {}
     for i, p, n in sorted(occurrences):
         first.setdefault(group[n], (i, p))

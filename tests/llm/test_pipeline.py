@@ -47,17 +47,30 @@ def test_rules(stages):
 def test_lines(stages):
     before, after = stages[2]
     rows = {r.doc_id: r.text for r in before.collect()}
-    want = {i: t for i, t in brute_lines(list(rows.items())).items() if t == rows[i] or t.split()}
+    want = {i: t for i, t in brute_lines(list(rows.items()), short=True).items() if t == rows[i] or t.split()}
     got = {r.doc_id: r for r in after.collect()}
     assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
 
 
 def test_documents(stages):
     before, after = stages[3]
-    groups = brute_groups([(r.doc_id, r.text) for r in before.collect()], 5)
+    groups = brute_groups([(r.doc_id, r.text) for r in before.collect()], 3)
     assert sorted(r.doc_id for r in after.collect()) == sorted(set(groups.values()))
 
 
+def test_odd_rows(spark, sf, tmp_path):
+    """Null and repeated rows, empty texts and tables pass through every stage."""
+    docs = table(spark, sf, "documents")
+    odd = docs.limit(40).unionByName(docs.limit(5)).unionByName(spark.createDataFrame(
+        [(None, None, None, None, None), (None, "a b c", "en", None, 5), (1, "", None, "s", 0), (2, None, "de", "s", None)], docs.schema))
+    for i, rows in enumerate((odd, docs.limit(0))):
+        folder = tmp_path / str(i)
+        rows.coalesce(1).write.parquet(str(folder / "documents.parquet"))
+        table(spark, sf, "labels").write.parquet(str(folder / "labels.parquet"))
+        kept = cp.run(spark, str(folder)).count()
+        assert 0 < kept <= 49 if i == 0 else kept == 0
+
+
 def test_packing(stages):
     before, after = stages[4]
     got = after.toPandas()
