@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from motley.llm import (bpe, fuzzy_lines, hard_negatives, license_scan, packing, perspectives, prefix_trie, quality_model,
+from motley.llm import (bpe, fuzzy_lines, hard_negatives, license_scan, ngram_join, packing, perspectives, prefix_trie, quality_model,
                         quality_rules, simhash, topk, url_rules)
 from motley.llm.common import table
 
@@ -70,6 +70,11 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_ngram_join(spark, sf_dir):
+    """Shingle count and group of near copies of every document."""
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark, sf_dir):
     """Negatives near the positives of every vector whose id is divisible by 50; a seventh of the labels moves on first."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -88,6 +93,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_license_scan": op10_license_scan,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_ngram_join": op12_ngram_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -97,5 +103,6 @@ ORACLES = {
     "op8_quality_rules": quality_rules.oracle(),
     "op9_topk": topk.oracle(),
     "op11_prefix_trie": prefix_trie.oracle(),
+    "op12_ngram_join": ngram_join.oracle(),
     "op13_hard_negatives": hard_negatives.oracle(),
 }
