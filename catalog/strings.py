@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import sql as Q
 from catalog.registry import query
 from motley.functions import grams
+from motley.operators import edit_join as ed
 from motley.operators import pairs
 from motley.sources.people import table, titles, word_vectors
 
@@ -155,3 +156,40 @@ def similarity_join_ngram(spark, sf):
     t = titles(spark, sf)
     return pairs.similarity_join(t.select(F.col("job_title").alias("a")), t.select(F.col("fine_title").alias("b")),
                                  "a", "b", "ngram", 0.5)
+
+
+_FINE = f"SELECT DISTINCT {Q.RAW} AS a FROM part), (SELECT DISTINCT p_name || ' ' || replace(lower(p_brand), '#', '') AS b FROM part"
+
+
+@query("similarity_join_edit", f"""SELECT a, b, (length(a) + length(b) - levenshtein(a, b)) / (length(a) + length(b)) AS score
+  FROM (SELECT DISTINCT p_name || ' ' || replace(lower(p_brand), '#', '') AS a FROM part),
+    (SELECT DISTINCT lower({Q.RAW}) || ' ' || replace(lower(p_brand), '#', '') AS b FROM part)
+  WHERE (length(a) + length(b) - levenshtein(a, b)) / (length(a) + length(b)) >= 0.9""")
+def similarity_join_edit(spark, sf):
+    """Titles with their brand against other spellings of them, by segments that edits leave whole."""
+    a, b = _branded(spark, sf)
+    return pairs.similarity_join(a, b, "a", "b", "levenshtein-ratio", 0.9)
+
+
+def _branded(spark, sf):
+    brand = table(spark, sf, "part").select("p_partkey", F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")).alias("brand"))
+    t = titles(spark, sf).join(brand, "p_partkey")
+    return t.select(F.col("fine_title").alias("a")), t.select(F.concat_ws(" ", F.lower("job_title"), "brand").alias("b"))
+
+
+@query("edit_join", f"""SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS distance
+  FROM (SELECT DISTINCT p_name || ' ' || replace(lower(p_brand), '#', '') AS a FROM part),
+    (SELECT DISTINCT lower({Q.RAW}) || ' ' || replace(lower(p_brand), '#', '') AS b FROM part) WHERE levenshtein(a, b) <= 2""")
+def edit_join(spark, sf):
+    a, b = _branded(spark, sf)
+    return ed.edit_join(a, b, "a", "b", 2)
+
+
+@query("similarity_join_jaro_winkler", f"""SELECT a, b, round(score, 9) AS score FROM (SELECT a, b, CASE WHEN w > 0.7 AND length(a) > 3 AND length(b) > 3
+    THEN w + {_PREFIX} * 0.1 * (1 - w) ELSE w END AS score FROM (SELECT *, jaro_similarity(a, b) AS w FROM ({_FINE}))) WHERE score >= 0.9""")
+def similarity_join_jaro_winkler(spark, sf):
+    """Raw titles against branded ones, by groups of common characters."""
+    t = titles(spark, sf)
+    out = pairs.similarity_join(t.select(F.col("job_title").alias("a")), t.select(F.col("fine_title").alias("b")), "a", "b",
+                                "jaro-winkler", 0.9, transpositions="floor")
+    return out.withColumn("score", F.round("score", 9))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motley.functions.grams import padded, preprocess, range_grams, windows
 from motley.functions.similarity import METRICS
 from motley.operators.dictionary import spread
+from motley.operators.edit_join import string_candidates
 from motley.workdir import materialize
 
 
@@ -35,10 +36,9 @@ def gram_counts(df: DataFrame, value: str, lo: int, hi: int, hashing_dim: int |
     return grams.groupBy(value, "gram").agg(F.count("*").alias("cnt"))
 
 
-def _tokens(df: DataFrame, value: str, metric: str, n: int) -> DataFrame:
-    """(value, size, token): members of the value's multiset, made distinct by number."""
-    text = windows(padded(preprocess(F.col(value))), n) if metric == "ngram" else windows(F.col(value), 1)
-    grams = spread(df, value).withColumn("_grams", text).select(
+def _tokens(df: DataFrame, value: str, n: int) -> DataFrame:
+    """(value, size, token): n-grams of the value's multiset, made distinct by number."""
+    grams = spread(df, value).withColumn("_grams", windows(padded(preprocess(F.col(value))), n)).select(
         value, F.size("_grams").alias("size"), F.explode_outer("_grams").alias("gram")).where("gram IS NOT NULL")
     counted = grams.groupBy(value, "size", "gram").agg(F.count("*").cast("int").alias("cnt"))
     return counted.select(
@@ -46,24 +46,6 @@ def _tokens(df: DataFrame, value: str, metric: str, n: int) -> DataFrame:
     ).select(value, "size", F.concat_ws("\u0001", "gram", "no").alias("token"))
 
 
-def overlap_share(metric: str, min_score: float) -> float:
-    """Share c such that a partner has at least c * size members in common.
-
-    Follows from each metric's definition, so candidates that miss it cannot
-    reach the score.
-    """
-    if metric == "ngram":
-        share = min_score
-    elif metric == "levenshtein-ratio":
-        share = 2 * min_score - 1
-    else:
-        jaro = min_score if metric == "jaro" else (min_score - 0.4) / 0.6
-        share = 3 * jaro - 2
-    if share <= 0:
-        raise ValueError(f"{metric} >= {min_score} does not bound the common characters: give block_on")
-    return share
-
-
 def _ranked(tokens: DataFrame, order: DataFrame, value: str) -> DataFrame:
     """(value, size, tokens): the members of each value, rarest first."""
     return tokens.join(order, "token").groupBy(value, "size").agg(
@@ -81,8 +63,8 @@ def _prefixes(ranked: DataFrame, value: str, share: float) -> DataFrame:
     return ranked.select(value, "size", F.explode(F.slice("tokens", 1, F.greatest(keep, F.lit(1)))).alias("token"))
 
 
-def _token_tables(left, right, lcol, rcol, metric, n) -> tuple[DataFrame, DataFrame]:
-    lt, rt = _tokens(left, lcol, metric, n), _tokens(right, rcol, metric, n)
+def _token_tables(left, right, lcol, rcol, n) -> tuple[DataFrame, DataFrame]:
+    lt, rt = _tokens(left, lcol, n), _tokens(right, rcol, n)
     order = lt.select("token").unionByName(rt.select("token")).groupBy("token").agg(F.count("*").alias("freq"))
     return materialize(_ranked(lt, order, lcol), "left"), materialize(_ranked(rt, order, rcol), "right")
 
@@ -100,11 +82,12 @@ def candidate_pairs(left: DataFrame, right: DataFrame, lcol: str, rcol: str, sha
 
 
 def similarity_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, metric: str, min_score: float,
-                    block_on: tuple[Column, Column] | None = None, n: int = 3) -> DataFrame:
+                    block_on: tuple[Column, Column] | None = None, n: int = 3, **options) -> DataFrame:
     """(left value, right value, score) for all pairs with score >= min_score.
 
-    Candidates come from shared members or, with ``block_on``, from equality of
-    a key computed on each side; every candidate is then scored exactly.
+    Candidates come from segments or common characters for edit metrics, from shared n-grams for
+    ``ngram`` or, with ``block_on``, from equality of a key computed on each side; every
+    candidate is then scored exactly, with the metric's ``options``. Null values take no part.
     """
     if lcol == rcol:
         raise ValueError("name the two columns differently")
@@ -112,19 +95,20 @@ def similarity_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, met
         lv = left.select(lcol).na.drop().distinct().withColumn("_block", block_on[0])
         rv = right.select(rcol).na.drop().distinct().withColumn("_block", block_on[1])
         pairs = lv.join(rv, "_block").select(lcol, rcol)
-        score = METRICS[metric](F.col(lcol), F.col(rcol), **({"n": n} if metric == "ngram" else {}))
-    else:
-        lt, rt = _token_tables(left, right, lcol, rcol, metric, n)
-        pairs = candidate_pairs(lt, rt, lcol, rcol, overlap_share(metric, min_score))
-        # equal values without members (shorter than n) have no token to meet by
-        same = left.select(lcol).distinct().join(right.select(rcol).distinct(), F.col(lcol) == F.col(rcol))
-        pairs = pairs.unionByName(same.select(lcol, rcol)).distinct()
-        if metric == "ngram":
-            # the token lists are made once per value, each pair only counts the common ones
-            pairs = pairs.join(lt.select(lcol, F.col("tokens").alias("_l")), lcol).join(
-                rt.select(rcol, F.col("tokens").alias("_r")), rcol)
-            common = F.size(F.array_intersect("_l", "_r"))
-            score = common / (F.size("_l") + F.size("_r") - common)
-        else:
-            score = METRICS[metric](F.col(lcol), F.col(rcol))
+        score = METRICS[metric](F.col(lcol), F.col(rcol), **({"n": n} if metric == "ngram" else options))
+        return pairs.withColumn("score", score).where(F.col("score") >= min_score)
+    # equal values without members (empty, or shorter than n) have nothing to meet by
+    same = left.select(lcol).distinct().join(right.select(rcol).distinct(), F.col(lcol) == F.col(rcol)).select(lcol, rcol)
+    if metric != "ngram":
+        pairs = string_candidates(left, right, lcol, rcol, metric, min_score).unionByName(same).distinct()
+        return pairs.withColumn("score", METRICS[metric](F.col(lcol), F.col(rcol), **options)).where(F.col("score") >= min_score)
+    if min_score <= 0:
+        raise ValueError(f"ngram >= {min_score} does not bound the shared n-grams: give block_on")
+    lt, rt = _token_tables(left, right, lcol, rcol, n)
+    pairs = candidate_pairs(lt, rt, lcol, rcol, min_score).unionByName(same).distinct()
+    # the token lists are made once per value, each pair only counts the common ones
+    pairs = pairs.join(lt.select(lcol, F.col("tokens").alias("_l")), lcol).join(
+        rt.select(rcol, F.col("tokens").alias("_r")), rcol)
+    common = F.size(F.array_intersect("_l", "_r"))
+    score = common / (F.size("_l") + F.size("_r") - common)
     return pairs.withColumn("score", score).where(F.col("score") >= min_score).select(lcol, rcol, "score")

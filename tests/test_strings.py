@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motley.functions import grams, text
 from motley.functions import similarity as sim
-from motley.operators import pairs
+from motley.operators import edit_join, pairs
 
 EDITS = [
     ("", "", 0), ("", "abc", 3), ("abc", "", 3), ("abc", "abc", 0), ("abcd", "abc", 1), ("abc", "abcd", 1),
@@ -139,4 +139,73 @@ def test_similarity_join_with_block(spark):
 
 def test_low_score_needs_a_block(spark):
     with pytest.raises(ValueError):
-        pairs.overlap_share("jaro", 0.5)
+        edit_join.shares_needed("jaro", 0.5)
+
+
+def names(n, seed):
+    """Names of several words, and copies of them with a few edits."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghijklmnoprstu", k=rng.randint(3, 9))) for _ in range(60)]
+    out = {" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(n)}
+    for name in list(out)[: n // 2]:
+        chars = list(name)
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(chars))
+            chars[i:i + rng.randint(0, 1)] = rng.choice(["", "x", "yz", " "])
+        out.add("".join(chars))
+    return sorted(out)
+
+
+def frames(spark, left, right):
+    return (spark.createDataFrame([(x,) for x in left], "a STRING").repartition(3),
+            spark.createDataFrame([(x,) for x in right], "b STRING"))
+
+
+@pytest.mark.parametrize("metric,min_score", [
+    ("levenshtein-ratio", 0.9), ("levenshtein-ratio", 0.8), ("levenshtein-ratio", 0.6), ("jaro-winkler", 0.9), ("jaro", 0.85)])
+def test_candidates_are_few_and_complete(spark, metric, min_score):
+    left, right = names(150, 1), names(140, 2) + names(150, 1)[::3]
+    a, b = frames(spark, left, right)
+    want = brute(left, sorted(set(right)), metric, min_score, spark)
+    got = {(r["a"], r["b"]): r["score"] for r in pairs.similarity_join(a, b, "a", "b", metric, min_score).collect()}
+    assert got == pytest.approx(want) and len(got) > len(left) // 3
+    if min_score >= 0.9:
+        near = edit_join.string_candidates(a, b, "a", "b", metric, min_score).count()
+        assert near < 0.1 * len(left) * len(set(right))
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 4])
+def test_edit_join(spark, edits):
+    """Also for strings with fewer characters than edits, and the published pairs."""
+    left = sorted({a for a, *_ in EDITS} | {"", "a", "ab", "xyz", "日本語"} | set(names(40, 5)))
+    right = sorted({b for _, b, _ in EDITS} | {"", "b", "yxz", "日語本"} | set(names(40, 5)))
+    a, b = frames(spark, [*left, None, "a"], [*right, None])
+    got = {(r["a"], r["b"]): r["distance"] for r in edit_join.edit_join(a, b, "a", "b", edits).collect()}
+    assert got == {(x, y): d for x in left for y in right if (d := levenshtein_by_hand(x, y)) <= edits}
+    for x, y, d in EDITS:
+        assert ((x, y) in got) == (d <= edits)
+
+
+def levenshtein_by_hand(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_join_bounds(spark):
+    a, b = frames(spark, ["ab"], ["ab"])
+    with pytest.raises(ValueError):
+        edit_join.edit_candidates(a, b, "a", "b", min_ratio=0.6)
+    with pytest.raises(ValueError):
+        pairs.similarity_join(a, b, "a", "b", "ngram", 0.0)
+    assert pairs.similarity_join(a.limit(0), b, "a", "b", "jaro-winkler", 0.9).count() == 0
+
+
+def test_joins_are_equi_joins(spark):
+    a, b = frames(spark, ["ab"], ["ab"])
+    for metric, score in (("levenshtein-ratio", 0.9), ("jaro", 0.8)):
+        plan = pairs.similarity_join(a, b, "a", "b", metric, score)._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
