@@ -14,7 +14,6 @@ from motley.functions import hashing
 from motley.operators import encoders as enc
 from motley.operators import topics as top
 from motley.operators.aggregates import finite, value_counts
-from motley.operators.dictionary import spread
 from motley.sources.people import people, table, titles
 
 P = f"WITH {Q.PEOPLE}"
@@ -164,9 +163,8 @@ def minhash_encode_fast(spark, sf):
     FROM (SELECT DISTINCT {Q.RAW} AS job_title FROM part)), {_minhash_sql('SELECT * FROM t', 'job_title', 's', 's', 2, 4, 30, 'min({h}) AS hash')}
   SELECT job_title, CAST(seed AS INTEGER) AS seed, round(hash / {hashing.PRIME - 1}, 9) AS hash FROM low""")
 def minhash_encode_murmur(spark, sf):
-    rows = spread(titles(spark, sf), "job_title")
-    out = enc.MinHashEncoder("job_title", 30, hashing="murmur", hashed=hashing.portable).transform(rows)
-    return out.select("job_title", F.posexplode("encoded").alias("seed", "hash")).withColumn("hash", F.round("hash", 9))
+    encoder = enc.MinHashEncoder("job_title", 30, hashing="murmur", hashed=hashing.portable)
+    return encoder.long(titles(spark, sf), "seed").withColumn("hash", F.round("hash", 9))
 
 
 @query("minmax_hash_encode", f"""WITH t AS (SELECT DISTINCT {Q.RAW} AS job_title FROM part),
@@ -174,9 +172,7 @@ def minhash_encode_murmur(spark, sf):
   SELECT job_title, CAST(2 * seed AS INTEGER) AS place, low AS hash FROM low UNION ALL
   SELECT job_title, CAST(2 * seed + 1 AS INTEGER), high FROM low""")
 def minmax_hash_encode(spark, sf):
-    rows = spread(titles(spark, sf), "job_title")
-    out = enc.MinHashEncoder("job_title", 10, minmax=True, hashed=hashing.portable).transform(rows)
-    return out.select("job_title", F.posexplode("encoded").alias("place", "hash"))
+    return enc.MinHashEncoder("job_title", 10, minmax=True, hashed=hashing.portable).long(titles(spark, sf))
 
 
 @query("minhash_candidates", f"""WITH RECURSIVE t AS (SELECT DISTINCT {Q.RAW} AS job_title FROM part),

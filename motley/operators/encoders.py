@@ -260,6 +260,15 @@ class MinHashEncoder(Transformer):
         text = F.col(self.column)
         return df.withColumn(self.output, F.when(text.isNotNull(), minhash(text, self.n_components, **self.options)))
 
+    def long(self, df: DataFrame, place: str = "place", value: str = "hash") -> DataFrame:
+        """(text, place, hash): a row per component of every distinct non-null value.
+
+        The outer explode matters: an inner one asks for arrays that are not empty, and that
+        filter, with all hashes in it, would be pushed down to the rows before they are distinct.
+        """
+        encoded = self.transform(spread(df, self.column))
+        return encoded.select(self.column, F.posexplode_outer(self.output).alias(place, value))
+
 
 def minhash_candidates(df: DataFrame, column: str, bands: int = 10, rows: int = 2, ngram_range: tuple[int, int] = (3, 3),
                        hashed: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -159,3 +159,14 @@ def test_rbf_features_approximate_the_kernel(spark):
     z = {r["i"]: np.array(r["features"]) for r in enc.rbf_features(rows, "x", 20000, 0.1).collect()}
     want = np.exp(-0.1 * ((x[0] - x[1]) ** 2).sum())
     assert z[0] @ z[1] == pytest.approx(want, abs=0.05)
+
+
+def test_min_hashes_are_made_once_per_value(spark):
+    """No filter in the plan repeats the hashing, and it stands above the distinct."""
+    rows = spark.createDataFrame([("ab cd",), ("ab cd",), (None,), ("",)], "job_title STRING")
+    for options in ({"hashing": "murmur"}, {"minmax": True}):
+        out = enc.MinHashEncoder("job_title", 4, **options).long(rows)
+        plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert not any("Filter" in line and "transform" in line for line in plan)
+        assert next(i for i, x in enumerate(plan) if "transform" in x) < next(i for i, x in enumerate(plan) if "Aggregate" in x)
+        assert out.groupBy("job_title").count().orderBy("job_title").collect() == [("", 4), ("ab cd", 4)]
