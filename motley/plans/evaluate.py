@@ -19,8 +19,9 @@ from motley.operators.lookups import (
 )
 from motley.operators.sampling import stratified_downsample
 from motley.operators.vector_join import with_itself
+from motley.plans.boosting import fit_many
 from motley.plans.gap import COVARIATES, fuzzy_aipw_of_cells, gap_of_cells
-from motley.plans.learners import boosted_classifier, boosted_quantile, boosted_regressor, feature_stages, probability
+from motley.plans.learners import feature_stages
 from motley.workdir import materialize
 
 
@@ -115,8 +116,8 @@ def learned_answers(df: DataFrame, splits: DataFrame, vectors: DataFrame, key: s
                     task: str = "salary", q: float = 0.75, **options) -> DataFrame:
     """(split_id, key[, exp], estimate): boosted trees on title vectors, fitted on the training tables of each split.
 
-    ``task`` is salary (squared loss), sex (probability of 1) or quantile. Every fit sees
-    cells per (key, exp) or counts per (key, value), summed per table once.
+    ``task`` is salary (squared loss), sex (probability of 1) or quantile. The models of all
+    splits grow together on cells per (table, key, exp), or counts per (table, key, value).
     """
     _, test = sides(splits)
     keys = [key] + ([exp] if exp else [])
@@ -124,30 +125,19 @@ def learned_answers(df: DataFrame, splits: DataFrame, vectors: DataFrame, key: s
     stages = feature_stages(renamed, [exp] if exp else [], [], key)
     per_table = value_table(df, key, y).withColumnRenamed("_n", "n") if task == "quantile" else table_sums(df, key, exp, y)
     asked = per_table.join(test, "table_id").select("split_id", *keys).distinct()
-    trained = splits.where("is_test = 0").groupBy("split_id").agg(F.collect_list("table_id").alias("tables"))
-    answers = None
-    for row in trained.orderBy("split_id").collect():  # a row per split
-        train = per_table.where(F.col("table_id").isin(row["tables"]))
-        mine = asked.where(F.col("split_id") == row["split_id"])
-        if task == "quantile":
-            cells = train.where(F.col(y).isNotNull()).groupBy(key, y).agg(F.sum("n").cast("double").alias("n"))
-            features = Pipeline(stages=stages).fit(cells)
-            ready = materialize(features.transform(cells).select(y, "n", "features"), "train")
-            found = boosted_quantile(ready, y, q, **options).predict(features.transform(mine), "estimate")
-        else:
-            cells = train.where("n > 0").groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("n").cast("double").alias("n"))
-            if task == "sex":
-                sides_of = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("_s").cast("double").alias("n")),
-                                             F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("_s")).alias("n"))))
-                cells = cells.select(*keys, sides_of.alias("x")).select(*keys, "x.label", "x.n").where("n > 0")
-                learner, estimate = boosted_classifier(**options), probability("estimate")
-            else:
-                cells = cells.withColumn("label", F.col("_s") / F.col("n"))
-                learner, estimate = boosted_regressor(**options), F.col("prediction").alias("estimate")
-            found = Pipeline(stages=[*stages, learner]).fit(cells).transform(mine).select("split_id", *keys, estimate)
-        found = found.select("split_id", *keys, "estimate")
-        answers = found if answers is None else answers.unionByName(found)
-    return answers
+    features = Pipeline(stages=stages).fit(per_table)
+    cells = features.transform(per_table).select(
+        F.col("table_id").alias("group"), "features", F.col("n").alias("weight"), F.col(y if task == "quantile" else "_s").alias("total"))
+    trained = splits.where("is_test = 0").groupBy("split_id").agg(F.collect_set("table_id").alias("tables"))
+    members = {r["split_id"]: set(r["tables"]) for r in trained.collect()}  # a row per split
+    numbers = {s: i for i, s in enumerate(sorted(members))}
+    loss = {"salary": "squared", "sex": "logistic", "quantile": "quantile"}[task]
+    rate = options.pop("lr", 0.1)
+    boosts = fit_many(materialize(cells, "cells"), [members[s] for s in numbers], [rate] * len(numbers), loss, q=q,
+                      **{"depth": 3 if task == "quantile" else 5, **options})
+    named = F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair)) if numbers else F.lit(None).cast("map<int,int>")
+    mine = features.transform(asked).withColumn("_model", F.try_element_at(named, F.col("split_id")))
+    return boosts.predict(mine, "estimate", model="_model").select("split_id", *keys, "estimate")
 
 
 def cv_errors_learned(df: DataFrame, splits: DataFrame, vectors: DataFrame, key: str, exp: str | None, y: str,
@@ -172,8 +162,9 @@ def cv_errors_learned(df: DataFrame, splits: DataFrame, vectors: DataFrame, key:
     return out
 
 
-def squared_error_sums(answers: DataFrame, sums: DataFrame, splits: DataFrame, key: str, exp: str | None) -> DataFrame:
-    """Sum of squared errors per answered cell from the sums of y and y squared.
+def squared_error_sums(answers: DataFrame, sums: DataFrame, splits: DataFrame, key: str, exp: str | None,
+                       spread: bool = False) -> DataFrame:
+    """Sum of squared errors per answered cell from the sums of y and y squared; with ``spread`` those sums too.
 
     No test row is touched: sum (y - e)^2 = sum y^2 - 2 e sum y + n e^2.
     """
@@ -181,8 +172,8 @@ def squared_error_sums(answers: DataFrame, sums: DataFrame, splits: DataFrame, k
     keys = ["split_id", key] + ([exp] if exp else [])
     cells = sums.join(test, "table_id").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_s", "_ss", "n")])
     e = F.col("estimate")
-    return join_groups(cells, answers, keys).withColumn(
-        "squared", F.col("_ss") - 2 * e * F.col("_s") + F.col("n") * e * e).drop("_s", "_ss")
+    out = join_groups(cells, answers, keys).withColumn("squared", F.col("_ss") - 2 * e * F.col("_s") + F.col("n") * e * e)
+    return out if spread else out.drop("_s", "_ss")
 
 
 def cv_rmse(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: str) -> DataFrame:

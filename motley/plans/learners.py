@@ -19,9 +19,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motley.operators.aggregates import cell_sums, group_quantile
+from motley.operators.aggregates import cell_sums, group_quantile, merge_cells
 from motley.operators.encoders import rbf_features
 from motley.operators.joins import join_groups
+from motley.plans.boosting import fit_many
 from motley.plans.gap import COVARIATES
 from motley.workdir import materialize, read_settings, write_settings
 
@@ -171,38 +172,34 @@ def boosted_quantile(df: DataFrame, y: str, q: float = 0.75, rounds: int = 100,
 
 def tune_learning_rate(df: DataFrame, vectors: DataFrame, folds: list[list[int]], rates: list[float], y: str = "salary",
                        exp: str = "seniority", task: str = "salary", fit_on: str = "all", **options) -> DataFrame:
-    """(lr, rmse) over held-out tables; errors come from cell sums.
+    """(lr, rmse) over held-out tables; the models of all rates and folds grow together.
 
     With ``task='sex'`` y is 0 or 1 and the error that of the probability. ``fit_on`` 'seen'
     or 'unseen' only judges held-out titles that the training tables hold, or lack.
     """
     keys = ["title", exp]
-    sums = materialize(df.groupBy("table_id", *keys).agg(
-        F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"), F.count(y).alias("_n")).where("_n > 0"), "sums")
-    rows = []
-    for lr in rates:
-        squared = n = 0.0
-        for held in folds:
-            side = F.col("table_id").isin(held)
-            train = sums.where(~side).groupBy(*keys).agg(
-                (F.sum("_s") / F.sum("_n")).alias("label"), F.sum("_n").cast("double").alias("n"))
-            stages = feature_stages(vectors, [exp], [])
-            if task == "sex":
-                both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("label") * F.col("n")).alias("n")),
-                                         F.struct(F.lit(0.0).alias("label"), ((1 - F.col("label")) * F.col("n")).alias("n"))))
-                train = train.select(*keys, both.alias("x")).select(*keys, "x.label", "x.n").where("n > 0")
-                model, p = Pipeline(stages=[*stages, boosted_classifier(lr=lr, **options)]).fit(train), probability("p")
-            else:
-                model, p = Pipeline(stages=[*stages, boosted_regressor(lr=lr, **options)]).fit(train), F.col("prediction")
-            judged = sums.where(side)
-            if fit_on != "all":
-                known = sums.where(~side).select("title").distinct()
-                judged = join_groups(judged, known, ["title"], "left_semi" if fit_on == "seen" else "left_anti")
-            got = model.transform(judged).withColumn("_p", p).select("_p", "_s", "_ss", "_n").agg(
-                F.sum(F.col("_ss") - 2 * F.col("_p") * F.col("_s") + F.col("_n") * F.col("_p") ** 2), F.sum("_n")).first()
-            squared, n = squared + (got[0] or 0.0), n + (got[1] or 0)
-        rows.append((float(lr), float((squared / n) ** 0.5) if n else None))
-    return df.sparkSession.createDataFrame(rows, "lr DOUBLE, rmse DOUBLE")
+    sums = df.groupBy("table_id", *keys).agg(
+        F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"), F.count(y).alias("_n")).where("_n > 0")
+    sums = materialize(sums, "sums")
+    tables = {r["table_id"] for r in sums.select("table_id").distinct().collect()}  # a row per table
+    features = Pipeline(stages=feature_stages(vectors, [exp], [])).fit(sums)
+    ready = materialize(features.transform(sums).select("table_id", *keys, "features", "_s", "_ss", "_n"), "ready")
+    cells = ready.select(F.col("table_id").alias("group"), "features", F.col("_s").alias("total"), F.col("_n").alias("weight"))
+    models = [(lr, fold) for lr in rates for fold in range(len(folds))]
+    boosts = fit_many(cells, [tables - set(folds[f]) for _, f in models], [lr for lr, _ in models],
+                      "logistic" if task == "sex" else "squared", **options)
+    held = df.sparkSession.createDataFrame(
+        [(t, m, f, float(lr)) for m, (lr, f) in enumerate(models) for t in folds[f]], "table_id INT, model INT, fold INT, lr DOUBLE")
+    judged = boosts.predict(ready, "_p").drop("features").join(F.broadcast(held), "table_id").withColumn("_p", F.get("_p", F.col("model")))
+    if fit_on != "all":
+        outside = df.sparkSession.createDataFrame([(t, f) for f, fold in enumerate(folds) for t in tables - set(fold)],
+                                                  "table_id INT, fold INT")
+        known = sums.join(F.broadcast(outside), "table_id").select("fold", "title").distinct()
+        judged = join_groups(judged, known, ["fold", "title"], "left_semi" if fit_on == "seen" else "left_anti")
+    error = F.sum(F.col("_ss") - 2 * F.col("_p") * F.col("_s") + F.col("_n") * F.col("_p") ** 2)
+    found = judged.groupBy("lr").agg(F.sqrt(error / F.sum("_n")).alias("rmse"))
+    asked = df.sparkSession.createDataFrame([(float(lr),) for lr in rates], "lr DOUBLE")
+    return asked.join(found, "lr", "left")
 
 
 def best_rate(tuned: DataFrame) -> float:
@@ -317,12 +314,16 @@ def aipw_terms(cells: DataFrame, outcome: PipelineModel, propensity: PipelineMod
     for g, name in ((1, "mu1"), (0, "mu0")):
         out = outcome.transform(out.withColumn("gender", F.lit(g))).withColumnRenamed("prediction", name).select(*keep, name)
         keep.append(name)
-    out = propensity.transform(out).select(*keep, probability("e"))
+    return effects(propensity.transform(out).select(*keep, probability("e")))
+
+
+def effects(out: DataFrame, *keep: str) -> DataFrame:
+    """Size and summed effect of cells with the answers ``mu1``, ``mu0`` and ``e`` of the models."""
     men = F.when(F.col("y1").isNull(), 0.0).otherwise(
         F.try_divide(F.col("n1") * (F.col("y1") - F.col("mu1")), F.col("e")))
     women = F.when(F.col("y0").isNull(), 0.0).otherwise(
         F.try_divide(F.col("n0") * (F.col("y0") - F.col("mu0")), 1 - F.col("e")))
-    return out.select("n", (F.col("n") * (F.col("mu1") - F.col("mu0")) + men - women).alias("effect"))
+    return out.select(*keep, "n", (F.col("n") * (F.col("mu1") - F.col("mu0")) + men - women).alias("effect"))
 
 
 def mean_effect(terms: DataFrame) -> DataFrame:
@@ -338,16 +339,58 @@ def aipw(df: DataFrame, vectors: DataFrame, rounds: int = 100, lr: float = 0.1,
 
 
 def aipw_crossfit(df: DataFrame, vectors: DataFrame, fold: str = "fold", n_folds: int = 5, rounds: int = 100,
-                  lr: float = 0.1, depth: int = 5) -> DataFrame:
-    """Doubly robust gap where each fold is judged by models of the other folds."""
-    cells = materialize(cell_sums(df, [fold, *COVARIATES]), "cells")
-    terms = None
-    for k in range(n_folds):
-        train, test = cells.where(F.col(fold) != k), cells.where(F.col(fold) == k)
-        part = aipw_terms(test, fit_outcome(train, vectors, boosted_regressor(rounds, lr, depth)),
-                          fit_propensity(train, vectors, boosted_classifier(rounds, lr, depth)))
-        terms = part if terms is None else terms.unionByName(part)
-    return mean_effect(terms)
+                  lr: float = 0.1, depth: int = 5, subsets: DataFrame | None = None) -> DataFrame:
+    """Doubly robust gap where each fold is judged by models of the other folds.
+
+    With ``subsets`` (split_id, table_id, is_test = 1) a row per subset of tables; the models of
+    all folds and subsets grow together.
+    """
+    by = [] if subsets is None else ["table_id"]
+    cells = materialize(cell_sums(df.where(F.col(fold).between(0, n_folds - 1)), [*by, fold, *COVARIATES]), "cells")
+    if subsets is None:
+        chosen, tables = [(0, None)], {0: {None}}
+    else:
+        chosen = [tuple(r) for r in subsets.where("is_test = 1").select("split_id", "table_id").collect()]  # subsets of tables
+        tables = {}
+        for s, t in chosen:
+            tables.setdefault(s, set()).add(t)
+    models = [(s, k) for s in sorted(tables) for k in range(n_folds)]
+    members = [{f"{t}/{other}" for t in tables[s] for other in range(n_folds) if other != k} for s, k in models]
+    group = F.concat_ws("/", F.col("table_id").cast("string") if by else F.lit("None"), F.col(fold).cast("string"))
+    grouped = cells.withColumn("group", group)
+    numbers = features_of(vectors, cells)
+    known = numbers(grouped.select(*COVARIATES, "group", F.explode(F.array(
+        F.struct(F.lit(1).alias("gender"), F.col("c1").alias("weight"), F.col("s1").alias("total")),
+        F.struct(F.lit(0).alias("gender"), F.col("c0").alias("weight"), F.col("s0").alias("total")))).alias("x")).select(
+            *COVARIATES, "group", "x.gender", "x.weight", "x.total"), True)
+    sizes = numbers(grouped.select(*COVARIATES, "group", (F.col("n1") + F.col("n0")).alias("weight"), F.col("n1").alias("total")), False)
+    settings = {"rounds": rounds, "depth": depth}
+    outcome = fit_many(materialize(known.select("group", "features", "weight", "total"), "outcome"), members, [lr] * len(models), **settings)
+    propensity = fit_many(materialize(sizes.select("group", "features", "weight", "total"), "treatment"), members, [lr] * len(models),
+                          "logistic", **settings)
+    named = df.sparkSession.createDataFrame([(s, k, i) for i, (s, k) in enumerate(models)], f"split_id INT, {fold} INT, model INT")
+    asked = cells.withColumn(fold, F.col(fold).cast("int"))
+    if by:
+        pairs = df.sparkSession.createDataFrame(chosen, "split_id INT, table_id INT")
+        asked = merge_cells(asked.join(F.broadcast(pairs), "table_id"), ["split_id", fold, *COVARIATES])
+    else:
+        asked = asked.withColumn("split_id", F.lit(0))
+    asked = asked.join(F.broadcast(named), ["split_id", fold])
+    keep = ["split_id", "model", *COVARIATES, "n", "n1", "n0", "y1", "y0"]
+    out = asked.withColumns({"y1": F.try_divide("s1", "c1"), "y0": F.try_divide("s0", "c0")}).select(*keep)
+    for g, name in ((1, "mu1"), (0, "mu0")):
+        out = outcome.predict(numbers(out.withColumn("gender", F.lit(g)), True), name, model="model").select(*keep, name)
+        keep.append(name)
+    out = propensity.predict(numbers(out, False), "e", model="model").select(*keep, "e")
+    found = effects(out, "split_id").groupBy("split_id").agg((F.sum("effect") / F.sum("n")).alias("ate"), F.sum("n").alias("n_rows"))
+    return found if by else found.drop("split_id")
+
+
+def features_of(vectors: DataFrame, cells: DataFrame):
+    """A function that adds ``features`` of the covariates, with or without the sex, to any rows."""
+    fitted = {sexed: Pipeline(stages=feature_stages(vectors, ["seniority"] + ["gender"] * sexed, ["employer", "ethnicity"])).fit(
+        cells.withColumn("gender", F.lit(0))) for sexed in (True, False)}
+    return lambda rows, sexed: fitted[sexed].transform(rows)
 
 
 def aipw_tuned(df: DataFrame, vectors: DataFrame, rates: list[float], depths: list[int], folds: int = 5,
