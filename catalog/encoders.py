@@ -285,14 +285,43 @@ def topic_sums(weights):
 @query("gamma_poisson_init", _sums_sql(8))
 def gamma_poisson_init(spark, sf):
     rows = people(spark, sf, "job_title")
-    return topic_sums(top.topic_table(top._start(rows, "job_title", top.TopicParams(n_topics=8))[0], rows))
+    return topic_sums(top.topic_table(top._start(rows, "job_title", top.TopicParams(n_topics=8))[0]))
 
 
 @query("gamma_poisson_fit", _sums_sql(8))
 def gamma_poisson_fit(spark, sf):
     """Over the n-grams themselves, without buckets."""
     rows, model = _topics(spark, sf, hashing=False)
-    return topic_sums(top.topic_table(model, rows))
+    return topic_sums(top.topic_table(model))
+
+
+# weights that only depend on the n-gram and the topic, so that SQL can start from the same
+_STEP_GRAMS = r"""t AS (SELECT job_title, count(*) AS n, lower(regexp_replace(job_title, '\s\s+', ' ', 'g')) AS s FROM people GROUP BY job_title),
+  pieces AS (SELECT job_title, n, substr(s, i, k) AS gram FROM (SELECT *, unnest(range(1, length(s) - k + 2)) AS i
+    FROM t, (SELECT unnest([2, 3, 4]) AS k) WHERE length(s) >= k)),
+  counts AS (SELECT job_title, n, gram, count(*)::DOUBLE AS cnt FROM pieces GROUP BY ALL),
+  raw AS (SELECT gram, j, 1.0 + (length(gram) + ascii(gram) * (j + 1)) % 7 AS w FROM (SELECT DISTINCT gram FROM counts), (SELECT unnest(range(4)) AS j)),
+  w AS (SELECT gram, j, w / sum(w) OVER (PARTITION BY j) AS w FROM raw)"""
+
+
+@query("gamma_poisson_step", f"""WITH {Q.PEOPLE}, {_STEP_GRAMS},
+  h0 AS (SELECT job_title, greatest(1e-10, sum(cnt)) / 4 AS h FROM counts GROUP BY job_title),
+  mixed AS (SELECT job_title, gram, n, cnt, h * sum(w) AS m FROM counts JOIN h0 USING (job_title) JOIN w USING (gram) GROUP BY job_title, gram, n, cnt, h),
+  h AS (SELECT job_title, j, n, any_value(h) * sum(w * cnt / m) / 2 + 0.1 / 2 AS h FROM mixed JOIN h0 USING (job_title) JOIN w USING (gram)
+    GROUP BY job_title, j, n),
+  after AS (SELECT job_title, gram, n, cnt, sum(h * w) AS m FROM counts JOIN h USING (job_title, n) JOIN w USING (gram, j) GROUP BY ALL),
+  x AS (SELECT gram, j, sum(a.n * h * cnt / m) AS x FROM after a JOIN h USING (job_title) GROUP BY gram, j),
+  topic AS (SELECT j, 1e-10 * 0.9 + sum(n * h) AS b FROM h GROUP BY j),
+  fresh AS (SELECT gram, j, (1e-10 * 0.9 + w * x) / b AS v FROM w JOIN x USING (gram, j) JOIN topic USING (j))
+  SELECT CAST(j AS INTEGER) AS topic, gram, round(v / sum(v) OVER (PARTITION BY j), 9) AS weight FROM fresh""")
+def gamma_poisson_step(spark, sf):
+    """One step over all rows from given weights, with one round of activations."""
+    rows = people(spark, sf, "job_title")
+    params = top.TopicParams(n_topics=4, rho=0.9, hashing=False, inner_iter=1, n_batches=1)
+    grams = top._grams(rows, "job_title", params).select("gram").distinct()
+    first = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: 1.0 + F.pmod(F.length("gram") + F.ascii("gram") * j, F.lit(7)))
+    model = top.step_topics(top.given_topics(grams.select("gram", first.alias("w")), params), rows, "job_title")
+    return top.topic_table(model).withColumn("weight", F.round("weight", 9))
 
 
 @query("gamma_poisson_transform", f"{P} SELECT row_id, 8 AS n_topics, true AS positive FROM people")
@@ -327,7 +356,7 @@ def gamma_poisson_partial_fit(spark, sf):
     for k in range(3):
         chunk = rows.where(F.pmod("row_id", F.lit(3)) == k)
         model = top.partial_fit_topics(model, chunk, "job_title", top.TopicParams(n_topics=8))
-    return topic_sums(top.topic_table(model, rows))
+    return topic_sums(top.topic_table(model))
 
 
 @query("encode_ethnicity", f"{P} SELECT row_id, 10 AS n_topics, true AS positive FROM people")

@@ -39,7 +39,7 @@ def stream_topics(spark, sf):
     rows = people(spark, sf, "row_id", "job_title")
     model = ch.stream_topics(chunked(spark, rows, "row_id"), "job_title", TopicParams(n_topics=6),
                              fresh_path(spark, "topics"))
-    return topic_sums(topic_table(model, rows))
+    return topic_sums(topic_table(model))
 
 
 @query("online_linear", "SELECT true AS better_than_half")

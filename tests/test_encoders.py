@@ -1,5 +1,7 @@
 """Encoders against the pairwise functions and hand-computed values."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -126,7 +128,7 @@ def test_topics(spark, init):
     few = top.fit_topics(rows, "v", top.TopicParams(n_topics=3, max_iter=1, init=init, seed=2, hashing=False))
     many = top.fit_topics(rows, "v", top.TopicParams(n_topics=3, max_iter=6, init=init, seed=2, hashing=False))
     assert top.score_topics(many, rows, "v") <= top.score_topics(few, rows, "v") * 1.001
-    assert np.allclose(many.w.sum(axis=1), 1)
+    assert np.allclose(numbers(many).groupby("topic").weight.sum(), 1)
     codes = top.transform_topics(many, rows, "v").collect()
     assert len(codes) == len(WORDS) * 5
     assert all(min(r["topics"]) >= 0 and len(r["topics"]) == 3 for r in codes)
@@ -135,14 +137,52 @@ def test_topics(spark, init):
     assert odd == pytest.approx([0.05] * 3)
 
 
+def numbers(model, column="w"):
+    return top.topic_table(model, column).toPandas().sort_values(["topic", "gram"]).reset_index(drop=True)
+
+
 def test_topic_batches_use_every_row_once(spark):
     rows = frame(spark, WORDS * 7)
-    p = top.TopicParams(n_topics=2, n_batches=3, init="random", hashing=True)
-    model, docs = top._start(rows, "v", p)
-    parts = [top._step_sums(docs, model.w, p, b) for b in range(3)]
-    whole = top._step_sums(docs, model.w, top.TopicParams(n_topics=2, n_batches=1, init="random", hashing=True), 0)
-    assert np.allclose(sum(g for g, _ in parts), whole[0])
-    assert np.allclose(sum(t for _, t in parts), whole[1])
+    model, docs = top._start(rows, "v", top.TopicParams(n_topics=2, n_batches=3, init="random", hashing=True))
+
+    def sums(batches):
+        found = [top._step_sums(docs, top.replace(model, params=top.replace(model.params, n_batches=batches)), b) for b in range(batches)]
+        grams = sum((f.toPandas().set_index("gram")[["x0", "x1"]] for f, *_ in found[1:]), found[0][0].toPandas().set_index("gram")[["x0", "x1"]])
+        return grams.sort_index().to_numpy(), sum(t for _, t, _ in found)
+
+    for parts, whole in zip(sums(3), sums(1)):
+        assert np.allclose(parts, whole)
+
+
+def test_a_step_by_hand(spark):
+    """Two values, two n-grams, one round of activations, then a step; and again from where it ended."""
+    rows = frame(spark, ["ab", "ab", "abc"])
+    p = top.TopicParams(n_topics=2, hashing=False, ngram_range=(2, 2), inner_iter=1, n_batches=1, rho=0.5)
+    start = {" a": (3.0, 1.0), "ab": (1.0, 1.0), "bc": (1.0, 2.0)}
+    grams = {"ab": {"ab": 1}, "abc": {"ab": 1, "bc": 1}}
+    model = top.given_topics(spark.createDataFrame([(g, list(w)) for g, w in start.items()], "gram STRING, w ARRAY<DOUBLE>"), p)
+    w = np.array([start[g] for g in sorted(start)]).T
+    w = w / w.sum(axis=1, keepdims=True)
+    a, b = np.full_like(w, 1e-10), np.full(2, 1e-10)
+    names = sorted(start)
+    for _ in range(2):
+        model = top.step_topics(model, rows, "v")
+        x, t = np.zeros_like(w), np.zeros(2)
+        for value, n in (("ab", 2), ("abc", 1)):
+            v = np.array([grams[value].get(g, 0) for g in names], float)
+            h = np.full(2, v.sum() / 2)
+            h = h * (w @ (v / (h @ w))) / 2 + 0.1 / 2
+            x += n * h[:, None] * (v / (h @ w))[None, :]
+            t += n * h
+        a, b = a * 0.5 + w * x, b * 0.5 + t
+        w = a / b[:, None]
+        a, w = a / w.sum(axis=1, keepdims=True), w / w.sum(axis=1, keepdims=True)
+        assert np.allclose(numbers(model).weight, w.ravel()) and np.allclose(numbers(model, "a").weight, a.ravel()) and np.allclose(model.b, b)
+
+
+def test_nothing_of_vocabulary_size_on_the_driver():
+    source = inspect.getsource(top)
+    assert "toPandas" not in source and "toArrow" not in source and source.count(".collect()") == 0
 
 
 def test_partial_fit_and_labels(spark):
