@@ -10,7 +10,6 @@ from catalog.lookups import T, fine, similar_titles, title_vectors
 from catalog.registry import query
 from motley.functions import hashing
 from motley.operators import aggregates as agg
-from motley.operators import lookups as look
 from motley.operators import sampling
 from motley.plans import evaluate as ev
 from motley.plans import gap
@@ -107,27 +106,25 @@ _SEX = f"""{_train('matched_title', 'gender')}, f AS (SELECT split_id, matched_t
 
 
 def _errors(spark, sf, task):
-    if task == "quantile":
-        p = people(spark, sf, "row_id", "table_id", "matched_title", "salary")
-        return ev.cv_errors(p, splits(spark, SHUFFLED), "matched_title", None, "salary", task="quantile")
-    y, exp = ("gender", None) if task == "sex" else ("salary", "seniority")
-    p = people(spark, sf, "row_id", "table_id", "matched_title", *([exp] if exp else []), y)
-    return ev.cv_errors(p, splits(spark, SHUFFLED), "matched_title", exp, y, task)
+    """Error sums of a task per split."""
+    y, exp = ("gender", None) if task == "sex" else ("salary", None if task == "quantile" else "seniority")
+    p = people(spark, sf, "table_id", "matched_title", *([exp] if exp else []), y)
+    return ev.mean_errors(ev.error_sums(p, splits(spark, SHUFFLED), "matched_title", exp, y, task), ["split_id"])
 
 
 @query("rmse", f"{P}, {_SALARY} SELECT split_id, round(sqrt(avg(error * error)), 4) AS rmse FROM err GROUP BY ALL")
 def rmse(spark, sf):
-    return agg.error_summary(_errors(spark, sf, "salary"), ["split_id"]).select("split_id", F.round("rmse", 4).alias("rmse"))
+    return _errors(spark, sf, "salary").select("split_id", F.round("rmse", 4).alias("rmse"))
 
 
 @query("mae", f"{P}, {_QUANTILE} SELECT split_id, round(avg(error), 4) AS mae FROM err GROUP BY ALL")
 def mae(spark, sf):
-    return agg.error_summary(_errors(spark, sf, "quantile"), ["split_id"]).select("split_id", F.round("mae", 4).alias("mae"))
+    return _errors(spark, sf, "quantile").select("split_id", F.round("mae", 4).alias("mae"))
 
 
 @query("brier", f"{P}, {_SEX} SELECT split_id, round(avg(error * error), 8) AS brier FROM err GROUP BY ALL")
 def brier(spark, sf):
-    return agg.error_summary(_errors(spark, sf, "sex"), ["split_id"]).select("split_id", F.round("brier", 8).alias("brier"))
+    return _errors(spark, sf, "sex").select("split_id", F.round("brier", 8).alias("brier"))
 
 
 # one table against the rest keeps titles with no, one or more known variants apart
@@ -158,11 +155,16 @@ def n_variants(spark, sf):
   SELECT split_id, CASE n_variants WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS seen,
   round(sqrt(avg(error * error)), 4) AS rmse, round(avg(error), 4) AS mae, count(*) AS n FROM err GROUP BY ALL""")
 def error_by_variants(spark, sf):
-    p, s = _spelled(spark, sf, "salary"), splits(spark, _RARE)
-    errors = ev.cv_errors(p, s, "k", "seniority", "salary").join(
-        ev.n_variants(p, s, ["k", "seniority"], ["raw", "seniority"]), ["split_id", "k", "seniority"])
-    return agg.error_by_variants(errors, ["split_id"]).select(
-        "split_id", "seen", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), "n")
+    found = ev.error_by_variants(_spelled(spark, sf, "salary"), splits(spark, _RARE), "k", "seniority", "salary", "raw")
+    return found.select("split_id", "seen", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), "n")
+
+
+@query("mae_salary", f"{P}, {_SALARY} SELECT split_id, round(avg(error), 4) AS mae, count(*) AS n FROM err GROUP BY ALL")
+def mae_salary(spark, sf):
+    """Absolute errors of the salary from running sums over its distinct values."""
+    p = people(spark, sf, "table_id", "matched_title", "seniority", "salary")
+    sums = ev.error_sums(p, splits(spark, SHUFFLED), "matched_title", "seniority", "salary", absolute=True)
+    return ev.mean_errors(sums, ["split_id"]).select("split_id", F.round("mae", 4).alias("mae"), "n")
 
 
 @query("partial_matching", f"""{P}, {_train('matched_title, title, seniority')}, v AS (SELECT DISTINCT matched_title, title FROM people),
@@ -173,15 +175,8 @@ def error_by_variants(spark, sf):
   USING (split_id, matched_title, seniority) GROUP BY ALL""")
 def partial_matching(spark, sf):
     p = people(spark, sf, "table_id", "matched_title", "title", "seniority", "salary")
-    train, test = ev.sides(splits(spark, SHUFFLED))
-    sums = p.groupBy("table_id", "title", "seniority").agg(F.sum("salary").alias("s"), F.count("*").alias("n"))
-    known = sums.join(train, "table_id").groupBy("split_id", "title", "seniority").agg(
-        (F.sum("s") / F.sum("n")).alias("estimate"))
-    pairs = p.select("matched_title", "title", "seniority").distinct()
-    answered = look.variant_lookup(p.join(test, "table_id"), pairs, known, ["matched_title", "seniority"],
-                                   ["title", "seniority"], by=["split_id"])
-    return agg.error_summary(answered.withColumn("error", F.abs(F.col("salary") - F.col("estimate"))), ["split_id"]).select(
-        "split_id", F.round("rmse", 4).alias("rmse"), "n")
+    sums = ev.partial_matching(p, splits(spark, SHUFFLED), "matched_title", "title", "seniority", "salary")
+    return ev.mean_errors(sums, ["split_id"]).select("split_id", F.round("rmse", 4).alias("rmse"), "n")
 
 
 _K = f"""fine AS (SELECT split_id, fine_title AS title, seniority, avg(salary) AS e, count(*) AS n FROM people JOIN splits USING (table_id)
@@ -197,9 +192,9 @@ _K = f"""fine AS (SELECT split_id, fine_title AS title, seniority, avg(salary) A
   LEFT JOIN k USING (split_id, title, seniority) JOIN x USING (split_id, seniority) GROUP BY ALL""")
 def fuzzy_estimator(spark, sf):
     p = fine(spark, sf, "table_id", "seniority", "salary")
-    errors = ev.cv_errors(p, splits(spark, SHUFFLED), "title", "seniority", "salary",
-                          similar=similar_titles(spark, sf, "fine_title"), threshold=T)
-    return agg.error_summary(errors, ["split_id"]).select("split_id", F.round("rmse", 4).alias("rmse"), "n")
+    sums = ev.error_sums(p, splits(spark, SHUFFLED), "title", "seniority", "salary",
+                         similar=similar_titles(spark, sf, "fine_title"), threshold=T)
+    return ev.mean_errors(sums, ["split_id"]).select("split_id", F.round("rmse", 4).alias("rmse"), "n")
 
 
 _TS = [0.9, 0.8, 0.7, 0.6, 0.5]

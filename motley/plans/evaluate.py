@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.operators.aggregates import cell_means, cell_sums, group_quantile, merge_cells
+from motley.operators.dictionary import range_bounds
 from motley.operators.joins import join_groups
 from motley.operators.lookups import (
-    estimate_lookup, grains_from_sums, kernel_join, variant_presence,
+    estimate_lookup, grains_from_sums, kernel_join, variant_lookup, variant_presence,
 )
 from motley.operators.sampling import stratified_downsample
 from motley.operators.vector_join import with_itself
@@ -74,13 +75,12 @@ def n_variants(df: DataFrame, splits: DataFrame, key: list[str], raw: list[str])
     return variant_presence(asked, pairs, seen, key, raw, by=["split_id"])
 
 
-def cv_errors(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: str, task: str = "salary",
-              similar: DataFrame | None = None, threshold: float | None = None, q: float = 0.75) -> DataFrame:
-    """Absolute error of every test row in every split.
+def cv_answers(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: str, task: str = "salary",
+               similar: DataFrame | None = None, threshold: float | None = None, q: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """The estimate of every test key in every split, and the counted table it was found from.
 
-    Matching & averaging, or with ``similar`` the kernel estimate.  For
-    quantiles the truth is the quantile of the test rows of the same key.  Null
-    keys are keys like any other; a row without a known truth has a null error.
+    Matching & averaging, or with ``similar`` the kernel estimate. For quantiles the answers
+    also have ``_truth``, the quantile of the test rows of the same key.
     """
     _, test = sides(splits)
     keys = [key] + ([exp] if exp else [])
@@ -100,7 +100,111 @@ def cv_errors(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: st
         answers = kernel_join(asked, grains, similar, threshold, key, exp, ["split_id"])
     if truth is not None:
         answers = join_groups(answers, truth, ["split_id", key], "left")
-    return _row_errors(df, test, answers, keys, y)
+    return answers, counted
+
+
+def cv_errors(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: str, task: str = "salary",
+              similar: DataFrame | None = None, threshold: float | None = None, q: float = 0.75) -> DataFrame:
+    """Absolute error of every test row in every split.
+
+    Null keys are keys like any other; a row without a known truth has a null error. Where
+    only means are wanted, ``error_sums`` finds them without a row per row and split.
+    """
+    _, test = sides(splits)
+    answers, _ = cv_answers(df, splits, key, exp, y, task, similar, threshold, q)
+    return _row_errors(df, test, answers, [key] + ([exp] if exp else []), y)
+
+
+def error_sums(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: str, task: str = "salary",
+               similar: DataFrame | None = None, threshold: float | None = None, q: float = 0.75,
+               absolute: bool = False) -> DataFrame:
+    """(split_id, key[, exp], n, squared[, absolute]): sums of the errors of the test rows of each cell.
+
+    ``n`` counts the rows whose error is known. Squared errors come from sums of y and its
+    square, absolute ones from running sums over the distinct values of y; the rows are
+    added up per table once, whatever the number of splits.
+    """
+    answers, counted = cv_answers(df, splits, key, exp, y, task, similar, threshold, q)
+    keys = ["split_id", key] + ([exp] if exp else [])
+    if task == "quantile":
+        _, test = sides(splits)
+        rows = counted.join(test, "table_id").groupBy(*keys).agg(F.sum("_n").alias("n"))
+        error = F.abs(F.col("_truth") - F.col("estimate"))
+        out = join_groups(rows, answers, keys).where(error.isNotNull())
+        return out.select(*keys, "n", (F.col("n") * error * error).alias("squared"), (F.col("n") * error).alias("absolute"))
+    squared = squared_error_sums(answers.select(*keys, "estimate"), counted, splits, key, exp).where(
+        F.col("squared").isNotNull() & (F.col("n") > 0)).select(*keys, "n", "squared")
+    if not absolute:
+        return squared
+    values = materialize(df.where(F.col(y).isNotNull()).groupBy("table_id", key, *([exp] if exp else []), y).agg(
+        F.count("*").alias("_n")), "values")
+    return join_groups(squared, absolute_error_sums(answers, values, splits, key, exp, y), keys, "left")
+
+
+def absolute_error_sums(answers: DataFrame, values: DataFrame, splits: DataFrame, key: str, exp: str | None, y: str,
+                        buckets: int = 64) -> DataFrame:
+    """(split_id, key[, exp], absolute): the sum of |y - estimate| over the test rows of each answered cell.
+
+    ``values`` has the number ``_n`` of rows per (table, key[, exp], y). With C rows and a sum of S up
+    to the estimate e, of N rows and a sum of T in all, the sum is e (2 C - N) + T - 2 S. An
+    estimate takes C and S from the last value not above it. The values of a key are cut
+    into buckets, so that a common key is not one task's.
+    """
+    _, test = sides(splits)
+    cell = ["table_id", key] + ([exp] if exp else [])
+    bounds = range_bounds(values, y, buckets)
+    bucket = lambda c: sum((F.when(F.col(c) > F.lit(x), 1).otherwise(0) for x in bounds), F.lit(0))
+    known = values.select(*cell, F.col(y).cast("double").alias("v"), "_n").withColumn("b", bucket("v"))
+    cells = values.select(*cell).distinct().join(test, "table_id")
+    asked = join_groups(cells, answers.where(F.col("estimate").isNotNull()).select("split_id", *cell[1:], "estimate"), ["split_id", *cell[1:]])
+    asked = asked.select("split_id", *cell, F.col("estimate").cast("double").alias("v")).withColumn("b", bucket("v"))
+    none = lambda kind: F.lit(None).cast(kind)
+    both = known.withColumn("split_id", none("int")).unionByName(asked.withColumn("_n", none("long")))
+    sums = both.groupBy(*cell, "b").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("v")).alias("_t"))
+    before = Window.partitionBy(*cell).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*cell)
+    nil = lambda c: F.coalesce(c, F.lit(0))
+    base = sums.select(*cell, "b", nil(F.sum("_n").over(before)).alias("_c"), nil(F.sum("_t").over(before)).alias("_s"),
+                       F.sum("_n").over(whole).alias("_all"), F.sum("_t").over(whole).alias("_sum"))
+    upto = Window.partitionBy(*cell, "b").orderBy("v", F.col("split_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.select("*", nil(F.sum("_n").over(upto)).alias("_cin"), nil(F.sum(F.col("_n") * F.col("v")).over(upto)).alias("_sin"))
+    found = join_groups(placed.where("split_id IS NOT NULL"), base, [*cell, "b"])
+    count, total = F.col("_c") + F.col("_cin"), F.col("_s") + F.col("_sin")
+    error = F.col("v") * (2 * count - F.col("_all")) + F.col("_sum") - 2 * total
+    return found.groupBy("split_id", *cell[1:]).agg(F.sum(error).alias("absolute"))
+
+
+def mean_errors(sums: DataFrame, by: list[str]) -> DataFrame:
+    """rmse, brier, n and, where there are absolute sums, mae of error sums."""
+    n = F.sum("n")
+    out = [F.sqrt(F.sum("squared") / n).alias("rmse"), (F.sum("squared") / n).alias("brier"), n.alias("n")]
+    if "absolute" in sums.columns:
+        out.append((F.sum("absolute") / n).alias("mae"))
+    return sums.groupBy(*by).agg(*out)
+
+
+def error_by_variants(df: DataFrame, splits: DataFrame, key: str, exp: str | None, y: str, raw: str) -> DataFrame:
+    """Errors per split for keys of which training knows no, one or many spellings."""
+    keys = [key] + ([exp] if exp else [])
+    known = n_variants(df, splits, keys, [raw] + ([exp] if exp else []))
+    kind = F.when(F.col("n_variants") == 0, "none").when(F.col("n_variants") == 1, "one").otherwise("many")
+    sums = join_groups(error_sums(df, splits, key, exp, y, absolute=True), known, ["split_id", *keys])
+    return mean_errors(sums.withColumn("seen", kind), ["split_id", "seen"])
+
+
+def partial_matching(df: DataFrame, splits: DataFrame, key: str, raw: str, exp: str, y: str) -> DataFrame:
+    """(split_id, key, exp, n, squared) of the estimate of one spelling of each test key that training knows.
+
+    Keys of which it knows none have the estimate -1.
+    """
+    train, test = sides(splits)
+    fine = materialize(df.groupBy("table_id", key, raw, exp).agg(
+        F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"), F.count(y).alias("n")), "sums")
+    known = fine.join(train, "table_id").groupBy("split_id", raw, exp).agg((F.sum("_s") / F.sum("n")).alias("estimate"))
+    asked = fine.join(test, "table_id").select("split_id", key, exp).distinct()
+    pairs = fine.select(key, raw, exp).distinct()
+    answers = variant_lookup(asked, pairs, known, [key, exp], [raw, exp], by=["split_id"])
+    return squared_error_sums(answers, fine, splits, key, exp)
 
 
 def _row_errors(df: DataFrame, test: DataFrame, answers: DataFrame, keys: list[str], y: str) -> DataFrame:
