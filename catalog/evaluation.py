@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import sql as Q
-from catalog.gaps import cells_sql, gap_sql
+from catalog.gaps import EFFECT, cells_sql, gap_sql, opposite_sql, smooth_sql
 from catalog.lookups import T, fine, similar_titles, title_vectors
 from catalog.registry import query
 from motley.functions import hashing
-from motley.operators import aggregates as agg
 from motley.operators import sampling
 from motley.plans import evaluate as ev
 from motley.plans import gap
@@ -236,13 +235,13 @@ def subset_sizes(spark, sf):
     return ev.subset_gaps(p, splits(spark, BY_SIZE)).withColumn("ate", F.round("ate", 4))
 
 
-@query("subset_fuzzy", f"""{P}, {splits_sql(BY_SIZE)} SELECT split_id, count(*) AS n_rows, true AS finite FROM people
-  JOIN splits USING (table_id) WHERE is_test = 1 GROUP BY split_id""")
+@query("subset_fuzzy", f"""{P}, {Q.similar(T, 'title')}, {splits_sql(BY_SIZE)}, {_SUBSET_CELLS}, {smooth_sql('split_id')}
+  SELECT split_id, round(sum(n * {EFFECT}) / sum(n), 4) AS ate, CAST(sum(n) AS BIGINT) AS n_rows FROM smooth GROUP BY split_id""")
 def subset_fuzzy(spark, sf):
-    """The fuzzy doubly robust gap over 1, 7 and all 14 tables; every row of a subset counts."""
+    """The fuzzy doubly robust gap over 1, 7 and all 14 tables."""
     p = people(spark, sf, "table_id", "title", "seniority", "employer", "ethnicity", "gender", "salary")
     out = ev.subset_fuzzy(p, splits(spark, BY_SIZE), similar_titles(spark, sf, "title"), T)
-    return out.select("split_id", "n_rows", agg.finite(F.col("ate")).alias("finite"))
+    return out.select("split_id", F.round("ate", 4).alias("ate"), "n_rows")
 
 
 MANY = sampling.group_shuffle_split(GROUPS, 40, 7, seed=3)
@@ -305,11 +304,15 @@ def sensitivity_sweep(spark, sf):
     return out.withColumn("ate", F.round("ate", 4))
 
 
-@query("sensitivity_opposite", f"""{P}, {_RUNS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id, men, gender ORDER BY
+@query("sensitivity_opposite", f"""{P}, {Q.similar(T, 'title')}, {_RUNS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id, men, gender ORDER BY
     {hashing.mixed_hash_sql('row_id', 'run_id')}, row_id) AS r, count(*) OVER (PARTITION BY run_id, men, gender) AS size
-    FROM people JOIN runs USING (table_id))
-  SELECT run_id, rate, count(*) AS n_rows, true AS is_share FROM numbered
-  WHERE r > CASE WHEN (men = 1) = (gender = 0) THEN floor(size * rate) ELSE 0 END GROUP BY run_id, rate""")
+    FROM people JOIN runs USING (table_id)),
+  down AS (SELECT * FROM numbered WHERE r > CASE WHEN (men = 1) = (gender = 0) THEN floor(size * rate) ELSE 0 END),
+  {cells_sql('down', 'title', 'run_id, rate, ')}, {opposite_sql('run_id, rate')},
+  used AS (SELECT run_id, rate, n, gap FROM fuzzy UNION ALL SELECT run_id, rate, n, y1 - y0 FROM cells WHERE n1 > 0 AND n0 > 0),
+  whole AS (SELECT run_id, rate, sum(n) AS total FROM cells GROUP BY ALL)
+  SELECT run_id, rate, round(sum(gap * n) / sum(n), 4) AS ate, CAST(any_value(total) AS BIGINT) AS n_rows, coalesce(sum(n), 0) / any_value(total) AS share_kept
+  FROM whole LEFT JOIN used USING (run_id, rate) GROUP BY run_id, rate""")
 def sensitivity_opposite(spark, sf):
     """The sweep with the estimator that borrows from similar cells of the other sex."""
     p = people(spark, sf, "row_id", "table_id", "title", "seniority", "employer", "ethnicity", "gender", "salary")
@@ -317,7 +320,7 @@ def sensitivity_opposite(spark, sf):
     near = similar_titles(spark, sf, "title")
     out = ev.sensitivity_sweep(p, runs, "row_id", hashing.widened(hashing.mixed_hash(F.col("row_id"), F.col("run_id"))),
                                lambda cells, by: gap.fuzzy_opposite_gap_of_cells(cells, near, T, by))
-    return out.select("run_id", "rate", "n_rows", F.col("share_kept").between(0, 1).alias("is_share"))
+    return out.select("run_id", "rate", F.round("ate", 4).alias("ate"), "n_rows", "share_kept")
 
 
 # score of a document: the last two digits of its length, against its label

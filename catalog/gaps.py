@@ -86,11 +86,19 @@ def _depleted(spark, sf):
     return down_sampled(fine(spark, sf, "row_id", "table_id", "seniority", "employer", "ethnicity", "gender", "salary"), 1.0)
 
 
-_OPPOSITE = f"""one AS (SELECT *, CAST(n0 = 0 AS INTEGER) AS sex, coalesce(y1, y0) AS y FROM cells WHERE n1 = 0 OR n0 = 0),
-  met AS (SELECT a.title, a.seniority, a.employer, a.ethnicity, a.sex, a.n, a.y, avg(b.y) AS yy FROM one a JOIN near_titles s ON s.title = a.title
+def opposite_sql(by: str = "") -> str:
+    """CTE fuzzy: one-sex cells beside the mean of similar cells of the other sex, per run if there are any."""
+    keys = [c.strip() for c in by.split(",") if c.strip()]
+    own, same = "".join(f"a.{c}, " for c in keys), "".join(f" AND b.{c} = a.{c}" for c in keys)
+    named = "".join(f"{c}, " for c in keys)
+    return f"""one AS (SELECT *, CAST(n0 = 0 AS INTEGER) AS sex, coalesce(y1, y0) AS y FROM cells WHERE n1 = 0 OR n0 = 0),
+  met AS (SELECT {own}a.title, a.seniority, a.employer, a.ethnicity, a.sex, a.n, a.y, avg(b.y) AS yy FROM one a JOIN near_titles s ON s.title = a.title
     JOIN one b ON b.title = s.other AND b.seniority = a.seniority AND b.employer = a.employer AND b.ethnicity = a.ethnicity
-    AND b.sex = 1 - a.sex GROUP BY ALL),
-  fuzzy AS (SELECT title, seniority, employer, ethnicity, sex, n, CASE sex WHEN 1 THEN y - yy ELSE yy - y END AS gap FROM met)"""
+    AND b.sex = 1 - a.sex{same} GROUP BY ALL),
+  fuzzy AS (SELECT {named}title, seniority, employer, ethnicity, sex, n, CASE sex WHEN 1 THEN y - yy ELSE yy - y END AS gap FROM met)"""
+
+
+_OPPOSITE = opposite_sql()
 _DEPLETED = f"""{P}, {Q.similar(T, 'fine_title')}, {_down_sql(1.0)}, {cells_sql('down', 'fine_title')}"""
 
 
@@ -109,12 +117,21 @@ def fuzzy_opposite_gap(spark, sf):
     return rounded(gap.fuzzy_opposite_gap(_depleted(spark, sf), similar_titles(spark, sf, "fine_title"), T))
 
 
-_SMOOTH = f"""smooth AS (SELECT a.title, a.seniority, a.employer, a.ethnicity, a.n, a.n1, a.n0, a.y1, a.y0,
+def smooth_sql(by: str = "") -> str:
+    """CTE smooth: cells with the kernel means of similar cells, per subset if there are any."""
+    own, same = (f"a.{by}, ", f" AND b.{by} = a.{by}") if by else ("", "")
+    return f"""smooth AS (SELECT {own}a.title, a.seniority, a.employer, a.ethnicity, a.n, a.n1, a.n0, a.y1, a.y0,
   sum(w * b.n1 / b.n) / sum(w) AS e, sum(w * b.y1) / sum(w) FILTER (b.n1 > 0) AS mu1, sum(w * b.y0) / sum(w) FILTER (b.n0 > 0) AS mu0,
   CAST(sum(b.n1) AS BIGINT) AS men, CAST(sum(b.n0) AS BIGINT) AS women
   FROM cells a JOIN (SELECT title, other, {Q.kernel(T)} AS w FROM near_titles WHERE {Q.kernel(T)} > 0) s ON s.title = a.title
   JOIN cells b ON b.title = s.other AND b.employer = a.employer AND b.ethnicity = a.ethnicity
-    AND abs(a.seniority - b.seniority) <= 2 GROUP BY ALL)"""
+    AND abs(a.seniority - b.seniority) <= 2{same} GROUP BY ALL)"""
+
+
+# doubly robust effect of a row of ``smooth``
+EFFECT = """CASE WHEN men = 0 THEN -n0 * coalesce(y0, 0) / n WHEN women = 0 THEN n1 * coalesce(y1, 0) / n
+  ELSE (n1 * (coalesce(y1, 0) - mu1) / e - n0 * (coalesce(y0, 0) - mu0) / (1 - e)) / n + mu1 - mu0 END"""
+_SMOOTH = smooth_sql()
 _FUZZY = f"{P}, {Q.similar(T, 'fine_title')}, {cells_sql('people', 'fine_title')}, {_SMOOTH}"
 
 
@@ -127,10 +144,7 @@ def fuzzy_band_join(spark, sf):
                       F.round("mu1", 4).alias("mu1"), F.round("mu0", 4).alias("mu0"))
 
 
-@query("fuzzy_aipw", f"""{_FUZZY} SELECT round(sum(n * CASE WHEN men = 0 THEN -n0 * coalesce(y0, 0) / n
-  WHEN women = 0 THEN n1 * coalesce(y1, 0) / n
-  ELSE (n1 * (coalesce(y1, 0) - mu1) / e - n0 * (coalesce(y0, 0) - mu0) / (1 - e)) / n + mu1 - mu0 END) / sum(n), 4) AS ate,
-  CAST(sum(n) AS BIGINT) AS n_rows FROM smooth""")
+@query("fuzzy_aipw", f"{_FUZZY} SELECT round(sum(n * {EFFECT}) / sum(n), 4) AS ate, CAST(sum(n) AS BIGINT) AS n_rows FROM smooth")
 def fuzzy_aipw(spark, sf):
     p = fine(spark, sf, "seniority", "employer", "ethnicity", "gender", "salary")
     return rounded(gap.fuzzy_aipw(p, similar_titles(spark, sf, "fine_title"), T))

@@ -270,14 +270,6 @@ def hstack_features(spark, sf):
         F.element_at("f", 1).alias("first"), F.element_at("f", -1).alias("last"))
 
 
-@query("reverse_embedding", """SELECT vec_id, i, x FROM (SELECT vec_id, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM (
-  SELECT vec_id, CASE WHEN label IN (1, 3, 5) THEN list_reverse(embedding) ELSE embedding END AS v FROM embeddings))""")
-def reverse_embedding(spark, sf):
-    turned = vectors.reverse_embedding(F.col("embedding"), F.col("label"), [1, 3, 5])
-    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(turned).alias("i", "x")).select(
-        "vec_id", (F.col("i") + 1).cast("bigint").alias("i"), "x")
-
-
 @query("l2_normalize", """SELECT vec_id, i, round(x / sqrt(s), 6) AS x FROM (
   SELECT vec_id, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x, list_inner_product(v, v) AS s
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))""")

@@ -34,3 +34,10 @@ def hstack(*blocks: Column) -> Column:
 
 def scalar_block(c: Column) -> Column:
     return F.array(c.cast("double"))
+
+
+def usable(vec: Column, size: int | None = None) -> Column:
+    """Whether a vector is there, has no null component and, if given, the size; never null."""
+    whole = vec.isNotNull() & ~F.exists(F.coalesce(vec, F.array().cast("array<double>")), lambda x: x.isNull())
+    whole = whole if size is None else whole & (F.size(vec) == size)
+    return F.coalesce(whole, F.lit(False))

@@ -22,6 +22,7 @@ from motley.functions.binding import let
 from motley.functions.grams import ngram_count, padded, preprocess, windows
 from motley.functions.hashing import reseeded, seeded
 from motley.functions.similarity import METRICS
+from motley.functions.vectors import usable
 from motley.operators.aggregates import target_stats, top_k_frequent, value_counts
 from motley.operators.components import components
 from motley.operators.dictionary import check_known, dense_ids, spread
@@ -62,7 +63,7 @@ class SimilarityEncoder(Estimator):
         if handle_unknown not in ("error", "ignore"):
             raise ValueError(f"handle_unknown={handle_unknown!r}: allowed are 'error' and 'ignore'")
         if similarity not in ("ngram", "levenshtein-ratio", "jaro", "jaro-winkler"):
-            raise ValueError(f"Unknown similarity: {similarity!r}")
+            raise ValueError(f"similarity={similarity!r}: allowed are ngram, levenshtein-ratio, jaro and jaro-winkler")
         if hashing_dim is not None and not isinstance(hashing_dim, int):
             raise ValueError(f"hashing_dim={hashing_dim!r}: allowed are None and whole numbers")
         if categories in ("most_frequent", "k-means") and not (isinstance(n_prototypes, int) and n_prototypes > 0):
@@ -348,14 +349,20 @@ def rbf_features(df: DataFrame, vec: str, n_components: int, gamma: float, seed:
     """Random Fourier features of a vector column: cos(x W + b) * sqrt(2 / D).
 
     The random matrix is drawn from the seed inside each task, so its size
-    (dimensions x components) is all that any task holds.
+    (dimensions x components) is all that any task holds. Rows without a vector, or with a null
+    in it, have null features.
     """
     @F.pandas_udf("array<double>")
     def project(column: pd.Series) -> pd.Series:
-        x = np.stack(column.to_numpy())
+        out = pd.Series([None] * len(column), dtype=object)
+        known = column.notna().to_numpy()
+        if not known.any():
+            return out
+        x = np.stack(column[known].to_numpy()).astype(float)
         rng = np.random.RandomState(seed)
         w = np.sqrt(2 * gamma) * rng.normal(size=(x.shape[1], n_components))
         b = rng.uniform(0, 2 * np.pi, size=n_components)
-        return pd.Series(list(np.sqrt(2.0 / n_components) * np.cos(x @ w + b)))
+        out[known] = pd.Series(list(np.sqrt(2.0 / n_components) * np.cos(x @ w + b)), index=out.index[known])
+        return out
 
-    return df.withColumn(output, project(F.col(vec)))
+    return df.withColumn(output, project(F.when(usable(F.col(vec)), F.col(vec))))

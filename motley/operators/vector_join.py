@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motley.functions.hashing import seeded
-from motley.functions.vectors import l2_norm, l2_normalize
+from motley.functions.vectors import l2_norm, l2_normalize, usable
 from motley.operators.joins import join_groups
 from motley.workdir import materialize
 
@@ -196,7 +196,8 @@ def knn_values(vectors: DataFrame, key: str, vec: str, queries: list[tuple[str,
     """(query, value, dist, rank): the k rows nearest to each given point.
 
     ``queries`` is a short driver-side list.  Each partition keeps its k best
-    per point, so only k rows per point and partition are shuffled.
+    per point, so only k rows per point and partition are shuffled. Rows without a vector, with a
+    null in it, or of another size than the points take no part.
     """
     names = [q for q, _ in queries]
     points = np.array([p for _, p in queries], dtype=float)
@@ -205,6 +206,8 @@ def knn_values(vectors: DataFrame, key: str, vec: str, queries: list[tuple[str,
     def best(batches):
         held: list[pd.DataFrame] = []
         for pdf in batches:
+            if pdf.empty:
+                continue
             dist = _distances(points, np.stack(pdf[vec].to_numpy()).astype(float))
             for q, row in enumerate(dist):
                 held.append(pd.DataFrame({"query": names[q], "value": pdf[key].to_numpy(), "dist": row}))
@@ -212,7 +215,8 @@ def knn_values(vectors: DataFrame, key: str, vec: str, queries: list[tuple[str,
             held = [both.groupby("query").head(k)]
         yield from held
 
-    found = vectors.select(key, vec).mapInPandas(best, f"query string, value {kind}, dist double")
+    known = vectors.select(key, F.col(vec).cast("array<double>").alias(vec)).where(usable(F.col(vec), points.shape[-1]))
+    found = known.mapInPandas(best, f"query string, value {kind}, dist double")
     order = Window.partitionBy("query").orderBy("dist", "value")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

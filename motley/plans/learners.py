@@ -19,6 +19,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motley.functions.vectors import usable
 from motley.operators.aggregates import cell_sums, group_quantile, merge_cells
 from motley.operators.encoders import rbf_features
 from motley.operators.joins import join_groups
@@ -242,11 +243,15 @@ def ridge(cells: DataFrame, stages: list, penalties: list[float], folds: int = 3
 
 def kernel_classifier(df: DataFrame, vec: str, y: str, n_components: int = 100, gamma: float = 0.5, seed: int = 42,
                       max_iter: int = 20):
-    """Random Fourier features and a linear SVM; gives the function that predicts."""
+    """Random Fourier features and a linear SVM; gives the function that predicts.
+
+    Rows without a vector or label are not learnt from; without a vector the prediction is null.
+    """
     ready = lambda d: rbf_features(d, vec, n_components, gamma, seed, "_rbf").withColumn(
         "features", array_to_vector("_rbf"))
-    model = LinearSVC(labelCol=y, maxIter=max_iter).fit(ready(df))
-    return lambda d: model.transform(ready(d)).drop("_rbf")
+    known = usable(F.col(vec))
+    model = LinearSVC(labelCol=y, maxIter=max_iter).fit(ready(df.where(known & F.col(y).isNotNull())))
+    return lambda d: model.transform(ready(d.where(known))).drop("_rbf").unionByName(d.where(~known), allowMissingColumns=True)
 
 
 def forest_classifier(df: DataFrame, label: str, trees: int = 20, depth: int = 5, seed: int = 1) -> PipelineModel:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motley.functions.vectors import usable
 from motley.operators.aggregates import target_stats
 from motley.operators.topics import TopicModel, TopicParams, load_topics, partial_fit_topics, save_topics
 from motley.workdir import exists, fresh_path, read_settings, write_settings
@@ -108,8 +109,9 @@ class OnlineLinear:
         self.total = np.zeros(self.dim + 1)
 
     def partial_fit(self, rows: DataFrame, vec: str, y: str) -> "OnlineLinear":
-        """Steps on one chunk of (vector, 0/1 label) rows."""
-        data = rows.select(F.col(vec).alias("x"), (2 * F.col(y) - 1).cast("double").alias("y")).persist()
+        """Steps on one chunk of (vector, 0/1 label) rows; rows without a label or a whole vector of the size are not learnt from."""
+        known = rows.where(usable(F.col(vec), self.dim) & F.col(y).isNotNull())
+        data = known.select(F.col(vec).alias("x"), (2 * F.col(y) - 1).cast("double").alias("y")).persist()
         for _ in range(self.steps):
             gradient, n = self._gradient(data)
             if n == 0:
@@ -159,13 +161,17 @@ class OnlineLinear:
         return self.total / self.seen if self.average and self.seen else self.w
 
     def predict(self, df: DataFrame, vec: str, output: str = "prediction") -> DataFrame:
+        """Add the predicted label; null where there is no whole vector of the size."""
         w = self.weights()
 
         @F.pandas_udf("int")
         def side(x: pd.Series) -> pd.Series:
-            return pd.Series((np.stack(x.to_numpy()).astype(float) @ w[:-1] + w[-1] > 0).astype("int32"))
+            out, known = pd.Series([None] * len(x), dtype="Int32"), x.notna().to_numpy()
+            if known.any():
+                out[known] = (np.stack(x[known].to_numpy()).astype(float) @ w[:-1] + w[-1] > 0).astype("int32")
+            return out
 
-        return df.withColumn(output, side(F.col(vec)))
+        return df.withColumn(output, side(F.when(usable(F.col(vec), self.dim), F.col(vec))))
 
 
 def online_linear(stream: DataFrame, vec: str, y: str, dim: int, path: str, **options) -> OnlineLinear | None:

@@ -9,10 +9,11 @@ from motley.operators import encoders as enc
 from motley.operators import lookups as look
 from motley.operators.dictionary import canonicalize_by_words
 from motley.operators.sampling import stratified_downsample, stratified_kfold
-from motley.operators.vector_join import embed_titles, similar_pairs
+from motley.operators.vector_join import embed_titles, knn_values, nearest_prototype, similar_pairs
 from motley.plans import evaluate as ev
 from motley.plans import gap
 from motley.plans import learners as ml
+from motley.streaming.chunks import OnlineLinear
 
 TITLES = ["police officer", "officer police", "bus driver", "unheard title", "zero word", None]
 
@@ -141,3 +142,32 @@ def test_quantiles_of_uneven_values(spark):
     for q in (0.0, 0.3, 0.75, 1.0):
         for r in agg.group_quantile(df, ["k"], "y", q, buckets=8).collect():
             assert r.estimate == pytest.approx(np.quantile(values[r.k], q), rel=1e-9) and r.n == len(values[r.k])
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    rows = [(i, None if i % 5 == 0 else [float(i % 7), None if i % 11 == 0 else 1.0] + [0.5] * (i == 13), i % 2) for i in range(40)]
+    return spark.createDataFrame(rows, "id long, v array<double>, y int"), {i for i in range(40) if i % 5 and i % 11 and i != 13}
+
+
+def test_rows_without_a_vector(spark, gappy):
+    df, known = gappy
+    near = knn_values(df, "id", "v", [("q", [3.0, 1.0])], 50).collect()
+    assert {r.value for r in near} == known
+    assert nearest_prototype(df, "id", "v", [[6.0, 1.0]]).first().value in {i for i in known if i % 7 == 6}
+    same = df.where("id <> 13")  # one size
+    made = {r.id: r.features for r in enc.rbf_features(same, "v", 6, 0.5).collect()}
+    assert {i for i, f in made.items() if f is not None} == known and all(len(made[i]) == 6 for i in known)
+    assert enc.rbf_features(same.where("v IS NULL"), "v", 6, 0.5).where("features IS NULL").count() == 8
+
+
+def test_classifiers_without_a_vector(spark, gappy):
+    df, known = gappy
+    same = df.where("id <> 13").withColumn("y", F.when(F.col("id") == 1, None).otherwise((F.element_at("v", 1) > 3).cast("int")))
+    same = same.withColumn("y", F.coalesce("y", F.when(F.col("id") != 1, 0)))
+    found = {r.id: r.prediction for r in ml.kernel_classifier(same, "v", "y", 20, 0.5)(same).collect()}
+    assert len(found) == 39 and {i for i, p in found.items() if p is not None} == known
+    model = OnlineLinear(2).partial_fit(df.withColumn("y", F.when(F.col("id") != 1, F.col("y"))), "v", "y")
+    found = {r.id: r.prediction for r in model.predict(df, "v").collect()}
+    assert model.seen == 5 and len(found) == 40 and {i for i, p in found.items() if p is not None} == known
+    assert OnlineLinear(2).partial_fit(df.where("v IS NULL"), "v", "y").seen == 0
