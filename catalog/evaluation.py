@@ -304,6 +304,27 @@ def sensitivity_sweep(spark, sf):
     return out.withColumn("ate", F.round("ate", 4))
 
 
+MANY_RUNS = [(r * 100 + k, rate, g, int(g in men)) for r, rate in enumerate((0.0, 0.3, 0.55, 0.75, 0.88, 1.0))
+             for k, men in enumerate(sampling.group_shuffle_split(GROUPS, 20, 7, seed=10 + r)) for g in GROUPS]
+_MANY_SQL = "runs(run_id, rate, table_id, men) AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({r}, {rate}::DOUBLE, {g}, {m})" for r, rate, g, m in MANY_RUNS) + "))"
+_WIDTH = -(-hashing.MODULUS // ev.PLACES)
+
+
+@query("sensitivity_sweep_sums", f"""{P}, {_MANY_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id, men, gender ORDER BY
+    ({hashing.mixed_hash_sql('row_id')} - (run_id * 389) % {ev.PLACES} * {_WIDTH} + {ev.PLACES * _WIDTH}) % {ev.PLACES * _WIDTH}, row_id) AS r,
+    count(*) OVER (PARTITION BY run_id, men, gender) AS size FROM people JOIN runs USING (table_id)),
+  down AS (SELECT * FROM numbered WHERE r > CASE WHEN (men = 1) = (gender = 0) THEN floor(size * rate) ELSE 0 END),
+  {cells_sql('down', 'title', 'run_id, rate, ')} {gap_sql(True, 'run_id, rate, ')} GROUP BY run_id, rate""")
+def sensitivity_sweep_sums(spark, sf):
+    """Twenty runs for each of six rates, from sums per hash bucket."""
+    p = people(spark, sf, "row_id", "table_id", "title", "seniority", "employer", "ethnicity", "gender", "salary")
+    runs = spark.createDataFrame(MANY_RUNS, "run_id INT, rate DOUBLE, table_id INT, men INT")
+    out = ev.sensitivity_sweep_sums(p, runs, "row_id", hashing.mixed_hash(F.col("row_id")), hashing.MODULUS,
+                                    lambda cells, by: gap.gap_of_cells(cells, by=by))
+    return out.withColumn("ate", F.round("ate", 4))
+
+
 @query("sensitivity_opposite", f"""{P}, {Q.similar(T, 'title')}, {_RUNS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id, men, gender ORDER BY
     {hashing.mixed_hash_sql('row_id', 'run_id')}, row_id) AS r, count(*) OVER (PARTITION BY run_id, men, gender) AS size
     FROM people JOIN runs USING (table_id)),

@@ -398,3 +398,75 @@ def sensitivity_sweep(df: DataFrame, runs: DataFrame, row_id: str, hashed: Colum
     left = stratified_downsample(thinned, [*by, "men"], row_id, F.col("rate"), hashed)
     cells = merge_cells(stays.unionByName(cell_sums(left, keys)), keys)
     return estimator(cell_means(cells), by)
+
+
+PLACES = 1024
+
+
+def run_offset(run: Column, modulus: int, places: int = PLACES) -> Column:
+    """Where on the circle of hashes a run begins to drop rows: at the edge of one of the buckets."""
+    return F.pmod(run * 389, F.lit(places)) * -(-modulus // places)
+
+
+def sensitivity_sweep_sums(df: DataFrame, runs: DataFrame, row_id: str, hashed: Column, modulus: int,
+                           estimator: Callable[[DataFrame, list[str]], DataFrame], places: int = PLACES) -> DataFrame:
+    """``sensitivity_sweep`` for very many runs: rows have one hash, and a run its own place to start from.
+
+    ``hashed`` is below ``modulus``. Rows are added up once per (cell, table, sex, bucket of the
+    hash). A run drops the rows from its start on, round the circle, until its share is gone:
+    whole buckets, known from running sums over the buckets, and a part of one bucket, the
+    only one whose rows are looked at. So rows never meet runs, but for a ``places``-th of them.
+    """
+    by, cover = ["run_id", "rate"], list(COVARIATES)
+    width = -(-modulus // places)
+    tagged = df.select("table_id", "gender", *cover, "salary", F.col(row_id).alias("_id"), hashed.cast("long").alias("_h"))
+    tagged = tagged.withColumn("_b", F.floor(F.col("_h") / width).cast("int"))
+    own = ["table_id", "gender", *cover]
+    sums = materialize(tagged.groupBy(*own, "_b").agg(F.count("*").alias("n"), F.sum("salary").alias("s"), F.count("salary").alias("c")), "buckets")
+    runs = F.broadcast(runs.withColumn("_k", (run_offset(F.col("run_id"), modulus, places) / width).cast("int")))
+    thinned = (F.col("men") == 1) == (F.col("gender") == 0)
+
+    # the bucket that holds the cut of each run and side
+    turned = F.pmod(F.col("_b") - F.col("_k"), F.lit(places))
+    sides_of = sums.groupBy("table_id", "gender", "_b").agg(F.sum("n").alias("n")).join(runs.where("rate < 1"), "table_id").where(thinned)
+    counted = sides_of.groupBy(*by, "men", "gender", "_k", "_b").agg(F.sum("n").alias("n")).withColumn("_o", turned)
+    side = Window.partitionBy(*by, "men", "gender")
+    placed = counted.withColumns({"_upto": F.sum("n").over(side.orderBy("_o")), "_size": F.sum("n").over(side)})
+    need = F.floor(F.col("_size") * F.col("rate"))
+    cuts = placed.where((F.col("_upto") >= need) & (F.col("_upto") - F.col("n") < need)).select(
+        *by, "men", "gender", F.col("_b").alias("_cut"), (need - F.col("_upto") + F.col("n")).alias("_need"))
+    # a run that drops nothing has no cut: it keeps all buckets, as if it had ended just before its first one
+    asked = runs.where("rate < 1").withColumn("gender", F.when(F.col("men") == 1, 0).otherwise(1)).join(cuts, [*by, "men", "gender"], "left")
+    asked = materialize(asked, "cuts")
+
+    # all rows beyond the cut, from running sums: those up to the start, less those up to the cut, and a whole turn if that lies behind
+    cells = sums.select(*own).distinct()
+    ends = join_groups(cells, asked.select("table_id", "gender", *by, "men", F.explode(F.array(
+        F.struct((F.col("_k") - 1).alias("_b"), F.lit(1).alias("sign")),
+        F.struct(F.coalesce("_cut", F.col("_k") - 1).alias("_b"), F.lit(-1).alias("sign")))).alias("e")).select(
+            "table_id", "gender", *by, "men", "e._b", "e.sign"), ["table_id", "gender"])
+    nil = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = sums.unionByName(ends, allowMissingColumns=True)
+    upto = Window.partitionBy(*own).orderBy("_b", F.col("run_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    running = both.select(*own, *by, "men", "sign", *(F.sum(nil(x)).over(upto).alias(x) for x in ("n", "s", "c"))).where("run_id IS NOT NULL")
+    span = running.groupBy(*own, *by, "men").agg(*(F.sum(F.col(x) * F.col("sign")).alias(x) for x in ("n", "s", "c")))
+    turn = asked.select("table_id", "gender", *by, "men", (F.col("_cut").isNull() | (F.col("_cut") >= F.col("_k"))).alias("_turn"))
+    total = sums.groupBy(*own).agg(*(F.sum(x).alias(f"_{x}") for x in ("n", "s", "c")))
+    kept = join_groups(join_groups(span, turn, ["table_id", "gender", *by, "men"]), total, own)
+    kept = kept.select(*own, *by, *((F.col(x) + F.when(F.col("_turn"), nil(f"_{x}")).otherwise(0)).alias(x) for x in ("n", "s", "c")))
+
+    # the rows of the cut bucket beyond the cut
+    opened = tagged.join(F.broadcast(asked.where("_cut IS NOT NULL").select("table_id", "gender", *by, "men", F.col("_cut").alias("_b"), "_need")),
+                         ["table_id", "gender", "_b"])
+    inside = Window.partitionBy(*by, "men", "gender").orderBy("_h", "_id")
+    opened = opened.withColumn("_r", F.row_number().over(inside)).where(F.col("_r") > F.col("_need"))
+    opened = opened.groupBy(*own, *by).agg(F.count("*").alias("n"), F.sum("salary").alias("s"), F.count("salary").alias("c"))
+
+    stays = sums.groupBy(*own).agg(*(F.sum(x).alias(x) for x in ("n", "s", "c"))).join(runs, "table_id").where(~thinned)
+    parts = stays.select(*own, *by, "n", "s", "c").unionByName(kept).unionByName(opened).where("n > 0")
+    men, women = F.col("gender") == 1, F.col("gender") == 0
+    merged = parts.groupBy(*by, *cover).agg(
+        F.sum("n").alias("n"), F.sum(F.when(men, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(women, F.col("n")).otherwise(0)).alias("n0"),
+        F.sum(F.when(men & (F.col("c") > 0), F.col("s"))).alias("s1"), F.sum(F.when(women & (F.col("c") > 0), F.col("s"))).alias("s0"),
+        F.sum(F.when(men, F.col("c")).otherwise(0)).alias("c1"), F.sum(F.when(women, F.col("c")).otherwise(0)).alias("c0"))
+    return estimator(cell_means(merged), by)
