@@ -15,6 +15,7 @@ from motley.operators import sampling
 from motley.operators.aggregates import finite
 from motley.operators.encoders import words_of
 from motley.plans import learners as ml
+from motley.plans import ridge as rg
 from motley.plans.gap import COVARIATES
 from motley.sources.people import people, table
 from motley.workdir import materialize
@@ -124,6 +125,22 @@ def ridge(spark, sf):
     return found.select(*COVARIATES, "gender", _within(cells, "label").alias("in_range"), fits.alias("beats_mean"))
 
 
+@query("ridge_sums", f"""{P}, m AS (SELECT stddev_pop(salary) AS sy, stddev_pop(seniority) AS s1, stddev_pop(gender) AS s2, corr(seniority, gender) AS r,
+    corr(seniority, salary) AS r1, corr(gender, salary) AS r2, avg(salary) AS y, avg(seniority) AS x1, avg(gender) AS x2 FROM people),
+  c AS (SELECT *, 1 + 1000 / sy AS d FROM m),
+  b AS (SELECT *, (d * r1 - r * r2) / (d * d - r * r) * sy / s1 AS b1, (d * r2 - r * r1) / (d * d - r * r) * sy / s2 AS b2 FROM c)
+  SELECT 'seniority' AS term, round(b1, 6) AS value FROM b UNION ALL SELECT 'gender', round(b2, 6) FROM b
+  UNION ALL SELECT 'intercept', round(y - b1 * x1 - b2 * x2, 6) FROM b""")
+def ridge_sums(spark, sf):
+    """Salary by experience and sex with a penalty of 1000, from sums per fold."""
+    p = people(spark, sf, "row_id", "seniority", "gender", "salary").select(
+        F.pmod("row_id", F.lit(3)).alias("fold"), F.array("seniority", "gender").cast("array<double>").alias("features"),
+        F.col("salary").alias("label"), F.lit(1.0).alias("n"))
+    line = rg.ridge_from_sums(p, [1000.0], "fold", 3)
+    rows = [*zip(("seniority", "gender"), map(float, line.coefficients)), ("intercept", float(line.intercept))]
+    return spark.createDataFrame(rows, "term STRING, value DOUBLE").withColumn("value", F.round("value", 6))
+
+
 def _worded(spark, sf):
     """All documents with hashed word counts, and their labels where they have one."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(

@@ -347,21 +347,22 @@ def accuracy(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> Data
     return df.groupBy(*(by or [])).agg(F.avg((F.col(y) == F.col(p)).cast("double")).alias("accuracy"))
 
 
-def average_precision(df: DataFrame, y: str, score: str, buckets: int = 4096) -> DataFrame:
+def average_precision(df: DataFrame, y: str, score: str, buckets: int = 1024) -> DataFrame:
     """Sum over falling scores of precision times the gain in recall.
 
-    Rows are added up per score, scores are cut into buckets, and running
-    totals go over the buckets first, then inside each.
+    Rows are added up per score. Scores are cut at quantiles of a sample chosen by hash, so
+    that single far ones do not leave the others in one bucket; running totals go over
+    the buckets first, then inside each.
     """
-    tied = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    ends = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.sum(y).alias("all"))
-    lo, hi, total = ends.first()
+    tied = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
+    total = df.where(F.col(score).isNotNull()).agg(F.sum(y)).first()[0]
     if not total:
         return df.sparkSession.createDataFrame([(0.0,)], "average_precision DOUBLE")
-    span = float(hi - lo) or 1.0
-    tagged = tied.withColumn("_b", F.floor((F.lit(float(hi)) - F.col(score)) / span * (buckets - 1)))
+    bounds = range_bounds(tied, score, buckets)
+    below = F.filter(F.array(*(F.lit(x) for x in bounds)), lambda x: F.col(score) <= x) if bounds else F.array()
+    tagged = materialize(tied.withColumn("_b", F.size(below)), "scores")
     sums = tagged.groupBy("_b").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
-    upto = Window.orderBy("_b")
+    upto = Window.orderBy("_b")  # a row per bucket
     before = sums.select("_b", (F.sum("_n").over(upto) - F.col("_n")).alias("_n"),
                          (F.sum("_p").over(upto) - F.col("_p")).alias("_p"))
     inside = Window.partitionBy("_b").orderBy(F.desc(score))

@@ -52,3 +52,19 @@ def test_no_rows(spark):
     assert ev.error_sums(df.limit(0), splits, "key", "exp", "y", absolute=True).count() == 0
     none = ev.error_sums(df.withColumn("y", F.lit(None).cast("double")), splits, "key", "exp", "y", absolute=True)
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("buckets", [3, 1024])
+def test_average_precision_with_an_outlier(spark, buckets):
+    """One far score leaves the others in buckets of about the same size; ties count together."""
+    rng = np.random.default_rng(1)
+    rows = [(int(rng.integers(2)), float(rng.integers(300)) / 100) for _ in range(2_000)] + [(1, 1e12), (0, -1e12)]
+    scores = sorted({s for _, s in rows}, reverse=True)
+    seen = hits = want = 0
+    for s in scores:
+        here = [y for y, x in rows if x == s]
+        seen, hits = seen + len(here), hits + sum(here)
+        want += hits / seen * sum(here) / sum(y for y, _ in rows)
+    df = spark.createDataFrame([*rows, (1, None)], "y INT, score DOUBLE")
+    assert ev.average_precision(df, "y", "score", buckets).first()[0] == pytest.approx(want)
+    assert ev.average_precision(df.where("y = 0"), "y", "score").first()[0] == 0
