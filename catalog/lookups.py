@@ -10,6 +10,7 @@ from catalog import sql as Q
 from catalog.registry import query
 from motley.operators import dictionary as dic
 from motley.operators import lookups as look
+from motley.operators import subwords as sub
 from motley.operators import vector_join as vec
 from motley.sources.people import people, table, titles, word_vectors
 from motley.workdir import materialize
@@ -89,6 +90,28 @@ def embed_titles(spark, sf):
         "title", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
+def _cut(source: str) -> str:
+    """Distinct n-grams of 3 to 5 characters of marked words."""
+    return f"""SELECT DISTINCT word, substr(m, i, k) AS gram FROM (SELECT *, unnest(range(1, length(m) - k + 2)) AS i FROM
+    (SELECT word, '<' || word || '>' AS m FROM {source}), (SELECT unnest([3, 4, 5]) AS k) WHERE length(m) >= k)"""
+
+
+@query("subword_vectors", f"""WITH {Q.TITLES}, {Q.WORD_VECTORS}, pieces AS ({_cut('word_vectors')}),
+  dims AS (SELECT gram, i, avg(x) AS x FROM (SELECT gram, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM pieces JOIN word_vectors USING (word))
+    GROUP BY gram, i),
+  typed AS (SELECT DISTINCT left(word, 1) || substr(word, 3) AS word FROM word_vectors),
+  other AS (SELECT word FROM typed WHERE word NOT IN (SELECT word FROM word_vectors)), bits AS ({_cut('other')}),
+  made AS (SELECT word, i, avg(x) AS x FROM bits JOIN dims USING (gram) GROUP BY word, i)
+  SELECT word, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY word)), 6) AS x FROM made""")
+def subword_vectors(spark, sf):
+    """Vectors for words typed without their second letter, from the n-grams they share with known words."""
+    known = word_vectors(spark, sf)
+    typed = known.select(F.concat(F.left("word", F.lit(1)), F.substr("word", F.lit(3))).alias("word"))
+    found = sub.vectors_of_words(typed, known, sub.gram_vectors(known)).where("NOT known AND vector IS NOT NULL")
+    return found.select("word", F.posexplode("vector").alias("i", "x")).select(
+        "word", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
 @query("similar_titles", f"WITH {Q.TITLES}, {Q.similar(T, 'fine_title')} SELECT title, other, round(cos, 6) AS cos FROM near_titles")
 def similar(spark, sf):
     return similar_titles(spark, sf, "fine_title").withColumn("cos", F.round("cos", 6))
