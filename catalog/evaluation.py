@@ -99,6 +99,20 @@ def cv_errors_quantile(spark, sf):
         "split_id", "row_id", F.round("error", 4).alias("error"))
 
 
+@query("quantile_sketches", f"""{P}, {splits_sql(sampling.group_shuffle_split(GROUPS, 40, 7, seed=3))} SELECT split_id, matched_title, count(*) AS n,
+  true AS near_rank FROM people JOIN splits USING (table_id) WHERE is_test = 0 GROUP BY ALL""")
+def quantile_sketches(spark, sf):
+    """Quantiles of forty splits from one sketch per table and title; near the wanted rank among the rows of the split."""
+    p = people(spark, sf, "table_id", "matched_title", "salary")
+    s = splits(spark, sampling.group_shuffle_split(GROUPS, 40, 7, seed=3))
+    found = ev.sketched_train_quantiles(p, s, "matched_title", "salary", k=400)["fine"]
+    train, _ = ev.sides(s)
+    values = ev.value_table(p, "matched_title", "salary").join(train, "table_id").join(found, ["split_id", "matched_title"])
+    below = F.sum(F.when(F.col("salary") <= F.col("estimate"), F.col("_n")).otherwise(0)) / F.sum("_n")
+    under = F.sum(F.when(F.col("salary") < F.col("estimate"), F.col("_n")).otherwise(0)) / F.sum("_n")
+    return values.groupBy("split_id", "matched_title", "n").agg(((below >= 0.73) & (under <= 0.77)).alias("near_rank"))
+
+
 _SEX = f"""{_train('matched_title', 'gender')}, f AS (SELECT split_id, matched_title, avg(y) AS e FROM train GROUP BY ALL),
   a AS (SELECT split_id, avg(y) AS e FROM train GROUP BY ALL),
   err AS (SELECT split_id, row_id, abs(y - coalesce(f.e, a.e)) AS error FROM test LEFT JOIN f USING (split_id, matched_title) JOIN a USING (split_id))"""

@@ -46,6 +46,21 @@ def group_quantile(df: DataFrame, keys: list[str], y: str, q: float = 0.75, buck
     return ends.select(*keys, between.alias("estimate"), "n")
 
 
+def quantile_sketches(df: DataFrame, keys: list[str], y: str, k: int = 200) -> DataFrame:
+    """(keys, sketch): a KLL sketch of the known values of each key, of a size that rows do not move.
+
+    Sketches of finer keys can be merged, so splits and subsets need one scan. The rank of an
+    estimate is off by about 1.65 per cent of the rows with k = 200, less in proportion with a larger k.
+    """
+    return df.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(y).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def sketched_quantile(sketches: DataFrame, keys: list[str], q: float = 0.75) -> DataFrame:
+    """(keys, estimate, n) like ``group_quantile``, from merged sketches; the estimate is one of the values."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*keys, F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias("estimate"), F.kll_sketch_get_n_double("_s").alias("n"))
+
+
 def multi_grain_estimates(df: DataFrame, key: str, exp: str, y: str) -> DataFrame:
     """Means at grains (key, exp), (exp) and ().
 

@@ -12,7 +12,9 @@ from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motley.operators.aggregates import cell_means, cell_sums, group_quantile, merge_cells
+from motley.operators.aggregates import (
+    cell_means, cell_sums, group_quantile, merge_cells, quantile_sketches, sketched_quantile,
+)
 from motley.operators.dictionary import range_bounds
 from motley.operators.joins import join_groups
 from motley.operators.lookups import (
@@ -65,6 +67,15 @@ def train_quantiles(counted: DataFrame, splits: DataFrame, key: str, y: str, q:
     return {"fine": fine, "all": whole}
 
 
+def sketched_train_quantiles(df: DataFrame, splits: DataFrame, key: str, y: str, q: float = 0.75, k: int = 200) -> dict[str, DataFrame]:
+    """The grains of ``train_quantiles`` from one sketch per (table, key), merged per split; near, not exact."""
+    train, _ = sides(splits)
+    sketches = materialize(quantile_sketches(df, ["table_id", key], y, k), "sketches")
+    fine = materialize(sketched_quantile(sketches.join(train, "table_id"), ["split_id", key], q), "quantiles")
+    whole = fine.groupBy("split_id").agg((F.sum(F.col("estimate") * F.col("n")) / F.sum("n")).alias("estimate"), F.sum("n").alias("n"))
+    return {"fine": fine, "all": whole}
+
+
 def n_variants(df: DataFrame, splits: DataFrame, key: list[str], raw: list[str]) -> DataFrame:
     """(split, key, n_variants): raw spellings of each test key seen in training."""
     train, test = sides(splits)

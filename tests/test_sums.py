@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motley.operators import aggregates as agg
 from motley.plans import evaluate as ev
 
 SCHEMA = "row_id INT, table_id INT, key STRING, raw STRING, exp INT, y DOUBLE"
@@ -68,3 +69,16 @@ def test_average_precision_with_an_outlier(spark, buckets):
     df = spark.createDataFrame([*rows, (1, None)], "y INT, score DOUBLE")
     assert ev.average_precision(df, "y", "score", buckets).first()[0] == pytest.approx(want)
     assert ev.average_precision(df.where("y = 0"), "y", "score").first()[0] == 0
+
+
+def test_merged_sketches(spark):
+    """The rank of every merged estimate is near the wanted one, and small groups are exact up to the next value."""
+    rng = np.random.default_rng(3)
+    rows = [(t, "ab"[i % 2] if i % 50 else None, float(rng.exponential(100))) for t in range(4) for i in range(5_000)] + [(0, "c", None), (0, "d", 7.0)]
+    df = spark.createDataFrame(rows, "table_id INT, k STRING, y DOUBLE")
+    sketches = agg.quantile_sketches(df.repartition(6), ["table_id", "k"], "y")
+    for q in (0.1, 0.75):
+        for r in agg.sketched_quantile(sketches, ["k"], q).collect():
+            values = np.array([y for _, k, y in rows if k == r.k and y is not None])
+            assert r.n == len(values) and abs((values <= r.estimate).mean() - q) < 0.03 or len(values) == 1 and r.estimate == 7.0
+    assert agg.sketched_quantile(sketches, ["k"], 0.5).count() == 4
