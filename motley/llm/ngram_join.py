@@ -3,34 +3,38 @@
 A document is the set of its shingles. Two sets of Jaccard similarity 9/10 or more share at
 least t = ceil(9 n / 10) of each one's n shingles. With all shingles in one fixed order they
 therefore share l among the first n - t + l of each, for every l up to t. A set first enters
-the index with the prefix of the largest l; one that shares too few shingles there, for any
-l, has no partner. For the others the rows and candidates that each l would cost are estimated
-from the lengths of their lists, and each set takes the l that costs least: crowded lists
-lengthen the prefix and ask for more shared shingles. A pair must share the smaller of its
-two l among its two prefixes, which no pair alike enough fails; its exact similarity decides.
-
-Groups of copies do not make all pairs: sets are first compared with one lead set per shingle,
-so that only sets that are not yet in one group meet each other.
+the index with the prefix of the largest l that its size allows; one that shares too few
+shingles there, for any l, has no partner. For the others the rows and candidates that each
+l would cost are estimated from the lengths of their lists, and each set takes the l that
+costs least: crowded lists lengthen the prefix and ask for more shared shingles. Pairs come
+from the lists of all but the l - 1 most crowded shingles of a prefix, must share the smaller
+of their two l among the whole prefixes, and are decided by their exact similarity.
+
+Crowded lists that are left are mostly groups of near copies. Their members are compared with
+the most central of them, and are from then on known by what they have more or less than it:
+two of them are alike if these differences are small or have most in common, which a prefix
+join of the differences finds. So a large group makes few pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.llm.common import Tables
-from motley.llm.fuzzy_lines import SLICE, _IN_WORD, _mixed, _polynomial, _powers
+from motley.llm.fuzzy_lines import _IN_WORD, _mixed, _polynomial, _powers
 from motley.operators.components import components
 
 SIZE = 3
 ALIKE, OF = 9, 10  # the similarity as a fraction, so that no rounding moves the bound
-MATCHES = 4  # the largest number of shared shingles a prefix may ask for
-LEADS = 2
+MATCHES, LONGER = (1, 2, 3, 4, 8, 16, 32, 64, 128, 256), 40
+FEW, NEAR = 16, 4  # sets nearer than a NEARth of both sizes are described by what differs
 SLOTS = 22
 COMMON, OVER = 32, 4
 FILTER_BITS = 24
+SLICE = 1 << 19  # characters looked at together; a longer text is looked at alone
 _PLACES = _powers(0x9FB21C651E98DF25, 1 << 12)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -137,7 +141,7 @@ def _prefixes(texts: DataFrame, size: int, common: np.ndarray) -> DataFrame:
                 count = np.bincount(owner, minlength=rows)
                 n = count[count > 0]
                 order = np.lexsort((shingles, late[_slot(shingles)], owner))
-                first = np.minimum(n, n - _needed(n) + MATCHES)
+                first = np.minimum(n, n - _needed(n) + np.clip(n // LONGER, 4, MATCHES[-1]))
                 kept = np.arange(len(owner)) - np.repeat(starts, n) < np.repeat(first, n)
                 ends = np.zeros(rows, dtype=np.int64)
                 ends[count > 0] = first
@@ -190,16 +194,23 @@ def _fits(n, other) -> Column:
     return F.least(n, other) * OF >= F.greatest(n, other) * ALIKE
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, each: DataFrame, size: int, tables: Tables, name: str) -> DataFrame:
-    """The written pairs (a, b) of sets whose Jaccard similarity reaches the bound; sets are read from the texts again."""
+def _both(pairs: DataFrame, texts: DataFrame, each: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) with their sets x and y, which are read from the texts again."""
     def sets(side):
         wanted = pairs.select(F.col(side).alias("s")).distinct()
         some = _only(texts, each.join(wanted, "s").select("first.id", "first.th"))
         return _sets(some, size).join(wanted, "s", "left_semi").withColumnRenamed("s", side)
 
-    both = (pairs.join(sets("b").withColumnRenamed("shingles", "y"), "b").join(sets("a").withColumnRenamed("shingles", "x"), "a")
-            .select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common")))
-    return tables.write(both.where(F.col("common") * (ALIKE + OF) >= F.col("n") * ALIKE).select("a", "b").distinct(), name)
+    return pairs.join(sets("b").withColumnRenamed("shingles", "y"), "b").join(sets("a").withColumnRenamed("shingles", "x"), "a")
+
+
+def _needed_column() -> Column:
+    return F.floor((F.col("n") * ALIKE + OF - 1) / OF)
+
+
+def _alike(difference, sizes) -> Column:
+    """Whether sets that differ in so many shingles, of so many together, reach the similarity."""
+    return difference * (ALIKE + OF) <= sizes * (OF - ALIKE)
 
 
 def _chosen(shared: DataFrame) -> DataFrame:
@@ -208,83 +219,138 @@ def _chosen(shared: DataFrame) -> DataFrame:
     ``df`` is the length of a shingle's list. A prefix costs its rows in the index and, for at
     most rows / l candidates, a comparison in proportion to the set.
     """
-    reach = lambda l: F.col("pos") < F.col("n") - _needed_column() + l
+    needed = _needed_column()
+    reach = lambda l: F.col("pos") < F.col("n") - needed + l
     sums = []
-    for l in range(1, MATCHES + 1):  # noqa: E741
+    for l in MATCHES:  # noqa: E741
         sums += [F.count_if(reach(l)).alias(f"m{l}"), F.sum(F.when(reach(l), F.col("df") - 1).otherwise(0)).alias(f"c{l}")]
     per = shared.groupBy("s", "n").agg(*sums)
     alive, costs = F.lit(True), []
-    for l in range(1, MATCHES + 1):  # noqa: E741
-        possible = F.lit(l) <= _needed_column()
+    for l in MATCHES:  # noqa: E741
+        possible = (F.lit(l) <= needed) & (F.lit(l) <= F.greatest(F.lit(4), F.floor(F.col("n") / LONGER)))
         alive = alive & (~possible | (F.col(f"m{l}") >= l))
         cost = F.col(f"c{l}") * (1 + F.col("n") / (8.0 * l))
         costs.append(F.when(possible, F.struct(cost.alias("cost"), F.lit(l).alias("l"))))
-    return per.where(alive).select("s", F.array_min(F.array(*costs))["l"].alias("l"))
+    return per.where(alive).select("s", F.array_min(F.filter(F.array(*costs), lambda c: c.isNotNull()))["l"].alias("l"))
 
 
-def _needed_column() -> Column:
-    return F.floor((F.col("n") * ALIKE + OF - 1) / OF)
+def _keys(shared: DataFrame) -> DataFrame:
+    """(k, s, n, l, df, early): the adapted prefixes, without the shingles that no other set has.
+
+    Among l shared shingles the rarest has l - 1 others behind it, so the last l - 1 need not
+    bring pairs about: they are not ``early``.
+    """
+    own = Window.partitionBy("s")
+    shared = shared.repartition("s")  # the rows move once, not the many sums of each
+    reached = F.col("pos") < F.col("n") - _needed_column() + F.col("l")
+    ranked = shared.join(_chosen(shared), "s").where(reached).withColumn("r", F.row_number().over(own.orderBy("df", "k")))
+    return ranked.select("k", "s", "n", "l", "df", (F.col("r") <= F.count("*").over(own) - F.col("l") + 1).alias("early"))
+
+
+def _enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many shingles of their prefixes as the smaller l of the two."""
+    side = lambda c, l, ks: known.select(F.col("s").alias(c), F.col("l").alias(l), F.col("ks").alias(ks))
+    met = pairs.join(side("a", "_la", "_x"), "a").join(side("b", "_lb", "_y"), "b")
+    return met.where(F.size(F.array_intersect("_x", "_y")) >= F.least("_la", "_lb")).select("a", "b")
 
 
-def _links(rows: DataFrame, texts: DataFrame, each: DataFrame, size: int, leads: int, tables: Tables) -> DataFrame:
-    """(a, b): links that join what all pairs of sets alike enough join.
+def _close(deltas: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs within a cluster, not yet in one group, whose differences from its lead make them alike.
 
-    A few times every set is compared with the lead set under each of its shingles, if they are
-    in different groups so far; then all pairs that are still open and share enough.
+    Two sets at d and e from the lead differ in d + e less twice what the differences have in
+    common. Where that must be something, they meet by a prefix join of the differences, rarest
+    first: with at most ``most`` left between them, the first most / 2 + 1 of the smaller
+    difference and the first most + 1 of the larger have one in common.
     """
+    here = deltas.select("a", F.col("b").alias("s"), "n", "d", F.floor(F.col("n") * (OF - ALIKE) / ALIKE).alias("most"))
+    rooted = deltas.withColumnRenamed("b", "s").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+    mixed = rooted.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("a")
+    each = rooted.join(mixed, "a").select("a", "s", "root", F.explode("delta").alias("x"))
+    # a difference that only one group has brings no pair about; it counts among the rarest
+    often = (each.groupBy("a", "x").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+             .where("low <> high").select("a", "x", "df"))
+    own = Window.partitionBy("a", "s")
+    ranked = (each.join(often, ["a", "x"]).withColumn("r", F.row_number().over(own.orderBy("df", "x")))
+              .withColumn("c", F.count("*").over(own)).join(here, ["a", "s"]).withColumn("pos", F.col("d") - F.col("c") + F.col("r") - 1)
+              .where(F.col("pos") <= F.col("most")))
+    one = ranked.where(F.col("pos") * 2 <= F.col("most")).select("a", "x", *(F.col(c).alias(f"one_{c}") for c in ("s", "n", "d", "root")))
+    two = ranked.select("a", "x", *(F.col(c).alias(f"two_{c}") for c in ("s", "n", "d", "root")))
+    met = one.join(two, ["a", "x"]).where(
+        (F.struct("one_d", "one_s") < F.struct("two_d", "two_s")) & (F.col("one_root") != F.col("two_root"))
+        & _fits(F.col("one_n"), F.col("two_n")) & _alike(F.col("two_d") - F.col("one_d"), F.col("one_n") + F.col("two_n")))
+    pairs = met.groupBy("one_s", "two_s").agg(F.min("a").alias("a"))
+    side = lambda c: deltas.select("a", *(F.col(x).alias(f"{c}_{y}") for x, y in (("b", "s"), ("n", "n"), ("d", "d"), ("delta", "delta"))))
+    both = pairs.join(side("one"), ["a", "one_s"]).join(side("two"), ["a", "two_s"])
+    differ = F.col("one_d") + F.col("two_d") - 2 * F.size(F.array_intersect("one_delta", "two_delta"))
+    return both.where(_alike(differ, F.col("one_n") + F.col("two_n"))).select(F.col("one_s").alias("a"), F.col("two_s").alias("b"))
+
+
+def _surely(deltas: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): links of the sets whose differences from a lead are so small that they are alike whatever they hold.
+
+    All such pairs are joined by links with the set of the smallest difference for its size.
+    """
+    lead = deltas.select("a").distinct().join(known.select(F.col("s").alias("a"), "n"), "a").select("a", F.col("a").alias("s"), "n", F.lit(0).alias("d"))
+    members = deltas.select("a", F.col("b").alias("s"), "n", "d").unionByName(lead).withColumn(
+        "over", F.col("d") * (ALIKE + OF) - F.col("n") * (OF - ALIKE))
+    least = members.groupBy("a").agg(F.min(F.struct("over", "s")).alias("least"))
+    near = members.join(least, "a").where((F.col("over") + F.col("least.over") <= 0) & (F.col("s") != F.col("least.s")))
+    return near.select(F.col("least.s").alias("a"), F.col("s").alias("b"))
+
+
+def _links(rows: DataFrame, texts: DataFrame, each: DataFrame, size: int, few: int, tables: Tables) -> DataFrame:
+    """(a, b): links that join what all pairs of sets alike enough join."""
     spread = (tables.write(rows.where("n > 0").select("s", F.col("n").cast("int").alias("n"), "prefix").dropDuplicates(["s"]), "sets")
               .select("s", "n", F.posexplode("prefix").alias("pos", "k")).select("k", "s", "n", "pos"))
     lists = spread.groupBy("k").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     shared = tables.write(spread.join(lists, "k"), "shared")
     tables.drop("sets")
-    alive = tables.write(shared.join(_chosen(shared), "s").select("k", "s", "n", "pos", "l"), "open")
+    keys = tables.write(_keys(shared), "keys")
     tables.drop("shared")
-    links, tried, roots = None, None, None
-
-    def grouped():
-        if roots is None:
-            return alive.withColumn("root", F.col("s"))
-        return alive.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
-
-    def untried(pairs):
-        return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-
-    def linked(pairs, name):
-        nonlocal links
-        found = _alike(pairs, texts, each, size, tables, name)
-        links = found if links is None else links.unionByName(found)
-
-    ends = lambda one, two: (F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
-    for i in range(leads):
-        now = grouped()
-        by_hash = F.struct(F.xxhash64("s", F.lit(i)).alias("h"), "s", "n", "root")
-        mixed = (now.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(by_hash).alias("lead"))
-                 .where("low <> high").select("k", "lead"))
-        met = now.join(mixed, "k").where((F.col("root") != F.col("lead.root")) & _fits(F.col("n"), F.col("lead.n")))
-        pairs = tables.write(untried(met.select(*ends(F.col("s"), F.col("lead.s"))).distinct()), f"lead-pairs-{i}")
-        linked(pairs, f"lead-links-{i}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = tables.write(components(links, "a", "b").withColumnRenamed("node", "s"), f"groups-{i}")
-    within = tables.write(grouped().where(F.col("pos") < F.col("n") - _needed_column() + F.col("l")), "adapted")
-    mixed = within.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
-    one = within.join(mixed, "k").select("k", *(F.col(c).alias(f"one_{c}") for c in ("s", "n", "l", "root")))
-    two = within.select("k", *(F.col(c).alias(f"two_{c}") for c in ("s", "n", "l", "root")))
-    met = one.join(two, "k").where((F.col("one_s") < F.col("two_s")) & (F.col("one_root") != F.col("two_root"))
-                                   & _fits(F.col("one_n"), F.col("two_n")))
-    enough = (met.groupBy(F.col("one_s").alias("a"), F.col("two_s").alias("b"))
-              .agg(F.count("*").alias("m"), F.min(F.least("one_l", "two_l")).alias("l")).where("m >= l").select("a", "b"))
-    pairs = tables.write(untried(enough), "other-pairs")
-    linked(pairs, "other-links")
-    tables.drop("open", "adapted", "other-pairs", *(f"{x}-{i}" for x in ("lead-pairs", "groups") for i in range(leads)))
-    return links
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, leads: int = LEADS) -> DataFrame:
+    known = tables.write(keys.groupBy("s").agg(F.max("n").alias("n"), F.max("l").alias("l"), F.collect_list("k").alias("ks"),
+                                               F.sum("df").alias("score")), "prefixes")
+    early = keys.where("early").select("k", "s", "n")
+    lists = early.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
+
+    crowded = tables.write(early.join(lists.where(F.col("df") > few), "k").join(known.select("s", "score"), "s").select("k", "s", "n", "score"), "crowded")
+    leads = crowded.groupBy("k").agg(F.max(F.struct("score", "s"))["s"].alias("lead"))
+    led = crowded.join(leads, "k").where(F.col("s") != F.col("lead")).select("k", F.col("lead").alias("a"), F.col("s").alias("b"))
+    around = tables.write(_enough(led.select("a", "b").distinct(), known), "around")
+    added, missing = F.array_except("y", "x"), F.array_except("x", "y")
+    delta = F.concat(added, F.transform(missing, lambda t: F.bitwise_not(t)))
+    sizes = F.size("x") + F.size("y")
+    met = _both(around, texts, each, size).withColumn("d", sizes - 2 * F.size(F.array_intersect("x", "y")))
+    deltas = tables.write(met.where(F.col("d") * NEAR <= sizes).select(
+        "a", "b", F.size("y").alias("n"), "d", delta.alias("delta"), _alike(F.col("d"), sizes).alias("linked")), "deltas")
+    first = tables.write(deltas.where("linked").select("a", "b").unionByName(_surely(deltas, known)), "first-links")
+    roots = tables.write(components(first, "a", "b").withColumnRenamed("node", "s"), "groups")
+    close = tables.write(_close(deltas, roots), "close-links")
+    # Members that are too far from their lead are not described by it, and meet all others of the list.
+    apart = led.join(deltas.select("a", "b"), ["a", "b"], "left_anti").select("k", "b")
+    others = apart.join(crowded.select("k", F.col("s").alias("a"), F.col("n").alias("_n")), "k").join(
+        known.select(F.col("s").alias("b"), "n"), "b").where(F.col("a") != F.col("b"))
+    some = early.join(lists.where(F.col("df") <= few).select("k"), "k")
+    pairs = some.join(some.select("k", F.col("s").alias("a"), F.col("n").alias("_n")), "k").where("a < s").withColumnRenamed("s", "b")
+    pairs = pairs.select("a", "b", "n", "_n").unionByName(others.select("a", "b", "n", "_n")).where(_fits(F.col("n"), F.col("_n")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("s").alias(c), F.col("root").alias(f"_{c}")), c, "left")
+    apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
+    pairs = tables.write(_enough(pairs.where(apart).select("a", "b"), known), "pairs")
+    tables.drop("crowded", "keys", "around", "deltas", "groups", "prefixes")
+    common = F.size(F.array_intersect("x", "y"))
+    sizes = F.size("x") + F.size("y")
+    found = tables.write(_both(pairs, texts, each, size).where(_alike(sizes - 2 * common, sizes)).select("a", "b"), "links")
+    return first.unionByName(close).unionByName(found)
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, few: int = FEW) -> DataFrame:
     """(id, n_shingles, component_id): one row per input row.
 
     Rows are linked if the sets of their word shingles have a Jaccard similarity of 9/10 or more;
     ``component_id`` is the smallest id that can be reached over links, the row's own included.
-    Equal sets are compared once. Words are runs without blanks, A-Z in lower case; a text of
+    Equal sets are compared once. Lists of more than ``few`` sets are taken apart around a
+    central one; that does not change the result. Words are runs without blanks, A-Z in lower case; a text of
     fewer than ``size`` words is one shingle. A null text, or one without a word, has none and
     is linked with nothing. Shingles and sets are known by 64-bit hashes. Repeated rows come
     out as often as they went in; a null id is the smallest only where there is no other. An
@@ -296,7 +362,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     rows = tables.write(_prefixes(texts, size, _common(texts, size)), "rows")
     member = F.struct(F.isnull("id").alias("no_id"), "id", "th")
     each = tables.write(rows.where("n > 0").groupBy("s").agg(F.min(member).alias("first")), "distinct")
-    links = _links(rows, texts, each, size, leads, tables)
+    links = _links(rows, texts, each, size, few, tables)
     roots = components(links, "a", "b").select(F.col("node").alias("s"), "root")
     linked = tables.write(each.join(roots, "s"), "linked")
     of_root = linked.groupBy("root").agg(F.min("first").alias("least"))
@@ -311,7 +377,8 @@ def oracle() -> str:
     """The same rows in DuckDB SQL over the table ``documents``."""
     return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {SIZE - 1}, 1) + 1),
     lambda i: array_to_string(w[i:i + {SIZE - 1}], ' '))) END AS s FROM w),
 sets AS (SELECT min(doc_id) AS doc_id, s FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),

@@ -64,12 +64,12 @@ def test_shingle_table():
     assert all(len(x) == 0 for x in nj.shingle_table([], 3) + nj.shingle_table(["", " "], 3))
 
 
-@pytest.mark.parametrize("leads, common", [(2, 32), (1, 3), (0, 32), (0, 2)])
-def test_every_pair(spark, monkeypatch, leads, common):
-    """With and without lead sets, and whatever the order of shingles."""
+@pytest.mark.parametrize("few, common", [(16, 32), (4, 32), (1, 3), (2, 2)])
+def test_every_pair(spark, monkeypatch, few, common):
+    """However far lists are taken apart, and whatever the order of shingles."""
     monkeypatch.setattr(nj, "COMMON", common)
     monkeypatch.setattr(nj, "OVER", 0)
-    got = check(spark, near_texts(leads), leads=leads)
+    got = check(spark, near_texts(few), few=few)
     assert 10 < len({g for *_, g in got}) < 45
 
 
@@ -78,7 +78,8 @@ def test_short_sets(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(list("abc"), rng.integers(1, 6)))) for i in range(150)]
     rows += [(200 + i, " ".join(f"w{j}" for j in range(22) if j != 30 - i)) for i in range(12)]
-    check(spark, rows, leads=0)
+    check(spark, rows)
+    check(spark, rows, few=1)
 
 
 def test_odd_rows(spark):
@@ -98,3 +99,18 @@ def test_lists_choose_the_prefix(spark):
     rows += [(2, 20, pos, 2) for pos in range(3)] + [(2, 20, pos, 500) for pos in range(3, 6)] + [(3, 20, 4, 900)]
     shared = spark.createDataFrame(rows, "s long, n int, pos int, df int")
     assert sorted(map(tuple, nj._chosen(shared).collect())) == [(1, 4), (2, 1)]
+
+
+def test_crowded_lists(spark):
+    """A large group around one text, most of it alike below the bound, and a second passage that some members share."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(4_000)]
+    base, extra = list(rng.choice(words, 150)), list(rng.choice(words, 30))
+    rows = []
+    for i in range(160):
+        text = list(base) + (list(extra) if i % 3 == 0 else [])
+        for j in rng.choice(len(text), rng.integers(0, 9), replace=False):
+            text[j] = f"e{rng.integers(0, 40)}" if i % 2 else f"u{i}x{j}"
+        rows.append((i, " ".join(text)))
+    got = check(spark, rows, few=2)
+    assert 20 < len({g for *_, g in got}) < 160
