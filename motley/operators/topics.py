@@ -211,32 +211,35 @@ def _stepped(model: TopicModel, docs: DataFrame, batch: int) -> tuple[TopicModel
 
 
 def _spread_values(docs: DataFrame, chosen: list, k: int, seed: int) -> list:
-    """k values drawn one after the other, far ones more likely (k-means++).
+    """k values drawn one after the other, far ones more likely (k-means++); a job for each.
 
     A draw with probability proportional to a weight is the smallest of
     independent exponential times, one per value, taken from its hash.
     """
     unit = (F.pmod(seeded(F.col("value"), seed), F.lit(2**40)) + 1) / F.lit(2.0**40 + 2)
     norm = F.aggregate("grams", F.lit(0.0), lambda s, g: s + g["cnt"] * g["cnt"])
-    for i in range(k - len(chosen)):
+    known = docs.where(F.col("value").isin(chosen)).select("value", norm).collect() if chosen else []  # a row per topic at most
+    squares = {r[0]: float(r[1]) for r in known}
+    for i in range(k - len(squares)):
         weighed = docs.select("value", "n", unit.alias("_u"), norm.alias("own"))
-        if chosen:
+        if squares:
             # sum (x - c)^2 is x.x + c.c - 2 x.c; centres without a common n-gram are c.c beyond x.x
-            centres = _long(docs.where(F.col("value").isin(chosen))).select(F.col("value").alias("c"), "gram", F.col("cnt").alias("_c"))
-            sizes = centres.groupBy("c").agg(F.sum(F.col("_c") * F.col("_c")).alias("cc"))
-            least = sizes.agg(F.min("cc")).first()[0] or 0.0
+            centres = _long(docs.where(F.col("value").isin(list(squares)))).select(F.col("value").alias("c"), "gram", F.col("cnt").alias("_c"))
+            cc = F.element_at(F.create_map(*(F.lit(x) for pair in squares.items() for x in pair)), F.col("c"))
+            least = F.lit(min(squares.values()))
             met = (_long(docs).join(centres, "gram").groupBy("value", "c").agg(F.sum(F.col("cnt") * F.col("_c")).alias("dot"))
-                   .join(sizes, "c").groupBy("value").agg(F.min(F.col("cc") - 2 * F.col("dot")).alias("near")))
-            near = F.least(F.coalesce("near", F.lit(least)), F.lit(least))
+                   .groupBy("value").agg(F.min(cc - 2 * F.col("dot")).alias("near")))
+            near = F.least(F.coalesce("near", least), least)
             weighed = weighed.join(met, "value", "left").withColumn("d", F.greatest(F.col("own") + near, F.lit(0.0)))
         else:
             weighed = weighed.withColumn("d", F.lit(1.0))
         spin = F.pmod(F.col("_u") + i * 0.6180339887498949, F.lit(1.0)) + 1e-12
-        drawn = weighed.where(F.col("d") > 1e-9).agg(F.min_by("value", -F.log(spin) / (F.col("n") * F.col("d")))).first()[0]
+        time = -F.log(spin) / (F.col("n") * F.col("d"))
+        drawn = weighed.where(F.col("d") > 1e-9).agg(F.min_by(F.struct("value", "own"), time).alias("v")).first()["v"]
         if drawn is None:
             break
-        chosen = [*chosen, drawn]
-    return chosen
+        squares[drawn["value"]] = float(drawn["own"])
+    return list(squares)
 
 
 def _drawn(grams: DataFrame, p: TopicParams, seeds: int, name: str) -> DataFrame:
