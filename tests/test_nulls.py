@@ -13,7 +13,6 @@ from motley.operators.vector_join import embed_titles, knn_values, nearest_proto
 from motley.plans import evaluate as ev
 from motley.plans import gap
 from motley.plans import learners as ml
-from motley.streaming.chunks import OnlineLinear
 
 TITLES = ["police officer", "officer police", "bus driver", "unheard title", "zero word", None]
 
@@ -167,7 +166,3 @@ def test_classifiers_without_a_vector(spark, gappy):
     same = same.withColumn("y", F.coalesce("y", F.when(F.col("id") != 1, 0)))
     found = {r.id: r.prediction for r in ml.kernel_classifier(same, "v", "y", 20, 0.5)(same).collect()}
     assert len(found) == 39 and {i for i, p in found.items() if p is not None} == known
-    model = OnlineLinear(2).partial_fit(df.withColumn("y", F.when(F.col("id") != 1, F.col("y"))), "v", "y")
-    found = {r.id: r.prediction for r in model.predict(df, "v").collect()}
-    assert model.seen == 5 and len(found) == 40 and {i for i, p in found.items() if p is not None} == known
-    assert OnlineLinear(2).partial_fit(df.where("v IS NULL"), "v", "y").seen == 0
