@@ -73,6 +73,21 @@ def test_odd_vectors(spark, monkeypatch):
     assert [(r.rank, r.vec_id) for r in twice.orderBy("rank").collect()] == [(1, 201), (2, 201)]
 
 
+def test_repeated_ids_are_rows(spark, monkeypatch):
+    for name, size in (("SHARD", 13), ("BLOCK", 3), ("TILE", 4), ("FAN_IN", 2)):
+        monkeypatch.setattr(topk, name, size)
+    rows = [(i % 60, [((i * 7 + j * 3) % 11 - 5) / 4 for j in range(3)]) for i in range(70)]
+    rows += [rows[20], rows[20], rows[40], rows[33]]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    z = [(i, [int(64 * x // 1) for x in v]) for i, v in rows]
+    want = []
+    for n, (q, v) in enumerate(z):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(z) if m != n)[:4]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.search(data, k=4).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("most", [1.0, 1e6, 2e7])
 def test_exact_scores(spark, most):
     rows = [(i, [most * (i % 7 - 3) / 3, most * (i % 5) / 7]) for i in range(60)]
