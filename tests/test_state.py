@@ -1,6 +1,8 @@
 """Models written and read back, and streams that stop and go on."""
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from motley.operators import encoders as enc
@@ -59,3 +61,16 @@ def test_encoders_and_trees_come_back(spark, tmp_path):
     boost.save(spark, f"{tmp_path}/boost")
     got = ml.QuantileBoost.load(spark, f"{tmp_path}/boost").predict(ready)
     assert sorted(map(str, got.collect())) == sorted(map(str, boost.predict(ready).collect()))
+
+
+def test_classifiers_after_an_observation(spark):
+    """The session keeps what observed a query; models that tasks are sent must not bring it along."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    rows = spark.range(60).select("id", F.array((F.col("id") % 2).cast("double"), (F.col("id") % 7).cast("double")).alias("v"),
+                                  (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2).cast("string").alias("label"))
+    vectors = rows.withColumn("features", array_to_vector("v"))
+    assert ml.logistic_scores(vectors, "y").where((F.col("p") > 0.5) == (F.col("y") == 1)).count() == 60
+    assert ml.kernel_classifier(rows, "v", "y")(rows).where(F.col("prediction") == F.col("y")).count() > 30
+    assert ml.forest_classifier(vectors, "label", trees=3).transform(vectors).where("predicted = label").count() == 60
