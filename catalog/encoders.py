@@ -15,6 +15,7 @@ from motley.operators import encoders as enc
 from motley.operators import topics as top
 from motley.operators.aggregates import finite, value_counts
 from motley.sources.people import people, table, titles
+from motley.workdir import materialize
 
 P = f"WITH {Q.PEOPLE}"
 
@@ -226,7 +227,7 @@ def scale_no_center(spark, sf):
 @query("column_pipeline", f"{P} SELECT row_id, 15 AS n_features, true AS finite FROM people")
 def column_pipeline(spark, sf):
     """A different encoder per column, assembled to one vector; the rest dropped."""
-    p = people(spark, sf, "row_id", "job_title", "ethnicity", "employer", "seniority", "salary")
+    p = materialize(people(spark, sf, "row_id", "job_title", "ethnicity", "employer", "seniority", "salary"), "people")
     stages = [
         enc.SimilarityEncoder("job_title", "t", "most_frequent", 10, as_vector=True),
         enc.TargetMeanEncoder("ethnicity", "salary", "e", as_vector=True),
