@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from motley.functions.binding import let
 from motley.functions.grams import ngram_count, padded, preprocess, windows
-from motley.functions.hashing import reseeded, seeded
+from motley.functions.hashing import portable, reseeded, seeded
+from motley.functions.least_hashes import NONE, portable_least
 from motley.functions.similarity import METRICS
 from motley.functions.vectors import usable
 from motley.operators.aggregates import target_stats, top_k_frequent, value_counts
@@ -220,7 +221,8 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
 
     ``fast`` hashes the n-grams of the text as it is and gives integers,
     ``murmur`` those of the padded text and gives values in [0, 1].  Equal
-    components of two texts are as likely as their n-gram Jaccard similarity.
+    components of two texts are as likely as their n-gram Jaccard similarity. Batches of texts hash
+    each distinct n-gram once where ``hashed`` is the portable hash.
     """
     sizes = range(ngram_range[0], ngram_range[1] + 1)
     # a 32-bit hash given instead is made once per n-gram and mixed with every seed
@@ -234,6 +236,8 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
         if minmax and n_components % 2:
             raise ValueError(f"n_components={n_components}: pairs of smallest and largest need an even number")
         seeds = n_components // 2 if minmax else n_components
+        if hashed is portable:
+            return portable_least(c, sizes, seeds, minmax)
         low = let(pieces(c), lambda g: F.transform(
             F.sequence(F.lit(0), F.lit(seeds - 1)),
             lambda s: let(F.transform(g, lambda x: own(x, s)), lambda h: F.array(
@@ -245,6 +249,8 @@ def minhash(c: Column, n_components: int, ngram_range: tuple[int, int] = (2, 4),
         raise ValueError("minmax=True needs hashing='fast'")
     text = F.when(F.trim(padded(c)) == "", F.lit(" Na ")).otherwise(c)
     top = 2**32 - 1 if hashed is None else 2**31 - 2
+    if hashed is portable:
+        return F.transform(portable_least(padded(text), sizes, n_components), lambda x: F.when(x != NONE[0], x) / F.lit(top))
     return let(pieces(padded(text)), lambda g: F.transform(
         F.sequence(F.lit(0), F.lit(n_components - 1)),
         lambda s: F.array_min(F.transform(g, lambda x: F.pmod(own(x, s).cast("bigint"), F.lit(2**32)))) / F.lit(top)))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motley.functions import hashing
 from motley.functions import similarity as sim
 from motley.operators import encoders as enc
 from motley.operators import topics as top
@@ -210,3 +211,28 @@ def test_min_hashes_are_made_once_per_value(spark):
         assert not any("Filter" in line and "transform" in line for line in plan)
         assert next(i for i, x in enumerate(plan) if "transform" in x) < next(i for i, x in enumerate(plan) if "Aggregate" in x)
         assert out.groupBy("job_title").count().orderBy("job_title").collect() == [("", 4), ("ab cd", 4)]
+
+
+@pytest.mark.parametrize("options", [{}, {"minmax": True}, {"hashing": "murmur"}, {"ngram_range": (1, 1)}, {"ngram_range": (3, 5)}])
+def test_minhash_by_batches_equals_the_columns(spark, options):
+    """Texts of a batch with few and with many characters, short, empty, null and repeated ones."""
+    rng = np.random.RandomState(0)
+    texts = ["", None, "a", "ab", " ", "Aa  b\n\tc", "\U0001f600é中ß" * 5, "x" * 300, "ab", "ab" * 50,
+             "".join(map(chr, rng.randint(0x4e00, 0x9fff, 3000)))]
+    texts += ["".join(rng.choice(list("abcde "), rng.randint(0, 60))) for _ in range(50)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id INT, v STRING").coalesce(1)
+    plain = lambda c: hashing.portable(c)
+    both = rows.select("id", enc.minhash(F.col("v"), 6, hashed=plain, **options).alias("want"),
+                       enc.minhash(F.col("v"), 6, hashed=hashing.portable, **options).alias("got")).collect()
+    assert len(both) == len(texts) and all(r.got == r.want for r in both)
+
+
+def test_minhash_hashes_a_repeated_gram_once(monkeypatch):
+    from motley.functions import least_hashes as lh
+    asked = []
+    count = lambda piece: asked.append(piece) or hashing.portable_value(piece)
+    texts = ["the same words", "same words", "words the same"] * 200
+    whole = lh.least_hashes(texts, range(2, 5), 16, hashed=count)
+    assert len(asked) == len(set(asked)) < 150
+    monkeypatch.setattr(lh, "ROOM", 20)
+    assert (lh.least_hashes(texts, range(2, 5), 16) == whole).all()
