@@ -104,9 +104,7 @@ _PAD2 = "'  ' || text || '  '"
 @query("trigrams", f"""SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_grams('s', 3)}) AS gram FROM
   (SELECT doc_id, {_PAD2} AS s FROM documents)) GROUP BY ALL""")
 def trigrams(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", F.explode_outer(grams.trigrams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(
-        F.count("*").alias("n"))
+    return pairs.trigram_counts(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("trigram_set", f"""SELECT doc_id, count(DISTINCT gram) AS n FROM (SELECT doc_id, unnest({_grams('s', 3)}) AS gram FROM

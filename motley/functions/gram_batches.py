@@ -1,7 +1,7 @@
-"""Least and largest hashes of the n-grams of many texts at once.
+"""N-grams of many texts at once: least and largest hashes, and counts.
 
-The n-grams of a batch of texts are numbered by arrays, so that each distinct one is hashed once per
-batch and what remains per character is a look-up and a minimum per seed.
+The n-grams of a batch of texts are numbered by arrays, so that each distinct one is cut out and
+hashed once per batch and what remains per character is a look-up.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     yield lo, texts[lo:]
 
 
-def _fill(texts: list[str], sizes: range, low: np.ndarray, high: np.ndarray | None, hashed: Callable[[bytes], int]) -> None:
+def _grams(texts: list[str], sizes: range) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """For each size: the text of every n-gram, its number, and the distinct n-grams by number."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     joined = "".join(texts)
     if not joined:
@@ -56,12 +57,15 @@ def _fill(texts: list[str], sizes: range, low: np.ndarray, high: np.ndarray | No
             if not len(at):
                 return
             number, n = _numbered(number * n_chars + chars[at + size - 1])
-        if size not in sizes:
-            continue
-        place = np.empty(n, dtype=np.int64)
-        place[number] = at
-        base = np.array([hashed(joined[p:p + size].encode()) for p in place.tolist()], dtype=np.int64)
-        rows = owner[at]
+        if size in sizes:
+            place = np.empty(n, dtype=np.int64)
+            place[number] = at
+            yield owner[at], number, [joined[p:p + size] for p in place.tolist()]
+
+
+def _fill(texts: list[str], sizes: range, low: np.ndarray, high: np.ndarray | None, hashed: Callable[[bytes], int]) -> None:
+    for rows, number, pieces in _grams(texts, sizes):
+        base = np.array([hashed(x.encode()) for x in pieces], dtype=np.int64)
         first = np.flatnonzero(np.diff(rows, prepend=-1))
         mine = rows[first]
         for seed in range(low.shape[1]):
@@ -91,3 +95,23 @@ def portable_least(c: Column, sizes: range, seeds: int, largest: bool = False) -
         return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * width, pa.int32()), pa.array(found.ravel()))
 
     return run(c)
+
+
+def gram_counts(c: Column, n: int) -> Column:
+    """The distinct n-grams of each text with their counts, as an array of (gram, n); empty for a null."""
+
+    @F.arrow_udf("array<struct<gram string, n bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        sizes, found, counts = [np.zeros(0, dtype=np.int64)], [pa.array([], pa.string())], [np.zeros(0, dtype=np.int64)]
+        for _, some in _batches([t or "" for t in texts.to_pylist()]):
+            size = np.zeros(len(some), dtype=np.int64)
+            for rows, number, pieces in _grams(some, range(n, n + 1)):
+                pairs, times = np.unique(rows * len(pieces) + number, return_counts=True)
+                size += np.bincount(pairs // len(pieces), minlength=len(some))
+                found.append(pa.array(pieces, pa.string()).take(pa.array(pairs % len(pieces))))
+                counts.append(times)
+            sizes.append(size)
+        rows = pa.StructArray.from_arrays([pa.concat_arrays(found), pa.array(np.concatenate(counts), pa.int64())], ["gram", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32()), rows)
+
+    return run(c)

@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motley.functions.binding import let
+from motley.functions.gram_batches import NONE, portable_least
 from motley.functions.grams import ngram_count, padded, preprocess, windows
 from motley.functions.hashing import portable, reseeded, seeded
-from motley.functions.least_hashes import NONE, portable_least
 from motley.functions.similarity import METRICS
 from motley.functions.vectors import usable
 from motley.operators.aggregates import target_stats, top_k_frequent, value_counts

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motley.functions.grams import padded, preprocess, range_grams, windows
+from motley.functions.gram_batches import gram_counts as counted_grams
 from motley.functions.similarity import METRICS
 from motley.operators.dictionary import spread
 from motley.operators.edit_join import string_candidates
+from motley.operators.joins import join_groups
 from motley.workdir import materialize
 
 
@@ -36,6 +38,24 @@ def gram_counts(df: DataFrame, value: str, lo: int, hi: int, hashing_dim: int |
     return grams.groupBy(value, "gram").agg(F.count("*").alias("cnt"))
 
 
+def trigram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram, n): how often each 3-gram stands in the texts of a key; a null text counts for the gram null.
+
+    The grams of a text are counted in its row. Only keys of several rows have counts to add up, so
+    only theirs are shuffled.
+    """
+    repeated = materialize(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
+
+    def counts(rows: DataFrame) -> DataFrame:
+        cut = counted_grams(F.concat(F.lit("  "), F.col(text), F.lit("  ")), 3)
+        each = rows.select(key, F.explode_outer(cut).alias("_g"))
+        return each.select(key, "_g.gram", F.coalesce("_g.n", F.lit(1)).alias("n"))
+
+    once = counts(join_groups(df, repeated, [key], "left_anti"))
+    more = counts(join_groups(df, repeated, [key], "left_semi"))
+    return once.unionByName(more.groupBy(key, "gram").agg(F.sum("n").alias("n")))
+
+
 def _tokens(df: DataFrame, value: str, n: int) -> DataFrame:
     """(value, size, token): n-grams of the value's multiset, made distinct by number."""
     grams = spread(df, value).withColumn("_grams", windows(padded(preprocess(F.col(value))), n)).select(

@@ -228,7 +228,7 @@ def test_minhash_by_batches_equals_the_columns(spark, options):
 
 
 def test_minhash_hashes_a_repeated_gram_once(monkeypatch):
-    from motley.functions import least_hashes as lh
+    from motley.functions import gram_batches as lh
     asked = []
     count = lambda piece: asked.append(piece) or hashing.portable_value(piece)
     texts = ["the same words", "same words", "words the same"] * 200

@@ -209,3 +209,28 @@ def test_joins_are_equi_joins(spark):
     for metric, score in (("levenshtein-ratio", 0.9), ("jaro", 0.8)):
         plan = pairs.similarity_join(a, b, "a", "b", metric, score)._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_trigram_counts_of_texts(spark):
+    """Counted in the row of a text; keys of several rows, the null one too, are added up."""
+    from collections import Counter
+    rng = random.Random(0)
+    texts = ["", "a", "aaa" * 20, "\U0001f600\U0001f600é中ß" * 5, "a\n\n\nb  \r\n", "\\1$(.)" * 3, None]
+    texts += ["".join(rng.choice("ab \U0001f600") for _ in range(rng.randint(0, 80))) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, "abab"), (1, None), (None, "abc"), (None, "abc"), (None, None)]
+    want = Counter()
+    for key, text in rows:
+        padded = None if text is None else f"  {text}  "
+        want.update([(key, None)] if text is None else [(key, padded[i:i + 3]) for i in range(len(padded) - 2)])
+    df = spark.createDataFrame(rows, "k INT, v STRING")
+    found = pairs.trigram_counts(df, "k", "v")
+    assert found.schema["n"].dataType.simpleString() == "bigint"
+    assert {(r.k, r.gram): r.n for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_trigrams_of_single_keys_are_not_shuffled(spark):
+    rows = spark.range(40).select(F.col("id").alias("k"), F.repeat(F.lit("some words "), 50).alias("v"))
+    found = pairs.trigram_counts(rows, "k", "v")
+    assert len(found.collect()) == found.count() == 40 * 14
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning" not in final
