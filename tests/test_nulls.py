@@ -166,3 +166,19 @@ def test_classifiers_without_a_vector(spark, gappy):
     same = same.withColumn("y", F.coalesce("y", F.when(F.col("id") != 1, 0)))
     found = {r.id: r.prediction for r in ml.kernel_classifier(same, "v", "y", 20, 0.5)(same).collect()}
     assert len(found) == 39 and {i for i, p in found.items() if p is not None} == known
+
+
+def test_quantiles_of_counted_rows(spark):
+    """A value may come in several rows; no row passes a sketch per key or meets the buckets of its key."""
+    rng = np.random.RandomState(3)
+    rows = [(k, float(v), int(w)) for k in ("a", None) for v, w in zip(rng.randint(0, 700, 2_000), rng.randint(0, 4, 2_000))]
+    df = spark.createDataFrame(rows + [("a", None, 5), ("none", 1.0, 0)], "k string, y double, w int")
+    for q in (0.0, 0.75, 1.0):
+        found = agg.group_quantile(df, ["k"], "y", q, weight="w")
+        got = {r.k: (r.estimate, r.n) for r in found.collect()}
+        for k in ("a", None):
+            every = np.repeat([v for kk, v, _ in rows if kk == k], [w for kk, _, w in rows if kk == k])
+            assert got.pop(k) == (pytest.approx(np.quantile(every, q)), len(every))
+        assert not got
+    plan = found._jdf.queryExecution().toString()
+    assert "percentile_approx" not in plan and "_bounds" not in plan
