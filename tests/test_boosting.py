@@ -183,3 +183,16 @@ def test_rates_are_judged_together(spark):
         assert tuned[0.5] < tuned[0.01] and ml.best_rate(spark.createDataFrame(list(tuned.items()), "lr DOUBLE, rmse DOUBLE")) == 0.5
     unseen = ml.tune_learning_rate(df, vectors, folds, [0.5], fit_on="unseen", rounds=1, depth=1).first()
     assert unseen.rmse is None
+
+
+def test_trees_are_walked_once_per_distinct_features(spark):
+    import pyarrow as pa
+    boosts = bo.Boosts(bo.Bins([[0.5]]), "squared", np.zeros(2), np.ones(2), 1,
+                       [bo.Tree(np.array([[0], [0]]), np.array([[0], [0]]), np.array([[1.0, 2.0], [3.0, 4.0]]))])
+    fit = bo._Fit.__new__(bo._Fit)
+    fit.spark, fit.boosts, fit.done = spark, boosts, 0
+    batch = pa.RecordBatch.from_pydict({"group": [0] * 6, "x": [b"\x01", b"\x00", b"\x01", b"\x01", b"\x00", b"\x01"], "total": [1.0] * 6,
+                                        "weight": [1.0] * 6, "scores": [np.full(2, float(i)).tobytes() for i in range(6)]})
+    x, place, *_, scores = fit._scored()(batch)
+    assert x[:, 0].tolist() == [1, 0] and place.tolist() == [0, 1, 0, 0, 1, 0]
+    assert scores.tolist() == [[i + (2 if r else 1), i + (4 if r else 3)] for i, r in enumerate((1, 0, 1, 1, 0, 1))]
