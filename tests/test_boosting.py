@@ -103,6 +103,63 @@ def test_quantiles(spark):
         assert got[side] == pytest.approx([want, start + 0.5 * (want - start)])
 
 
+def plain_quantile(x, y, w, rounds, rate, depth, bins, q):
+    """Greedy trees on the pinball gradient, whose leaves take the quantile of their residuals, row by row."""
+    codes = bins.of(x)
+    every = lambda v: np.quantile(np.repeat(v, w.astype(int)), q)
+    scores = np.full(len(y), every(y))
+    out = np.zeros(0)
+    for _ in range(rounds):
+        values = np.zeros(len(y))
+
+        def grow(rows, level):
+            g, h = (w * np.where(y > scores, -q, 1 - q))[rows], w[rows]
+            best = (1e-9 * max(g.sum() ** 2 / h.sum(), 1e-12), None)
+            if level < depth:
+                for f in range(x.shape[1]):
+                    for b in range(len(bins.edges[f])):
+                        left = codes[rows, f] <= b
+                        if left.any() and not left.all():
+                            gain = g[left].sum() ** 2 / h[left].sum() + g[~left].sum() ** 2 / h[~left].sum() - g.sum() ** 2 / h.sum()
+                            if gain > best[0] * (1 + 1e-9):
+                                best = (gain, left)
+            if best[1] is None:
+                values[rows] = np.quantile(np.repeat((y - scores)[rows], w[rows].astype(int)), q)
+            else:
+                grow(rows[best[1]], level + 1)
+                grow(rows[~best[1]], level + 1)
+
+        grow(np.arange(len(y)), 0)
+        scores = scores + rate * values
+        out = scores
+    return out
+
+
+@pytest.mark.parametrize("small", [{}, {"FEW": 0}, {"CHUNK": 50, "BLOCK": 7, "POINTS": 3, "ALL": 20, "MOST": 30},
+                                   {"CHUNK": 1, "BLOCK": 1, "POINTS": 3, "ALL": 0, "MOST": 60, "FEW": 0}])
+def test_quantile_rounds_equal_a_plain_booster(spark, monkeypatch, small):
+    """Blocks, narrowing and sums on the driver never move a result; rows without outcome or weight teach nothing."""
+    for name, value in small.items():
+        monkeypatch.setattr(bo, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (400, 2)).astype(float)
+    y = np.round(5 * x[:, 0] - 3 * (x[:, 1] > 1) + rng.normal(size=400) * 4, 0)  # many ties
+    w, group = rng.integers(1, 4, 400).astype(float), rng.integers(0, 3, 400)
+    rows = [(int(g), [float(v) for v in a], float(b), float(c)) for g, a, b, c in zip(group, x, y, w)]
+    rows += [(0, [0.0, 0.0], None, 5.0), (1, [9.0, 9.0], 1e6, 0.0), (7, [1.0, 1.0], -1e6, 9.0)]
+    cells = spark.createDataFrame(rows, "group int, features array<double>, total double, weight double").repartition(3)
+    bins = bo.Bins([[0.0, 1.0, 2.0], [0.0, 1.0, 2.0]])
+    members = [{0, 1, 2}, {0, 2}]
+    rounds = 3 if small.get("CHUNK") == 1 else 6
+    boosts = bo.fit_many(cells, members, [0.5, 0.3], loss="quantile", rounds=rounds, depth=2, q=0.75, bins=bins, save_every=2)
+    asked = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "i int, features array<double>")
+    got = {r["i"]: r["p"] for r in boosts.predict(asked, "p").collect()}
+    for m, (groups, rate) in enumerate(zip(members, (0.5, 0.3))):
+        mine = np.isin(group, list(groups))
+        want = plain_quantile(x[mine], y[mine], w[mine], rounds, rate, 2, bins, 0.75)
+        assert np.allclose([got[i][m] for i in np.flatnonzero(mine)], want)
+
+
 def test_jobs_do_not_grow_with_models(spark):
     *_, cells = data(spark, 100)
     bins = bo.Bins.fit(cells, bins=4)
