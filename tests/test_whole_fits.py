@@ -46,3 +46,11 @@ def test_quantiles_take_a_hundred_rounds(spark, small, monkeypatch, name, module
     with pytest.raises(Asked):
         queries()[name](spark, small).collect()
     assert (said["loss"], said["rounds"], said["depth"], said["rates"]) == ("quantile", 100, 3, rates)
+
+
+def test_salaries_take_a_hundred_rounds(spark, small, monkeypatch):
+    fitted, fit = [], ml.boosted_salary
+    monkeypatch.setattr(ml, "boosted_salary", lambda *args, **options: fitted.append(fit(*args, **options)) or fitted[-1])
+    queries()["boosted_salary"](spark, small).collect()
+    trees = fitted[0].stages[-1]
+    assert trees.getNumTrees == 100 and (trees.getMaxDepth(), trees.getStepSize()) == (5, 0.1)
