@@ -6,6 +6,7 @@ import inspect
 import pytest
 
 from __spark_entry__ import queries
+from motley.plans import evaluate as ev
 from motley.plans import learners as ml
 
 
@@ -32,7 +33,7 @@ class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name, module, rates", [("boosted_quantile", ml, [0.1])])
+@pytest.mark.parametrize("name, module, rates", [("boosted_quantile", ml, [0.1]), ("cv_errors_learned_quantile", ev, [0.1] * 4)])
 def test_quantiles_take_a_hundred_rounds(spark, small, monkeypatch, name, module, rates):
     said, signature = {}, inspect.signature(module.fit_many)
 
